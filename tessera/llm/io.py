@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +44,22 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once per application, so that tasks find it wherever it was started from."""
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        _shipped.add(application)
+        root = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp()) / "tessera_llm.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in [root / "tessera/__init__.py", *sorted((root / "tessera/llm").glob("*.py"))]:
+                out.write(path, path.relative_to(root))
+        spark.sparkContext.addPyFile(str(archive))
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
@@ -50,4 +68,5 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Reco
             if batch.num_rows:
                 yield from work(batch)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -215,6 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[Ru
     named = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(named), "doc_id", "left_semi")  # at most fit_rows ids
     got = document_stats(text).join(F.broadcast(named), "doc_id").orderBy("doc_id", *COUNTS).limit(2 * fit_rows).toPandas()
+    got = got[(got.n_words >= 20) & (100 * got.n_repeat_words <= 30 * got.n_words)]  # the base rule comes first
     return fit_decision_list({c: got[c].to_numpy() for c in COUNTS}, got["quality"].to_numpy())
 
 

@@ -1,8 +1,10 @@
 """The queries of this folder by name, and the SQL that must give the same rows."""
 
-from . import decontaminate, quality
+from . import decontaminate, mixing, quality, token_files
 
 QUERIES = {
+    "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_token_files": token_files.op10_token_files,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_quality_rules": quality.op5_quality_rules,
 }
