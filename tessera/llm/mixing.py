@@ -3,8 +3,8 @@
 A source's target divided by its size is the number of copies each of its documents should have on average. The whole
 part is given to all; the fractional parts are rounded by the pivotal method: two documents exchange mass, measured in
 words, in a random direction until one of them has none or all of its own. The expected copies of each stay as they
-were and the pair's words stay the same. Documents meet in small buckets of one source; what a bucket leaves undecided,
-one document, meets the leavings of other buckets on the next level of a tree, so the source's words end within one
+were and the pair's words stay the same. Documents meet in small buckets of one source; long documents come first and what a bucket leaves
+undecided, one document, meets the leavings of other buckets on the next level of a tree, so the source's words end within one
 document of its target. Random numbers are hashes of the ids that meet, so reruns agree.
 
 Buckets are as many as a source's documents need, so a source that holds a third of all rows has its own many.
@@ -87,7 +87,7 @@ def _round_level(rows: DataFrame, level: int, fan: int) -> tuple[DataFrame, Data
     """Rounds inside buckets: the decided rows, and one undecided row per bucket."""
     buckets = F.ceil(F.col("n") / fan).cast("long")
     grouped = rows.groupBy("source", F.pmod(F.xxhash64("row", F.lit(level)), F.greatest(buckets, F.lit(1))).alias("bucket"), F.greatest(buckets, F.lit(1)).alias("n"))
-    listed = grouped.agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("row").alias("order"), "row", "size", "mass"))).alias("all"))
+    listed = grouped.agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("large"), F.xxhash64("row").alias("order"), "row", "size", "mass"))).alias("all"))
     head = F.col("all")[0]
     start = F.struct(F.expr("cast(array() as array<struct<row:struct<doc_id:bigint,size:bigint>,pick:boolean>>)").alias("done"), head["row"].alias("row"), head["size"].alias("size"), head["mass"].alias("mass"))
     folded = listed.select("source", "n", F.aggregate(F.slice("all", 2, F.size("all")), start, _meet(level)).alias("f"))
