@@ -4,8 +4,8 @@ A source's target divided by its size is the number of copies each of its docume
 part is given to all; the fractional parts are rounded by the pivotal method: two documents exchange mass, measured in
 words, in a random direction until one of them has none or all of its own. The expected copies of each stay as they
 were and the pair's words stay the same. Documents meet in small buckets of one source; long documents come first and what a bucket leaves
-undecided, one document, meets the leavings of other buckets on the next level of a tree, so the source's words end within one
-document of its target. Random numbers are hashes of the ids that meet, so reruns agree.
+undecided, one document, meets the leavings of other buckets on the next level of a tree, and the very last goes
+to the nearer side, so the source's words end within half a document of its target. Random numbers are hashes of the ids that meet, so reruns agree.
 
 Buckets are as many as a source's documents need, so a source that holds a third of all rows has its own many.
 
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, fan: int = FAN) -> DataFrame:
     while n > 1 or level == 0:
         done, rows = _round_level(rows, level, fan)
         decided, level, n = decided.unionByName(done), level + 1, -(-n // fan)
-    last = rows.select("source", "row.doc_id", F.col("row.size").alias("size"), (_uniform(F.col("row.doc_id"), F.lit(-1)) * F.col("size") < F.col("mass")).alias("pick"))
+    last = rows.select("source", "row.doc_id", F.col("row.size").alias("size"), (2 * F.col("mass") >= F.col("size")).alias("pick"))
     decided = decided.unionByName(last)
     copies = (F.col("whole") + F.col("pick").cast("long")).cast("long")
     out = decided.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))

@@ -18,6 +18,7 @@ text; a null doc_id sorts first; an empty table writes no file. Only doc_id and
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -36,17 +37,32 @@ SEQUENCE = 2048
 FILE_IDS = 8 << 20
 #: Sequences of a record batch.
 BATCH_ROWS = 256
-#: Words a worker remembers the ids of; it forgets them all beyond that.
-CACHE_WORDS = 300_000
+#: Pieces of words a worker remembers the ids of; it forgets them all beyond that.
+CACHE_WORDS = 400_000
 END_ID = 1
 
 MANIFEST_SCHEMA = "file string, n_ids long, n_docs long"
 
 
+def _piece_classes() -> np.ndarray:
+    """1 letters, 2 digits, 3 other visible ASCII, 4 bytes whose word is encoded whole, 0 white space."""
+    c = np.full(256, 4, np.uint8)
+    c[0x21:0x7F] = 3
+    c[0x30:0x3A], c[0x41:0x5B], c[0x61:0x7B] = 2, 1, 1
+    c[ord("'")] = 4
+    c[~tk.NONSPACE] = 0
+    return c
+
+
+_CLASS = _piece_classes()
+
+
 class WordEncoder:
-    """Ids of whole texts, each distinct white-space-separated word being encoded once.
+    """Ids of whole texts, each distinct piece of a word being encoded once.
 
-    Valid for tokenizers that cut at white space and drop it, as word-end BPE does.
+    For lower-casing word-end BPE tokenizers that drop white space and cut words into runs of letters, single digits and
+    runs of other characters. Words of ASCII and Latin-1 letters are cut so; words with an apostrophe or any other
+    character are encoded whole.
     """
 
     _loaded: dict[str, "WordEncoder"] = {}
@@ -56,8 +72,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.cache: dict[bytes, np.ndarray] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.wide = len(vocab) > 1 << 16
+        self.added = [x["content"].encode() for x in json.loads(self.tokenizer.to_str())["added_tokens"]]
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -65,30 +89,85 @@ class WordEncoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def pieces(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-cased bytes, starts and ends of the pieces, the first piece of each document, and which are whole words."""
+        starts, ends, _ = tk.words(buf, offs, tk.NONSPACE)
+        kind = _CLASS[buf]
+        low = tk.lower(buf)
+        lead = np.flatnonzero(buf == 0xC3)
+        lead = lead[lead + 1 < len(buf)]
+        tail = buf[lead + 1]
+        latin = (tail >= 0x80) & (tail <= 0xBF) & (tail != 0x97) & (tail != 0xB7)
+        lead, tail = lead[latin], tail[latin]
+        kind[lead] = kind[lead + 1] = 1
+        low[lead + 1] = np.where(tail <= 0x9E, tail + 0x20, tail)
+        raw = buf.tobytes()
+        for token in self.added:  # their text counts as the token wherever it stands
+            k = raw.find(token)
+            while k >= 0:
+                kind[k] = 4
+                k = raw.find(token, k + 1)
+        odd = np.flatnonzero(kind == 4)
+        hard = np.zeros(len(starts), bool)
+        hard[np.searchsorted(starts, odd, side="right") - 1] = True
+        at, to = starts[hard], ends[hard]
+        size = to - at
+        inside = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        kind[inside], low[inside] = 4, buf[inside]
+        new = np.empty(len(buf), bool)
+        if len(buf):
+            new[0] = True
+            np.not_equal(kind[1:], kind[:-1], out=new[1:])
+            new |= kind == 2
+            new &= kind != 0
+            new[starts] = True
+        begin = np.flatnonzero(new)
+        stop = np.minimum(np.append(begin[1:], len(buf)), ends[np.searchsorted(starts, begin, side="right") - 1]) if len(begin) else begin
+        return low, begin, stop, np.searchsorted(begin, offs), kind[begin] == 4
+
+    def _learn(self, new: list[bytes], whole: np.ndarray) -> None:
+        sizes, flats = [self.size], [self.flat]
+        simple = [w for w, x in zip(new, whole) if not x]
+        for k in range(0, len(simple), 4096):
+            part = simple[k : k + 4096]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
+            stops = np.flatnonzero(self.closes[ids]) + 1
+            if len(stops) == len(part) and (not len(stops) or stops[-1] == len(ids)):
+                sizes.append(np.diff(stops, prepend=0))
+                flats.append(ids)
+            else:  # a vocabulary without word ends
+                each = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
+                sizes.append(np.array([len(x) for x in each], np.int64))
+                flats.append(np.array([i for x in each for i in x], np.uint32))
+        rest = [w for w, x in zip(new, whole) if x]
+        for k in range(0, len(rest), 4096):
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in rest[k : k + 4096]], add_special_tokens=False)]
+            sizes.append(np.array([len(x) for x in each], np.int64))
+            flats.append(np.array([i for x in each for i in x], np.uint32))
+        self.index.update(zip(simple + rest, range(len(self.size), len(self.size) + len(new))))
+        self.size, self.flat = np.concatenate(sizes), np.concatenate(flats)
+
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents with their end ids, and where each document begins (one more entry at the end)."""
-        starts, ends, first = tk.words(buf, offs, tk.NONSPACE)
-        _, some, which = np.unique(tk.hash_words(buf, starts, ends), return_index=True, return_inverse=True)
-        raw = buf.tobytes()
-        distinct = [raw[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist())]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = [w for w in distinct if w not in self.cache]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, np.uint32)
-        own = [self.cache[w] for w in distinct]
-        size = np.array([len(x) for x in own], np.int64)
-        flat = np.concatenate(own) if own else np.zeros(0, np.uint32)
-        begin = np.cumsum(size) - size
-        lens = size[which]
+        low, starts, ends, first, whole = self.pieces(buf, offs)
+        _, some, which = np.unique(tk.hash_words(low, starts, ends) ^ whole, return_index=True, return_inverse=True)
+        raw = low.tobytes()
+        # a whole word is kept apart from a piece with the same bytes by a leading space
+        distinct = [(b" " + raw[a:b]) if x else raw[a:b] for a, b, x in zip(starts[some].tolist(), ends[some].tolist(), whole[some].tolist())]
+        if len(self.index) > CACHE_WORDS:
+            self._forget()
+        new = [w for w in distinct if w not in self.index]
+        if new:
+            self._learn(new, np.array([w[:1] == b" " for w in new]))
+        own = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
+        begin = np.cumsum(self.size) - self.size
+        lens, source = self.size[own][which], begin[own][which]
         at = np.zeros(len(offs), np.int64)
         np.cumsum(tk.per_document(lens, first) + 1, out=at[1:])
         out = np.full(int(at[-1]), END_ID, np.uint32)
-        place = np.cumsum(lens) - lens + tk.owner(first)
-        step = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
-        out[np.repeat(place, lens) + step] = flat[np.repeat(begin[which], lens) + step]
+        place = np.cumsum(lens) - lens
+        step = np.arange(int(lens.sum())) - np.repeat(place, lens)
+        out[np.repeat(place + tk.owner(first), lens) + step] = self.flat[np.repeat(source, lens) + step]
         return out, at
 
 
