@@ -1,8 +1,10 @@
 """The queries of this folder by name, and the SQL that must give the same rows."""
 
-from . import decontaminate, mixing, quality, token_files
+from . import decontaminate, mixing, quality, token_files, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op8_url_filter": url_filter.op8_url_filter,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_token_files": token_files.op10_token_files,
     "op3_decontaminate": decontaminate.op3_decontaminate,

@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy, over all windows of a text.
 
 A word's input is a learned vector of the word, if training saw it often enough, beside the mean of learned vectors of
-its character trigrams. Windows of ``WINDOW`` words overlap by half and cover every word; each gets a logit and a
+its character trigrams. Windows of ``WINDOW`` words begin every ``STRIDE`` words, overlap and cover every word; each gets a logit and a
 document's score is that of its most toxic window. The network is fitted on the driver from a bounded sample of labelled
 documents: windows are first chosen by the log-odds of their words, then by the network itself with the hardest windows
 of clean documents. The last bias makes 0.5 the best document threshold on the fitting rows.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .io import map_batches, table
 
-WINDOW, STRIDE = 24, 12
+WINDOW, STRIDE = 24, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 12, 8
 #: Rows of the trigram table, and the words that have a vector of their own, at most.
 TRIGRAMS, VOCABULARY = 1 << 12, 20_000
@@ -32,7 +32,8 @@ FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 1500, 3000, 20_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-x))
 
 
 class Words:
@@ -133,7 +134,6 @@ class Network:
 
     def gradients(self, w: Words, row: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict, float]:
         h, p = HIDDEN, self.p
-        used, local = np.unique(at, return_inverse=True)
         x, proj = self.inputs(w, row)
         tape: list = []
         logit = self.forward(proj, at, tape)
@@ -147,7 +147,7 @@ class Network:
         de = np.where(real.T, de, 0).astype(np.float32)
         g["att"] = np.einsum("tb,tbh->h", de, states)
         ds = alpha[:, :, None] * dc + de[:, :, None] * p["att"]
-        dproj = np.zeros((len(proj) + 1, 6 * h), np.float32)
+        dxs = np.zeros((at.shape[1], len(at), 6 * h), np.float32)
         g["uf"], g["ub"] = np.zeros_like(p["uf"]), np.zeros_like(p["ub"])
         carry = {0: np.zeros((len(y), h), np.float32), 1: np.zeros((len(y), h), np.float32)}
         for side, k, s, (z, r, n, un) in reversed(tape):
@@ -161,8 +161,13 @@ class Network:
             back = np.concatenate([dz, dr, dn * r], axis=1)
             carry[side] = np.where(ok, dh * z + back @ u.T, total)
             g["ub" if side else "uf"] += s.T @ back
-            np.add.at(dproj[:, 3 * h * side : 3 * h * (side + 1)], at[:, k], np.concatenate([dz, dr, dn], axis=1))
-        dproj = dproj[:-1]
+            dxs[k, :, 3 * h * side : 3 * h * (side + 1)] = np.concatenate([dz, dr, dn], axis=1)
+        flat = at.T.reshape(-1)
+        order = np.argsort(flat, kind="stable")
+        order = order[np.searchsorted(flat[order], 0) :]  # padding comes first
+        head = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        dproj = np.zeros((len(proj), 6 * h), np.float32)
+        dproj[flat[order][head]] = np.add.reduceat(dxs.reshape(-1, 6 * h)[order], head, axis=0)
         g["in"], g["in_b"] = x.T @ dproj, dproj.sum(axis=0)
         dx = dproj @ p["in"].T
         g["word"] = np.zeros_like(p["word"])
@@ -221,7 +226,7 @@ def _train(net: Network, w: Words, at: np.ndarray, y: np.ndarray, epochs: int, r
             adam.step(net.p, net_g)
 
 
-def fit_network(texts: list[str], toxic: np.ndarray, seed: int = 11, epochs: tuple[int, int] = (10, 6)) -> Network:
+def fit_network(texts: list[str], toxic: np.ndarray, seed: int = 11, epochs: tuple[int, int] = (4, 3)) -> Network:
     """A network fitted to whole labelled texts."""
     toxic = toxic.astype(np.float32)
     total = pa.array(texts, pa.string())
