@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy, over all windows of a text.
 
-A word's input is a learned vector of the word, if training saw it often enough, beside the mean of learned vectors of
-its character trigrams. Windows of ``WINDOW`` words begin every ``STRIDE`` words, overlap and cover every word; each gets a logit and a
+A word's input is a learned vector of the word, if training saw it often enough, beside the scaled sum of learned vectors
+of its runs of three and five bytes. Windows of ``WINDOW`` words begin every ``STRIDE`` words, overlap and cover every word; each gets a logit and a
 document's score is that of its most toxic window. The network is fitted on the driver from a bounded sample of labelled
 documents: windows are first chosen by the log-odds of their words, then by the network itself with the hardest windows
 of clean documents. The last bias makes 0.5 the best document threshold on the fitting rows.
@@ -25,8 +25,12 @@ from .io import map_batches, table
 
 WINDOW, STRIDE = 24, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 12, 8
-#: Rows of the trigram table, and the words that have a vector of their own, at most.
-TRIGRAMS, VOCABULARY = 1 << 12, 20_000
+#: Rows of the character table, and the words that have a vector of their own, at most.
+TRIGRAMS, VOCABULARY = 1 << 14, 20_000
+#: Documents that must hold a word with its own vector; pseudo-documents that shrink its log-odds; decay of the weights.
+OWN_DOCUMENTS, SHRINK, DECAY = 4, 4.0, 0.02
+#: Steps of training in each phase at least, however few the documents.
+LEAST_STEPS = 100
 #: Labelled documents that fitting uses at most of each kind, and the bytes of text of one.
 FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 1500, 3000, 20_000
 
@@ -45,19 +49,26 @@ class Words:
         h = tk.hash_words(buf, starts, ends)
         self.hash, some, self.which = np.unique(h, return_index=True, return_inverse=True)
         self.which = self.which.astype(np.int32)
-        # trigrams of each distinct word between two marks
-        s, n = starts[some], np.minimum(ends[some] - starts[some], 24)
-        size = n
-        at = np.repeat(s - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        # runs of three and of five bytes of each distinct word, with marks at its ends
+        s, size = starts[some], np.minimum(ends[some] - starts[some], 24)
         head = np.cumsum(size) - size
-        c = buf[at].astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
-        before, after = np.empty_like(c), np.empty_like(c)
-        if len(c):
-            before[1:], after[:-1] = c[:-1], c[1:]
-            before[head], after[head + size - 1] = 1, 2
-        gram = (before * np.uint32(0x9E3779B1)) ^ (c * np.uint32(0x85EBCA77)) ^ (after * np.uint32(0xC2B2AE3D))
+        offset = np.arange(size.sum()) - np.repeat(head, size)
+        c = buf[np.repeat(s, size) + offset].astype(np.uint32)
+        after = np.full_like(c, 2)
+        after[:-1] = c[1:]
+        after[head + size - 1] = 2
+        before = []
+        for j in range(1, 5):
+            x = np.ones_like(c)
+            x[j:] = c[:-j] if j < len(c) else 0
+            x[offset < j] = 1
+            before.append(x)
+        three, five = (before[0] * np.uint32(0x9E3779B1)) ^ (c * np.uint32(0x85EBCA77)) ^ (after * np.uint32(0xC2B2AE3D)), c * np.uint32(0x27D4EB2F)
+        for k, x in enumerate(before):
+            five = (five ^ x) * np.uint32(0x165667B1) + np.uint32(k)
+        gram = np.stack([three, five], axis=1).reshape(-1)
         gram ^= gram >> np.uint32(15)
-        self.gram, self.head, self.grams = (gram % np.uint32(TRIGRAMS)).astype(np.int32), head, size
+        self.gram, self.head, self.grams = (gram % np.uint32(TRIGRAMS)).astype(np.int32), 2 * head, 2 * size
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """A row of distinct-word numbers per window, -1 where a document is shorter, and each window's document."""
@@ -96,7 +107,7 @@ class Network:
         return np.where(self.vocab[place] == hashes, place + 1, 0)
 
     def inputs(self, w: Words, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mean = np.add.reduceat(self.p["char"][w.gram], w.head, axis=0) / w.grams[:, None] if len(w.head) else np.zeros((0, CHAR_DIM), np.float32)
+        mean = np.add.reduceat(self.p["char"][w.gram], w.head, axis=0) / np.sqrt(w.grams)[:, None] if len(w.head) else np.zeros((0, CHAR_DIM), np.float32)
         x = np.concatenate([self.p["word"][row], mean.astype(np.float32)], axis=1)
         return x, x @ self.p["in"] + self.p["in_b"]
 
@@ -174,7 +185,7 @@ class Network:
         np.add.at(g["word"], row, dx[:, :WORD_DIM])
         g["word"][0] = 0
         g["char"] = np.zeros_like(p["char"])
-        np.add.at(g["char"], w.gram, np.repeat(dx[:, WORD_DIM:] / w.grams[:, None], w.grams, axis=0))
+        np.add.at(g["char"], w.gram, np.repeat(dx[:, WORD_DIM:] / np.sqrt(w.grams)[:, None].astype(np.float32), w.grams, axis=0))
         loss = -np.mean(weight * np.where(y > 0, np.log(prob + 1e-9), np.log(1 - prob + 1e-9)))
         return g, float(loss)
 
@@ -198,6 +209,8 @@ class _Adam:
         for k, x in g.items():
             m = self.m[k] = 0.9 * self.m.get(k, 0) + 0.1 * x
             v = self.v[k] = 0.99 * self.v.get(k, 0) + 0.01 * x * x
+            if k in ("word", "char"):
+                p[k] *= np.float32(1 - self.rate * DECAY)
             p[k] -= (self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-7)).astype(np.float32)
 
 
@@ -221,7 +234,7 @@ def _train(net: Network, w: Words, at: np.ndarray, y: np.ndarray, epochs: int, r
             part = order[k : k + 256]
             own, local = _subset(w, at[part])
             row = net.rows(own.hash)
-            row = np.where(rng.random(len(row)) < 0.15, 0, row)  # so that trigrams learn too
+            row = np.where(rng.random(len(row)) < 0.15, 0, row)  # so that characters learn too
             net_g, _ = net.gradients(own, row, local, y[part], weight[part])
             adam.step(net.p, net_g)
 
@@ -242,15 +255,16 @@ def fit_network(texts: list[str], toxic: np.ndarray, seed: int = 11, epochs: tup
     pair = np.unique(doc.astype(np.int64) * len(w.hash) + w.which)
     of, word = pair // len(w.hash), pair % len(w.hash)
     df, pos = np.bincount(word, minlength=len(w.hash)), np.bincount(word, toxic[of], len(w.hash))
-    odds = np.log((pos + 0.5) / (toxic.sum() + 1)) - np.log((df - pos + 0.5) / ((1 - toxic).sum() + 1))
-    own = np.flatnonzero(df >= 3)
+    rate = float(toxic.mean())
+    odds = np.log((pos + SHRINK * rate) / (df - pos + SHRINK * (1 - rate))) - np.log(rate / (1 - rate))
+    own = np.flatnonzero(df >= OWN_DOCUMENTS)
     own = np.sort(own[np.argsort(-df[own], kind="stable")[:VOCABULARY]])
     net, rng = Network(w.hash[own], odds[own], seed), np.random.default_rng(seed)
     net.prior = prior
     at, of = w.windows()
     if not len(at):
         return net
-    some = np.where(at >= 0, np.where(df >= 3, odds, 0.0)[at], -9.0).max(axis=1)
+    some = np.where(at >= 0, np.where(df >= OWN_DOCUMENTS, odds, 0.0)[at], -9.0).max(axis=1)
     for phase, rounds in enumerate(epochs):
         if phase:
             some = net.window_logits(w, at)
@@ -260,7 +274,7 @@ def fit_network(texts: list[str], toxic: np.ndarray, seed: int = 11, epochs: tup
         rest = rng.choice(clean, min(len(clean), 2 * len(lead)), replace=False) if len(clean) else clean
         hard = clean[np.argsort(-some[clean], kind="stable")[: len(lead) // 2]] if phase else clean[:0]
         chosen = np.unique(np.concatenate([lead, rest, hard]))
-        _train(net, w, at[chosen], toxic[of[chosen]], rounds, rng, 0.01 if phase == 0 else 0.004)
+        _train(net, w, at[chosen], toxic[of[chosen]], max(rounds, LEAST_STEPS * 256 // len(chosen)), rng, 0.01 if phase == 0 else 0.004)
     top = np.full(len(texts), -np.inf)
     np.maximum.at(top, of, net.window_logits(w, at))
     has = np.isfinite(top)
