@@ -1,8 +1,10 @@
 """The queries of this folder by name, and the SQL that must give the same rows."""
 
-from . import decontaminate, mixing, quality, token_files, toxicity, url_filter
+from . import decontaminate, licenses, mixing, quality, secrets, token_files, toxicity, url_filter
 
 QUERIES = {
+    "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_license_scan": licenses.op7_license_scan,
     "op1_toxicity": toxicity.op1_toxicity,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_mix_sources": mixing.op9_mix_sources,
