@@ -60,13 +60,13 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(str(archive))
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]] | None, schema: str, whole: Callable | None = None) -> DataFrame:
+    """``mapInArrow`` with a function of one batch, or of all batches of a task (``whole``)."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from work(batch)
 
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(whole or run, schema)
