@@ -1,8 +1,9 @@
 """The queries of this folder by name, and the SQL that must give the same rows."""
 
-from . import decontaminate, licenses, mixing, quality, secrets, substring_dedup, token_files, toxicity, url_filter
+from . import decontaminate, jaccard_join, licenses, mixing, quality, secrets, substring_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_license_scan": licenses.op7_license_scan,
@@ -13,4 +14,4 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_quality_rules": quality.op5_quality_rules,
 }
-ORACLE_SQL = {"op2_substring_dedup": substring_dedup.OP2_SQL, "op3_decontaminate": decontaminate.OP3_SQL}
+ORACLE_SQL = {"op4_jaccard_join": jaccard_join.OP4_SQL, "op2_substring_dedup": substring_dedup.OP2_SQL, "op3_decontaminate": decontaminate.OP3_SQL}
