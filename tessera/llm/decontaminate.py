@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as tk
 from .fmindex import FMIndex
@@ -100,10 +101,12 @@ def _pieces(symbols: np.ndarray, first: np.ndarray, shortest: int) -> tuple[np.n
     return text, word
 
 
-def _searcher(phrases: Phrases):
+def _searcher(phrases: Phrases, rows: bool = False):
+    """Searches batches of doc_id and text, or, with ``rows``, of whole rows in one column, which are carried along."""
+
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = batch.column(0)
-        for i, j, buf, offs in tk.chunks(batch.column(1)):
+        carried, texts = (batch.column(0), batch.column(0).field("text")) if rows else (batch.column(0), batch.column(1))
+        for i, j, buf, offs in tk.chunks(texts):
             buf = tk.lower(buf)
             starts, ends, first = tk.words(buf, offs, tk.ALNUM)
             spans: list[list[dict]] = [[] for _ in range(j - i)]
@@ -112,7 +115,7 @@ def _searcher(phrases: Phrases):
                 text, word = _pieces(phrases.symbols(tk.hash_words(buf, starts, ends)), first, phrases.shortest)
                 if len(text):
                     _hits(phrases, text, word, first, spans, items)
-            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(np.diff(first).astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([carried.slice(i, j - i), pa.array(np.diff(first).astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(items, pa.list_(pa.string()))], ["row" if rows else "doc_id", "n_words", "spans", "items"])
 
     return work
 
@@ -143,20 +146,40 @@ def _hits(phrases: Phrases, text: np.ndarray, word: np.ndarray, first: np.ndarra
         spans[d] = [{"first": int(a), "last": int(b)} for a, b in zip(turn[::2], turn[1::2])]
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    bench = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return bench, max(1, -(-int(total) // block_bytes))
+
+
+def _phrases(bench: DataFrame) -> Phrases:
+    return Phrases([(r.item_id, r.text) for r in bench.toLocalIterator()])
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not contaminated; no shuffle if the benchmark is one block."""
+    bench, blocks = _blocks(benchmark, block_bytes)
+    if blocks > 1:
+        bad = contamination(find_phrases(docs, benchmark, block_bytes)).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+        return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    hits = T.StructType.fromDDL(HITS_SCHEMA.split(", ", 1)[1])
+    schema = T.StructType([T.StructField("row", docs.schema), *hits.fields])
+    found = map_batches(docs.select(F.struct("*").alias("row")), _searcher(_phrases(bench), rows=True), schema)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["last"] - x["first"]))
+    return found.where(~((n_hit > 0) & (20 * n_hit >= F.col("n_words")))).select("row.*")
+
+
 def find_phrases(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, merged spans of hit words (end exclusive) and ids of occurring items, one row per document row.
 
     ``block_bytes`` bounds the benchmark text that a pass sends to the tasks; passes after the first join on a row key.
     """
-    bench = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
+    bench, blocks = _blocks(benchmark, block_bytes)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
     for b in range(blocks):
         own = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        phrases = Phrases([(r.item_id, r.text) for r in own.toLocalIterator()])
-        part = map_batches(text, _searcher(phrases), HITS_SCHEMA)
+        part = map_batches(text, _searcher(_phrases(own)), HITS_SCHEMA)
         if blocks > 1:
             part = keep(part, "decontaminate")
         found = part if found is None else found.unionByName(part)

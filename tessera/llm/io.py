@@ -11,6 +11,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +61,7 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(str(archive))
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]] | None, schema: str, whole: Callable | None = None) -> DataFrame:
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]] | None, schema: str | StructType, whole: Callable | None = None) -> DataFrame:
     """``mapInArrow`` with a function of one batch, or of all batches of a task (``whole``)."""
     ship(df.sparkSession)
 

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as tk
 from .io import map_batches, table
@@ -54,8 +55,16 @@ def _repeats(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _stats(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    ids = batch.column(0)
-    for i, j, buf, offs in tk.chunks(batch.column(1)):
+    yield from _counted(batch.column(0), batch.column(1), "doc_id")
+
+
+def _stats_of_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    yield from _counted(batch.column(0), batch.column(0).field("text"), "row")
+
+
+def _counted(carried: pa.Array, texts: pa.Array, name: str) -> Iterator[pa.RecordBatch]:
+    """The counts of each text beside what is carried along."""
+    for i, j, buf, offs in tk.chunks(texts):
         starts, ends, first = tk.words(buf, offs, tk.NONSPACE)
         repeated = _repeats(tk.hash_words(buf, starts, ends), first)
         lines, dups = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64)
@@ -74,7 +83,7 @@ def _stats(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             *(tk.per_document(t[buf], offs) for t in (_UPPER, _MARKS, _DIGITS)),
             tk.per_document(ends - starts <= 3, first),
         ]
-        yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *(pa.array(c.astype(np.int64)) for c in cols)], ["doc_id", *COUNTS])
+        yield pa.RecordBatch.from_arrays([carried.slice(i, j - i), *(pa.array(c.astype(np.int64)) for c in cols)], [name, *COUNTS])
 
 
 def document_stats(docs: DataFrame) -> DataFrame:
@@ -224,6 +233,12 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     return document_stats(docs).withColumns({"base_failed": base_failed(), "kept": verdict(rules)})
 
 
+def kept_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the rules keep; no shuffle."""
+    schema = T.StructType([T.StructField("row", docs.schema), *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    return map_batches(docs.select(F.struct("*").alias("row")), _stats_of_rows, schema).where(verdict(rules)).select("row.*")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = fit(docs, table(spark, sf_dir, "labels"))
