@@ -13,7 +13,8 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(step):
         key <<= bits
-        key[: n - j] |= text[j:]
+        if j < n:
+            key[: n - j] |= text[j:]
     while True:
         order = np.argsort(key, kind="stable")
         rank = np.empty(n, np.int64)
@@ -22,7 +23,8 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         if rank[order[-1]] == n - 1:
             return order
         key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
+        if step < n:
+            key[: n - step] += rank[step:] + 1
         step *= 2
 
 
