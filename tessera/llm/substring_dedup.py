@@ -40,6 +40,9 @@ NAME_BYTES = 5
 #: Text of a bucket, on average; most buckets; text beyond which windows are compared by 128 bits.
 BUCKET_BYTES, MOST_BUCKETS, WIDE_BYTES = 16 << 20, 65_000, 1 << 36
 
+#: Bytes of text of a chunk; the arrays of the rounds take some 25 times as much.
+CHUNK = 3 << 20
+
 SENT = "bucket int, chunk long, head int, body binary, who binary, docs binary"
 U64 = np.uint64
 
@@ -85,7 +88,7 @@ def _send_names(buckets: int):
         for batch in batches:
             ids, named = _named(batch)
             marks = batch.column(2).to_numpy(zero_copy_only=False)
-            for i, j, buf, offs in tk.chunks(batch.column(1)):
+            for i, j, buf, offs in tk.chunks(batch.column(1), CHUNK):
                 starts, ends, first = tk.words(buf, offs, tk.NONSPACE)
                 s = recompress(tk.hash_words(buf, starts, ends), tk.owner(first), ROUNDS)
                 ok = (np.diff(first) >= WINDOW) & named[i:j]
@@ -177,7 +180,7 @@ def _send_windows(buckets: int, wide: bool):
             ids, _ = _named(batch)
             marks = batch.column(2).to_numpy(zero_copy_only=False)
             bits, sizes = batch.column(4).to_pylist(), batch.column(3).to_pylist()
-            for i, j, buf, offs in tk.chunks(batch.column(1)):
+            for i, j, buf, offs in tk.chunks(batch.column(1), CHUNK):
                 if all(b is None for b in bits[i:j]):
                     continue
                 starts, ends, first = tk.words(buf, offs, tk.NONSPACE)
