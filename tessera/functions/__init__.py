@@ -1 +1 @@
-
+"""Column helpers."""

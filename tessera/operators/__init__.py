@@ -1 +1 @@
-
+"""Operators on sparse spatial counts, molecules and fields, as DataFrame functions."""
