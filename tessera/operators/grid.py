@@ -39,8 +39,8 @@ def rectangle_shifts(spark: SparkSession, radius: int) -> DataFrame:
 
 def with_shifts(cells: DataFrame, radius: int) -> DataFrame:
     """Each cell with every shift, as columns dy and dx: a generator, no join."""
-    span = F.sequence(F.lit(-radius), F.lit(radius))
-    return cells.withColumn("dy", F.explode(span).cast("long")).withColumn("dx", F.explode(span).cast("long"))
+    span = F.sequence(F.lit(-radius).cast("long"), F.lit(radius).cast("long"))
+    return cells.withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span))
 
 
 def shift_cells(cells: DataFrame, dy: int, dx: int, height: int, width: int) -> DataFrame:

@@ -38,17 +38,17 @@ def roc_and_precision(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Tie-aware area under the ROC curve and average precision; 0.5 and the prevalence with one class."""
     groups = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("q"))
     run = cumulative(groups, "s", ["p", "q"])
-    all_ = groups.agg(F.sum("p").alias("P"), F.sum("q").alias("Q"))
+    all_ = groups.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
     met = run.crossJoin(F.broadcast(all_))  # one row
-    above_p, above_q = F.col("P") - F.col("before_p"), F.col("Q") - F.col("before_q")
+    above_p, above_q = F.col("all_p") - F.col("before_p"), F.col("all_q") - F.col("before_q")
     got = met.agg(
-        F.sum(F.col("p") * (F.col("before_q") + F.col("q") / 2)).alias("area"), F.sum(F.try_divide(F.col("p"), F.col("P")) * F.try_divide(above_p, above_p + above_q)).alias("ap"),
-        F.first("P").alias("P"), F.first("Q").alias("Q"),
+        F.sum(F.col("p") * (F.col("before_q") + F.col("q") / 2)).alias("area"), F.sum(F.try_divide(F.col("p"), F.col("all_p")) * F.try_divide(above_p, above_p + above_q)).alias("ap"),
+        F.first("all_p").alias("all_p"), F.first("all_q").alias("all_q"),
     )
-    one = (F.col("P") == 0) | (F.col("Q") == 0)
+    one = (F.col("all_p") == 0) | (F.col("all_q") == 0)
     return got.select(
-        F.round(F.when(one, F.lit(0.5)).otherwise(F.try_divide(F.col("area"), F.col("P") * F.col("Q"))), 6).alias("auc"),
-        F.round(F.when(one, F.try_divide(F.col("P"), F.col("P") + F.col("Q"))).otherwise(F.col("ap")), 6).alias("average_precision"), F.col("P").alias("positives"), F.col("Q").alias("negatives"),
+        F.round(F.when(one, F.lit(0.5)).otherwise(F.try_divide(F.col("area"), F.col("all_p") * F.col("all_q"))), 6).alias("auc"),
+        F.round(F.when(one, F.try_divide(F.col("all_p"), F.col("all_p") + F.col("all_q"))).otherwise(F.col("ap")), 6).alias("average_precision"), F.col("all_p").alias("positives"), F.col("all_q").alias("negatives"),
     )
 
 
@@ -74,9 +74,9 @@ def concentration(df: DataFrame, value: str, key: str, k: int) -> DataFrame:
 
 def distribution_distance(df: DataFrame, a: str, b: str) -> DataFrame:
     """Total variation and Jensen-Shannon divergence in nats of two normalised columns; a side without mass is all zeros."""
-    total = df.agg(F.sum(a).alias("_A"), F.sum(b).alias("_B"))
-    p = F.coalesce(F.try_divide(F.col(a), F.col("_A")), F.lit(0.0))
-    q = F.coalesce(F.try_divide(F.col(b), F.col("_B")), F.lit(0.0))
+    total = df.agg(F.sum(a).alias("_total_a"), F.sum(b).alias("_total_b"))
+    p = F.coalesce(F.try_divide(F.col(a), F.col("_total_a")), F.lit(0.0))
+    q = F.coalesce(F.try_divide(F.col(b), F.col("_total_b")), F.lit(0.0))
     part = lambda x, m: F.when(x > 0, x * F.ln(x / m)).otherwise(F.lit(0.0))
     with_ = df.crossJoin(F.broadcast(total)).select(p.alias("p"), q.alias("q"), ((p + q) / 2).alias("m"))
     return with_.agg(F.round(F.sum(F.abs(F.col("p") - F.col("q"))) / 2, 6).alias("tv"), F.round(F.sum(part(F.col("p"), F.col("m")) + part(F.col("q"), F.col("m"))) / 2, 6).alias("jsd"))
