@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import stable_id
+from .lineage import cut
 
 CLIQUES = "read_id string, feature_id string, umi string, clique_key string, candidates array<string>"
 
@@ -77,10 +78,12 @@ def umi_collapse(p: DataFrame) -> DataFrame:
     earlier = (F.col("b.support") > F.col("a.support")) | ((F.col("b.support") == F.col("a.support")) & (F.col("b.umi") < F.col("a.umi")))
     met = a.join(b, ["feature_id", "candidate", "key"]).where((F.col("a.umi") != F.col("b.umi")) & earlier & (F.col("b.support") >= 2 * F.col("a.support") - 1))
     parents = met.groupBy("feature_id", "candidate", F.col("a.umi").alias("umi")).agg(F.min(F.struct((-F.col("b.support")).alias("s"), F.col("b.umi").alias("u"))).getField("u").alias("parent"))
-    roots = support.join(parents, ["feature_id", "candidate", "umi"], "left").select("feature_id", "candidate", "umi", F.coalesce("parent", "umi").alias("root"))
-    for _ in range(5):  # pointer jumping: chains of up to 32 parents
+    roots = cut(support.join(parents, ["feature_id", "candidate", "umi"], "left").select("feature_id", "candidate", "umi", F.coalesce("parent", "umi").alias("root")))
+    moved = True
+    while moved:  # pointer jumping: the length of a chain halves each time
         up = roots.select("feature_id", "candidate", F.col("umi").alias("root"), F.col("root").alias("further"))
-        roots = roots.join(up, ["feature_id", "candidate", "root"]).select("feature_id", "candidate", "umi", F.col("further").alias("root"))
+        new = cut(roots.join(up, ["feature_id", "candidate", "root"]).select("feature_id", "candidate", "umi", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")))
+        moved, roots = not new.where("moved").isEmpty(), new.drop("moved")
     return roots
 
 
@@ -117,16 +120,11 @@ def membership_classes(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """node, label: the smallest node reachable over edges (a, b). Every round ends in a checkpoint, so lineage stays short."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")).checkpoint()
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")).checkpoint()
+        new = cut(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")))
         labels = new.select("node", "label")
         if new.where("moved").limit(1).count() == 0:
             return labels
