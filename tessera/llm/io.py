@@ -36,7 +36,14 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it again: cuts lineage, and survives lost executors."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that :func:`keep` returned, once nothing will be computed from it any more."""
+    remove(df.sparkSession, df.kept_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -94,16 +94,16 @@ def test_decontaminate(spark, corpus):
     assert decontaminate.find_phrases(spark.createDataFrame([], schema), bench).count() == 0
 
 
-def _classes(rows):
+def _classes(rows, size=3, limit=90):
     sets = []
     for d, t, _ in rows:
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
-        sets.append({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set())
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
     label = list(range(len(rows)))
     links = [0] * len(rows)
     for a in range(len(rows)):
         for b in range(a):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= limit * len(sets[a] | sets[b]):
                 links[a] += 1
                 links[b] += 1
                 x, y = label[a], label[b]
@@ -122,6 +122,7 @@ def test_jaccard_join(spark, corpus):
     want = _classes(rows)
     assert any(x[3] for x in want)
     assert _by(jaccard_join.near_classes(docs), *COLS4) == want
+    assert _by(jaccard_join.near_classes(docs, 5, 80), *COLS4) == _classes(rows, 5, 80)
     assert jaccard_join.near_classes(spark.createDataFrame([], schema)).count() == 0
 
 
@@ -137,7 +138,7 @@ def test_jaccard_join_splits_large_regions(spark, most, pivots, splits):
         texts.append(" ".join(w))
     rows = [(k, t, None) for k, t in enumerate(texts)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    assert _by(jaccard_join.near_classes(docs, most, pivots, splits), *COLS4) == _classes(rows)
+    assert _by(jaccard_join.near_classes(docs, most=most, pivots=pivots, splits=splits), *COLS4) == _classes(rows)
 
 
 def test_quality_counts_and_rules(spark, corpus):
