@@ -27,132 +27,26 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .io import keep, map_batches, scratch, remove, table
+from .exchange import BUCKET_BYTES, SENT, answers_of, batch_of, bucket_count, chunk_id, code_type, exchange, gather, named_rows, seen_twice, split, text_bytes
+from .io import map_batches, table
 from .recompress import recompress
 
 WINDOW, ROUNDS = 13, 3
-NAME_BYTES = 5
-#: Text of a bucket, on average; most buckets; text beyond which windows are compared by 128 bits.
-BUCKET_BYTES, MOST_BUCKETS, WIDE_BYTES = 16 << 20, 65_000, 1 << 36
+#: Text beyond which windows are compared by 128 bits.
+WIDE_BYTES = 1 << 36
 
 #: Bytes of text of a chunk; the arrays of the rounds take some 25 times as much.
 CHUNK = 3 << 20
 
-SENT = "bucket int, chunk long, head int, body binary, who binary, docs binary"
-U64 = np.uint64
 
-
-def _chunk_id(k: int) -> int:
-    return (TaskContext.get().partitionId() << 32) | k
-
-
-def _code_type(buckets: int) -> np.dtype:
-    return np.dtype(np.uint8 if buckets < 255 else np.uint16)
-
-
-def _pack(values: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def _unpack(raw: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-    return out.view("<u8").reshape(-1)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "chunk", "head", "body", "who", "docs"])
-
-
-def _split(code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places ordered by bucket, in their own order within one, and where each bucket begins."""
-    order = np.argsort(code, kind="stable")
-    return order, np.searchsorted(code[order], np.arange(buckets + 1))
-
-
-def _named(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Ids, and which rows have one."""
-    ids = batch.column(0)
-    return ids.fill_null(0).to_numpy(zero_copy_only=False), ~ids.is_null().to_numpy(zero_copy_only=False)
-
-
-def _send_names(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
-        for batch in batches:
-            ids, named = _named(batch)
-            marks = batch.column(2).to_numpy(zero_copy_only=False)
-            for i, j, buf, offs in tk.chunks(batch.column(1), CHUNK):
-                starts, ends, first = tk.words(buf, offs, tk.NONSPACE)
-                s = recompress(tk.hash_words(buf, starts, ends), tk.owner(first), ROUNDS)
-                ok = (np.diff(first) >= WINDOW) & named[i:j]
-                some = ok[s.doc]
-                name, doc = s.name[some], s.doc[some]
-                if not len(name):
-                    continue
-                u, back, count = np.unique(name, return_inverse=True, return_counts=True)
-                bucket = ((name & U64(0xFFFFFF)) % U64(buckets)).astype(np.int64)
-                code = np.where(count[back] == 1, bucket, buckets)
-                order, begin = _split(code, buckets)
-                more = u[count > 1]
-                more_order, more_begin = _split(((more & U64(0xFFFFFF)) % U64(buckets)).astype(np.int64), buckets)
-                chunk, number, rows = _chunk_id(number), number + 1, []
-                for b in range(buckets):
-                    own, other = name[order[begin[b] : begin[b + 1]]], more[more_order[more_begin[b] : more_begin[b + 1]]]
-                    if len(own) + len(other):
-                        rows.append((b, chunk, len(own), _pack(np.concatenate([own, other]) >> U64(64 - 8 * NAME_BYTES), NAME_BYTES), None, None))
-                per = np.bincount(doc, minlength=j - i)[ok]
-                docs = np.stack([ids[i:j][ok], marks[i:j][ok], per]).astype(np.int64)
-                rows.append((-1, chunk, len(per), code.astype(_code_type(buckets)).tobytes(), None, docs.tobytes()))
-                yield _batch(rows)
-
-    return run
-
-
-def _answer_names(group: pa.Table) -> pa.Table:
-    parts = [_unpack(x.as_py(), NAME_BYTES) for x in group.column("body")]
-    _, back, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    return _answers(group, count[back] > 1, [len(p) for p in parts])
-
-
-def _answers(group: pa.Table, flags: np.ndarray, sizes: list[int]) -> pa.Table:
-    begin = np.cumsum([0, *sizes])
-    heads = group.column("head").to_pylist()
-    bits = [np.packbits(flags[a : a + h]).tobytes() for a, h in zip(begin, heads)]
-    n = len(bits)
-    return pa.table([group.column("bucket"), group.column("chunk"), group.column("head"), pa.array(bits, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["bucket", "chunk", "head", "body", "who", "docs"])
-
-
-def _gather(group: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, dict]:
-    """The flags of a chunk in its own order, from the answers of the buckets; those settled by the chunk are true."""
-    rows = {r["bucket"]: r for r in group.to_pylist()}
-    frame = rows[-1]
-    code = np.frombuffer(frame["body"], _code_type(buckets)).astype(np.int64)
-    flags = np.ones(len(code), bool)
-    order, begin = _split(code, buckets)
-    for b, r in rows.items():
-        if b >= 0:
-            flags[order[begin[b] : begin[b + 1]]] = np.unpackbits(np.frombuffer(r["body"], np.uint8), count=r["head"]).astype(bool)
-    return flags, np.frombuffer(frame["docs"], np.int64).reshape(3, -1), frame
-
-
-FLAGS = "doc_id long, mark long, n int, bits binary"
-
-
-def _name_flags(buckets: int):
-    def run(group: pa.Table) -> pa.Table:
-        flags, docs, _ = _gather(group, buckets)
-        at = np.cumsum(docs[2]) - docs[2]
-        bits = [np.packbits(flags[a : a + n]).tobytes() for a, n in zip(at, docs[2])]
-        return pa.table([pa.array(docs[0]), pa.array(docs[1]), pa.array(docs[2].astype(np.int32)), pa.array(bits, pa.binary())], names=["doc_id", "mark", "n", "bits"])
-
-    return run
+def _names(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    starts, ends, first = tk.words(buf, offs, tk.NONSPACE)
+    s = recompress(tk.hash_words(buf, starts, ends), tk.owner(first), ROUNDS)
+    return s.name, s.doc, np.diff(first) >= WINDOW
 
 
 def _candidates(h: np.ndarray, first: np.ndarray, bits: list, sizes: list) -> np.ndarray:
@@ -177,7 +71,7 @@ def _send_windows(buckets: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for batch in batches:
-            ids, _ = _named(batch)
+            ids, _ = named_rows(batch)
             marks = batch.column(2).to_numpy(zero_copy_only=False)
             bits, sizes = batch.column(4).to_pylist(), batch.column(3).to_pylist()
             for i, j, buf, offs in tk.chunks(batch.column(1), CHUNK):
@@ -190,7 +84,7 @@ def _send_windows(buckets: int, wide: bool):
                     continue
                 keys = [tk.window_hash(h, WINDOW)[at]]
                 if wide:
-                    keys.append(tk.window_hash(tk.mix(h + U64(0x632BE59BD9B4E019)), WINDOW)[at])
+                    keys.append(tk.window_hash(tk.mix(h + np.uint64(0x632BE59BD9B4E019)), WINDOW)[at])
                 doc = np.searchsorted(first, at, side="right") - 1
                 order = np.lexsort((ids[i:j][doc], *keys[::-1]))
                 new = np.ones(len(order), bool)
@@ -198,14 +92,14 @@ def _send_windows(buckets: int, wide: bool):
                 least = ids[i:j][doc[order[np.flatnonzero(new)]]][np.cumsum(new) - 1]
                 later = np.zeros(len(at), bool)
                 later[order] = ids[i:j][doc[order]] > least  # an earlier document of this very chunk has it
-                code = np.where(later, buckets, ((keys[0] & U64(0xFFFFFF)) % U64(buckets)).astype(np.int64))
-                order, begin = _split(code, buckets)
+                code = np.where(later, buckets, ((keys[0] & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64))
+                order, begin = split(code, buckets)
                 has = np.unique(doc)
                 local = np.searchsorted(has, doc)
                 small = np.uint16 if len(has) < 1 << 16 else np.uint32
                 per = np.bincount(local, minlength=len(has))
                 docs = np.stack([ids[i:j][has], marks[i:j][has], per]).astype(np.int64).tobytes()
-                chunk, number, rows = _chunk_id(number), number + 1, []
+                chunk, number, rows = chunk_id(number), number + 1, []
                 for b in range(buckets):
                     own = order[begin[b] : begin[b + 1]]
                     if len(own):
@@ -213,8 +107,8 @@ def _send_windows(buckets: int, wide: bool):
                         body = np.stack([k[own] for k in keys]).tobytes()
                         rows.append((b, chunk, len(own), body, who.astype(small).tobytes(), ids[i:j][has[used]].astype(np.int64).tobytes()))
                 steps = np.diff(at - first[doc], prepend=0).astype(np.int32)
-                rows.append((-1, chunk, len(at), code.astype(_code_type(buckets)).tobytes(), steps.tobytes(), docs))
-                yield _batch(rows)
+                rows.append((-1, chunk, len(at), code.astype(code_type(buckets)).tobytes(), steps.tobytes(), docs))
+                yield batch_of(rows)
 
     return run
 
@@ -234,7 +128,7 @@ def _answer_windows(wide: bool):
         new[1:] = np.any(key[:, order[1:]] != key[:, order[:-1]], axis=0)
         flags = np.zeros(len(order), bool)
         flags[order] = doc[order] > doc[order[np.flatnonzero(new)]][np.cumsum(new) - 1]
-        return _answers(group, flags, sizes)
+        return answers_of(group, flags, sizes)
 
     return run
 
@@ -244,7 +138,7 @@ RANGES = "doc_id long, mark long, ranges binary"
 
 def _removed_ranges(buckets: int):
     def run(group: pa.Table) -> pa.Table:
-        flags, docs, frame = _gather(group, buckets)
+        flags, docs, frame = gather(group, buckets)
         place = np.cumsum(np.frombuffer(frame["who"], np.int32).astype(np.int64))
         begin = np.cumsum(docs[2]) - docs[2]
         out = []
@@ -262,24 +156,13 @@ def _removed_ranges(buckets: int):
 
 def removed_ranges(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, a hash of the text, and the removed word ranges (pairs of int32) of the documents that lose words."""
-    spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
-    size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    buckets, wide = min(MOST_BUCKETS, max(8, -(-size // bucket_bytes))), size > WIDE_BYTES
-
-    def exchange(sent: DataFrame, answer, gather, schema: str, what: str) -> DataFrame:
-        path = scratch(spark, what)
-        sent.write.parquet(path)
-        stored = spark.read.schema(SENT).parquet(path)
-        answers = stored.where("bucket >= 0").groupBy("bucket").applyInArrow(answer, SENT)
-        out = keep(answers.unionByName(stored.where("bucket < 0")).groupBy("chunk").applyInArrow(gather, schema), what)
-        remove(spark, path)
-        return out
-
-    names = exchange(map_batches(text, None, SENT, whole=_send_names(buckets)), _answer_names, _name_flags(buckets), FLAGS, "names")
-    # repeated rows have equal flags; the flags of one are enough
-    flagged = text.join(names.dropDuplicates(["doc_id", "mark"]), ["doc_id", "mark"]).select("doc_id", "text", "mark", "n", "bits")
-    ranges = exchange(map_batches(flagged, None, SENT, whole=_send_windows(buckets, wide)), _answer_windows(wide), _removed_ranges(buckets), RANGES, "windows")
+    size = text_bytes(docs)
+    buckets, wide = bucket_count(size, bucket_bytes), size > WIDE_BYTES
+    flags = seen_twice(text, _names, buckets, CHUNK, "names")
+    flagged = text.join(flags, ["doc_id", "mark"]).select("doc_id", "text", "mark", "n", "bits")
+    sent = map_batches(flagged, None, SENT, whole=_send_windows(buckets, wide))
+    ranges = exchange(sent, _answer_windows(wide), _removed_ranges(buckets), RANGES, "windows")
     return ranges.dropDuplicates(["doc_id", "mark"])
 
 
