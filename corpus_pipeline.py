@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents, five-word shingles and a similarity of 0.8, the one with the smallest id stays."""
-    classes = jaccard_join.near_classes(docs, size=5, limit=80)
+    """Of each class of linked documents, as the join's contract links them, the one with the smallest id stays."""
+    classes = jaccard_join.near_classes(docs)
     stay = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
     return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id", "text"])
 
