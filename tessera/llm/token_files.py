@@ -38,7 +38,9 @@ FILE_IDS = 8 << 20
 #: Sequences of a record batch.
 BATCH_ROWS = 256
 #: Pieces of words a worker remembers the ids of; it forgets them all beyond that.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Bytes of text encoded at once; the arrays of their ids take some 40 times as much.
+CHUNK = 3 << 20
 END_ID = 1
 
 MANIFEST_SCHEMA = "file string, n_ids long, n_docs long"
@@ -227,7 +229,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, sequence: in
         done: list[tuple[str, int, int]] = []
         for batch in batches:
             ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            for i, j, buf, offs in tk.chunks(batch.column(1)):
+            for i, j, buf, offs in tk.chunks(batch.column(1), CHUNK):
                 done += writer.add(ids[i:j], *encoder.encode(buf, offs))
         if writer.size:
             done.append(writer.close())
