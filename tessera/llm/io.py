@@ -61,9 +61,9 @@ def ship(spark: SparkSession) -> None:
     if application not in _shipped:
         _shipped.add(application)
         root = Path(__file__).resolve().parents[2]
-        archive = Path(tempfile.mkdtemp()) / "tessera_llm.zip"
+        archive = Path(tempfile.mkdtemp()) / "tessera.zip"
         with zipfile.ZipFile(archive, "w") as out:
-            for path in [root / "tessera/__init__.py", *sorted((root / "tessera/llm").glob("*.py"))]:
+            for path in sorted((root / "tessera").rglob("*.py")):
                 out.write(path, path.relative_to(root))
         spark.sparkContext.addPyFile(str(archive))
 
