@@ -28,6 +28,8 @@ from .io import keep, map_batches, table
 WINDOW = 13
 #: Text of the benchmark that one pass searches for.
 BLOCK_BYTES = 16 << 20
+#: Text of a shard, the documents of one index.
+SHARD_BYTES = 8 << 20
 
 HITS_SCHEMA = "doc_id long, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
 
@@ -106,7 +108,7 @@ def _searcher(phrases: Phrases, rows: bool = False):
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         carried, texts = (batch.column(0), batch.column(0).field("text")) if rows else (batch.column(0), batch.column(1))
-        for i, j, buf, offs in tk.chunks(texts):
+        for i, j, buf, offs in tk.chunks(texts, SHARD_BYTES):
             buf = tk.lower(buf)
             starts, ends, first = tk.words(buf, offs, tk.ALNUM)
             spans: list[list[dict]] = [[] for _ in range(j - i)]
