@@ -140,9 +140,10 @@ def _sets(size: int, limit: int):
             flat, begin = shingle_sets(buf, offs, size)
             fp = [_sum(tk.mix(flat ^ U64(c)), begin) for c in (0x1B03738712FAD5C9, 0xF6E9D1C8B5A79283)]
             name, doc = signatures(flat, begin, limit)
-            # the same set again in this chunk adds no pivot
-            _, lead = np.unique(np.stack([x.view(np.int64) for x in fp], axis=1), axis=0, return_index=True)
-            own = np.isin(doc, lead)
+            # the same set again in this chunk adds no pivot; rows without an id are no nodes and never lead
+            named = np.flatnonzero(batch.column(0).slice(i, j - i).is_valid().to_numpy(zero_copy_only=False))
+            _, lead = np.unique(np.stack([x.view(np.int64)[named] for x in fp], axis=1), axis=0, return_index=True)
+            own = np.isin(doc, named[lead])
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(begin)), *(pa.array(x.view(np.int64)) for x in fp), _lists(name[own], doc[own], j - i)], ["doc_id", "n", "fp1", "fp2", "sigs"])
 
     return work
@@ -204,9 +205,24 @@ def join_region(n: np.ndarray, flat: np.ndarray, side: np.ndarray, limit: int =
 FOUND = "a long, b long, links_a long"
 
 
+def forest(m: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of each of ``m`` numbers the smallest that it reaches over all the links."""
+    root = np.arange(m)
+    while len(left):
+        low, high = np.minimum(left, right), np.maximum(left, right)
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+        left, right = root[left], root[right]
+        apart = left != right
+        left, right = left[apart], right[apart]
+    return root
+
+
 def _join_bucket(limit: int):
     def join(group: pa.Table) -> pa.Table:
-        """The regions of a bucket, one after the other: per document its smallest linked one, and its links if at home."""
+        """The regions of a bucket, one after the other: per document an edge to the root of its class in the region, so
+        that the edges span all links, and its links if at home."""
         region = group.column("region").to_numpy()
         node, copies = group.column("node").to_numpy(), group.column("copies").to_numpy()
         side, home = group.column("side").to_numpy(), group.column("home").to_numpy()
@@ -220,15 +236,13 @@ def _join_bucket(limit: int):
                 continue
             sets = [np.frombuffer(body[k], np.uint64) for k in own]
             left, right = join_region(np.array([len(x) for x in sets], np.int64), np.concatenate(sets), side[own], limit)
-            least = node[own].copy()
-            np.minimum.at(least, left, node[own][right])
-            np.minimum.at(least, right, node[own][left])
+            root = forest(len(own), left, right)
             links = np.zeros(len(own), np.int64)
             np.add.at(links, left, copies[own][right])
             np.add.at(links, right, copies[own][left])
             got = links > 0
             out_a.append(node[own][got])
-            out_b.append(least[got])
+            out_b.append(node[own][root[got]])
             out_n.append(np.where(home[own], links, 0)[got])
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.table([pa.array(cat(x)) for x in (out_a, out_b, out_n)], names=["a", "b", "links_a"])
@@ -280,8 +294,8 @@ def _split(members: DataFrame, sizes: DataFrame, depth: int, pivots: int, limit:
 
 
 def link_sets(members: DataFrame, limit: int = LIMIT, most: int = REGION_SHINGLES, pivots: int = PIVOTS, splits: int = SPLITS) -> DataFrame:
-    """(a, b, links_a): each linked document with one linked document, at most its smallest, and its links in the cells
-    where it is at home. ``members`` has a row per region and document."""
+    """(a, b, links_a): each linked document with the root of its class in its cell, and its links in the cells where it is
+    at home. ``members`` has a row per region and document."""
     ready, rest = [], members
     for depth in range(splits + 1):
         sizes = keep(rest.groupBy("region").agg(F.sum("n").alias("shingles_in"), F.count(F.lit(1)).alias("docs")), "regions")

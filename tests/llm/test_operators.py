@@ -141,6 +141,31 @@ def test_jaccard_join_splits_large_regions(spark, most, pivots, splits):
     assert _by(jaccard_join.near_classes(docs, most=most, pivots=pivots, splits=splits), *COLS4) == _classes(rows)
 
 
+@pytest.mark.parametrize("most", [jaccard_join.REGION_SHINGLES, 300])
+def test_jaccard_join_keeps_classes_whose_centre_is_last(spark, most):
+    base = [f"w{i}" for i in range(120)]
+
+    def edited(k):
+        w = list(base)
+        w[20 * k], w[20 * k + 10] = f"x{k}", f"y{k}"
+        return " ".join(w)
+
+    # each edit is linked with the base text alone, and every edited one has a smaller id
+    rows = [(k + 1, edited(k), None) for k in range(6)] + [(10, " ".join(base), None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1)
+    want = _classes(rows)
+    assert {r[2] for r in want} == {1} and {r[3] for r in want} == {1, 6}
+    assert _by(jaccard_join.near_classes(docs, most=most, pivots=3), *COLS4) == want
+
+
+def test_jaccard_join_pivots_of_a_copy_after_one_without_an_id(spark):
+    w = [f"w{i}" for i in range(120)]
+    near = " ".join([*w[:60], "x", *w[61:]])
+    docs = spark.createDataFrame([(None, " ".join(w)), (5, " ".join(w)), (2, near)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.near_classes(docs).collect()}
+    assert got == {None: (None, 0), 5: (2, 1), 2: (2, 1)}
+
+
 def test_quality_counts_and_rules(spark, corpus):
     docs, rows, schema = corpus
     rows = rows + [(10_001, "a b c\na b c\n\n x # | <", None), (10_002, "ab " * 200, None)]
