@@ -3,7 +3,7 @@
 The Jaccard distance d = 1 - J obeys the triangle inequality. Most documents are at distance almost 1 from all others,
 so cells around a few whole documents would hold everybody. The first regions are therefore cut in two steps that keep
 every link. Set sizes are cut into bands; a document whose size is within the distance window above a band visits it, for
-a link can reach no further. Inside a band the universe of shingles is dealt into one part more than a link can have
+a link can reach no further. Inside a band the universe of shingles is dealt into more parts than a link can have
 differing shingles, so a linked pair has a part in common: each document's own parts are its pivots, at distance 0 in that
 part, and the documents of one pivot are a region. Regions that share documents are joined by their components.
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -40,6 +40,8 @@ LIMIT = 90
 BAND = 1.5
 #: Shingles of a region that one task joins, pivots of a split, and splits of a region at most.
 REGION_SHINGLES, PIVOTS, SPLITS = 2_000_000, 16, 4
+#: Parts beyond those needed: at most one for so many, and two.
+SPARE = 4
 #: Ways to deal a band's universe before the last resort, a region of all whose parts are too few.
 DEALS = 4
 
@@ -47,7 +49,7 @@ DEALS = 4
 CHUNK = 2 << 20
 
 U64 = np.uint64
-SETS = "doc_id long, n long, fp1 long, fp2 long, sigs array<long>"
+SETS = "doc_id long, n long, fp1 long, fp2 long"
 
 
 def bands(limit: int = LIMIT, ratio: float = BAND) -> np.ndarray:
@@ -82,8 +84,8 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int = SIZE) -> tuple[n
     return out[new], np.concatenate([[0], np.cumsum(new)])[begin]
 
 
-def _deal(flat: np.ndarray, begin: np.ndarray, doc: np.ndarray, band: np.ndarray, parts: np.ndarray, deal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For jobs (document, band, parts): the names of the non-empty parts, their job, and the jobs with too few of them."""
+def _deal(flat: np.ndarray, begin: np.ndarray, doc: np.ndarray, band: np.ndarray, parts: np.ndarray, need: np.ndarray, deal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For jobs (document, band, parts): the names of the non-empty parts, their job, and the jobs with fewer than they need."""
     n = begin[doc + 1] - begin[doc]
     at = np.repeat(begin[doc] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     s = flat[at]
@@ -96,55 +98,75 @@ def _deal(flat: np.ndarray, begin: np.ndarray, doc: np.ndarray, band: np.ndarray
     job = np.repeat(np.arange(len(doc)), parts)
     number = (np.arange(len(job)) - np.repeat(slot, parts)).astype(np.uint64)
     name = tk.mix(total + tk.mix((band[job].astype(np.uint64) * U64(DEALS + 1) + U64(deal)) * U64(1 << 40) + number))
-    few = np.bincount(job[held], minlength=len(doc)) < parts
+    few = np.bincount(job[held], minlength=len(doc)) < need
     return name[held], job[held], few
 
 
+def _parts(first: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Non-empty parts that a document of each band needs, and parts of which the smallest one will have so many."""
+    need = (first[1:] - 1) * (100 - limit) // limit + 1
+    parts = need
+    for _ in range(20):
+        empty = parts * np.exp(-first[:-1] / parts)
+        parts = np.minimum(need + np.ceil(empty + 2 * np.sqrt(empty)).astype(np.int64), need + need // SPARE + 2)
+    return need, np.where(need > 1, parts, 1)
+
+
 def signatures(flat: np.ndarray, begin: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
     """Names of the pivots of each document, and their documents.
 
     In a band whose smaller sets have at most m shingles, a linked pair differs in at most t = m (100 - limit) / limit, so
-    of t + 1 parts one is equal. It could be empty in both; then both have an empty part, and such documents are dealt
-    again, differently, up to ``DEALS`` times, and at last share a region of their band."""
+    if one of the two has t + 1 non-empty parts, one of these is equal in both. The universe is dealt into some more parts
+    than that, so that few documents have fewer. If both have fewer, both are dealt again, differently, up to ``DEALS``
+    times, and at last share a region of their band."""
     first = bands(limit)
     n = np.diff(begin)
     doc = np.flatnonzero(n > 0)
     band = np.searchsorted(first, n[doc], side="right") - 1
     visits = (band > 0) & (limit * n[doc] <= 100 * (first[band] - 1))
     doc, band = np.concatenate([doc, doc[visits]]), np.concatenate([band, band[visits] - 1])
-    parts = (first[band + 1] - 1) * (100 - limit) // limit + 1
+    need, parts = (x[band] for x in _parts(first, limit))
     names, docs = [], []
     for deal in range(DEALS):
         if not len(doc):
             break
-        name, job, few = _deal(flat, begin, doc, band, parts, deal)
+        name, job, few = _deal(flat, begin, doc, band, parts, need, deal)
         names.append(name)
         docs.append(doc[job])
-        doc, band, parts = doc[few], band[few], parts[few]
+        doc, band, parts, need = doc[few], band[few], parts[few], need[few]
     names.append(tk.mix(band.astype(np.uint64) + U64(0x5851F42D4C957F2D)))
     docs.append(doc)
     return np.concatenate(names), np.concatenate(docs)
 
 
-def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
-    order = np.argsort(owner, kind="stable")
-    at = np.searchsorted(owner[order], np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(values[order].view(np.int64)))
+def _fingerprints(flat: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+    return [_sum(tk.mix(flat ^ U64(c)), begin).view(np.int64) for c in (0x1B03738712FAD5C9, 0xF6E9D1C8B5A79283)]
+
+
+def _sets(size: int):
+    """Sizes and fingerprints of sets."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i, j, buf, offs in tk.chunks(batch.column(1), CHUNK):
+            flat, begin = shingle_sets(buf, offs, size)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(begin)), *map(pa.array, _fingerprints(flat, begin))], ["doc_id", "n", "fp1", "fp2"])
+
+    return work
 
 
-def _sets(size: int, limit: int):
-    """Sizes and fingerprints of sets, with their pivots."""
+def _pivots(size: int, limit: int):
+    """A row per pivot and set; rows without an id are no nodes."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j, buf, offs in tk.chunks(batch.column(1), CHUNK):
             flat, begin = shingle_sets(buf, offs, size)
-            fp = [_sum(tk.mix(flat ^ U64(c)), begin) for c in (0x1B03738712FAD5C9, 0xF6E9D1C8B5A79283)]
+            fp = np.stack(_fingerprints(flat, begin), axis=1)
             name, doc = signatures(flat, begin, limit)
-            # the same set again in this chunk adds no pivot; rows without an id are no nodes and never lead
+            # the same set again in this chunk adds no pivot
             named = np.flatnonzero(batch.column(0).slice(i, j - i).is_valid().to_numpy(zero_copy_only=False))
-            _, lead = np.unique(np.stack([x.view(np.int64)[named] for x in fp], axis=1), axis=0, return_index=True)
+            _, lead = np.unique(fp[named], axis=0, return_index=True)
             own = np.isin(doc, named[lead])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(begin)), *(pa.array(x.view(np.int64)) for x in fp), _lists(name[own], doc[own], j - i)], ["doc_id", "n", "fp1", "fp2", "sigs"])
+            yield pa.RecordBatch.from_arrays([pa.array(name[own].view(np.int64)), pa.array(fp[doc[own], 0])], ["sig", "a"])
 
     return work
 
@@ -343,12 +365,12 @@ def near_classes(docs: DataFrame, size: int = SIZE, limit: int = LIMIT, most: in
     """doc_id, n_shingles, component_id and n_links, one row per document row: links are pairs whose sets of ``size``-word
     shingles have a similarity of ``limit`` percent at least."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = keep(map_batches(text, _sets(size, limit), SETS), "sets")
+    sets = keep(map_batches(text, _sets(size), SETS), "sets")
     filled = sets.where("n > 0 and doc_id is not null")
     nodes = keep(filled.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
-    pivot_rows = filled.select(F.explode("sigs").alias("sig"), F.col("fp1").alias("a"))
-    hubs = pivot_rows.groupBy("sig").agg(F.min("a").alias("b"), F.max("a").alias("_top")).where("b <> _top").select("sig", "b")
-    edges = keep(pivot_rows.join(hubs, "sig").where("a <> b").select("a", "b").distinct(), "pivots")
+    pivot_rows = map_batches(text, _pivots(size, limit), "sig long, a long")
+    hub = F.min("a").over(Window.partitionBy("sig"))  # one exchange of pivots, and none of them is kept
+    edges = keep(pivot_rows.select("a", hub.alias("b")).where("a <> b").distinct(), "pivots")
     regions = components(edges).withColumnRenamed("node", "fp1")
     chosen = nodes.join(regions, "fp1").select(F.col("node").alias("doc_id"), F.col("label").alias("region"), "copies")
     # repeated rows of a node are one
