@@ -1,7 +1,10 @@
 """License scans: normalised sentences become identifiers, and identifier sequences match ordered licence rules.
 
-A sentence ends at a line break or after . ! or ? before white space. Its normal form is lower-case, with every run of
-other characters than ASCII letters and digits as one space. A rule is a sequence of sentence identifiers; it matches
+A text is cut into pieces at line breaks and after . ! ? : or ; before white space. The normal form of a piece is lower-case,
+with every run of other characters than ASCII letters and digits as one space, so comment marks go; dnl and rem at the
+head of a line go too. One piece or several that follow each other without an empty line between (one of marks alone
+is empty) are a known sentence if their joined normal form is; the longest from each piece on wins. So lines may be
+wrapped anywhere, and a line of its own needs no full stop. Other sentences end after . ! ? : ; or at an empty line. A rule is a sequence of sentence identifiers; it matches
 known sentences that follow each other in its order with at most ``GAP`` other sentences between two. From left to
 right, the rule that covers most sentences wins, then the earlier in the list; matches do not overlap.
 
@@ -67,19 +70,48 @@ RULES = (
 _KNOWN = {text.encode(): name for name, text in SENTENCES.items()}
 #: Every known sentence holds one of these, so a text without them has none.
 ANCHORS = (b"licen", b"permission", b"software", b"copyright", b"redistribut", b"warrant")
-_END = re.compile(rb"(?<=[.!?])[\x20\t\r\x0b\x0c]+|\n+")
+#: The normal forms of the first words of known sentences, whole ones too.
+_HEADS = {b" ".join(w[: k + 1]) for w in (t.split(b" ") for t in _KNOWN) for k in range(len(w))}
+_CUT = re.compile(rb"(?<=[.!?:;])[\x20\t\x0b\x0c]+|[\x20\t\x0b\x0c]*(?:\r\n|\n|\r)")
 _GLUE = re.compile(rb"[^a-z0-9]+")
-
-
-def sentences(raw: bytes) -> Iterator[tuple[int, int]]:
-    """Byte ranges of the sentences that are not only white space."""
-    at = 0
-    for m in _END.finditer(raw):
-        if raw[at : m.start()].strip():
-            yield at, m.start()
-        at = m.end()
-    if raw[at:].strip():
-        yield at, len(raw)
+_MARK = re.compile(rb"(?:dnl|rem) ")
+
+
+def pieces(raw: bytes) -> Iterator[tuple[int, int, bytes, bool, bool]]:
+    """Byte ranges of the pieces with letters or digits and their normal forms, whether an empty line comes before, and
+    whether a sentence begins there."""
+    at, fresh, empty, begins = 0, True, False, True
+    for m in [*_CUT.finditer(raw), None]:
+        end = m.start() if m else len(raw)
+        normal = _GLUE.sub(b" ", raw[at:end]).strip()
+        if fresh and _MARK.match(normal + b" "):
+            normal = normal[4:]
+        line = m is None or raw[m.end() - 1] in b"\r\n"
+        if normal:
+            yield at, end, normal, empty, begins or empty
+            empty, begins = False, raw[end - 1] in b".!?:;"
+        elif fresh and line:
+            empty = True
+        at, fresh = m.end() if m else end, line
+
+
+def known_sentences(raw: bytes) -> list[tuple[int, str, int, int]]:
+    """Number, identifier and byte range of the known sentences; a known one counts as one sentence."""
+    every, out, number, k, after = list(pieces(raw)), [], -1, 0, True
+    while k < len(every):
+        text, j, best = every[k][2], k, None
+        while text in _HEADS:
+            if text in _KNOWN:
+                best = (_KNOWN[text], j)
+            j += 1
+            if j == len(every) or every[j][3]:
+                break
+            text += b" " + every[j][2]
+        number += 1 if best or after or every[k][4] else 0
+        if best:
+            out.append((number, best[0], every[k][0], every[best[1]][1]))
+        k, after = best[1] + 1 if best else k + 1, best is not None
+    return out
 
 
 def match_rules(known: list[tuple[int, str]], rules=RULES, gap: int = GAP) -> list[tuple[str, int, int]]:
@@ -110,11 +142,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 own = low[a:b]
                 if not any(x in own for x in ANCHORS):
                     continue
-                known = []
-                for number, (s, e) in enumerate(sentences(own)):
-                    name = _KNOWN.get(_GLUE.sub(b" ", own[s:e]).strip())
-                    if name:
-                        known.append((number, name, s, e))
+                known = known_sentences(own)
                 found = match_rules([x[:2] for x in known])
                 known_n[d] = len(known)
                 licences[d] = ",".join(sorted({x[0] for x in found}))
