@@ -1,8 +1,10 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy, over all windows of a text.
 
 A word's input is a learned vector of the word, if training saw it often enough, beside the scaled sum of learned vectors
-of its runs of three and five bytes. Windows of ``WINDOW`` words begin every ``STRIDE`` words, overlap and cover every word; each gets a logit and a
-document's score is that of its most toxic window. The network is fitted on the driver from a bounded sample of labelled
+of its runs of three and five bytes. A word of more than ``PIECE`` bytes is read as pieces of so many, which share the runs
+across their ends, so none of its bytes is left out. A window of ``WINDOW`` words begins at every word that has so many
+from it on (a shorter text is one window); each gets a logit and a document's score is that of its most toxic window.
+For training alone, windows are drawn from those that begin every ``STRIDE`` words. The network is fitted on the driver from a bounded sample of labelled
 documents: windows are first chosen by the log-odds of their words, then by the network itself with the hardest windows
 of clean documents. The last bias makes 0.5 the best document threshold on the fitting rows.
 
@@ -23,7 +25,10 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .io import map_batches, table
 
-WINDOW, STRIDE = 24, 16
+#: Words of a window, words between the windows that training draws from, and bytes of a piece of a word.
+WINDOW, STRIDE, PIECE = 24, 16, 24
+#: Windows that are scored at once.
+BLOCK = 2048
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 12, 8
 #: Rows of the character table, and the words that have a vector of their own, at most.
 TRIGRAMS, VOCABULARY = 1 << 14, 20_000
@@ -45,24 +50,31 @@ class Words:
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray):
         buf = tk.lower(buf)
-        starts, ends, self.first = tk.words(buf, offs, tk.ALNUM)
-        h = tk.hash_words(buf, starts, ends)
+        starts, ends, first = tk.words(buf, offs, tk.ALNUM)
+        # words in pieces; runs look over the ends of a piece at the bytes of its word
+        count = -(-(ends - starts) // PIECE)
+        self.first = np.concatenate([[0], np.cumsum(count)])[first]
+        word_start, word_end = np.repeat(starts, count), np.repeat(ends, count)
+        starts = word_start + PIECE * (np.arange(len(word_start)) - np.repeat(np.cumsum(count) - count, count))
+        ends = np.minimum(starts + PIECE, word_end)
+        left, right = np.minimum(starts - word_start, 4), np.minimum(word_end - ends, 1)
+        h = tk.hash_words(buf, starts - left, ends + right) + (left + 8 * right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         self.hash, some, self.which = np.unique(h, return_index=True, return_inverse=True)
         self.which = self.which.astype(np.int32)
         # runs of three and of five bytes of each distinct word, with marks at its ends
-        s, size = starts[some], np.minimum(ends[some] - starts[some], 24)
+        s, size, left, right = starts[some], ends[some] - starts[some], left[some], right[some]
         head = np.cumsum(size) - size
         offset = np.arange(size.sum()) - np.repeat(head, size)
-        c = buf[np.repeat(s, size) + offset].astype(np.uint32)
+        place = np.repeat(s, size) + offset
+        c = buf[place].astype(np.uint32)
         after = np.full_like(c, 2)
         after[:-1] = c[1:]
-        after[head + size - 1] = 2
+        tail = head + size - 1
+        after[tail] = np.where(right > 0, buf[np.minimum(place[tail] + 1, max(len(buf) - 1, 0))], 2) if len(tail) else 2
+        back = offset + np.repeat(left, size)
         before = []
         for j in range(1, 5):
-            x = np.ones_like(c)
-            x[j:] = c[:-j] if j < len(c) else 0
-            x[offset < j] = 1
-            before.append(x)
+            before.append(np.where(back < j, 1, buf[np.maximum(place - j, 0)]).astype(np.uint32) if len(c) else c)
         three, five = (before[0] * np.uint32(0x9E3779B1)) ^ (c * np.uint32(0x85EBCA77)) ^ (after * np.uint32(0xC2B2AE3D)), c * np.uint32(0x27D4EB2F)
         for k, x in enumerate(before):
             five = (five ^ x) * np.uint32(0x165667B1) + np.uint32(k)
@@ -71,7 +83,8 @@ class Words:
         self.gram, self.head, self.grams = (gram % np.uint32(TRIGRAMS)).astype(np.int32), 2 * head, 2 * size
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """A row of distinct-word numbers per window, -1 where a document is shorter, and each window's document."""
+        """A row of distinct-word numbers per window that training draws from, -1 where a document is shorter, and each window's
+        document."""
         n = np.diff(self.first)
         count = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
         doc = np.repeat(np.arange(len(n)), count)
@@ -193,10 +206,60 @@ class Network:
         _, proj = self.inputs(w, self.rows(w.hash))
         return np.concatenate([self.forward(proj, at[k : k + 4096]) for k in range(0, len(at), 4096)]) if len(at) else np.zeros(0, np.float32)
 
+    def top_logits(self, w: Words) -> np.ndarray:
+        """The largest logit among all windows of each document, minus infinity without words."""
+        n, words = np.diff(w.first), len(w.which)
+        _, proj = self.inputs(w, self.rows(w.hash))
+        logit = np.full(words, -np.inf, np.float32)
+        for a in range(0, words - WINDOW + 1, BLOCK):
+            b = min(a + BLOCK, words - WINDOW + 1)
+            logit[a:b] = self._run(np.ascontiguousarray(proj[w.which[a : b + WINDOW - 1]].T), b - a)
+        logit[np.arange(words) + WINDOW > np.repeat(w.first[1:], n)] = -np.inf  # windows over a document's end
+        top = np.full(len(n), -np.inf)
+        some = np.flatnonzero(n)
+        if len(some):
+            top[some] = np.maximum.reduceat(logit, w.first[:-1][some])
+        short = np.flatnonzero((n > 0) & (n < WINDOW))
+        for k in range(0, len(short), BLOCK):
+            d = short[k : k + BLOCK]
+            at = w.first[:-1][d][:, None] + np.arange(WINDOW)
+            inside = np.arange(WINDOW) < n[d][:, None]
+            top[d] = self.forward(proj, np.where(inside, w.which[np.minimum(at, words - 1)], -1))
+        return top
+
+    def _run(self, x: np.ndarray, m: int) -> np.ndarray:
+        """Logits of the ``m`` windows at the successive words of ``x``, a column per word: as ``forward``, but with gates as
+        hyperbolic tangents of half their input, and of each state only what attention and output take from it."""
+        h = HIDDEN
+        weigh, value = np.zeros((WINDOW, m), np.float32), np.zeros((WINDOW, m), np.float32)
+        half = np.repeat(np.array([0.5, 0.5, 1], np.float32), h)[:, None]
+        for side, order in ((0, range(WINDOW)), (1, range(WINDOW - 1, -1, -1))):
+            own = x[3 * h * side : 3 * h * (side + 1)] * half
+            u = np.ascontiguousarray(self.p["ub" if side else "uf"].T) * half
+            take = np.stack([self.p[k][h * side : h * (side + 1)] for k in ("att", "out")])
+            s = np.zeros((h, m), np.float32)
+            for k in order:
+                a, seen = u @ s, own[:, k : k + m]
+                g = np.tanh(a[: 2 * h] + seen[: 2 * h])
+                g *= np.float32(0.5)
+                g += np.float32(0.5)
+                new = a[2 * h :]
+                new *= g[h:]
+                new += seen[2 * h :]
+                np.tanh(new, out=new)
+                s -= new
+                s *= g[:h]
+                s += new
+                both = take @ s
+                weigh[k] += both[0]
+                value[k] += both[1]
+        weigh -= weigh.max(axis=0)
+        np.exp(weigh, out=weigh)
+        value *= weigh
+        return value.sum(axis=0) / weigh.sum(axis=0) + self.p["out_b"][0]
+
     def document_scores(self, w: Words) -> np.ndarray:
-        at, doc = w.windows()
-        top = np.full(len(w.first) - 1, -np.inf)
-        np.maximum.at(top, doc, self.window_logits(w, at))
+        top = self.top_logits(w)
         return np.where(np.isfinite(top), _sigmoid(np.where(np.isfinite(top), top, 0)), self.prior)
 
 
@@ -275,8 +338,7 @@ def fit_network(texts: list[str], toxic: np.ndarray, seed: int = 11, epochs: tup
         hard = clean[np.argsort(-some[clean], kind="stable")[: len(lead) // 2]] if phase else clean[:0]
         chosen = np.unique(np.concatenate([lead, rest, hard]))
         _train(net, w, at[chosen], toxic[of[chosen]], max(rounds, LEAST_STEPS * 256 // len(chosen)), rng, 0.01 if phase == 0 else 0.004)
-    top = np.full(len(texts), -np.inf)
-    np.maximum.at(top, of, net.window_logits(w, at))
+    top = net.top_logits(w)
     has = np.isfinite(top)
     value = np.sort(top[has])
     cuts = np.concatenate([[value[0] - 1], (value[1:] + value[:-1]) / 2, [value[-1] + 1]])
