@@ -2,8 +2,9 @@
 
 Rules decide first; the longest that fits wins. The rest is judged by a tree of path templates. Urls that a rule decided
 are its labelled examples. A path becomes a list of segments; numbers, hexadecimal and mixed segments become wildcards
-by their form, and a segment whose parent has many children with few urls each becomes one by count. Siblings whose
-labelled block rate does not differ from their parent's by a two-proportion test merge into one branch. A template's
+by their form, and a segment whose parent has many children with few urls each becomes one by count, level by level from the
+root to the deepest segment of the data. Siblings at any level whose labelled block rate, all below them included, does not
+differ from that of the others by a two-proportion test merge into one branch, from the deepest level up. A template's
 purity, its share of blocked examples, is smoothed towards that of the same template over all hosts, and that towards
 the rate of all; templates with purity of a half or more are rejected.
 
@@ -32,8 +33,6 @@ RULES = (
 )
 #: A parent with more children than this, holding fewer urls each than the second number, has a wildcard child.
 MANY_CHILDREN, FEW_URLS = 20, 4.0
-#: Segments that the tree tells apart; what is deeper counts as one.
-DEPTH = 4
 #: Pseudo-counts of the smoothing and the critical value of the merge test.
 PRIOR, CRITICAL = 4.0, 1.96
 
@@ -58,7 +57,7 @@ def apply_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
 
 
 def form(path: Column) -> Column:
-    """The path with segments generalised by their form; beyond DEPTH segments the rest is one."""
+    """The path with every segment generalised by its form."""
 
     def one(s: Column) -> Column:
         tail = F.regexp_extract(s, r"(\.[a-z]{2,5})$", 1)
@@ -66,9 +65,7 @@ def form(path: Column) -> Column:
         kind = F.when(stem.rlike("^[0-9]+$"), F.lit("{n}")).when((F.length(stem) >= 8) & stem.rlike("^[0-9a-f-]+$"), F.lit("{x}")).when(stem.rlike("[0-9]"), F.lit("{m}")).otherwise(stem)
         return F.concat(kind, tail)
 
-    parts = F.split(path, "/")
-    shown = F.transform(F.slice(parts, 1, DEPTH + 1), one)
-    return F.when(F.size(parts) > DEPTH + 1, F.concat(shown, F.array(F.lit("{rest}")))).otherwise(shown)
+    return F.transform(F.split(path, "/"), one)
 
 
 def _wildcards(tree: DataFrame, depth: int) -> DataFrame:
@@ -82,20 +79,21 @@ def _wildcards(tree: DataFrame, depth: int) -> DataFrame:
     return joined.withColumn("now", F.when(F.col("_many"), changed).otherwise(F.col("now"))).drop("_h", "_p", "_many")
 
 
-def _merge(tree: DataFrame) -> DataFrame:
-    """The last segment becomes a wildcard where its branch's labelled rate is not unlike that of all its siblings."""
-    last = F.size("now") - 1
-    branch = tree.groupBy("host", "now").agg(F.sum("m").alias("bm"), F.sum("b").alias("bb"))
-    up = branch.where(F.size("now") > 1).groupBy("host", F.slice("now", F.lit(1), last).alias("parent")).agg(F.sum("bm").alias("pm"), F.sum("bb").alias("pb"), F.count(F.lit(1)).alias("k"))
-    both = branch.join(up.withColumnRenamed("host", "_h"), (F.col("host") == F.col("_h")) & (F.slice("now", F.lit(1), last) == F.col("parent")), "left")
+def _merge(tree: DataFrame, depth: int) -> DataFrame:
+    """The segment at ``depth`` becomes a wildcard where the labelled rate of its branch, all below it included, is not
+    unlike that of all its siblings."""
+    branch = tree.where(F.size("now") > depth).groupBy("host", F.slice("now", 1, depth + 1).alias("node")).agg(F.sum("m").alias("bm"), F.sum("b").alias("bb"))
+    branch = branch.withColumn("parent", F.slice("node", 1, depth))
+    up = branch.groupBy(F.col("host").alias("_h"), F.col("parent").alias("_p")).agg(F.sum("bm").alias("pm"), F.sum("bb").alias("pb"), F.count(F.lit(1)).alias("k"))
+    both = branch.join(up, (F.col("host") == F.col("_h")) & (F.col("parent") == F.col("_p")))
     om, ob = F.col("pm") - F.col("bm"), F.col("pb") - F.col("bb")
     rate = F.try_divide(F.col("pb"), F.col("pm"))
     gap = F.abs(F.try_divide(F.col("bb"), F.col("bm")) - F.try_divide(ob, om))
     error = F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.0)) * (F.try_divide(F.lit(1.0), F.col("bm")) + F.try_divide(F.lit(1.0), om)))
-    alike = (F.col("k") > 1) & F.coalesce(gap <= CRITICAL * error, F.lit(False))
-    merged = F.when(alike, F.concat(F.col("parent"), F.array(F.lit("*")))).otherwise(F.col("now"))
-    named = both.select(F.col("host").alias("_h"), F.col("now").alias("_n"), merged.alias("_to"))
-    return tree.join(named, (tree["host"] == F.col("_h")) & (tree["now"] == F.col("_n"))).withColumn("now", F.col("_to")).drop("_h", "_n", "_to")
+    alike = both.where((F.col("k") > 1) & F.coalesce(gap <= CRITICAL * error, F.lit(False))).select(F.col("host").alias("_h"), F.col("node").alias("_n"), F.lit(True).alias("_alike"))
+    joined = tree.join(alike, (tree["host"] == F.col("_h")) & (F.slice("now", 1, depth + 1) == F.col("_n")) & (F.size("now") > depth), "left")
+    changed = F.transform("now", lambda x, i: F.when(i == depth, F.lit("*")).otherwise(x))
+    return joined.withColumn("now", F.when(F.col("_alike"), changed).otherwise(F.col("now"))).drop("_h", "_n", "_alike")
 
 
 def template_tree(judged: DataFrame) -> DataFrame:
@@ -103,9 +101,11 @@ def template_tree(judged: DataFrame) -> DataFrame:
     labelled = F.col("ruled").isNotNull().cast("long")
     tree = judged.groupBy("host", "form").agg(F.count(F.lit(1)).alias("n"), F.sum(labelled).alias("m"), F.sum((F.col("ruled") == "block").cast("long")).alias("b"))
     tree = keep(tree.select("host", "form", F.col("form").alias("now"), "n", "m", F.coalesce("b", F.lit(0)).alias("b")), "tree")
-    for depth in range(1, DEPTH + 1):
+    deepest = (tree.agg(F.max(F.size("now"))).first()[0] or 1) - 1
+    for depth in range(1, deepest + 1):
         tree = keep(_wildcards(tree, depth), "tree")
-    tree = keep(_merge(tree), "tree")
+    for depth in range(deepest, 0, -1):
+        tree = keep(_merge(tree, depth), "tree")
     rate = tree.agg(((F.sum("b") + 1) / (F.sum("m") + 2)).alias("p0")).first()["p0"]
     smooth = lambda m, b, p: (F.col(b) + PRIOR * p) / (F.col(m) + PRIOR)
     everywhere = tree.groupBy(F.col("now").alias("_now")).agg(F.sum("m").alias("tm"), F.sum("b").alias("tb")).withColumn("p1", smooth("tm", "tb", F.lit(rate if rate is not None else 0.0)))
