@@ -27,4 +27,4 @@ def test_few_sets_share_the_last_region(n, limit):
     rng = np.random.default_rng(n)
     begin = np.arange(0, 101 * n, n)
     name, _ = jj.signatures(np.concatenate([np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(100)]), begin, limit)
-    assert len(np.unique(name)) >= 0.99 * len(name)
+    assert np.unique(name, return_counts=True)[1].max() <= 3
