@@ -30,15 +30,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = F.struct(F.xxhash64("low").alias("h"), "low")
         ends = live.select(b.alias("node"), a.alias("low")).unionByName(live.select(a.alias("node"), a.alias("low")))
         follow = keep(ends.groupBy("node").agg(F.min(low).getField("low").alias("to")), "follow")
-        if labels is None:
-            labels = follow.select("node", F.col("to").alias("root"))
-        else:
-            step = follow.select(F.col("node").alias("root"), "to")
-            labels = keep(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        step = follow.select(F.col("node").alias("root"), "to")
+        moved = labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")) if labels is not None else follow.select("node", F.col("to").alias("root"))
+        before, labels = labels, keep(moved, "labels")
+        if before is not None:
+            discard(before)
         renamed = live.join(follow.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(follow.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
         before, live = live, keep(directed(renamed.select(F.col("ta").alias("a"), F.col("tb").alias("b"))), "edges")
         discard(before)
+        discard(follow)
         if live.isEmpty():
+            discard(live)
             least = labels.groupBy("root").agg(F.min("node").alias("label"))
             return labels.join(least, "root").select("node", "label")
     raise RuntimeError("labels did not settle")

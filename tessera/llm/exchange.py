@@ -35,16 +35,37 @@ def code_type(buckets: int) -> np.dtype:
     return np.dtype(np.uint8 if buckets < 255 else np.uint16)
 
 
-def _pack(values: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+def bucket_of(name: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each name, from bits that :func:`pack` cuts off."""
+    return ((name & U64(0xFFFFFF)) % U64(buckets)).astype(np.int64)
 
 
-def _unpack(raw: bytes, width: int) -> np.ndarray:
+def pack(names: np.ndarray, width: int = NAME_BYTES) -> bytes:
+    """The highest ``width`` bytes of each name."""
+    return np.ascontiguousarray((names >> U64(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpack(raw: bytes, width: int = NAME_BYTES) -> np.ndarray:
     out = np.zeros((len(raw) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
     return out.view("<u8").reshape(-1)
 
 
+def name_rows(name: np.ndarray, buckets: int, chunk: int) -> tuple[list[tuple], bytes]:
+    """What a chunk sends to ask which of its names are seen twice: a row per bucket, and for its own row the bucket of each
+    name. Names that the chunk itself holds twice need no answer and are sent once, for the others."""
+    u, back, count = np.unique(name, return_inverse=True, return_counts=True)
+    code = np.where(count[back] == 1, bucket_of(name, buckets), buckets) if len(u) else np.zeros(0, np.int64)
+    order, begin = split(code, buckets)
+    more = u[count > 1]
+    more_order, more_begin = split(bucket_of(more, buckets), buckets)
+    rows = []
+    for b in np.flatnonzero(np.diff(begin) + np.diff(more_begin)).tolist():
+        own, other = name[order[begin[b] : begin[b + 1]]], more[more_order[more_begin[b] : more_begin[b + 1]]]
+        rows.append((b, chunk, len(own), pack(np.concatenate([own, other])), None, None))
+    return rows, code.astype(code_type(buckets)).tobytes()
+
+
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "chunk", "head", "body", "who", "docs"])
@@ -88,7 +109,7 @@ def seen_twice(text: DataFrame, names_of: Callable, buckets: int, chunk_bytes: i
     ``text`` has doc_id, text and mark (a hash of the text). ``names_of(buf, offs)`` gives the names, each one's document, and
     which documents take part; it must give a document the same names in any chunk. Rows without an id take no part."""
     sent = map_batches(text, None, SENT, whole=_send_names(buckets, names_of, chunk_bytes))
-    flags = exchange(sent, _answer_names, _name_flags(buckets), FLAGS, what)
+    flags = exchange(sent, answer_seen, _name_flags(buckets), FLAGS, what)
     return flags.dropDuplicates(["doc_id", "mark"])  # repeated rows have equal names; the flags of one are enough
 
 
@@ -105,27 +126,17 @@ def _send_names(buckets: int, names_of: Callable, chunk_bytes: int):
                 name, doc = name[some], doc[some]
                 if not len(name):
                     continue
-                u, back, count = np.unique(name, return_inverse=True, return_counts=True)
-                bucket = ((name & U64(0xFFFFFF)) % U64(buckets)).astype(np.int64)
-                code = np.where(count[back] == 1, bucket, buckets)
-                order, begin = split(code, buckets)
-                more = u[count > 1]
-                more_order, more_begin = split(((more & U64(0xFFFFFF)) % U64(buckets)).astype(np.int64), buckets)
-                chunk, number, rows = chunk_id(number), number + 1, []
-                for b in range(buckets):
-                    own, other = name[order[begin[b] : begin[b + 1]]], more[more_order[more_begin[b] : more_begin[b + 1]]]
-                    if len(own) + len(other):
-                        rows.append((b, chunk, len(own), _pack(np.concatenate([own, other]) >> U64(64 - 8 * NAME_BYTES), NAME_BYTES), None, None))
+                chunk, number = chunk_id(number), number + 1
+                rows, code = name_rows(name, buckets, chunk)
                 per = np.bincount(doc, minlength=j - i)[ok]
                 docs = np.stack([ids[i:j][ok], marks[i:j][ok], per]).astype(np.int64)
-                rows.append((-1, chunk, len(per), code.astype(code_type(buckets)).tobytes(), None, docs.tobytes()))
-                yield batch_of(rows)
+                yield batch_of([*rows, (-1, chunk, len(per), code, None, docs.tobytes())])
 
     return run
 
 
-def _answer_names(group: pa.Table) -> pa.Table:
-    parts = [_unpack(x.as_py(), NAME_BYTES) for x in group.column("body")]
+def answer_seen(group: pa.Table) -> pa.Table:
+    parts = [unpack(x.as_py()) for x in group.column("body")]
     _, back, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     return answers_of(group, count[back] > 1, [len(p) for p in parts])
 
@@ -138,7 +149,7 @@ def answers_of(group: pa.Table, flags: np.ndarray, sizes: list[int]) -> pa.Table
     return pa.table([group.column("bucket"), group.column("chunk"), group.column("head"), pa.array(bits, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["bucket", "chunk", "head", "body", "who", "docs"])
 
 
-def gather(group: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, dict]:
+def gather(group: pa.Table, buckets: int, fields: int = 3) -> tuple[np.ndarray, np.ndarray, dict]:
     """The flags of a chunk in its own order, from the answers of the buckets; those settled by the chunk are true."""
     rows = {r["bucket"]: r for r in group.to_pylist()}
     frame = rows[-1]
@@ -148,7 +159,7 @@ def gather(group: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, dict]
     for b, r in rows.items():
         if b >= 0:
             flags[order[begin[b] : begin[b + 1]]] = np.unpackbits(np.frombuffer(r["body"], np.uint8), count=r["head"]).astype(bool)
-    return flags, np.frombuffer(frame["docs"], np.int64).reshape(3, -1), frame
+    return flags, np.frombuffer(frame["docs"], np.int64).reshape(fields, -1), frame
 
 
 FLAGS = "doc_id long, mark long, n int, bits binary"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -19,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset and all run in one
+    process (tests), as executors of a cluster could not read it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if "TESSERA_SHARED" not in os.environ:
         os.environ["TESSERA_SHARED"] = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
     return os.environ["TESSERA_SHARED"]
@@ -52,6 +56,14 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that none of ``taken`` clashes with."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 _shipped: set[str] = set()
 
 

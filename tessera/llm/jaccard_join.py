@@ -1,23 +1,28 @@
 """N-gram Jaccard join in the metric space of shingle sets: exact links, their classes and their numbers.
 
-The Jaccard distance d = 1 - J obeys the triangle inequality. Most documents are at distance almost 1 from all others,
-so cells around a few whole documents would hold everybody. The first regions are therefore cut in two steps that keep
-every link. Set sizes are cut into bands; a document whose size is within the distance window above a band visits it, for
-a link can reach no further. Inside a band the universe of shingles is dealt into more parts than a link can have
-differing shingles, so a linked pair has a part in common: each document's own parts are its pivots, at distance 0 in that
-part, and the documents of one pivot are a region. Regions that share documents are joined by their components.
-
-Each region is then joined exactly. One with more shingles than a task should hold is split: some members become pivots,
-each document goes to the Voronoi cell of its nearest pivot, and also to every cell whose pivot is at most two thresholds
-further than the nearest; linked pairs so meet in the home cell of either. This is repeated while cells are too large;
-what does not shrink is dealt into blocks, and every two blocks meet in a task of their own. In a task, documents become
-pivots in turn; size and distances to earlier pivots exclude most of the others before shingles are compared.
-
-Documents with equal sets are one node. Sets are of 64-bit shingle hashes and equal sets are found by 128 bits.
+The Jaccard distance d = 1 - J obeys the triangle inequality, and two documents link when d is at most a radius r. Nearly all
+documents of a corpus are at distance almost 1 from each other, so cells around a few whole documents would hold everybody.
+Regions are therefore cut in steps that each keep every link:
+
+1. Screen. A link leaves at most r of either set unshared, so a set with more shingles than that which no other set holds
+   has no link. All documents ask for half of the universe of shingles, and those left over, a small part, for all of it.
+2. First regions. The answers order each set from its rarest shingle on. If two sets link, their rarest common shingle is
+   among the first r n + 1 of each, so each of these is a point through which a document is near others; documents that
+   share one are in a region. Passages that many documents share are not among the rarest and bind nothing together.
+3. Voronoi cells. A region that is too large for a task is split: members become pivots, each document goes home to the cell
+   of its nearest pivot at distance b, if b <= 2 r, or else to the rest. By the triangle inequality a document that is
+   linked with one at home in the cell of pivot p is within min(b + 2 r, 3 r) of p, and b > r if linked with one of the rest,
+   so only documents within these windows visit. This repeats on cells that are still too large. A region whose windows
+   would copy most of it is dealt into blocks instead, every two of which meet in a task of their own.
+4. Exact join. In a task, documents become pivots in turn; size and distances to earlier pivots exclude most others before
+   shingles are compared. Every pair of different sets within a cell is decided exactly, and only classes and counts leave.
+
+Documents with equal sets are one node. Sets are of 64-bit shingle hashes, equal sets are found by 128 bits, and nodes are
+told apart by 64.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is a class of its own; repeated rows are
-linked with each other; a null doc_id is no node and has a null class; an empty table gives no rows. Only doc_id and text
-are read.
+linked with each other; rows with one id and different texts are documents of their own; a null doc_id is no node and has a
+null class; an empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -31,33 +36,25 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .components import components
-from .io import discard, keep, map_batches, ship, table
+from .exchange import BUCKET_BYTES, SENT, answer_seen, batch_of, bucket_count, bucket_of, chunk_id, exchange, gather, name_rows, named_rows, pack, split, text_bytes, unpack
+from .io import discard, fresh, keep, map_batches, ship, table
 
 SIZE = 3
-#: Links: 100 * intersection >= LIMIT * union; band ends must differ by more than 100 / LIMIT.
+#: Links: 100 * intersection >= LIMIT * union.
 LIMIT = 90
-#: Ratio of the ends of a band.
-BAND = 1.5
-#: Shingles of a region that one task joins, pivots of a split, and splits of a region at most.
-REGION_SHINGLES, PIVOTS, SPLITS = 2_000_000, 16, 4
-#: Parts beyond those needed: at most one for so many, and two.
-SPARE = 4
-#: Ways to deal a band's universe before the last resort, a region of all whose parts are too few.
-DEALS = 4
+#: Shingles and documents of a region that one task joins, and splits of a region at most.
+REGION_SHINGLES, REGION_DOCS, SPLITS = 2_000_000, 1024, 4
+#: Documents of a region per pivot, and pivots of one split at least and at most.
+PER_PIVOT, PIVOTS = 64, (16, 256)
+#: Copies of a document that windows may make, on average; beyond it blocks are used.
+GROWTH = 2.5
+#: Members of a region that one task compares with its pivots, and their shingles on average.
+PART, PART_SHINGLES = 256, 1_000_000
 
 #: Bytes of text that a task works on at once; its arrays take some 30 times as much.
 CHUNK = 2 << 20
 
 U64 = np.uint64
-SETS = "doc_id long, n long, fp1 long, fp2 long"
-
-
-def bands(limit: int = LIMIT, ratio: float = BAND) -> np.ndarray:
-    """First sizes of the bands; the first band's links are between equal sets."""
-    out = [1, max(2, limit // (100 - limit))]
-    while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, int(out[-1] * ratio)))
-    return np.array(out, np.int64)
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -84,103 +81,183 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int = SIZE) -> tuple[n
     return out[new], np.concatenate([[0], np.cumsum(new)])[begin]
 
 
-def _deal(flat: np.ndarray, begin: np.ndarray, doc: np.ndarray, band: np.ndarray, parts: np.ndarray, need: np.ndarray, deal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For jobs (document, band, parts): the names of the non-empty parts, their job, and the jobs with fewer than they need."""
-    n = begin[doc + 1] - begin[doc]
-    at = np.repeat(begin[doc] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    s = flat[at]
-    slot = np.cumsum(parts) - parts
-    part = (tk.mix(s + U64(0x2545F4914F6CDD1D) * U64(deal + 1)) % np.repeat(parts, n).astype(np.uint64)).astype(np.int64)
-    place = np.repeat(slot, n) + part
-    total, held = np.zeros(int(parts.sum()), np.uint64), np.zeros(int(parts.sum()), bool)
-    np.add.at(total, place, tk.mix(s ^ U64(0xA24BAED4963EE407)))
-    held[place] = True
-    job = np.repeat(np.arange(len(doc)), parts)
-    number = (np.arange(len(job)) - np.repeat(slot, parts)).astype(np.uint64)
-    name = tk.mix(total + tk.mix((band[job].astype(np.uint64) * U64(DEALS + 1) + U64(deal)) * U64(1 << 40) + number))
-    few = np.bincount(job[held], minlength=len(doc)) < need
-    return name[held], job[held], few
-
-
-def _parts(first: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Non-empty parts that a document of each band needs, and parts of which the smallest one will have so many."""
-    need = (first[1:] - 1) * (100 - limit) // limit + 1
-    parts = need
-    for _ in range(20):
-        empty = parts * np.exp(-first[:-1] / parts)
-        parts = np.minimum(need + np.ceil(empty + 2 * np.sqrt(empty)).astype(np.int64), need + need // SPARE + 2)
-    return need, np.where(need > 1, parts, 1)
-
-
-def signatures(flat: np.ndarray, begin: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the pivots of each document, and their documents.
-
-    In a band whose smaller sets have at most m shingles, a linked pair differs in at most t = m (100 - limit) / limit, so
-    if one of the two has t + 1 non-empty parts, one of these is equal in both. The universe is dealt into some more parts
-    than that, so that few documents have fewer. If both have fewer, both are dealt again, differently, up to ``DEALS``
-    times, and at last share a region of their band."""
-    first = bands(limit)
-    n = np.diff(begin)
-    doc = np.flatnonzero(n > 0)
-    band = np.searchsorted(first, n[doc], side="right") - 1
-    visits = (band > 0) & (limit * n[doc] <= 100 * (first[band] - 1))
-    doc, band = np.concatenate([doc, doc[visits]]), np.concatenate([band, band[visits] - 1])
-    need, parts = (x[band] for x in _parts(first, limit))
-    names, docs = [], []
-    for deal in range(DEALS):
-        if not len(doc):
-            break
-        name, job, few = _deal(flat, begin, doc, band, parts, need, deal)
-        names.append(name)
-        docs.append(doc[job])
-        doc, band, parts, need = doc[few], band[few], parts[few], need[few]
-    names.append(tk.mix(band.astype(np.uint64) + U64(0x5851F42D4C957F2D)))
-    docs.append(doc)
-    return np.concatenate(names), np.concatenate(docs)
-
-
 def _fingerprints(flat: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     return [_sum(tk.mix(flat ^ U64(c)), begin).view(np.int64) for c in (0x1B03738712FAD5C9, 0xF6E9D1C8B5A79283)]
 
 
-def _sets(size: int):
-    """Sizes and fingerprints of sets."""
+def _screened(s: np.ndarray) -> np.ndarray:
+    """The half of the universe of shingles that the screen asks for."""
+    return (s >> U64(40)) & U64(1) == 0
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i, j, buf, offs in tk.chunks(batch.column(1), CHUNK):
-            flat, begin = shingle_sets(buf, offs, size)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(begin)), *map(pa.array, _fingerprints(flat, begin))], ["doc_id", "n", "fp1", "fp2"])
 
-    return work
+SETS = "doc_id long, mark long, n long, fp1 long, fp2 long, lone long"
 
 
-def _pivots(size: int, limit: int):
-    """A row per pivot and set; rows without an id are no nodes."""
+def _send_screened(size: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
+        for batch in batches:
+            ids, named = named_rows(batch)
+            marks = batch.column(2).to_numpy(zero_copy_only=False)
+            for i, j, buf, offs in tk.chunks(batch.column(1), CHUNK):
+                flat, begin = shingle_sets(buf, offs, size)
+                doc = tk.owner(begin)
+                some = named[i:j][doc] & _screened(flat)
+                chunk, number = chunk_id(number), number + 1
+                rows, code = name_rows(flat[some], buckets, chunk)
+                docs = np.stack([ids[i:j], named[i:j], np.bincount(doc[some], minlength=j - i), marks[i:j], np.diff(begin), *_fingerprints(flat, begin)]).astype(np.int64)
+                yield batch_of([*rows, (-1, chunk, j - i, code, None, docs.tobytes())])
+
+    return run
+
+
+def _sets_of(buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        seen, docs, _ = gather(group, buckets, 7)
+        ids, named, per, mark, n, fp1, fp2 = docs
+        lone = tk.per_document(~seen, np.concatenate([[0], np.cumsum(per)]))
+        cols = [pa.array(ids, mask=named == 0), *map(pa.array, (mark, n, fp1, fp2, lone))]
+        return pa.table(cols, names=["doc_id", "mark", "n", "fp1", "fp2", "lone"])
+
+    return run
+
+
+def screen(text: DataFrame, size: int, buckets: int) -> DataFrame:
+    """A row per row of ``text`` (doc_id, text, mark): size and fingerprints of its set and, of the shingles in half of the
+    universe, how many no other row holds."""
+    return exchange(map_batches(text, None, SENT, whole=_send_screened(size, buckets)), answer_seen, _sets_of(buckets), SETS, "sets")
+
+
+BODIES = "node long, n long, copies long, shingles binary"
+
+
+def _bodies(size: int):
+    """Sets as bytes; columns doc_id, text, node, copies."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j, buf, offs in tk.chunks(batch.column(1), CHUNK):
             flat, begin = shingle_sets(buf, offs, size)
-            fp = np.stack(_fingerprints(flat, begin), axis=1)
-            name, doc = signatures(flat, begin, limit)
-            # the same set again in this chunk adds no pivot
-            named = np.flatnonzero(batch.column(0).slice(i, j - i).is_valid().to_numpy(zero_copy_only=False))
-            _, lead = np.unique(fp[named], axis=0, return_index=True)
-            own = np.isin(doc, named[lead])
-            yield pa.RecordBatch.from_arrays([pa.array(name[own].view(np.int64)), pa.array(fp[doc[own], 0])], ["sig", "a"])
+            raw = flat.tobytes()
+            bodies = pa.array([raw[8 * a : 8 * b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), pa.array(np.diff(begin)), batch.column(3).slice(i, j - i), bodies], ["node", "n", "copies", "shingles"])
 
     return work
 
 
+def _flat(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The sets of a column of bytes, one after the other."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.uint64)
+
+
+def _send_counts(buckets: int):
+    """Every distinct shingle of a chunk with the number of sets that hold it; the chunk's own row carries its sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            at = np.concatenate([[0], np.cumsum(n)])
+            i = 0
+            while i < len(n):
+                j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK // 8, side="right")) - 1)
+                flat = _flat(batch.column(3).slice(i, j - i))
+                u, count = np.unique(flat, return_counts=True)
+                order, begin = split(bucket_of(u, buckets), buckets)
+                chunk, number, rows = chunk_id(number), number + 1, []
+                for b in np.flatnonzero(np.diff(begin)).tolist():
+                    own = order[begin[b] : begin[b + 1]]
+                    rows.append((b, chunk, len(own), pack(u[own]), count[own].astype(np.uint32).tobytes(), None))
+                docs = np.stack([batch.column(0).slice(i, j - i).to_numpy(), n[i:j]]).astype(np.int64)
+                yield batch_of([*rows, (-1, chunk, j - i, flat.tobytes(), None, docs.tobytes())])
+                i = j
+
+    return run
+
+
+def _answer_ranks(group: pa.Table) -> pa.Table:
+    """For each shingle asked for a byte: 0 if one set holds it, else one that grows with the number of sets."""
+    names = [unpack(x.as_py()) for x in group.column("body")]
+    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("who")])
+    _, back = np.unique(np.concatenate(names), return_inverse=True)
+    total = np.bincount(back, counts)
+    rank = np.where(total > 1, np.ceil(4 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8)[back]
+    at = np.cumsum([0, *map(len, names)])
+    bodies = [rank[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+    none = pa.nulls(len(bodies), pa.binary())
+    return pa.table([group.column("bucket"), group.column("chunk"), group.column("head"), pa.array(bodies, pa.binary()), none, none], names=["bucket", "chunk", "head", "body", "who", "docs"])
+
+
+def rarest(flat: np.ndarray, rank: np.ndarray, n: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set that may have a link, those of its first shingles, in the order of rank and hash, that others hold too;
+    and whose they are."""
+    begin = np.cumsum(n) - n
+    doc = np.repeat(np.arange(len(n)), n)
+    lone = np.bincount(doc[rank == 0], minlength=len(n))
+    may = 100 * (n - lone) >= limit * n
+    order = np.lexsort((flat, rank, doc))
+    first = np.arange(len(flat)) - begin[doc] < (n + 1 - -(-limit * n // 100))[doc]
+    chosen = order[first]
+    chosen = chosen[(rank[chosen] > 0) & may[doc[chosen]]]
+    return flat[chosen], doc[chosen]
+
+
+def _rare_points(buckets: int, limit: int):
+    def run(group: pa.Table) -> pa.Table:
+        answers = {r["bucket"]: r for r in group.to_pylist()}
+        own = answers.pop(-1)
+        flat = np.frombuffer(own["body"], np.uint64)
+        node, n = np.frombuffer(own["docs"], np.int64).reshape(2, -1)
+        u, back = np.unique(flat, return_inverse=True)
+        order, begin = split(bucket_of(u, buckets), buckets)
+        rank = np.zeros(len(u), np.uint8)
+        for b, r in answers.items():
+            rank[order[begin[b] : begin[b + 1]]] = np.frombuffer(r["body"], np.uint8)
+        point, doc = rarest(flat, rank[back], n, limit)
+        return pa.table([pa.array(point.view(np.int64)), pa.array(node[doc])], names=["point", "a"])
+
+    return run
+
+
+#: Groups that the documents of a common point are first dealt into.
+SALT = 64
+
+
+def first_regions(bodies: DataFrame, limit: int, bucket_bytes: int) -> DataFrame:
+    """node, label: the region of each set that shares a rare point with another."""
+    size = 8 * int(bodies.agg(F.sum("n")).first()[0] or 0)
+    buckets = bucket_count(size, bucket_bytes)
+    sent = map_batches(bodies, None, SENT, whole=_send_counts(buckets))
+    points = exchange(sent, _answer_ranks, _rare_points(buckets, limit), "point long, a long", "points")
+    # the documents of a point follow the least of their group, and the groups of a point the least of these
+    dealt = points.withColumn("group", F.pmod(F.xxhash64("a"), F.lit(SALT)))
+    near = dealt.select("point", "a", F.min("a").over(Window.partitionBy("point", "group")).alias("b"))
+    heads = near.select("point", F.col("b").alias("a")).distinct()
+    far = heads.select("a", F.min("a").over(Window.partitionBy("point")).alias("b"))
+    edges = keep(near.select("a", "b").unionByName(far).where("a <> b").distinct(), "pivots")
+    found = components(edges)
+    discard(points)
+    discard(edges)
+    return found
+
+
 def _sum(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
     return c[begin[1:]] - c[begin[:-1]]
 
 
-def join_region(n: np.ndarray, flat: np.ndarray, side: np.ndarray, limit: int = LIMIT, references: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """All linked pairs of the documents of a region as two arrays of their numbers, each pair once.
+def common_with(local: np.ndarray, begin: np.ndarray, of: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Marked shingles of each of the sets ``of``."""
+    c = begin[of + 1] - begin[of]
+    at = np.repeat(begin[of] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+    return np.add.reduceat(mark[local[at]].astype(np.int64), np.cumsum(c) - c)
+
+
+def join_region(n: np.ndarray, flat: np.ndarray, side: np.ndarray, copies: np.ndarray, limit: int = LIMIT, references: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """For the documents of a region, the smallest number that each reaches over links, and its links, copies counted.
 
     ``flat`` holds the sets one after the other. Documents of side 0 meet only those of side 1; side 2 meets all. Each document is a
-    pivot once for those after it; the size window and the distances to the first ``references`` pivots exclude."""
+    pivot once for those after it; the size window and the distances to the first ``references`` pivots exclude. Of linked
+    pairs nothing is kept but the classes and the counts."""
     m = len(n)
     begin = np.concatenate([[0], np.cumsum(n)])
     _, local = np.unique(flat, return_inverse=True)
@@ -189,7 +266,7 @@ def join_region(n: np.ndarray, flat: np.ndarray, side: np.ndarray, limit: int =
     order = np.argsort(n, kind="stable")
     size, sides = n[order], side[order]
     distances: list[np.ndarray] = []
-    left, right = [], []
+    root, links = np.arange(m), np.zeros(m, np.int64)
     r = 1 - limit / 100 + 1e-9
     for k in range(m):
         p = order[k]
@@ -208,39 +285,29 @@ def join_region(n: np.ndarray, flat: np.ndarray, side: np.ndarray, limit: int =
         own = local[begin[p] : begin[p + 1]]
         mark[own] = True
         of = order[near]
-        c = n[of]
-        at = np.repeat(begin[of] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-        common = np.add.reduceat(mark[local[at]].astype(np.int64), np.cumsum(c) - c)
+        common = common_with(local, begin, of, mark)
         mark[own] = False
-        union = c + n[p] - common
+        union = n[of] + n[p] - common
         if reference:
             distances.append(1 - common / union)
         linked = (100 * common >= limit * union) & (near > k)
         if across:
             linked &= sides[near] != sides[k]
-        left.append(np.full(int(linked.sum()), p))
-        right.append(of[linked])
-    empty = np.zeros(0, np.int64)
-    return np.concatenate([empty, *left]), np.concatenate([empty, *right])
+        of = of[linked]
+        if len(of):
+            links[p] += copies[of].sum()
+            links[of] += copies[p]
+            met = np.unique(np.append(root[of], root[p]))
+            if len(met) > 1:
+                to = np.arange(m)
+                to[met] = met[0]
+                root = to[root]
+    return root, links
 
 
 FOUND = "a long, b long, links_a long"
 
 
-def forest(m: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Of each of ``m`` numbers the smallest that it reaches over all the links."""
-    root = np.arange(m)
-    while len(left):
-        low, high = np.minimum(left, right), np.maximum(left, right)
-        np.minimum.at(root, high, low)
-        while (root[root] != root).any():
-            root = root[root]
-        left, right = root[left], root[right]
-        apart = left != right
-        left, right = left[apart], right[apart]
-    return root
-
-
 def _join_bucket(limit: int):
     def join(group: pa.Table) -> pa.Table:
         """The regions of a bucket, one after the other: per document an edge to the root of its class in the region, so
@@ -257,11 +324,7 @@ def _join_bucket(limit: int):
             if len(own) < 2:
                 continue
             sets = [np.frombuffer(body[k], np.uint64) for k in own]
-            left, right = join_region(np.array([len(x) for x in sets], np.int64), np.concatenate(sets), side[own], limit)
-            root = forest(len(own), left, right)
-            links = np.zeros(len(own), np.int64)
-            np.add.at(links, left, copies[own][right])
-            np.add.at(links, right, copies[own][left])
+            root, links = join_region(np.array([len(x) for x in sets], np.int64), np.concatenate(sets), side[own], copies[own], limit)
             got = links > 0
             out_a.append(node[own][got])
             out_b.append(node[own][root[got]])
@@ -275,121 +338,148 @@ def _join_bucket(limit: int):
 MEMBERS = "region long, node long, n long, copies long, shingles binary, home boolean"
 
 
-def _voronoi(limit: int):
-    """Cells of each document of a part of a region: that of its nearest pivot, and those at most two thresholds further."""
-
-    def split(left: pa.Table, right: pa.Table) -> pa.Table:
-        members = left.select(["region", "node", "n", "copies", "shingles", "home"])
-        pivots = [np.frombuffer(p["body"], np.uint64) for p in sorted(right.to_pylist(), key=lambda p: p["pivot"])]
-        if not pivots:
-            return members
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in members.column("shingles")]
-        far = np.empty((len(sets), len(pivots)))
-        for i, own in enumerate(sets):
-            for k, other in enumerate(pivots):
-                common = int(np.isin(own, other, assume_unique=True).sum())
-                far[i, k] = 1 - common / (len(own) + len(other) - common)
-        best = far.argmin(axis=1)
-        row, cell = np.nonzero(far <= far[np.arange(len(sets)), best][:, None] + 2 * (1 - limit / 100) + 1e-9)
-        region = members.column("region").to_numpy().view(np.uint64)[row]
-        name = tk.mix(region * U64(0x9E3779B97F4A7C15) + (cell + 1).astype(np.uint64)).view(np.int64)
-        home = members.column("home").to_numpy()[row] & (cell == best[row])
-        out = members.take(pa.array(row))
-        return pa.table([pa.array(name), *(out.column(c) for c in ("node", "n", "copies", "shingles")), pa.array(home)], names=members.schema.names)
-
-    return split
-
-
-#: Members of a region that one task compares with its pivots.
-PART = 256
-
-
-def _split(members: DataFrame, sizes: DataFrame, depth: int, pivots: int, limit: int) -> DataFrame:
-    """One recursion: members of too large regions in the Voronoi cells of their region's pivots, part by part."""
-    known = members.join(sizes, "region").withColumn("parts", F.ceil(F.col("docs") / PART).cast("long"))
-    chance = F.greatest(F.ceil(F.col("docs") / pivots), F.lit(1))  # some ``pivots`` members of a region
-    chosen = known.where(F.pmod(F.xxhash64("node", F.lit(depth)), chance) == 0).dropDuplicates(["region", "node"])
+PLACES = "region long, node long, cells array<long>, home_cell long"
+
+
+def windows(far: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """For distances of documents to pivots: which cells each is in, the rest being the last, and its home."""
+    r, e = 1 - limit / 100, 1e-9
+    rest = far.shape[1]
+    best = far.min(axis=1)
+    inside = far <= np.minimum(best + 2 * r, 3 * r)[:, None] + e
+    home = np.where(best <= 2 * r, far.argmin(axis=1), rest)
+    return np.concatenate([inside, (best > r - e)[:, None]], axis=1), home
+
+
+def _places(limit: int):
+    """The cells of each document of a part of a region."""
+
+    def place(left: pa.Table, right: pa.Table) -> pa.Table:
+        region, node = left.column("region").to_numpy(), left.column("node").to_numpy()
+        n, flat = left.column("n").to_numpy(), _flat(left.column("shingles"))
+        pivots = right.sort_by("pivot")
+        u, local = np.unique(flat, return_inverse=True)
+        begin, every, mark = np.concatenate([[0], np.cumsum(n)]), np.arange(len(n)), np.zeros(len(u), bool)
+        far = np.ones((len(n), max(1, pivots.num_rows)))
+        for k, body in enumerate(pivots.column("body")):
+            own = np.frombuffer(body.as_buffer(), np.uint64)
+            held = np.minimum(np.searchsorted(u, own), len(u) - 1)
+            mark[held[u[held] == own]] = True
+            common = common_with(local, begin, every, mark)
+            mark[:] = False
+            far[:, k] = 1 - common / (n + len(own) - common)
+        inside, home = windows(far, limit)
+        row, cell = np.nonzero(inside)
+        name = lambda of, c: tk.mix(region.view(np.uint64)[of] * U64(0x9E3779B97F4A7C15) + (c + 1).astype(np.uint64)).view(np.int64)
+        cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(inside.sum(axis=1))]).astype(np.int32)), pa.array(name(row, cell)))
+        return pa.table([pa.array(region), pa.array(node), cells, pa.array(name(every, home))], names=["region", "node", "cells", "home_cell"])
+
+    return place
+
+
+def _split(members: DataFrame, sizes: DataFrame, depth: int, pivots: tuple[int, int], limit: int) -> tuple[DataFrame, DataFrame]:
+    """One recursion: the members of too large regions in their Voronoi cells, and the regions that windows do not part.
+
+    Members meet their region's pivots part by part, and are copied only once the number of copies is known."""
+    known = members.join(sizes, "region").withColumn("parts", F.ceil(F.greatest(F.col("docs") / PART, F.col("shingles_in") / PART_SHINGLES)).cast("long"))
+    wanted = F.least(F.greatest(F.col("docs") / PER_PIVOT, F.lit(pivots[0])), F.lit(pivots[1]))
+    chance = F.greatest(F.ceil(F.col("docs") / wanted), F.lit(1))
+    chosen = known.where(F.pmod(F.xxhash64("node", F.lit(depth)), chance) == 0)
     sent = chosen.select(F.col("region").alias("of"), F.col("node").alias("pivot"), F.col("shingles").alias("body"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("to"))
     dealt = known.withColumn("part", F.pmod(F.xxhash64("node", F.lit(depth + 100)), F.col("parts")))
     ship(members.sparkSession)
-    return dealt.groupBy("region", "part").cogroup(sent.groupBy("of", "to")).applyInArrow(_voronoi(limit), MEMBERS)
+    placed = keep(dealt.groupBy("region", "part").cogroup(sent.groupBy("of", "to")).applyInArrow(_places(limit), PLACES), "places")
+    growth = placed.groupBy("region").agg((F.sum(F.size("cells")) / F.count(F.lit(1))).alias("growth"))
+    whole = growth.where(F.col("growth") > GROWTH).select("region")
+    parted = placed.join(F.broadcast(whole) if _few(whole) else whole, "region", "left_anti")
+    moved = members.join(parted, ["region", "node"]).withColumn("cell", F.explode("cells"))
+    cells = moved.select(F.col("cell").alias("region"), "node", "n", "copies", "shingles", (F.col("home") & (F.col("cell") == F.col("home_cell"))).alias("home"))
+    return keep(cells, "cells"), keep(whole, "whole")
+
 
+def _few(names: DataFrame, most: int = 100_000) -> bool:
+    return names.limit(most + 1).count() <= most
 
-def link_sets(members: DataFrame, limit: int = LIMIT, most: int = REGION_SHINGLES, pivots: int = PIVOTS, splits: int = SPLITS) -> DataFrame:
+
+def link_sets(members: DataFrame, limit: int = LIMIT, most: int = REGION_SHINGLES, most_docs: int = REGION_DOCS, pivots: tuple[int, int] = PIVOTS, splits: int = SPLITS) -> DataFrame:
     """(a, b, links_a): each linked document with the root of its class in its cell, and its links in the cells where it is
     at home. ``members`` has a row per region and document."""
-    ready, rest = [], members
+    columns = ["region", "node", "n", "copies", "shingles", "home"]
+    ready, rest = [], members.select(columns)
     for depth in range(splits + 1):
         sizes = keep(rest.groupBy("region").agg(F.sum("n").alias("shingles_in"), F.count(F.lit(1)).alias("docs")), "regions")
-        large = sizes.where(F.col("shingles_in") > most)
-        if large.limit(1).count() == 0:
+        large = sizes.where((F.col("shingles_in") > most) | (F.col("docs") > most_docs))
+        if large.isEmpty():
             ready.append(rest.withColumn("side", F.lit(2)))
             break
-        large_names = large.select("region", "docs", "shingles_in")
-        ready.append(rest.join(large_names.select("region"), "region", "left_anti").select(*members.columns, F.lit(2).alias("side")))
-        rest = rest.join(large_names.select("region"), "region", "left_semi")
+        names = large.select("region")
+        ready.append(rest.join(names, "region", "left_anti").select(*columns, F.lit(2).alias("side")))
+        rest = rest.join(names, "region", "left_semi").select(columns)
         if depth == splits:
-            ready.append(_tiles(rest, large_names, most).select(*members.columns, "side"))
+            ready.append(_tiles(rest, large, most, most_docs).select(*columns, "side"))
         else:
-            rest = keep(_split(rest, large_names.select("region", "docs"), depth, pivots, limit), "cells")
+            cells, whole = _split(rest, large, depth, pivots, limit)
+            ready.append(_tiles(rest, large.join(whole, "region"), most, most_docs).select(*columns, "side"))
+            rest = cells
     every = ready[0]
     for x in ready[1:]:
         every = every.unionByName(x)
-    total = members.agg(F.sum("n")).first()[0] or 0
-    buckets = int(max(256, -(-16 * total // most)))  # small beside a large region, so that tasks even out
+    total, docs = members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    buckets = int(max(256, -(-16 * total // most), -(-16 * docs // most_docs)))  # small beside a large region, so that tasks even out
     return every.groupBy(F.pmod(F.xxhash64("region"), F.lit(buckets)).alias("bucket")).applyInArrow(_join_bucket(limit), FOUND)
 
 
-def _tiles(members: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
-    """What pivots do not separate: blocks of documents, each two of which meet as a region of their own."""
-    blocks = F.ceil(2 * F.col("shingles_in") / most).cast("long")
+def _tiles(members: DataFrame, sizes: DataFrame, most: int, most_docs: int) -> DataFrame:
+    """What pivots do not part: blocks of documents, each two of which meet as a region of their own."""
+    blocks = F.ceil(F.greatest(2 * F.col("shingles_in") / most, 2 * F.col("docs") / most_docs)).cast("long")
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = members.join(sizes, "region").withColumn("blocks", blocks).withColumn("block", block)
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return other.withColumn("region", F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))).withColumn("side", F.when(F.col("block") == F.col("other"), F.lit(2)).otherwise((F.col("block") > F.col("other")).cast("int")))
 
 
-def _with_sets(size: int):
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i, j, buf, offs in tk.chunks(batch.column(1), CHUNK):
-            flat, begin = shingle_sets(buf, offs, size)
-            raw = flat.tobytes()
-            bodies = pa.array([raw[8 * a : 8 * b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())], pa.binary())
-            take = lambda k: batch.column(k).slice(i, j - i)
-            yield pa.RecordBatch.from_arrays([take(2), take(0), pa.array(np.diff(begin)), take(3), bodies, pa.array(np.ones(j - i, bool))], ["region", "node", "n", "copies", "shingles", "home"])
-
-    return work
-
-
-def near_classes(docs: DataFrame, size: int = SIZE, limit: int = LIMIT, most: int = REGION_SHINGLES, pivots: int = PIVOTS, splits: int = SPLITS) -> DataFrame:
+def near_classes(docs: DataFrame, size: int = SIZE, limit: int = LIMIT, bucket_bytes: int = BUCKET_BYTES, **regions_of) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links, one row per document row: links are pairs whose sets of ``size``-word
-    shingles have a similarity of ``limit`` percent at least."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = keep(map_batches(text, _sets(size), SETS), "sets")
+    shingles have a similarity of ``limit`` percent at least. ``mark`` is a hash of the text and ``lead`` whether the row is
+    the one of its class with the least id and mark. Further parameters are those of :func:`link_sets`."""
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    sets = screen(text, size, bucket_count(text_bytes(docs), bucket_bytes))
     filled = sets.where("n > 0 and doc_id is not null")
-    nodes = keep(filled.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
-    pivot_rows = map_batches(text, _pivots(size, limit), "sig long, a long")
-    hub = F.min("a").over(Window.partitionBy("sig"))  # one exchange of pivots, and none of them is kept
-    edges = keep(pivot_rows.select("a", hub.alias("b")).where("a <> b").distinct(), "pivots")
-    regions = components(edges).withColumnRenamed("node", "fp1")
-    chosen = nodes.join(regions, "fp1").select(F.col("node").alias("doc_id"), F.col("label").alias("region"), "copies")
-    # repeated rows of a node are one
-    members = text.join(chosen, "doc_id").select("doc_id", "text", "region", "copies")
-    members = keep(map_batches(members, _with_sets(size), MEMBERS).dropDuplicates(["region", "node"]), "members")
-    discard(edges)
-    found = keep(link_sets(members, limit, most, pivots, splits), "links")
+    nodes = keep(filled.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.min("lone").alias("lone")), "nodes")
+    alive = keep(nodes.where(100 * (F.col("n") - F.col("lone")) >= limit * F.col("n")).select("first.doc_id", "first.mark", F.col("fp1").alias("node"), "copies"), "alive")
+    bodies = keep(map_batches(text.join(alive, ["doc_id", "mark"]).select("doc_id", "text", "node", "copies"), _bodies(size), BODIES), "bodies")
+    regions = first_regions(bodies, limit, bucket_bytes)
+    members = bodies.join(regions, "node").select(F.col("label").alias("region"), "node", "n", "copies", "shingles", F.lit(True).alias("home"))
+    members = keep(members.dropDuplicates(["region", "node"]), "members")  # repeated rows of a node are one
+    discard(bodies)
+    found = keep(link_sets(members, limit, **regions_of), "links")
     discard(members)
     labels = components(found.select("a", "b"))
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links_a").alias("links"))
-    known = nodes.join(labels, "node", "left").join(links, "node", "left")
-    known = known.select("fp1", "fp2", F.coalesce("label", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = sets.select("doc_id", "n", "fp1", "fp2").join(known, ["fp1", "fp2"], "left")
+    linked = nodes.join(labels.join(links, "node"), F.col("fp1") == F.col("node")).select("fp1", "fp2", "first", "label", "links")
+    linked = keep(linked, "linked")
+    least = linked.groupBy("label").agg(F.min("first").alias("least"))
+    known = nodes.select("fp1", "fp2", "first", "copies").join(linked.join(least, "label").select("fp1", "fp2", "least", "links"), ["fp1", "fp2"], "left")
+    known = known.select("fp1", "fp2", F.coalesce("least", "first").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = sets.join(known, ["fp1", "fp2"], "left")
     own = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(own, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(own, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        "mark", F.when(own, F.col("least") == F.struct("doc_id", "mark")).otherwise(F.lit(True)).alias("lead"),
+    )
+
+
+def lead_documents(docs: DataFrame, size: int = SIZE, limit: int = LIMIT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one stays of each class; rows that repeat an id and a text are one."""
+    id_, mark, gone_mark = (fresh(x, docs.columns) for x in ("id", "mark", "gone_mark"))
+    gone = near_classes(docs, size, limit).where("not lead").select(F.col("doc_id").alias(id_), F.col("mark").alias(gone_mark)).distinct()
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    left = marked.join(gone, (F.col("doc_id").cast("long") == F.col(id_)) & (F.col(mark) == F.col(gone_mark)), "left_anti")
+    return left.dropDuplicates(["doc_id", mark]).select(docs.columns)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents"))
+    return near_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 OP4_SQL = r"""

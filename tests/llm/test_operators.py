@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -126,19 +127,73 @@ def test_jaccard_join(spark, corpus):
     assert jaccard_join.near_classes(spark.createDataFrame([], schema)).count() == 0
 
 
-@pytest.mark.parametrize("most, pivots, splits", [(300, 3, 3), (300, 3, 0)])
-def test_jaccard_join_splits_large_regions(spark, most, pivots, splits):
+@pytest.mark.parametrize("most_docs, pivots, splits", [(6, (3, 3), 3), (6, (3, 3), 0), (10, (20, 20), 2)])
+@pytest.mark.parametrize("size, limit", [(3, 90), (5, 80)])
+def test_jaccard_join_splits_large_regions(spark, most_docs, pivots, splits, size, limit):
     rng = random.Random(5)
-    base = [f"w{i}" for i in range(120)]
     texts = []
-    for k in range(24):
-        w = list(base)
-        for p in rng.sample(range(120), rng.randint(0, 4)):
-            w[p] = f"x{rng.randint(0, 9)}"
-        texts.append(" ".join(w))
+    for c in range(3):  # clusters that share a passage
+        base = [f"w{i}" for i in range(40)] + [f"c{c}_{i}" for i in range(80)]
+        for k in range(12):
+            w = list(base)
+            for p in rng.sample(range(120), rng.randint(0, 4)):
+                w[p] = f"x{rng.randint(0, 9)}"
+            texts.append(" ".join(w))
     rows = [(k, t, None) for k, t in enumerate(texts)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    assert _by(jaccard_join.near_classes(docs, most=most, pivots=pivots, splits=splits), *COLS4) == _classes(rows)
+    got = jaccard_join.near_classes(docs, size, limit, bucket_bytes=500, most_docs=most_docs, pivots=pivots, splits=splits)
+    assert _by(got, *COLS4) == _classes(rows, size, limit)
+
+
+@pytest.mark.parametrize("limit", [80, 90])
+def test_voronoi_windows_keep_every_link(limit):
+    rng = np.random.default_rng(3)
+    base = [rng.permutation(400)[:200] for _ in range(4)]
+    sets = [set(np.where(rng.random(200) < rng.choice([0.02, 0.1, 0.3]), rng.integers(400, 900, 200), base[k % 4])) for k in range(160)]
+    far = lambda a, b: 1 - len(a & b) / len(a | b)
+    inside, home = jaccard_join.windows(np.array([[far(a, sets[p]) for p in range(0, 160, 9)] for a in sets]), limit)
+    assert inside[np.arange(160), home].all() and (home == inside.shape[1] - 1).any()
+    linked = [(a, b) for a in range(160) for b in range(160) if a != b and 100 * len(sets[a] & sets[b]) >= limit * len(sets[a] | sets[b])]
+    assert linked and all(inside[b, home[a]] for a, b in linked)
+
+
+def test_linked_sets_share_a_rarest_shingle():
+    rng = np.random.default_rng(8)
+    passage = set(range(60))
+    sets = []
+    for c in range(12):
+        base = passage | {1000 * (c + 1) + i for i in range(60)}
+        sets += [{int(x) if rng.random() > 0.06 else int(rng.integers(1 << 40, 1 << 50)) for x in base} for _ in range(4)]
+    flat = np.concatenate([np.sort(np.array(list(s), np.uint64)) for s in sets])
+    n = np.array([len(s) for s in sets])
+    u, back, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.where(count > 1, np.ceil(4 * np.log2(count)), 0).astype(np.uint8)[back]
+    for limit in (80, 90):
+        point, doc = jaccard_join.rarest(flat, rank, n, limit)
+        own = [set(point[doc == d].tolist()) for d in range(len(sets))]
+        linked = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= limit * len(sets[a] | sets[b])]
+        assert linked and all(own[a] & own[b] for a, b in linked)
+        assert not any(own[a] & own[b] for a in range(len(sets)) for b in range(a) if a // 4 != b // 4)  # the passage binds nothing
+
+
+def test_jaccard_join_repeated_ids_with_different_texts(spark):
+    w = [f"w{i}" for i in range(120)]
+    near, other = " ".join([*w[:60], "x", *w[61:]]), " ".join(f"o{i}" for i in range(50))
+    docs = spark.createDataFrame([(5, " ".join(w)), (5, other), (2, near), (7, other), (7, other)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.n_links, r.lead) for r in jaccard_join.near_classes(docs).collect())
+    assert got == [(2, 2, 1, True), (5, 2, 1, False), (5, 5, 2, True), (7, 5, 2, False), (7, 5, 2, False)]
+
+
+def test_thousands_of_near_copies_in_one_task():
+    rng = np.random.default_rng(1)
+    base = np.sort(rng.integers(0, 1 << 60, 60).astype(np.uint64))
+    sets = [np.unique(np.where(rng.random(60) < 0.02, rng.integers(0, 1 << 60, 60).astype(np.uint64), base)) for _ in range(3000)]
+    n = np.array([len(s) for s in sets])
+    tracemalloc.start()
+    root, links = jaccard_join.join_region(n, np.concatenate(sets), np.full(3000, 2), np.ones(3000, np.int64), 80)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20  # no list of pairs
+    tracemalloc.stop()
+    assert np.bincount(root).max() > 2900 and links.max() > 2900
 
 
 @pytest.mark.parametrize("most", [jaccard_join.REGION_SHINGLES, 300])
@@ -155,7 +210,7 @@ def test_jaccard_join_keeps_classes_whose_centre_is_last(spark, most):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1)
     want = _classes(rows)
     assert {r[2] for r in want} == {1} and {r[3] for r in want} == {1, 6}
-    assert _by(jaccard_join.near_classes(docs, most=most, pivots=3), *COLS4) == want
+    assert _by(jaccard_join.near_classes(docs, most=most, pivots=(3, 3)), *COLS4) == want
 
 
 def test_jaccard_join_pivots_of_a_copy_after_one_without_an_id(spark):

@@ -1,10 +1,6 @@
 """The near-duplicate stage links by five words and 0.8."""
 
-import numpy as np
-import pytest
-
 import corpus_pipeline
-from tessera.llm import jaccard_join as jj
 
 
 def test_stage_drops_pairs_of_five_words_and_four_fifths(spark):
@@ -19,12 +15,3 @@ def test_stage_drops_pairs_of_five_words_and_four_fifths(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
-
-
-@pytest.mark.parametrize("limit", [90, 80])
-@pytest.mark.parametrize("n", [40, 100, 230, 500, 900])
-def test_few_sets_share_the_last_region(n, limit):
-    rng = np.random.default_rng(n)
-    begin = np.arange(0, 101 * n, n)
-    name, _ = jj.signatures(np.concatenate([np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(100)]), begin, limit)
-    assert np.unique(name, return_counts=True)[1].max() <= 3
