@@ -21,9 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents linked by five words and 0.8, the one with the smallest id stays."""
-    classes = jaccard_join.near_classes(docs, size=5, limit=80)
-    stay = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return jaccard_join.lead_documents(docs, size=5, limit=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
