@@ -4,11 +4,13 @@ A shard is a bounded run of documents in one task. Its words become symbols of t
 no benchmark phrase holds break the sequence, and pieces shorter than the shortest phrase cannot hold one. Backward
 search finds every phrase in the index, sampled suffix positions locate the occurrences, and overlapping spans merge.
 
-The benchmark is read in blocks of bounded size, so a large one takes several passes and never grows a task.
+The benchmark is read in blocks of bounded size, so a large one takes several passes and never grows a task. The answers of
+all passes meet by id and a hash of the text, so rows that share only an id, or have none, are told apart.
 
-Defined cases: a null or empty text has no words and is clean; a null or empty benchmark item has no phrase; an empty
-benchmark leaves every document clean; repeated documents are judged alike and repeated items count once by id. Words
-are compared by 64-bit hashes. Only doc_id, text and item_id, text are read.
+Defined cases: a null or empty text has no words and is clean; a null or empty benchmark item has no phrase; the words of
+an item without an id are hit, but it is not listed or counted; an empty benchmark leaves every document clean; repeated
+documents are judged alike and repeated items count once by id. Words are compared by 64-bit hashes. Only doc_id, text and
+item_id, text are read.
 """
 
 from __future__ import annotations
@@ -23,49 +25,51 @@ from pyspark.sql import types as T
 
 from . import textkernel as tk
 from .fmindex import FMIndex
-from .io import keep, map_batches, table
+from .io import fresh, keep, map_batches, table
 
 WINDOW = 13
 #: Text of the benchmark that one pass searches for.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Text of a shard, the documents of one index.
 SHARD_BYTES = 8 << 20
 
-HITS_SCHEMA = "doc_id long, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
+HITS_SCHEMA = "doc_id long, mark long, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
 
 
 class Phrases:
     """The distinct windows of a block of items, as rows of symbols from 1, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, str]]):
+    def __init__(self, items: list[tuple[str | None, str]]):
         col = pa.array([t for _, t in items], pa.string())
-        names: dict[str, int] = {}
-        hashes: list[np.ndarray] = []
-        owners: list[int] = []
+        names: dict[str | None, int] = {}
+        known, sizes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         for i, _, buf, offs in tk.chunks(col):
             buf = tk.lower(buf)
             starts, ends, first = tk.words(buf, offs, tk.ALNUM)
             h = tk.hash_words(buf, starts, ends)
-            for d in range(len(offs) - 1):
-                own = h[first[d] : first[d + 1]]
-                if len(own):
-                    item = names.setdefault(items[i + d][0], len(names))
-                    for k in range(max(1, len(own) - WINDOW + 1)):
-                        hashes.append(own[k : k + WINDOW])
-                        owners.append(item)
+            known.append(np.unique(h))
+            n = np.diff(first)
+            count = np.where(n > 0, np.maximum(n - WINDOW + 1, 1), 0)
+            item = np.repeat(np.arange(len(n)), count)
+            begin = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + first[:-1][item]
+            size = np.minimum(n, WINDOW)[item]
+            at = begin[:, None] + np.arange(WINDOW)
+            words = np.where(np.arange(WINDOW) < size[:, None], h[np.minimum(at, max(len(h) - 1, 0))], 0) if len(item) else np.zeros((0, WINDOW), np.uint64)
+            parts.append((words, size))
+            sizes.append(size)
+            owners.append(np.array([names.setdefault(items[i + d][0], len(names)) for d in range(len(n))], np.int64)[item])
         self.items = list(names)
-        self.vocab = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+        self.vocab = np.unique(np.concatenate(known))
         self.near = np.zeros(1 << 16, dtype=bool)
         self.near[(self.vocab >> np.uint64(48)).astype(np.int64)] = True
-        lengths = np.array([len(x) for x in hashes], np.int64)
-        rows = np.zeros((len(hashes), WINDOW), np.int64)
-        for k, x in enumerate(hashes):
-            rows[k, : len(x)] = np.searchsorted(self.vocab, x) + 1
+        lengths, owner = np.concatenate(sizes), np.concatenate(owners)
+        rows = np.concatenate([np.where(np.arange(WINDOW) < z[:, None], np.searchsorted(self.vocab, w) + 1, 0).astype(np.int32) for w, z in parts]) if parts else np.zeros((0, WINDOW), np.int32)
         self.rows, back = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
         back = back.reshape(-1)
         self.lengths = np.zeros(len(self.rows), np.int64)
         self.lengths[back] = lengths
-        pairs = np.unique(np.stack([back, np.array(owners, np.int64)], axis=1), axis=0) if len(rows) else np.zeros((0, 2), np.int64)
+        pairs = np.unique(np.stack([back, owner], axis=1), axis=0) if len(rows) else np.zeros((0, 2), np.int64)
         self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
         self.owners = pairs[:, 1]
         self.shortest = int(self.lengths.min()) if len(self.rows) else 0
@@ -104,10 +108,10 @@ def _pieces(symbols: np.ndarray, first: np.ndarray, shortest: int) -> tuple[np.n
 
 
 def _searcher(phrases: Phrases, rows: bool = False):
-    """Searches batches of doc_id and text, or, with ``rows``, of whole rows in one column, which are carried along."""
+    """Searches batches of doc_id, text and mark, or, with ``rows``, of whole rows in one column, which are carried along."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        carried, texts = (batch.column(0), batch.column(0).field("text")) if rows else (batch.column(0), batch.column(1))
+        carried, texts = ([batch.column(0)], batch.column(0).field("text")) if rows else ([batch.column(0), batch.column(2)], batch.column(1))
         for i, j, buf, offs in tk.chunks(texts, SHARD_BYTES):
             buf = tk.lower(buf)
             starts, ends, first = tk.words(buf, offs, tk.ALNUM)
@@ -117,7 +121,7 @@ def _searcher(phrases: Phrases, rows: bool = False):
                 text, word = _pieces(phrases.symbols(tk.hash_words(buf, starts, ends)), first, phrases.shortest)
                 if len(text):
                     _hits(phrases, text, word, first, spans, items)
-            yield pa.RecordBatch.from_arrays([carried.slice(i, j - i), pa.array(np.diff(first).astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(items, pa.list_(pa.string()))], ["row" if rows else "doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*(x.slice(i, j - i) for x in carried), pa.array(np.diff(first).astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(items, pa.list_(pa.string()))], [*(["row"] if rows else ["doc_id", "mark"]), "n_words", "spans", "items"])
 
     return work
 
@@ -141,7 +145,8 @@ def _hits(phrases: Phrases, text: np.ndarray, word: np.ndarray, first: np.ndarra
     size = phrases.first[which + 1] - phrases.first[which]
     item = phrases.owners[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(phrases.first[which], size)]
     for d, k in np.unique(np.stack([of, item], axis=1), axis=0):
-        items[d].append(phrases.items[k])
+        if phrases.items[k] is not None:
+            items[d].append(phrases.items[k])
     for d in np.unique(doc):
         flags = np.concatenate([[False], hit[first[d] : first[d + 1]], [False]]).astype(np.int8)
         turn = np.flatnonzero(np.diff(flags))
@@ -149,7 +154,7 @@ def _hits(phrases: Phrases, text: np.ndarray, word: np.ndarray, first: np.ndarra
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    bench = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    bench = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return bench, max(1, -(-int(total) // block_bytes))
 
@@ -162,9 +167,11 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BL
     """The rows of ``docs``, with all their columns, that are not contaminated; no shuffle if the benchmark is one block."""
     bench, blocks = _blocks(benchmark, block_bytes)
     if blocks > 1:
-        bad = contamination(find_phrases(docs, benchmark, block_bytes)).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
-    hits = T.StructType.fromDDL(HITS_SCHEMA.split(", ", 1)[1])
+        id_, mark, bad_mark = (fresh(x, docs.columns) for x in ("id", "mark", "bad_mark"))
+        bad = contamination(find_phrases(docs, benchmark, block_bytes)).where("contaminated").select(F.col("doc_id").alias(id_), F.col("mark").alias(bad_mark)).distinct()
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(bad_mark))
+        return docs.withColumn(mark, F.xxhash64("text")).join(bad, same, "left_anti").select(docs.columns)
+    hits = T.StructType.fromDDL(HITS_SCHEMA.split(", ", 2)[2])
     schema = T.StructType([T.StructField("row", docs.schema), *hits.fields])
     found = map_batches(docs.select(F.struct("*").alias("row")), _searcher(_phrases(bench), rows=True), schema)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["last"] - x["first"]))
@@ -172,36 +179,36 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BL
 
 
 def find_phrases(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, merged spans of hit words (end exclusive) and ids of occurring items, one row per document row.
-
-    ``block_bytes`` bounds the benchmark text that a pass sends to the tasks; passes after the first join on a row key.
-    """
+    """doc_id, a hash of the text (mark), n_words, merged spans of hit words (end exclusive) and ids of occurring items, one row
+    per document row. ``block_bytes`` bounds the benchmark text that a pass sends to the tasks."""
     bench, blocks = _blocks(benchmark, block_bytes)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     found = None
     for b in range(blocks):
         own = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         part = map_batches(text, _searcher(_phrases(own)), HITS_SCHEMA)
         if blocks > 1:
-            part = keep(part, "decontaminate")
+            part = keep(part.withColumn("block", F.lit(b)), "decontaminate")
         found = part if found is None else found.unionByName(part)
     return found if blocks == 1 else _merge(found, blocks)
 
 
 def _merge(found: DataFrame, blocks: int) -> DataFrame:
-    """Of several passes: each document's spans merge in one fold; repeated rows of a document count once each."""
+    """Of several passes: each document's spans merge in one fold. Rows that repeat an id and a text had equal answers, so one
+    of each pass is enough, and each of the rows gets the merged one."""
     runs = F.aggregate(
         F.array_sort(F.flatten(F.collect_list("spans"))),
         F.expr("cast(array() as array<struct<first:int,last:int>>)"),
         lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["last"] >= x["first"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(done, F.array(x))),
     )
-    grouped = found.groupBy("doc_id", "n_words").agg((F.count(F.lit(1)) / blocks).cast("int").alias("n"), runs.alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return grouped.select("doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_copy")).drop("_copy")
+    once = found.groupBy("doc_id", "mark", "n_words", "block").agg(F.count(F.lit(1)).alias("n"), F.any_value("spans").alias("spans"), F.any_value("items").alias("items"))
+    grouped = once.groupBy("doc_id", "mark", "n_words").agg(F.max("n").alias("n"), runs.alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return grouped.select("doc_id", "mark", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_copy")).drop("_copy")
 
 
 def contamination(hits: DataFrame) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["last"] - x["first"]))
-    out = hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "spans")
+    out = hits.select("doc_id", "mark", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "spans")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
