@@ -20,8 +20,8 @@ from .io import keep, map_batches, remove, scratch
 
 #: Names are cut to so many bytes; a chance match makes a name seem seen twice.
 NAME_BYTES = 5
-#: Text of a bucket, on average, and most buckets.
-BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 65_000
+#: Text of a bucket, on average.
+BUCKET_BYTES = 16 << 20
 
 SENT = "bucket int, chunk long, head int, body binary, who binary, docs binary"
 U64 = np.uint64
@@ -32,7 +32,7 @@ def chunk_id(k: int) -> int:
 
 
 def code_type(buckets: int) -> np.dtype:
-    return np.dtype(np.uint8 if buckets < 255 else np.uint16)
+    return np.dtype(np.uint8 if buckets < 1 << 8 else np.uint16 if buckets < 1 << 16 else np.uint32)
 
 
 def bucket_of(name: np.ndarray, buckets: int) -> np.ndarray:
@@ -88,7 +88,7 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def bucket_count(size: int, bucket_bytes: int = BUCKET_BYTES) -> int:
-    return min(MOST_BUCKETS, max(8, -(-size // bucket_bytes)))
+    return max(8, -(-size // bucket_bytes))
 
 
 def exchange(sent: DataFrame, answer: Callable, gather_: Callable, schema: str, what: str) -> DataFrame:

@@ -11,8 +11,8 @@ What is sent is packed: a row per chunk and bucket, with the answers as bits in
 exchange is a few bytes per symbol. A symbol or window that is everywhere is sent once by a chunk. Buckets grow with the
 text. Answers are put together per chunk, and texts are joined to their document's flags and ranges by id and hash.
 
-Names are cut to 40 bits for step 1, where a chance match only keeps a window for step 2. Step 2 compares 64-bit hashes
-of windows, or 128 bits for over ``WIDE_BYTES`` of text.
+Names are cut to 40 bits for step 1, where a chance match only keeps a window for step 2. Step 2 compares windows by two
+64-bit hashes, made of two independent hashes of each word.
 
 Defined cases: a null or empty text has no words, and the digest of the empty string; a document shorter than a window
 keeps all; repeated rows with one id do not remove each other's words, as neither id is smaller; rows with a null id
@@ -36,9 +36,6 @@ from .io import map_batches, table
 from .recompress import recompress
 
 WINDOW, ROUNDS = 13, 3
-#: Text beyond which windows are compared by 128 bits.
-WIDE_BYTES = 1 << 36
-
 #: Bytes of text of a chunk; the arrays of the rounds take some 25 times as much.
 CHUNK = 3 << 20
 
@@ -56,7 +53,9 @@ def _candidates(h: np.ndarray, first: np.ndarray, bits: list, sizes: list) -> np
     begin = np.cumsum(per) - per
     seen = np.zeros(len(s.name) + 1, np.int64)
     for d, (b, n) in enumerate(zip(bits, sizes)):
-        if b is not None and n == per[d]:
+        if b is not None:
+            if n != per[d]:
+                raise ValueError("a document has other symbols than when it was asked about")
             seen[begin[d] + 1 : begin[d] + 1 + n] = np.unpackbits(np.frombuffer(b, np.uint8), count=n)
     own = np.concatenate([[0], np.cumsum(1 - seen[1:])])
     at = tk.within(first, WINDOW)
@@ -67,7 +66,7 @@ def _candidates(h: np.ndarray, first: np.ndarray, bits: list, sizes: list) -> np
     return at[(own[high] == own[low]) & has[at_doc]]
 
 
-def _send_windows(buckets: int, wide: bool):
+def _send_windows(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for batch in batches:
@@ -82,9 +81,7 @@ def _send_windows(buckets: int, wide: bool):
                 at = _candidates(h, first, bits[i:j], sizes[i:j])
                 if not len(at):
                     continue
-                keys = [tk.window_hash(h, WINDOW)[at]]
-                if wide:
-                    keys.append(tk.window_hash(tk.mix(h + np.uint64(0x632BE59BD9B4E019)), WINDOW)[at])
+                keys = [tk.window_hash(x, WINDOW)[at] for x in (h, tk.hash_words(buf, starts, ends, seed=1))]
                 doc = np.searchsorted(first, at, side="right") - 1
                 order = np.lexsort((ids[i:j][doc], *keys[::-1]))
                 new = np.ones(len(order), bool)
@@ -113,24 +110,21 @@ def _send_windows(buckets: int, wide: bool):
     return run
 
 
-def _answer_windows(wide: bool):
-    def run(group: pa.Table) -> pa.Table:
-        keys, docs, sizes = [], [], []
-        for r in group.select(["head", "body", "who", "docs"]).to_pylist():
-            keys.append(np.frombuffer(r["body"], np.uint64).reshape(2 if wide else 1, -1))
-            own = np.frombuffer(r["docs"], np.int64)
-            who = np.frombuffer(r["who"], np.uint16 if len(r["who"]) == 2 * r["head"] else np.uint32)
-            docs.append(own[who])
-            sizes.append(r["head"])
-        key, doc = np.concatenate(keys, axis=1), np.concatenate(docs)
-        order = np.lexsort((doc, *key[::-1]))
-        new = np.ones(len(order), bool)
-        new[1:] = np.any(key[:, order[1:]] != key[:, order[:-1]], axis=0)
-        flags = np.zeros(len(order), bool)
-        flags[order] = doc[order] > doc[order[np.flatnonzero(new)]][np.cumsum(new) - 1]
-        return answers_of(group, flags, sizes)
-
-    return run
+def _answer_windows(group: pa.Table) -> pa.Table:
+    keys, docs, sizes = [], [], []
+    for r in group.select(["head", "body", "who", "docs"]).to_pylist():
+        keys.append(np.frombuffer(r["body"], np.uint64).reshape(2, -1))
+        own = np.frombuffer(r["docs"], np.int64)
+        who = np.frombuffer(r["who"], np.uint16 if len(r["who"]) == 2 * r["head"] else np.uint32)
+        docs.append(own[who])
+        sizes.append(r["head"])
+    key, doc = np.concatenate(keys, axis=1), np.concatenate(docs)
+    order = np.lexsort((doc, *key[::-1]))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any(key[:, order[1:]] != key[:, order[:-1]], axis=0)
+    flags = np.zeros(len(order), bool)
+    flags[order] = doc[order] > doc[order[np.flatnonzero(new)]][np.cumsum(new) - 1]
+    return answers_of(group, flags, sizes)
 
 
 RANGES = "doc_id long, mark long, ranges binary"
@@ -157,12 +151,11 @@ def _removed_ranges(buckets: int):
 def removed_ranges(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, a hash of the text, and the removed word ranges (pairs of int32) of the documents that lose words."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
-    size = text_bytes(docs)
-    buckets, wide = bucket_count(size, bucket_bytes), size > WIDE_BYTES
+    buckets = bucket_count(text_bytes(docs), bucket_bytes)
     flags = seen_twice(text, _names, buckets, CHUNK, "names")
     flagged = text.join(flags, ["doc_id", "mark"]).select("doc_id", "text", "mark", "n", "bits")
-    sent = map_batches(flagged, None, SENT, whole=_send_windows(buckets, wide))
-    ranges = exchange(sent, _answer_windows(wide), _removed_ranges(buckets), RANGES, "windows")
+    sent = map_batches(flagged, None, SENT, whole=_send_windows(buckets))
+    ranges = exchange(sent, _answer_windows, _removed_ranges(buckets), RANGES, "windows")
     return ranges.dropDuplicates(["doc_id", "mark"])
 
 
