@@ -1,11 +1,15 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate in its context.
 
-Base spans are leftmost, non-overlapping matches of three patterns. Every other run of token characters that is long
-enough and holds a digit is a candidate; the network reads its characters with those around it. It is fitted to labelled
-findings: candidates inside base spans are secrets, the rest are not; in half of the findings the characters before the
-candidate are taken from others, so that the network learns the shape of a secret and not only the keyword. A logistic fit calibrates
-its output, and the threshold is the highest that keeps the wanted recall on findings held out from training, and at
-least one half. Candidates at or over it become spans of kind ``model``; base spans always stay.
+Base spans are leftmost, non-overlapping matches of three patterns. A candidate is any other run of token characters of at
+least ``CANDIDATE`` bytes that is not plainly a word: it has ``LONG`` bytes, or holds a digit, an upper-case letter after its
+first character or one of + / _, or stands after a colon or an equals sign. The network reads all of a candidate, in pieces of ``INSIDE``
+bytes with the characters around each; the candidate's probability is that of its most suspicious piece.
+
+No table says which strings are secrets, so the labelled findings are those of the patterns: candidates inside base spans are
+secrets. All others are unlabelled; they count as negatives of half the weight, for some may be secrets too. In half of the
+findings the characters before the candidate are taken from others, so that the network learns the shape of a secret and
+not only the keyword. Findings held out from training are also read with the characters before others: a logistic fit
+calibrates the network's output on them, and the threshold is the highest that keeps the wanted recall of them. Candidates at or over it become spans of kind ``model``; base spans always stay.
 
 Defined cases: a null or empty text has no spans; repeated rows have the same spans; without findings of both kinds no
 span is added; an empty table gives no rows. Only doc_id and text are read.
@@ -30,8 +34,12 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "model")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
-#: Shortest candidate; bytes before it, of it and after it that the network reads.
-CANDIDATE, BEFORE, INSIDE, AFTER = 16, 16, 32, 8
+#: Shortest candidate, and shortest that may be of small letters alone.
+CANDIDATE, LONG = 8, 16
+#: Bytes before a piece of a candidate, of it and after it that the network reads.
+BEFORE, INSIDE, AFTER = 16, 32, 8
+#: Weight of what no pattern labels, beside that of the secrets.
+UNLABELLED = 0.5
 #: Documents that are searched for findings, those with the smallest hash of their id, and the findings used.
 FIT_DOCUMENTS, FIT_FINDINGS = 20_000, 6_000
 RECALL = 0.98
@@ -44,7 +52,8 @@ def _table(chars: bytes) -> np.ndarray:
 
 
 _ALNUM = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-_HEX, _TOKEN, _DIGIT = _table(b"0123456789abcdef"), _table(_ALNUM + b"+/_=-"), _table(b"0123456789")
+_HEX, _TOKEN, _MARKED = _table(b"0123456789abcdef"), _table(_ALNUM + b"+/_.-"), _table(b"0123456789+/_")
+_UPPER, _ASSIGNS, _BETWEEN = _table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _table(b":="), _table(b""" "'""")
 
 
 def _classes() -> np.ndarray:
@@ -93,18 +102,36 @@ def base_spans(raw: bytes, low: bytes, offs: np.ndarray, buf: np.ndarray) -> lis
 
 def candidates(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, _ = tk.words(buf, offs, _TOKEN)
-    long = ends - starts >= CANDIDATE
-    starts, ends = starts[long], ends[long]
-    if len(starts):
-        n = ends - starts
-        at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        digit = np.add.reduceat(_DIGIT[buf[at]].astype(np.int32), np.cumsum(n) - n) > 0
-        starts, ends = starts[digit], ends[digit]
-    return starts, ends
+    some = ends - starts >= CANDIDATE
+    starts, ends = starts[some], ends[some]
+    while len(starts) and (dot := (buf[ends - 1] == ord(".")) & (ends > starts)).any():  # full stops at the end
+        ends = ends - dot
+    n = ends - starts
+    marked, upper = _count(_MARKED[buf]), _count(_UPPER[buf])
+    first = offs[:-1][np.searchsorted(offs, starts, side="right") - 1] if len(starts) else starts
+    before = lambda k, kind: (starts - k >= first) & kind[buf[np.maximum(starts - k, 0)]] if len(buf) else np.zeros(0, bool)
+    assigned = before(1, _ASSIGNS) | (before(1, _BETWEEN) & (before(2, _ASSIGNS) | (before(2, _BETWEEN) & before(3, _ASSIGNS))))
+    odd = (marked[ends] > marked[starts]) | (upper[ends] > upper[np.minimum(starts + 1, ends)])
+    some = (n >= CANDIDATE) & ((n >= LONG) | odd | assigned)
+    return starts[some], ends[some]
+
+
+def _count(flags: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(flags)])
+
+
+def pieces(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Successive pieces of at most ``INSIDE`` bytes, all of a candidate being covered, and whose they are; the last one of a
+    long candidate is whole and overlaps the one before."""
+    count = -(-(ends - starts) // INSIDE)
+    of = np.repeat(np.arange(len(starts)), count)
+    begin = starts[of] + INSIDE * (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
+    begin = np.minimum(begin, np.maximum(ends[of] - INSIDE, starts[of]))
+    return begin, np.minimum(begin + INSIDE, ends[of]), of
 
 
 def views(buf: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The characters the network reads of each candidate, 0 outside the document and between the parts."""
+    """The characters the network reads of each piece, 0 outside the document and between the parts."""
     doc = np.searchsorted(offs, starts, side="right") - 1
     first, last = offs[:-1][doc], offs[1:][doc]
     left = starts[:, None] + np.arange(-BEFORE, 0)
@@ -178,7 +205,7 @@ def fit_convnet(x: np.ndarray, y: np.ndarray, recall: float = RECALL, epochs: in
     held, own = order[: len(order) // 4], order[len(order) // 4 :]
     if min(y[held].sum(), (1 - y[held]).sum()) < 1:
         return None
-    weight = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    weight = np.where(y > 0, len(y) / (2 * y.sum()), UNLABELLED * len(y) / (2 * (1 - y).sum()))
     adam = _Adam(0.01)
     for _ in range(max(epochs, 100 * 128 // len(own))):
         rng.shuffle(own)
@@ -188,17 +215,19 @@ def fit_convnet(x: np.ndarray, y: np.ndarray, recall: float = RECALL, epochs: in
             swap = rng.random(len(part)) < 0.5
             seen[swap, :BEFORE] = x[rng.choice(own, int(swap.sum())), :BEFORE]
             adam.step(net.p, net.gradients(seen, y[part].astype(np.float32), weight[part]))
-    z = net.logits(x[held])
+    moved = x[held].copy()
+    moved[:, :BEFORE] = x[rng.choice(order, len(held)), :BEFORE]
+    z = net.logits(moved)
     target = y[held]
     for _ in range(50):  # Newton steps of the two calibration numbers, with a small ridge
         p = _sigmoid(net.scale * z + net.shift)
-        r, w = p - target, np.maximum(p * (1 - p), 1e-6)
+        r, w = weight[held] * (p - target), weight[held] * np.maximum(p * (1 - p), 1e-6)
         grad = np.array([(r * z).sum() + 0.01 * (net.scale - 1), r.sum() + 0.01 * net.shift])
         hess = np.array([[(w * z * z).sum() + 0.01, (w * z).sum()], [(w * z).sum(), w.sum() + 0.01]])
         step = np.clip(np.linalg.solve(hess, grad), -1, 1)
         net.scale, net.shift = net.scale - step[0], net.shift - step[1]
     good = np.sort(_sigmoid(net.scale * z + net.shift)[target > 0])
-    net.threshold = max(0.5, float(good[int(np.floor((1 - recall) * len(good)))]))
+    net.threshold = float(good[int(np.floor((1 - recall) * len(good)))])
     return net
 
 
@@ -213,14 +242,15 @@ def _inside(starts: np.ndarray, ends: np.ndarray, spans: list[Span]) -> np.ndarr
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """The view of every candidate and whether a base span holds it."""
+    """The view of every piece of a candidate and whether a base span holds the candidate."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for _, _, buf, offs in tk.chunks(batch.column(1)):
             starts, ends = candidates(buf, offs)
             spans = base_spans(buf.tobytes(), tk.lower(buf).tobytes(), offs, buf)
-            seen = views(buf, offs, starts, ends)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in seen], pa.binary()), pa.array(_inside(starts, ends, spans).astype(np.int32))], ["seen", "secret"])
+            a, b, of = pieces(starts, ends)
+            seen = views(buf, offs, a, b)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in seen], pa.binary()), pa.array(_inside(starts, ends, spans)[of].astype(np.int32))], ["seen", "secret"])
 
     return map_batches(docs.select("doc_id", "text"), work, "seen binary, secret int")
 
@@ -246,7 +276,11 @@ def scan(docs: DataFrame, net: ConvNet | None) -> DataFrame:
                 starts, ends = candidates(buf, offs)
                 free = ~_inside(starts, ends, spans)
                 starts, ends = starts[free], ends[free]
-                hit = net.probabilities(views(buf, offs, starts, ends)) >= net.threshold
+                a, b, of = pieces(starts, ends)
+                most = np.zeros(len(starts))
+                for k in range(0, len(a), 8192):
+                    np.maximum.at(most, of[k : k + 8192], net.probabilities(views(buf, offs, a[k : k + 8192], b[k : k + 8192])))
+                hit = most >= net.threshold
                 spans = sorted(spans + [(int(a), 3, int(b)) for a, b in zip(starts[hit], ends[hit])])
             counts, base, every = np.zeros((3, j - i), np.int64), [""] * (j - i), [""] * (j - i)
             if spans:
