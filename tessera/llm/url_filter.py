@@ -72,7 +72,7 @@ def _wildcards(tree: DataFrame, depth: int) -> DataFrame:
     """Makes the segment at ``depth`` (from 1) a wildcard where its parent has many children with few urls each."""
     parent = F.slice("now", 1, depth)
     child = F.get(F.col("now"), F.lit(depth))
-    stat = tree.where(F.size("now") > depth).groupBy("host", parent.alias("parent")).agg(F.approx_count_distinct(child).alias("children"), F.sum("n").alias("urls"))
+    stat = tree.where(F.size("now") > depth).groupBy("host", parent.alias("parent")).agg(F.count_distinct(child).alias("children"), F.sum("n").alias("urls"))
     stat = stat.where((F.col("children") > MANY_CHILDREN) & (F.col("urls") < FEW_URLS * F.col("children"))).select(F.col("host").alias("_h"), F.col("parent").alias("_p"), F.lit(True).alias("_many"))
     joined = tree.join(stat, (tree["host"] == F.col("_h")) & (parent == F.col("_p")) & (F.size("now") > depth), "left")
     changed = F.transform("now", lambda x, i: F.when(i == depth, F.lit("*")).otherwise(x))
