@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .io import keep, scratch, ship, table
+from .io import discard, keep, remove, scratch, ship, table
 
 SEQUENCE = 2048
 #: Ids after which a file ends at the next document.
@@ -59,12 +59,22 @@ def _piece_classes() -> np.ndarray:
 _CLASS = _piece_classes()
 
 
+#: The parts of a tokenizer's file for which pieces of words can be encoded one by one.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _by_words(parts: dict) -> bool:
+    splits = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (parts.get("normalizer") or {}).get("normalizers") == NORMALIZER and splits[0].get("pattern") == {"Regex": SPLIT} and len(splits) == 2 and splits[1].get("type") == "ByteLevel" and parts["model"].get("end_of_word_suffix") == "</w>"
+
+
 class WordEncoder:
     """Ids of whole texts, each distinct piece of a word being encoded once.
 
     For lower-casing word-end BPE tokenizers that drop white space and cut words into runs of letters, single digits and
     runs of other characters. Words of ASCII and Latin-1 letters are cut so; words with an apostrophe or any other
-    character are encoded whole.
+    character are encoded whole. With a tokenizer whose file says anything else, whole texts are encoded.
     """
 
     _loaded: dict[str, "WordEncoder"] = {}
@@ -76,7 +86,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.wide = len(vocab) > 1 << 16
-        self.added = [x["content"].encode() for x in json.loads(self.tokenizer.to_str())["added_tokens"]]
+        parts = json.loads(self.tokenizer.to_str())
+        self.by_words = _by_words(parts)
+        self.added = [x["content"].encode() for x in parts["added_tokens"]]
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._forget()
@@ -151,6 +163,10 @@ class WordEncoder:
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents with their end ids, and where each document begins (one more entry at the end)."""
+        if not self.by_words:
+            raw = buf.tobytes()
+            each = [e.ids + [END_ID] for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(offs[:-1], offs[1:])], add_special_tokens=False)]
+            return np.array([i for x in each for i in x], np.uint32), np.cumsum([0, *map(len, each)])
         low, starts, ends, first, whole = self.pieces(buf, offs)
         _, some, which = np.unique(tk.hash_words(low, starts, ends) ^ whole, return_index=True, return_inverse=True)
         raw = low.tobytes()
@@ -281,9 +297,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def encode_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """A row per document from token files that are written, read back and then deleted."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession, "tokens")
     manifest = write_token_files(docs, folder, tokenizer or tokenizer_path())
-    return read_token_files(spark, folder, manifest)
+    out = keep(read_token_files(spark, folder, manifest), "documents")
+    remove(spark, folder)
+    discard(manifest)
+    return out
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
