@@ -38,6 +38,14 @@ def corpus(spark):
     return spark.createDataFrame(rows, schema).repartition(3).cache(), [(r[0], r[1] or "", r[2]) for r in rows], schema
 
 
+def _by_any(df, *cols):
+    return [tuple(r[c] for c in cols) for r in df.select(*cols).collect()]
+
+
+def _some_first(rows):
+    return sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1:]))
+
+
 def _by(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.select(*cols).collect())
 
@@ -69,7 +77,9 @@ def test_decontaminate(spark, corpus):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
     passage = rows[9][1].split("\n")[1]
-    items = [("i1", passage), ("i2", "Two WORDS"), ("i10", passage.upper().replace("É", "é")), ("i3", None), ("i4", "!!"), ("i5", "nowhere to be found"), ("i2", "Two WORDS")]
+    items = [("i1", passage), ("i2", "Two WORDS"), ("i10", passage.upper().replace("É", "é")), ("i3", None), ("i4", "!!"), ("i5", "nowhere to be found"), ("i2", "Two WORDS"), (None, "one")]
+    rows = rows + [(8, passage, None), (8, "w1 " * 60, None), (None, "w2 " * 60, None), (None, passage, None)]  # shared and missing ids, one size
+    docs = docs.select("doc_id", "text", "mark").union(spark.createDataFrame([(*r[:2], "m") for r in rows[-4:]], "doc_id long, text string, mark string"))
     bench = spark.createDataFrame(items, "item_id string, text string")
     want = []
     for d, t, _ in rows:
@@ -81,16 +91,16 @@ def test_decontaminate(spark, corpus):
                 for i in range(len(w) - size + 1):
                     if w[i : i + size] == own[k : k + size]:
                         hit |= set(range(i, i + size))
-                        ids.add(item)
+                        ids |= {item} - {None}
         text = ",".join(sorted(ids))
         want.append((d, len(w), len(hit), len(ids), hashlib.sha256(text.encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
     cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     for block in (1 << 20, 40):  # one pass, and several
         found = decontaminate.contamination(decontaminate.find_phrases(docs, bench, block))
-        assert _by(found, *cols) == sorted(want)
+        assert _some_first(_by_any(found, *cols)) == _some_first(want)
         stay = decontaminate.clean_documents(docs, bench, block)
         assert stay.columns == docs.columns
-        assert sorted(r.doc_id for r in stay.collect()) == sorted(x[0] for x in want if not x[5])
+        assert _some_first((r.doc_id, r.text or "") for r in stay.collect()) == _some_first((r[0], r[1]) for r, x in zip(rows, want) if not x[5])
     assert decontaminate.find_phrases(docs, bench.limit(0)).where("size(spans) > 0").count() == 0
     assert decontaminate.find_phrases(spark.createDataFrame([], schema), bench).count() == 0
 
@@ -277,11 +287,33 @@ def test_secret_network_learns(spark):
         rows.append((k, f"some words before {secret} and after"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     net = secrets.fit(docs)
-    assert net is not None and 0.5 <= net.threshold <= 1
-    plain = spark.createDataFrame([(1, f"some words before {hexes(24)} and after"), (2, "number 123456789012345678 and after")], "doc_id long, text string")
-    got = {r.doc_id: r.spans for r in secrets.scan(plain, net).collect()}
-    assert got[2] == ""
-    assert got[1] in ("", "model:18:42")  # a strict threshold may leave it
+    assert net is not None and 0 < net.threshold <= 1
+    # findings without a known keyword before them, at the end of longer candidates too, and other numbers
+    hidden = [f"some words before {hexes(24)} and after" if k % 2 else f"auth: {hexes(70)}." for k in range(200)]
+    plain = [f"number {rng.randrange(10**17, 10**18)} and after" for _ in range(200)]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(list(enumerate(hidden + plain)), "doc_id long, text string"), net).collect()}
+    found = [got[k] for k in range(200)]
+    assert sum(x in ("model:18:42", "hex:6:76") for x in found) >= 0.9 * 200
+    assert sum(got[k] != "" for k in range(200, 400)) <= 0.05 * 200
+
+
+def test_secret_candidates_are_whole():
+    import pyarrow as pa
+
+    from tessera.llm import textkernel as tk
+
+    texts = ["plainword longerplainwordofletters Sentence camelCase12 key: hunterxyz. pass='qwertyui' ABCDEFGH short1", "x" * 100 + ". é" + "ab9" * 30, "", "a.b.c-d_e/f+g end.... key=abcdefgh"]
+    _, _, buf, offs = next(tk.chunks(pa.array(texts)))
+    starts, ends = secrets.candidates(buf, offs)
+    raw = buf.tobytes()
+    assert [raw[a:b].decode() for a, b in zip(starts, ends)] == ["longerplainwordofletters", "camelCase12", "hunterxyz", "qwertyui", "ABCDEFGH", "x" * 100, "ab9" * 30, "a.b.c-d_e/f+g", "abcdefgh"]
+    a, b, of = secrets.pieces(starts, ends)
+    for k in range(len(starts)):
+        seen = set()
+        for x, y in zip(a[of == k], b[of == k]):
+            assert starts[k] <= x < y <= ends[k] and y - x == min(32, ends[k] - starts[k])
+            seen |= set(range(x, y))
+        assert seen == set(range(starts[k], ends[k]))
 
 
 def test_license_scan(spark, corpus):
@@ -356,6 +388,31 @@ def test_mixing(spark, corpus):
     key = lambda x: sorted((r.doc_id, r.taken) for r in x)
     assert key(got) == key(mixing.mix(more.repartition(5), fan=8).collect())
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
+    again = mixing.mixed_documents(more, fan=8)
+    assert again.columns == more.columns
+    texts = [(r[0], r[1] or "", r[2]) for r in again.collect()]
+    words = Counter()
+    for _, t, s in texts:
+        words[s] += len(WORD.findall(t))
+    assert words == +taken
+
+
+def test_mixing_of_repeated_rows(spark):
+    rows = [(k // 2, "w " * (1 + k // 2 % 30), "a", 1, 2) for k in range(400)] + [(7, "x " * 20, "a", 1, 2)] * 300 + [(None, "z " * 9, "b", 1, 2)] * 50 + [(None, "y " * 9, "b", 1, 2)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, total int, id int")
+    sizes = Counter()
+    for _, t, s, *_ in rows:
+        sizes[s] += len(t.split())
+    goal, taken, biggest = _targets(sizes), Counter(), {"a": 30, "b": 9}
+    got = mixing.mix(docs, fan=8).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - goal[s]) <= biggest[s] / 2 + 1e-6 for s in sizes)
+    words = Counter()
+    for r in mixing.mixed_documents(docs, fan=8).collect():
+        words[r.source] += len(r.text.split())
+    assert words == +taken
 
 
 def test_token_files(spark, corpus, tmp_path):
