@@ -8,7 +8,6 @@ id and a text become one in the second stage, and the fourth repeats rows on pur
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard_join, mixing, quality, token_files
 from tessera.llm.io import keep, table
@@ -30,10 +29,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows that share an id share their copies evenly, rounded down."""
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.floor(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("_copies")).where("_copies > 0")
-    repeated = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return repeated.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_again")).drop("_again")
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_documents(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
