@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -64,6 +65,24 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+#: Words of 64 bits of a table of bits, and so the most rows of one that is broadcast.
+BIT_WORDS = 1 << 20
+
+
+def may_be_in(df: DataFrame, key: Column, keys: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a column ``flag``: false only if no row of ``keys`` (one column) equals ``key``, both being hashes.
+
+    The keys become bits of a table with at most ``BIT_WORDS`` rows, so it can be broadcast however many they are; the more
+    keys, the more rows are true by chance. Rows that are false need no shuffle to learn that they have no partner."""
+    word = lambda k: F.pmod(F.shiftrightunsigned(k, 6), F.lit(BIT_WORDS))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
+    own = F.col(keys.columns[0])
+    where, bits = fresh("word", df.columns), fresh("bits", df.columns)
+    table_ = keep(keys.groupBy(word(own).alias(where)).agg(F.bit_or(bit(own)).alias(bits)), "bits")
+    met = df.join(F.broadcast(table_), word(key) == F.col(where), "left")
+    return met.select(*df.columns, F.coalesce(F.col(bits).bitwiseAND(bit(key)) != 0, F.lit(False)).alias(flag))
+
+
 _shipped: set[str] = set()
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .components import components
 from .exchange import BUCKET_BYTES, SENT, answer_seen, batch_of, bucket_count, bucket_of, chunk_id, exchange, gather, name_rows, named_rows, pack, split, text_bytes, unpack
-from .io import discard, fresh, keep, map_batches, ship, table
+from .io import discard, fresh, keep, map_batches, may_be_in, ship, table
 
 SIZE = 3
 #: Links: 100 * intersection >= LIMIT * union.
@@ -447,7 +447,8 @@ def near_classes(docs: DataFrame, size: int = SIZE, limit: int = LIMIT, bucket_b
     filled = sets.where("n > 0 and doc_id is not null")
     nodes = keep(filled.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.min("lone").alias("lone")), "nodes")
     alive = keep(nodes.where(100 * (F.col("n") - F.col("lone")) >= limit * F.col("n")).select("first.doc_id", "first.mark", F.col("fp1").alias("node"), "copies"), "alive")
-    bodies = keep(map_batches(text.join(alive, ["doc_id", "mark"]).select("doc_id", "text", "node", "copies"), _bodies(size), BODIES), "bodies")
+    some = may_be_in(text, F.xxhash64("doc_id", "mark"), alive.select(F.xxhash64("doc_id", "mark")), "alive").where("alive")
+    bodies = keep(map_batches(some.join(alive, ["doc_id", "mark"]).select("doc_id", "text", "node", "copies"), _bodies(size), BODIES), "bodies")
     regions = first_regions(bodies, limit, bucket_bytes)
     members = bodies.join(regions, "node").select(F.col("label").alias("region"), "node", "n", "copies", "shingles", F.lit(True).alias("home"))
     members = keep(members.dropDuplicates(["region", "node"]), "members")  # repeated rows of a node are one
@@ -470,12 +471,16 @@ def near_classes(docs: DataFrame, size: int = SIZE, limit: int = LIMIT, bucket_b
 
 
 def lead_documents(docs: DataFrame, size: int = SIZE, limit: int = LIMIT) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of which one stays of each class; rows that repeat an id and a text are one."""
-    id_, mark, gone_mark = (fresh(x, docs.columns) for x in ("id", "mark", "gone_mark"))
-    gone = near_classes(docs, size, limit).where("not lead").select(F.col("doc_id").alias(id_), F.col("mark").alias(gone_mark)).distinct()
-    marked = docs.withColumn(mark, F.xxhash64("text"))
-    left = marked.join(gone, (F.col("doc_id").cast("long") == F.col(id_)) & (F.col(mark) == F.col(gone_mark)), "left_anti")
-    return left.dropDuplicates(["doc_id", mark]).select(docs.columns)
+    """The rows of ``docs``, with all their columns, of which one stays of each class; rows that repeat an id and a text are one.
+    Only rows that may go are shuffled."""
+    id_, mark, flag = (fresh(x, docs.columns) for x in ("id", "mark", "flag"))
+    classes = near_classes(docs, size, limit).groupBy(F.col("doc_id").alias(id_), F.col("mark").alias(mark)).agg(F.bool_and("lead").alias("lead"), F.count(F.lit(1)).alias("rows"))
+    odd = keep(classes.where("not lead or rows > 1").select(id_, mark, "lead"), "odd")
+    marked = may_be_in(docs, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")), odd.select(F.xxhash64(id_, mark)), flag)
+    some = marked.where(F.col(flag)).withColumn(mark, F.xxhash64("text"))
+    gone = odd.where("not lead").select(id_, F.col(mark).alias(flag))
+    left = some.drop(flag).join(gone, (F.col("doc_id").cast("long") == F.col(id_)) & (F.col(mark) == F.col(flag)), "left_anti")
+    return marked.where(~F.col(flag)).select(docs.columns).unionByName(left.dropDuplicates(["doc_id", mark]).select(docs.columns))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,3 +15,12 @@ def test_stage_drops_pairs_of_five_words_and_four_fifths(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+def test_stage_keeps_one_of_repeated_rows_and_all_columns(spark):
+    words = lambda k: " ".join(f"{k}_{i}" for i in range(40))
+    rows = [(1, words("a"), "x", 3), (1, words("a"), "x", 3), (2, words("a"), "y", 4), (2, words("b"), "z", 5), (None, words("c"), "n", 6), (3, None, "e", 7), (4, "", "e", 8), (5, words("d"), "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string, flag int")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.select("flag").collect()) == [(3,), (5,), (6,), (7,), (8,), (9,)]
