@@ -1,15 +1,28 @@
-"""Cutting the lineage of tables that loops build on."""
+"""Tables that are written in the shared folder: what loops build on, and files that queries read back."""
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that the session names in spark.checkpoint.dir; in a temporary one where that is unset and
+    all runs in one process, as executors of a cluster could not read it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = os.environ.setdefault("TESSERA_SCRATCH", "file://" + tempfile.mkdtemp(prefix="spark-tessera-"))
+    return f"{folder.rstrip('/')}/tessera-{what}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names in spark.checkpoint.dir; a temporary one where that is unset."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    """Writes ``df`` and reads it again, so that the lineage of a loop stays short and a lost executor costs one step."""
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,30 +5,54 @@ Candidates are rows (read_id, feature_id, umi, candidate, ll); cliques are rows
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import stable_id
+from .components import components
 from .lineage import cut
 
 CLIQUES = "read_id string, feature_id string, umi string, clique_key string, candidates array<string>"
 
 
+def _choice(own: frozenset, held: list[frozenset]) -> int:
+    """The clique that a read with these candidates goes to, or -1 for a new one."""
+    shared = {k: sorted(own & other) for k, other in enumerate(held) if own & other}
+    return min(shared, key=lambda k: (shared[k], k), default=-1)
+
+
 def _partition(reads: pd.DataFrame) -> pd.DataFrame:
-    """Greedy partition of a (feature, UMI) group's reads, in order of id: each joins the clique whose running
-    intersection with it is the smallest as a sorted tuple, or opens a new one."""
-    cliques: list[tuple[set, list]] = []
-    for row in reads.sort_values("read_id").itertuples():
-        own = set(row.candidates)
-        met = [(tuple(sorted(c & own)), k) for k, (c, _) in enumerate(cliques) if c & own]
-        if met:
-            common, k = min(met)
-            cliques[k] = (set(common), [*cliques[k][1], row.read_id])
-        else:
-            cliques.append((own, [row.read_id]))
-    out = [(r, sorted(members)[0], sorted(c)) for c, members in cliques for r in members]
-    return pd.DataFrame({"read_id": [x[0] for x in out], "feature_id": reads["feature_id"].iloc[0], "umi": reads["umi"].iloc[0], "clique_key": [x[1] for x in out], "candidates": [x[2] for x in out]}, columns=["read_id", "feature_id", "umi", "clique_key", "candidates"])
+    """Cliques of a (feature, UMI) group: reads come in order of id; each goes to the clique whose candidates in common with
+    it are the first in order as a sorted list, and leaves it only those; one that shares none opens a clique.
+
+    Reads with equal candidates are one class. What the cliques hold decides for all classes at once and stays as it is until
+    the next read that narrows or opens one, so the work grows with such reads and not with all."""
+    reads = reads.sort_values("read_id", ignore_index=True)
+    code, classes = pd.factorize(reads["candidates"].map(frozenset))
+    places = [np.flatnonzero(code == k) for k in range(len(classes))]
+    held: list[frozenset] = []
+    opened: list[int] = []
+    clique = np.empty(len(reads), np.int64)
+    at = 0
+    while at < len(reads):
+        choice = np.array([_choice(own, held) for own in classes])
+        moves = [p[np.searchsorted(p, at) :][:1] for p, own, k in zip(places, classes, choice) if k < 0 or not held[k] <= own]
+        stop = int(min((m[0] for m in moves if len(m)), default=len(reads)))
+        clique[at:stop] = choice[code[at:stop]]
+        if stop < len(reads):
+            own, k = classes[code[stop]], choice[code[stop]]
+            if k < 0:
+                clique[stop] = len(held)
+                held.append(own)
+                opened.append(stop)
+            else:
+                clique[stop] = k
+                held[k] &= own
+        at = stop + 1
+    names = reads["read_id"].to_numpy()
+    return pd.DataFrame({"read_id": names, "feature_id": reads["feature_id"], "umi": reads["umi"], "clique_key": names[np.array(opened)[clique]], "candidates": [sorted(held[k]) for k in clique]})
 
 
 def read_cliques(candidates: DataFrame) -> DataFrame:
@@ -109,26 +133,30 @@ def exact_member_matches(a: DataFrame, b: DataFrame) -> DataFrame:
     return keyed(a, "a").join(keyed(b, "b"), "key").select("a", "b")
 
 
-def membership_classes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Class of each molecule by its links through shared reads, from the sizes on either side."""
-    links = a.select("read", F.col("molecule").alias("a")).join(b.select("read", F.col("molecule").alias("b")), "read", "full_outer").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    na = links.where("a is not null and b is not null").groupBy("a").agg(F.count(F.lit(1)).alias("partners"))
-    both = a.groupBy(F.col("molecule").alias("a")).agg(F.count(F.lit(1)).alias("reads")).join(na, "a", "left")
-    kind = F.when(F.col("partners").isNull(), "only").when(F.col("partners") == 1, "one").otherwise("split")
-    return both.select("a", "reads", F.coalesce("partners", F.lit(0)).alias("partners"), kind.alias("kind"))
-
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, label: the smallest node reachable over edges (a, b). Every round ends in a checkpoint, so lineage stays short."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = cut(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")))
-        labels = new.select("node", "label")
-        if new.where("moved").limit(1).count() == 0:
-            return labels
-    raise RuntimeError("labels did not settle")
+def membership_components(a: DataFrame, b: DataFrame) -> DataFrame:
+    """A row per component of molecules (molecule, read) of two methods that share reads: how many molecules of either side
+    it has, the shared reads, the reads of either side, a stable id and its class: exact (one each, same reads), partial (one
+    each), split or merged (one on side a, or on b), complex, or only_a and only_b for molecules that share nothing."""
+    reads = a.select("read", F.col("molecule").alias("x")).distinct().join(b.select("read", F.col("molecule").alias("y")).distinct(), "read", "full_outer")
+    node = lambda side, name: F.concat(F.lit(side), F.col(name).cast("string"))
+    links = reads.select("read", F.when(F.col("x").isNotNull(), node("a", "x")).alias("x"), F.when(F.col("y").isNotNull(), node("b", "y")).alias("y"))
+    labels = components(links.select(F.coalesce("x", "y").alias("a"), F.coalesce("y", "x").alias("b")).distinct())
+    placed = links.withColumn("node", F.coalesce("x", "y")).join(labels, "node")
+    per = placed.groupBy("label").agg(
+        F.countDistinct("x").alias("na"), F.countDistinct("y").alias("nb"), F.countDistinct(F.when(F.col("x").isNotNull(), F.col("read"))).alias("reads_a"),
+        F.countDistinct(F.when(F.col("y").isNotNull(), F.col("read"))).alias("reads_b"), F.countDistinct(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col("read"))).alias("shared"),
+    )
+    one = (F.col("na") == 1) & (F.col("nb") == 1)
+    kind = F.when(F.col("nb") == 0, "only_a").when(F.col("na") == 0, "only_b").when(one & (F.col("shared") == F.col("reads_a")) & (F.col("shared") == F.col("reads_b")), "exact")
+    kind = kind.when(one, "partial").when(F.col("na") == 1, "split").when(F.col("nb") == 1, "merged").otherwise("complex")
+    return per.select(stable_id(F.lit("component"), F.col("label")).alias("component"), "na", "nb", "reads_a", "reads_b", "shared", kind.alias("kind"))
+
+
+def residual_components(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Components of what is left once pairs of molecules with exactly the same reads are taken out."""
+    same = cut(exact_member_matches(a, b))
+    left = lambda d, name: d.join(same.select(F.col(name).alias("molecule")), "molecule", "left_anti")
+    return membership_components(left(a, "a"), left(b, "b"))
 
 
 def evaluate_policies(vendor: DataFrame, candidates: DataFrame, factors: tuple[int, ...] = (1, 4, 8)) -> DataFrame:

@@ -100,21 +100,31 @@ def exact_member_match(v: Views):
     return molecules.exact_member_matches(v.molecules("a"), v.molecules("b"))
 
 
-@query("membership_classes", """
-, p AS (SELECT a.molecule AS a, count(DISTINCT b.molecule) AS partners, count(DISTINCT a.read) AS reads FROM mol_a a JOIN mol_b b USING (read) GROUP BY a.molecule)
-SELECT a, cast(reads AS bigint) AS reads, cast(partners AS bigint) AS partners, CASE WHEN partners = 1 THEN 'one' ELSE 'split' END AS kind FROM p
+_MEMBERS = """
+, g AS (SELECT o_custkey AS label, count(DISTINCT a.molecule) AS na, count(DISTINCT b.molecule) AS nb, count(DISTINCT a.read) AS n FROM orders JOIN mol_a a ON a.read = o_orderkey JOIN mol_b b ON b.read = o_orderkey GROUP BY o_custkey)
+"""
+
+
+@query("membership_components", _MEMBERS + """
+SELECT cast(na AS bigint) AS na, cast(nb AS bigint) AS nb, CASE WHEN nb = 1 THEN 'exact' ELSE 'split' END AS kind, cast(count(*) AS bigint) AS found, sum(n)::bigint AS shared FROM g GROUP BY ALL
 """)
-def membership_classes(v: Views):
-    return molecules.membership_classes(v.molecules("a"), v.molecules("b"))
+def membership_components(v: Views):
+    got = molecules.membership_components(v.molecules("a"), v.molecules("b"))
+    return got.groupBy("na", "nb", "kind").agg(F.count(F.lit(1)).alias("found"), F.sum("shared").alias("shared"))
 
 
-@query("components", """
-, e AS (SELECT DISTINCT l_orderkey AS a, -l_partkey - 1 AS b FROM lineitem WHERE l_quantity >= 49), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-k AS (SELECT a AS node, a AS reach FROM u UNION SELECT k.node, u.b FROM k JOIN u ON u.a = k.reach)
-SELECT node, min(reach) AS label FROM k GROUP BY node
+@query("residual_components", _MEMBERS + """
+SELECT cast(nb AS bigint) AS nb, 'split' AS kind, cast(count(*) AS bigint) AS found, sum(n)::bigint AS shared FROM g WHERE nb > 1 GROUP BY ALL
 """)
+def residual_components(v: Views):
+    got = molecules.residual_components(v.molecules("a"), v.molecules("b"))
+    return got.groupBy("nb", "kind").agg(F.count(F.lit(1)).alias("found"), F.sum("shared").alias("shared"))
+
+
+@query("components")
 def components(v: Views):
-    e = v.table("lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey") - 1).alias("b")).distinct()
+    """Parts and orders that items connect, all of them; SQL would reach every node from every other."""
+    e = v.table("lineitem").select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey") - 1).alias("b")).distinct()
     return molecules.components(e)
 
 
@@ -181,20 +191,22 @@ def molecule_mates(v: Views):
     return m.groupBy("reads", "unassigned", ((F.col("unassigned") > 0) & (F.col("unassigned") < F.col("reads"))).alias("has_mates")).agg(F.count(F.lit(1)).alias("molecules"))
 
 
-_OLIGO = ", p AS (SELECT p_partkey, substr(md5(p_name || p_brand), 1, 9) AS s FROM part WHERE p_partkey % 2 = 0), q AS (SELECT p_partkey, substr(md5(p_name || p_brand), 1, 8) || 'x' AS s FROM part)"
+_OLIGO = ", o AS (SELECT p_partkey, md5(p_name || p_brand) AS h FROM part), p AS (SELECT p_partkey, substr(h, 1, 15) AS s FROM o), q AS (SELECT p_partkey, substr(h, 1, 3) || 'x' || substr(h, 5, 7) || CASE WHEN p_partkey % 3 = 0 THEN 'y' ELSE substr(h, 12, 1) END || substr(h, 13, 3) AS s FROM o)"
 
 
 def _oligos(v: Views):
     h = F.md5(F.concat("p_name", "p_brand"))
     p = v.table("part")
-    return p.where("p_partkey % 2 = 0").select("p_partkey", F.substring(h, 1, 9).alias("s")), p.select("p_partkey", F.concat(F.substring(h, 1, 8), F.lit("x")).alias("s"))
+    part = lambda at, n: F.substring(h, at, n)
+    last = F.when(F.col("p_partkey") % 3 == 0, "y").otherwise(part(12, 1))
+    return p.select("p_partkey", part(1, 15).alias("s")), p.select("p_partkey", F.concat(part(1, 3), F.lit("x"), part(5, 7), last, part(13, 3)).alias("s"))
 
 
 @query("hamming_seed_join", _OLIGO + ", k AS (SELECT q.p_partkey AS q, p.p_partkey AS p, hamming(q.s, p.s) AS d FROM q JOIN p ON hamming(q.s, p.s) <= 2) SELECT q, p, cast(d AS int) AS d FROM (SELECT *, min(d) OVER (PARTITION BY q) AS least FROM k) WHERE d = least")
 def hamming_seed_join(v: Views):
-    """Nearest probes at Hamming distance 2 at most: of three segments one is equal, so segments meet in an equi-join."""
+    """Nearest probes at Hamming distance 2 at most: of three segments of five one is equal, so segments meet in an equi-join."""
     p, q = _oligos(v)
-    seeds = lambda d, name: d.select(F.col("p_partkey").alias(name), F.col("s").alias(f"s_{name}"), F.posexplode(F.array(F.substring("s", 1, 3), F.substring("s", 4, 3), F.substring("s", 7, 3))).alias("k", "seed"))
+    seeds = lambda d, name: d.select(F.col("p_partkey").alias(name), F.col("s").alias(f"s_{name}"), F.posexplode(F.array(F.substring("s", 1, 5), F.substring("s", 6, 5), F.substring("s", 11, 5))).alias("k", "seed"))
     met = seeds(q, "q").join(seeds(p, "p"), ["k", "seed"]).select("q", "p", S.hamming(F.col("s_q"), F.col("s_p")).alias("d")).where("d <= 2").distinct()
     least = met.groupBy("q").agg(F.min("d").alias("least"))
     return met.join(least, "q").where("d = least").select("q", "p", F.col("d").cast("int").alias("d"))

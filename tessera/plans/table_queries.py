@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
 from .registry import query
 from .views import Views
 
@@ -110,16 +111,19 @@ def reciprocal_best(v: Views):
 
 
 @query("macro_closure", """
-WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey // 2 AS b FROM orders WHERE o_orderkey > 1), k AS (SELECT o_orderkey AS root, o_orderkey AS node, 0 AS depth FROM orders WHERE o_orderkey % 100 = 0 UNION ALL SELECT root, b, depth + 1 FROM k JOIN e ON e.a = k.node)
+WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey // 2 AS b FROM orders WHERE o_orderkey > 1), k AS (SELECT o_orderkey AS root, o_orderkey AS node, 0 AS depth FROM orders UNION ALL SELECT root, b, depth + 1 FROM k JOIN e ON e.a = k.node)
 SELECT root, cast(count(*) AS bigint) AS reached, max(depth)::int AS depth FROM k GROUP BY root
 """, prelude=False)
 def macro_closure(v: Views):
-    """Transitive closure over include edges, as a recursive query."""
-    v.table("orders").createOrReplaceTempView("tessera_orders")
-    return v.spark.sql("""
-        WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey div 2 AS b FROM tessera_orders WHERE o_orderkey > 1),
-        k(root, node, depth) AS (SELECT o_orderkey, o_orderkey, 0 FROM tessera_orders WHERE o_orderkey % 100 = 0 UNION ALL SELECT root, b, depth + 1 FROM k JOIN e ON e.a = k.node)
-        SELECT root, count(*) AS reached, max(depth) AS depth FROM k GROUP BY root""")
+    """How many macros each one includes, over include edges that name one macro at most: pointers double every round."""
+    o = v.table("orders").select(F.col("o_orderkey").alias("root"))
+    at = cut(o.select("root", F.when(F.col("root") > 1, F.floor(F.col("root") / 2)).alias("node"), F.lit(0).alias("depth")))
+    at = at.withColumn("depth", F.when(F.col("node").isNotNull(), 1).otherwise(0))
+    while not at.where("node is not null").isEmpty():
+        step = at.select(F.col("root").alias("node"), F.col("node").alias("next"), F.col("depth").alias("more"))
+        met = at.join(step, "node", "left")
+        at = cut(met.select("root", F.col("next").alias("node"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+    return at.select("root", (F.col("depth") + 1).cast("long").alias("reached"), F.col("depth").cast("int").alias("depth"))
 
 
 @query("json_path", "SELECT event_type, cast(count(*) AS bigint) AS n, sum(cast(json_extract(props, '$.k') AS bigint))::bigint AS total FROM events GROUP BY event_type", prelude=False)

@@ -20,10 +20,34 @@ def _reads(spark, sets, ll=0.0):
     return spark.createDataFrame(rows, "read_id string, feature_id string, umi string, candidate string, ll double")
 
 
-def test_clique_chain(spark):
-    got = molecules.read_cliques(_reads(spark, {"a": ["0_0", "0_1"], "b": ["0_1", "0_2"], "c": ["0_2", "0_3"]}))
-    sizes = [r["count"] for r in got.groupBy("clique_key").count().collect()]
-    assert sorted(sizes) == [1, 2]
+def _cliques_one_by_one(sets):
+    """Read by read, as the rule says."""
+    cliques = []
+    for name in sorted(sets):
+        best = None
+        for c in cliques:
+            rest = sorted(x for x in c["common"] if x in sets[name])
+            if rest and (best is None or rest < best[0]):
+                best = (rest, c)
+        if best:
+            best[1]["common"], best[1]["reads"] = best[0], best[1]["reads"] + [name]
+        else:
+            cliques.append({"common": sorted(sets[name]), "reads": [name]})
+    return sorted((r, c["reads"][0], tuple(c["common"])) for c in cliques for r in c["reads"])
+
+
+def test_cliques_of_many_groups(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for g in range(150):
+        letters = "abcdefgh"[: rng.randint(1, 8)]
+        sets = {f"r{k:02d}": rng.sample(letters, rng.randint(1, min(3, len(letters)))) for k in range(rng.randint(1, 40))}
+        want[f"g{g}"] = _cliques_one_by_one(sets)
+        rows += [(r, f"g{g}", "AAAA", c, 0.0) for r, cs in sets.items() for c in cs]
+    got: dict = {}
+    for r in molecules.read_cliques(spark.createDataFrame(rows, "read_id string, feature_id string, umi string, candidate string, ll double")).collect():
+        got.setdefault(r.feature_id, []).append((r.read_id, r.clique_key, tuple(r.candidates)))
+    assert {g: sorted(x) for g, x in got.items()} == want
 
 
 def test_cliques_do_not_depend_on_partitions(spark):
@@ -57,16 +81,52 @@ def test_umi_collapse_and_occupancy(spark):
     assert {r.umi: r.expected for r in molecules.occupancies(p).collect()}["CCCC"] == pytest.approx(0.75)
 
 
-def test_membership(spark):
-    a = spark.createDataFrame([("a", "r1"), ("a", "r2"), ("b", "r3"), ("b", "r4")], "molecule string, read string")
-    b = spark.createDataFrame([("x", "r1"), ("x", "r2"), ("y", "r3"), ("z", "r4")], "molecule string, read string")
-    assert _rows(molecules.exact_member_matches(a, b), "a", "b") == [("a", "x")]
-    assert _rows(molecules.membership_classes(a, b), "a", "kind") == [("a", "one"), ("b", "split")]
-
-
-def test_components(spark):
-    e = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (3, 1)], "a long, b long")
-    assert _rows(molecules.components(e), "node", "label") == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
+def test_membership_components(spark):
+    side = lambda groups: spark.createDataFrame([(m, r) for m, rs in groups.items() for r in rs], "molecule string, read int")
+    a = side({"m1": [1, 2, 3], "m2": [4, 5], "m3": [6], "m4": [7], "m5": [8, 9, 10], "m6": [11, 12], "m7": [13]})
+    b = side({"n1": [1, 2, 3], "n2": [4], "n3": [5], "n4": [6, 7], "n5": [8, 9, 99], "n6": [50]})
+    got = sorted((r.kind, r.na, r.nb, r.reads_a, r.reads_b, r.shared) for r in molecules.membership_components(a, b).collect())
+    assert got == [("exact", 1, 1, 3, 3, 3), ("merged", 2, 1, 2, 2, 2), ("only_a", 1, 0, 1, 0, 0), ("only_a", 1, 0, 2, 0, 0), ("only_b", 0, 1, 0, 1, 0), ("partial", 1, 1, 3, 3, 2), ("split", 1, 2, 2, 2, 2)]
+    assert _rows(molecules.exact_member_matches(a, b), "a", "b") == [("m1", "n1")]
+    assert molecules.residual_components(a, b).where("kind = 'exact'").count() == 0 and molecules.residual_components(a, b).count() == 6
+
+
+def test_components_of_paths_stars_and_random_graphs(spark):
+    rng = random.Random(4)
+    edges = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 40)] + [(5000, 5000)]
+    edges += [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)]
+    root: dict = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in edges:
+        p, q = sorted((find(x), find(y)))
+        root[q] = p
+    got = _rows(molecules.components(spark.createDataFrame(edges, "a long, b long")), "node", "label")
+    assert got == sorted((x, find(x)) for x in root)
+
+
+def test_query_components_on_all_items(spark):
+    from tessera.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    root: dict = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        p, q = sorted((find(r.l_orderkey), find(-r.l_partkey - 1)))
+        root[q] = p
+    assert _rows(registry.QUERIES["components"](spark, sf), "node", "label") == sorted((x, find(x)) for x in root)
 
 
 def test_auc_ties(spark):
