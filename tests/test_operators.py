@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import stats as S
-from tessera.operators import grid, molecules, ranking, raster, report, sparse
+from tessera.operators import grid, molecules, ranking, raster, registration, report, sparse
 from tessera.sources import ledger, matrix
 
 
@@ -210,3 +210,62 @@ def test_ledger_round_trip_and_violations(spark, tmp_path):
     assert _rows(ledger.violations(full), "assignment_group_id", "violation") == [("b", "count is not the size")]
     ledger.write_ledger(full, str(tmp_path / "l"))
     assert _rows(ledger.read_ledger(spark, str(tmp_path / "l")), "assignment_group_id", "unit_2um_id") == _rows(full, "assignment_group_id", "unit_2um_id")
+
+
+def _field(spark, dy, dx, seed=5, noise=False, side=48):
+    """Counts that dip under a mask of discs moved by (dy, dx)."""
+    rng = random.Random(seed)
+    inside = lambda r, c: (r % 12 - 5) ** 2 + (c % 12 - 5) ** 2 <= 9
+    rows = [(r, c, inside(r, c), True, float(rng.randint(8, 12) if noise or not inside(r - dy, c - dx) else rng.randint(1, 3))) for r in range(side) for c in range(side)]
+    return spark.createDataFrame(rows, "r long, c long, inside boolean, support boolean, v double")
+
+
+def test_planted_registration_is_usable_and_noise_is_not(spark):
+    found = registration.assess(_field(spark, 1, -2), 3, 12, draws=40).first()
+    assert (found.status, found.reason, found.dy, found.dx, found.share_within_one) == ("usable", "usable", 1, -2, 1.0)
+    edge = registration.assess(_field(spark, 3, 0), 3, 12, draws=40).first()
+    assert (edge.status, edge.reason) == ("not registered", "highest maximum on the edge of the search")
+    noise = registration.assess(_field(spark, 0, 0, noise=True), 3, 12, draws=40).first()
+    assert noise.status == "not registered" and noise.dy is not None or noise.reason == "no local maximum"
+    bare = registration.assess(_field(spark, 0, 0).withColumn("support", F.lit(False)), 3, 12).first()
+    assert (bare.status, bare.reason) == ("not registered", "no tissue")
+
+
+def test_extremes_of_a_stack(spark):
+    up = {(y, x): float(-(y * y + x * x)) + 50 for y in range(-4, 5) for x in range(-4, 5)}
+    down = {(y, x): float((y - 2) ** 2 + (x + 1) ** 2) for y in range(-4, 5) for x in range(-4, 5)}
+    flat = {k: 1.0 for k in up}
+    stack = spark.createDataFrame([(n, y, x, v) for n, s in (("up", up), ("down", down), ("flat", flat)) for (y, x), v in s.items()], "k string, dy long, dx long, v double")
+    got = {(r.k, r.kind): (r.found, r.dy, r.dx, r.boundary) for r in registration.extremes(stack, ["k"], 3).collect()}
+    assert got == {("up", "peak"): (True, 0, 0, False), ("up", "dip"): (False, None, None, None), ("down", "dip"): (True, 2, -1, False), ("down", "peak"): (False, None, None, None), ("flat", "dip"): (False, None, None, None), ("flat", "peak"): (False, None, None, None)}
+    assert {r.k: r.depth for r in registration.depth_at(stack, ["k"], 2, -1).collect()}["down"] == 1.0
+    assert registration.depth_at(stack, ["k"], 4, 4).where("depth is not null").count() == 0
+    best = {r.k: r for r in registration.optimum(stack, ["k"]).collect()}
+    assert (best["down"].integer_dy, best["down"].integer_dx, best["down"].dy, best["down"].next_dy) == (2, -1, 2.0, None)
+    assert best["up"].boundary and (best["up"].integer_dy, best["up"].integer_dx, best["up"].next_dy, best["up"].next_dx) == (-4, -4, -4, 4)
+
+
+def test_affine_fit_rejects_and_is_held_out(spark):
+    plane = lambda y, x: (1.0 + 0.01 * y - 0.02 * x, -2.0 + 0.03 * x)
+    rows = [("good", i, j, 10.0 * i, 10.0 * j, *plane(10.0 * i, 10.0 * j), True) for i in range(5) for j in range(5)]
+    rows[7] = ("good", 1, 2, 10.0, 20.0, 9.0, 9.0, True)
+    rng = random.Random(1)
+    rows += [("noise", i, j, 10.0 * i, 10.0 * j, float(rng.randint(-3, 3)), float(rng.randint(-3, 3)), True) for i in range(5) for j in range(5)]
+    rows += [("line", i, i, 10.0 * i, 10.0 * i, 1.0, 1.0, True) for i in range(5)] + [("none", 0, 0, 0.0, 0.0, 1.0, 1.0, False)]
+    d = spark.createDataFrame(rows, "k string, row long, col long, y double, x double, dy double, dx double, usable boolean")
+    got = {r.k: r for r in registration.affine_check(d, ["k"]).collect()}
+    assert got["good"].accepted and got["good"].retained == 24 and (got["good"].held_out, got["good"].held_out_pass) == (12, 11)
+    assert [round(got["good"][c], 6) for c in registration.COEFFICIENTS] == [1.0, 0.01, -0.02, -2.0, 0.0, 0.03]
+    assert (got["noise"].accepted, got["noise"].reason) == (False, "held-out prediction")
+    assert got["line"].reason == got["none"].reason == "too few positions to train"
+
+
+def test_homography_of_known_points(spark):
+    h = [[1.3, 0.2, 30.0], [-0.1, 0.9, 5.0], [0.0005, 0.0002, 1.0]]
+    pts = [(float(x), float(y)) for x in range(0, 60, 7) for y in range(0, 50, 9)]
+    w = lambda x, y: h[2][0] * x + h[2][1] * y + 1
+    d = spark.createDataFrame([(x, y, (h[0][0] * x + h[0][1] * y + h[0][2]) / w(x, y), (h[1][0] * x + h[1][1] * y + h[1][2]) / w(x, y)) for x, y in pts], "x double, y double, u double, v double")
+    found, worst = registration.fit_homography(d)
+    assert worst < 1e-5 and all(abs(found[i][j] - h[i][j]) < 1e-5 * max(1, abs(h[i][j])) for i in range(3) for j in range(3))
+    with pytest.raises(ValueError, match="four"):
+        registration.fit_homography(d.limit(3))
