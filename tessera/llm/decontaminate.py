@@ -31,7 +31,7 @@ WINDOW = 13
 #: Text of the benchmark that one pass searches for.
 BLOCK_BYTES = 4 << 20
 #: Text of a shard, the documents of one index.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 HITS_SCHEMA = "doc_id long, mark long, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
 

@@ -86,11 +86,18 @@ def may_be_in(df: DataFrame, key: Column, keys: DataFrame, flag: str) -> DataFra
 _shipped: set[str] = set()
 
 
+#: Bytes of an Arrow batch that a task sends to Python at once, and the setting that bounds them.
+BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the workers, once per application, so that tasks find it wherever it was started from."""
+    """Sends this package to the workers, once per application, so that tasks find it wherever it was started from, and
+    bounds the text that they get at once, unless the session sets its own bound."""
     application = spark.sparkContext.applicationId
     if application not in _shipped:
         _shipped.add(application)
+        if spark.sparkContext.getConf().get(BATCH_SETTING) is None:
+            spark.conf.set(BATCH_SETTING, BATCH_BYTES)
         root = Path(__file__).resolve().parents[2]
         archive = Path(tempfile.mkdtemp()) / "tessera.zip"
         with zipfile.ZipFile(archive, "w") as out:
