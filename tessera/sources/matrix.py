@@ -2,38 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.grid import parse_bin_id
+from .lines import numbered_lines
 
 
-def _numbered(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Lines of a text file with their 1-based number; the reader keeps one file's lines in order by offset."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_order"))
-    counts = lines.groupBy(F.shiftright("_order", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
+def _found(spark: SparkSession, folder: str, name: str) -> str:
+    """The path of a member of a directory, compressed or not, one file or a folder of parts."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for path in (f"{folder}/{name}", f"{folder}/{name}.gz"):
+        if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)):
+            return path
+    raise FileNotFoundError(f"{folder}/{name}")
 
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per partition
-    placed = lines.withColumn("_part", F.shiftright("_order", 33)).join(F.broadcast(before), "_part")
-    return placed.select((F.col("_before") + F.col("_order").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name), "value")
+
+def feature_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """i, feature_id: the feature axis alone."""
+    return numbered_lines(spark, _found(spark, folder, "features.tsv"), across=True).select(F.col("number").alias("i"), F.split("value", "\t")[0].alias("feature_id"))
 
 
 def read_mex(spark: SparkSession, folder: str) -> DataFrame:
-    """feature_id, r, c, v of a Matrix Market directory; duplicate entries sum, zeros go, a wrong entry count fails."""
-    features = _numbered(spark, f"{folder}/features.tsv", "i").select("i", F.split("value", "\t")[0].alias("feature_id"))
+    """feature_id, r, c, v of a Matrix Market directory, compressed or not. Zeros go; an entry twice, one outside of the
+    declared axes or another number of entries than declared fails."""
     _, row, col = parse_bin_id(F.col("value"))
-    barcodes = _numbered(spark, f"{folder}/barcodes.tsv", "j").select("j", row.alias("r"), col.alias("c"))
-    body = spark.read.text(f"{folder}/matrix.mtx").where(~F.col("value").startswith("%"))
+    barcodes = numbered_lines(spark, _found(spark, folder, "barcodes.tsv"), across=True).select(F.col("number").alias("j"), row.alias("r"), col.alias("c"))
+    body = numbered_lines(spark, _found(spark, folder, "matrix.mtx"), across=True).where(~F.col("value").startswith("%"))
     parts = F.split(F.trim("value"), r"\s+")
-    cells = body.select(parts[0].cast("long").alias("i"), parts[1].cast("long").alias("j"), parts[2].cast("double").alias("v"))
-    size = _numbered(spark, f"{folder}/matrix.mtx", "k").where(~F.col("value").startswith("%")).orderBy("k").limit(1).first()
-    rows, columns, entries = (int(x) for x in size["value"].split())
-    # the size line is one of the body's; it is told apart by its place
-    found = cells.exceptAll(spark.createDataFrame([(rows, columns, float(entries))], "i long, j long, v double"))
-    if found.count() != entries:
-        raise ValueError("the matrix has another number of entries than it declares")
-    return found.where("v <> 0").join(features, "i").join(barcodes, "j").groupBy("feature_id", "r", "c").agg(F.sum("v").alias("v"))
+    first = body.agg(F.min(F.struct("number", "value"))).first()[0]  # the sizes are the first line that is no comment
+    rows, columns, entries = (int(x) for x in first["value"].split())
+    cells = body.where(F.col("number") != first["number"]).select(parts[0].cast("long").alias("i"), parts[1].cast("long").alias("j"), parts[2].cast("double").alias("v"))
+    found = cells.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((~F.col("i").between(1, rows) | ~F.col("j").between(1, columns) | F.col("v").isNull()).cast("long")), F.lit(0)).alias("odd")).first()
+    if found["n"] != entries or found["odd"]:
+        raise ValueError("the matrix has other entries than it declares")
+    summed = cells.groupBy("i", "j").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("_n"))
+    once = summed.where(F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("an entry twice")).cast("boolean"))).where("v <> 0")
+    return once.join(feature_ids(spark, folder), "i").join(barcodes, "j").select("feature_id", "r", "c", "v")
+
+
+def write_mex(matrix: DataFrame, folder: str) -> None:
+    """A matrix (feature_id, r, c, v) as a compressed Matrix Market directory; axes in the order of their names."""
+    features = matrix.select("feature_id").distinct().orderBy("feature_id")
+    cells = matrix.select("r", "c").distinct().orderBy("r", "c")
+    numbered = lambda d, name: d.select(*d.columns, F.row_number().over(Window.orderBy(*d.columns)).cast("long").alias(name))
+    f, b = numbered(features, "i"), numbered(cells, "j")
+    name = F.concat(F.lit("s_002um_"), F.lpad(F.col("r").cast("string"), 5, "0"), F.lit("_"), F.lpad(F.col("c").cast("string"), 5, "0"), F.lit("-1"))
+    body = matrix.join(f, "feature_id").join(b, ["r", "c"]).select(F.concat_ws(" ", "i", "j", F.col("v").cast("string")).alias("value"))
+    sizes = matrix.agg(F.concat_ws(" ", F.countDistinct("feature_id"), F.countDistinct("r", "c"), F.count(F.lit(1))).alias("value"))
+    head = matrix.sparkSession.createDataFrame([("%%MatrixMarket matrix coordinate real general",)], "value string")
+    one = lambda d, part: d.coalesce(1).write.option("compression", "gzip").text(f"{folder}/{part}")
+    one(f.orderBy("i").select(F.concat_ws("\t", "feature_id", "feature_id", F.lit("Gene Expression"))), "features.tsv")
+    one(b.orderBy("j").select(name), "barcodes.tsv")
+    one(head.unionByName(sizes).unionByName(body), "matrix.mtx")
 
 
 def axis_totals(matrix: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import sequences
 from tessera.functions import stats as S
 from tessera.operators import grid, molecules, ranking, raster, registration, report, sparse
-from tessera.sources import ledger, matrix
+from tessera.sources import ledger, lines, matrix, tables
 
 
 def _rows(df, *cols):
@@ -269,3 +270,106 @@ def test_homography_of_known_points(spark):
     assert worst < 1e-5 and all(abs(found[i][j] - h[i][j]) < 1e-5 * max(1, abs(h[i][j])) for i in range(3) for j in range(3))
     with pytest.raises(ValueError, match="four"):
         registration.fit_homography(d.limit(3))
+
+
+def test_lines_keep_their_numbers_over_splits_and_files(spark, tmp_path):
+    for name, n in (("b.txt", 4000), ("a.txt", 700)):
+        (tmp_path / name).write_text("".join(f"{name} {k}\n" for k in range(1, n + 1)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = lines.numbered_lines(spark, str(tmp_path)).collect()
+        across = {r.value: r.number for r in lines.numbered_lines(spark, str(tmp_path), across=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 4700 and all(int(r.value.split()[1]) == r.number for r in got)
+    assert all(across[v] == int(v.split()[1]) + (700 if v[0] == "b" else 0) for v in across)
+
+
+def test_matrix_directories_fail_as_they_should(spark, tmp_path):
+    import gzip
+
+    def folder(name, body, zipped=False):
+        d = tmp_path / name
+        d.mkdir()
+        for part, text in (("features.tsv", "g1\nG1\ng2\n".replace("G1\n", "")), ("barcodes.tsv", "s_002um_00000_00001-1\ns_002um_00000_00002-1\n"), ("matrix.mtx", "%%MatrixMarket\n" + body)):
+            (d / f"{part}.gz").write_bytes(gzip.compress(text.encode())) if zipped else (d / part).write_text(text)
+        return str(d)
+
+    good = matrix.read_mex(spark, folder("good", "2 2 2\n1 1 2\n2 2 2\n", zipped=True))
+    assert _rows(good, "feature_id", "r", "c", "v") == [("g1", 0, 1, 2.0), ("g2", 0, 2, 2.0)]
+    for name, body in (("count", "2 2 3\n1 1 2\n2 2 2\n"), ("range", "2 2 1\n1 3 2\n")):
+        with pytest.raises(ValueError, match="declares"):
+            matrix.read_mex(spark, folder(name, body))
+    with pytest.raises(Exception, match="an entry twice"):
+        matrix.read_mex(spark, folder("twice", "2 2 2\n1 1 2\n1 1 3\n")).collect()
+    with pytest.raises(FileNotFoundError):
+        matrix.read_mex(spark, str(tmp_path))
+
+
+def test_tables_are_checked(spark, tmp_path):
+    import json
+    import struct
+
+    import numpy as np
+
+    d = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables.write_tsv(d([("a", 1.5, None), ("b", float("nan"), "x")], "k string, v double, t string"), str(tmp_path / "t"), missing="NA")
+    assert sorted(tuple(r) for r in spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "t")).collect()) == [("a", "1.5", "NA"), ("b", "NA", "x")]
+    with pytest.raises(ValueError, match="empty"):
+        tables.write_tsv(d([], "k string"), str(tmp_path / "none"))
+    mol = lambda ids: d([("raw", "P", "g", "A", f"u{k}", x) for k, x in enumerate(ids)], tables.SCHEMAS["molecules"])
+    assert tables.open_reads(mol(["r1;r2", "r3"]), "raw", "P").count() == 3
+    with pytest.raises(ValueError, match="several molecules"):
+        tables.open_reads(mol(["r1;r2", "r2"]), "raw", "P")
+    clique = lambda p: d([("k", "g", "A", 1, 2, p, "r1"), ("k", "g", "A", 0, 1, 1 - 0.25, "r1")], tables.SCHEMAS["cliques"])
+    assert [tuple(x) for x in tables.cliques(clique(0.25)).first().candidates] == [(0, 1, 0.75), (1, 2, 0.25)]
+    with pytest.raises(ValueError, match="sum to 1"):
+        tables.cliques(clique(0.3))
+    with pytest.raises(ValueError, match="other than declared"):
+        tables.raw_candidates(d([("r", 2, 0, 0, 0, 0)], tables.SCHEMAS["candidates"]))
+    with pytest.raises(ValueError, match="cover the grid"):
+        tables.tissue_mask(d([(0, 0, 1), (0, 1, 0), (1, 0, 1), (1, 0, 1)], "r long, c long, in_tissue int"), 2)
+    with pytest.raises(ValueError, match="flags"):
+        tables.tissue_mask(d([(0, 0, 2)], "r long, c long, in_tissue int"), 1)
+    with pytest.raises(Exception, match="outside of cells"):
+        tables.compartments(d([(0, 0, True, False)], tables.SCHEMAS["compartments"])).collect()
+    with pytest.raises(Exception, match="add up"):
+        tables.checked_weights(d([(0, 0, 0.5, 0.4, 1.0)], tables.SCHEMAS["weights"])).collect()
+    with pytest.raises(ValueError, match="different sums"):
+        tables.half_prior(d([("BC1", 0, "A", 3), ("BC2", 0, "A", 4)], tables.SCHEMAS["prior"]))
+    assert tables.nuclei(d([(0, 0, None)], "r long, c long, in_nucleus boolean")).first().in_nucleus is False
+    (tmp_path / "rec").write_bytes(b"HEAD" + b"".join(struct.pack("<qq", k % 3, k) for k in range(7)))
+    rec = tables.packed_records(spark, str(tmp_path / "rec"), "<qq", ["key", "value"], header=4)
+    assert _rows(tables.first_records(rec, "key", d([(1,), (2,), (9,)], "key long")), "key", "value") == [(1, 1), (2, 2)]
+    np.savez(tmp_path / "g.npz", a=np.array([0, 3, 0, 1, 0, 2]))
+    assert _rows(tables.read_grid(spark, str(tmp_path / "g.npz"), "a", 3), "r", "c", "v") == [(0, 1, 3.0), (1, 0, 1.0), (1, 2, 2.0)]
+    (tmp_path / "layout.json").write_text(json.dumps({"areas": [{"name": "A1", "matrix": [[1, 2], [3, 4]]}, {"name": "D1", "matrix": [[9]]}]}))
+    assert _rows(tables.read_layout(spark, str(tmp_path / "layout.json"), "A1"), "i", "j", "value") == [(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0)]
+    rows = d([("f", 1, "a"), ("f", 2, "c"), ("f", 3, "b")], "file string, n int, k string")
+    assert [r.n for r in tables.unsorted_rows(rows, "file", "n", "k").collect()] == [3]
+
+
+def test_alignment_likelihoods_against_a_plain_table(spark):
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("ACGTN") for _ in range(n))
+    rows = [(k, text(rng.randint(0, 7)), [float(rng.randint(0, 40)) for _ in range(rng.randint(0, 8))], text(rng.randint(0, 7))) for k in range(60)] + [(90, None, None, "AC"), (91, "AC", None, "AC")]
+    d = spark.createDataFrame(rows, "k int, o string, q array<double>, c string")
+    error = lambda q: min(0.75, max(1e-10, 10 ** (-q / 10)))
+
+    def plain(o, q, c):
+        best = {(0, 0): 0.0}
+        for i in range(len(o) + 1):
+            for j in range(len(c) + 1):
+                ways = [best[0, 0]] if (i, j) == (0, 0) else []
+                if i and j:
+                    e = error(q[i - 1] if q and i <= len(q) else 20.0)
+                    pair = math.log(0.25) if "N" in (o[i - 1], c[j - 1]) else math.log1p(-e) if o[i - 1] == c[j - 1] else math.log(e / 3)
+                    ways.append(best[i - 1, j - 1] + pair)
+                ways += [best[i - 1, j] + math.log(error(30))] if i else []
+                ways += [best[i, j - 1] + math.log(error(30))] if j else []
+                best[i, j] = max(ways)
+        return best[len(o), len(c)]
+
+    for r in d.select("*", sequences.alignment_log_likelihoods()("o", "q", "c").alias("ll")).collect():
+        assert (r.ll is None or math.isnan(r.ll)) if r.o is None else r.ll == pytest.approx(plain(r.o, r.q, r.c))
