@@ -43,7 +43,7 @@ SIZE = 3
 #: Links: 100 * intersection >= LIMIT * union.
 LIMIT = 90
 #: Shingles and documents of a region that one task joins, and splits of a region at most.
-REGION_SHINGLES, REGION_DOCS, SPLITS = 2_000_000, 1024, 4
+REGION_SHINGLES, REGION_DOCS, SPLITS = 1_000_000, 1024, 4
 #: Documents of a region per pivot, and pivots of one split at least and at most.
 PER_PIVOT, PIVOTS = 64, (16, 256)
 #: Copies of a document that windows may make, on average; beyond it blocks are used.
@@ -438,7 +438,7 @@ def _tiles(members: DataFrame, sizes: DataFrame, most: int, most_docs: int) -> D
     return other.withColumn("region", F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))).withColumn("side", F.when(F.col("block") == F.col("other"), F.lit(2)).otherwise((F.col("block") > F.col("other")).cast("int")))
 
 
-def near_classes(docs: DataFrame, size: int = SIZE, limit: int = LIMIT, bucket_bytes: int = BUCKET_BYTES, **regions_of) -> DataFrame:
+def near_classes(docs: DataFrame, size: int = SIZE, limit: int = LIMIT, bucket_bytes: int = BUCKET_BYTES // 2, **regions_of) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links, one row per document row: links are pairs whose sets of ``size``-word
     shingles have a similarity of ``limit`` percent at least. ``mark`` is a hash of the text and ``lead`` whether the row is
     the one of its class with the least id and mark. Further parameters are those of :func:`link_sets`."""

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
 
 U64 = np.uint64
 _K0, _K1, _M1, _M2 = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)

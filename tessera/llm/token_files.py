@@ -34,13 +34,13 @@ from .io import discard, keep, remove, scratch, ship, table
 
 SEQUENCE = 2048
 #: Ids after which a file ends at the next document.
-FILE_IDS = 4 << 20
+FILE_IDS = 2 << 20
 #: Sequences of a record batch.
 BATCH_ROWS = 256
 #: Pieces of words a worker remembers the ids of; it forgets them all beyond that.
 CACHE_WORDS = 100_000
 #: Bytes of text encoded at once; the arrays of their ids take some 40 times as much.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 END_ID = 1
 
 MANIFEST_SCHEMA = "file string, n_ids long, n_docs long"
@@ -273,7 +273,7 @@ def _documents(content: bytes) -> pa.RecordBatch:
 def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start among all ids, n_tokens and ids_crc32 of every document, from the files themselves.
 
-    Each file's place is the running total of the manifest, a row per file of some 4 million ids."""
+    Each file's place is the running total of the manifest, a row per file of some 2 million ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
