@@ -38,7 +38,7 @@ class Views:
     """The views of one data directory; each is a plan, nothing is computed here."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self.side = spark, sf_dir, SIDE
+        self.spark, self.sf_dir, self.side, self.features = spark, sf_dir, SIDE, 20
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import sequences
 from tessera.functions import stats as S
-from tessera.operators import grid, molecules, ranking, raster, registration, report, sparse
+from tessera.operators import candidates, effects, grid, molecules, ranking, raster, registration, report, sparse
 from tessera.sources import ledger, lines, matrix, tables
 
 
@@ -373,3 +373,55 @@ def test_alignment_likelihoods_against_a_plain_table(spark):
 
     for r in d.select("*", sequences.alignment_log_likelihoods()("o", "q", "c").alias("ll")).collect():
         assert (r.ll is None or math.isnan(r.ll)) if r.o is None else r.ll == pytest.approx(plain(r.o, r.q, r.c))
+
+
+def test_thinning_is_fair_and_does_not_depend_on_partitions(spark):
+    d = spark.range(2000).select(F.col("id"), (F.col("id") % 200).alias("n"))
+    got = {r.id: (r.n, r.k) for r in d.select("id", "n", effects.thinned(F.col("n"), F.lit(3), F.col("id")).alias("k")).collect()}
+    again = {r.id: r.k for r in d.repartition(5).select("id", effects.thinned(F.col("n"), F.lit(3), F.col("id")).alias("k")).collect()}
+    assert all(0 <= k <= n and again[i] == k for i, (n, k) in got.items())
+    total = sum(n for n, _ in got.values())
+    assert abs(sum(k for _, k in got.values()) - total / 2) < 4 * math.sqrt(total) / 2
+    counts = spark.createDataFrame([(g, p, float(1000 * (p % 7) if g else 50)) for g in (0, 1) for p in range(60)], "feature_id int, patch int, v double")
+    got = dict(_rows(effects.split_half_reliability(counts, 5), "feature_id", "reliability"))
+    assert got[1] > 0.99 and 0 <= got[0] < 0.8
+
+
+def test_group_effects_with_ties(spark):
+    rows = [("g", 1.0, True), ("g", 2.0, True), ("g", 2.0, False), ("g", 0.0, False), ("flat", 1.0, True), ("flat", 1.0, False), ("down", 0.0, True), ("down", 5.0, False), ("one", 1.0, True)]
+    got = {r.k: r for r in effects.group_effects(spark.createDataFrame(rows, "k string, x double, rich boolean"), ["k"]).collect()}
+    assert (got["g"].effect, got["g"].auc, got["flat"].auc, got["down"].auc, got["down"].oriented_auc, got["one"].auc) == (0.5, 0.625, 0.5, 0.0, 1.0, 0.5)
+
+
+def test_sequence_columns(spark):
+    d = spark.createDataFrame([("ACGT" * 12 + "AC",), ("ACGT" * 12 + "AN",), ("ACG",), (None,)], "s string")
+    number = lambda t: sum("ACGT".index(x) * 4 ** (len(t) - 1 - k) for k, x in enumerate(t))
+    s = "ACGT" * 12 + "AC"
+    assert [r.w and [int(x) for x in r.w] for r in d.select(sequences.packed_words(F.col("s")).alias("w")).collect()] == [[number(s[:25]), number(s[25:])], None, None, None]
+    assert spark.range(1).select(sequences.unpacked(F.lit(number("GATTACA")), 7)).first()[0] == "GATTACA"
+    keys = spark.createDataFrame([(" h1-ab12/a1 ",), ("H1-AB12/D",), ("H1/AB",), (None,)], "k string")
+    assert [r[0] for r in keys.select(sequences.capture_key(F.col("k"))).collect()] == ["H1-AB12/A1", "H1-AB12/D", None, None]
+    t = spark.createDataFrame([("H12", "a,b"), ("x", "ab"), (None, None)], "t string, f string")
+    assert [tuple(r) for r in t.select(sequences.tier_number(F.col("t")), sequences.several_features(F.col("f"))).collect()] == [(12, True), (None, False), (None, None)]
+    assert spark.createDataFrame([("a 5\\% b % gone\nc%d",)], "s string").select(sequences.uncommented(F.col("s"))).first()[0] == "a 5\\% b \nc"
+    p = spark.createDataFrame([(0, 0), (3, 5), (5, 10), (10, 10), (2, 1), (300, 700)], "w int, n int").select(sequences.binomial_two_sided(F.col("w"), F.col("n")).alias("p")).collect()
+    exact = lambda w, n: min(1.0, 2 * sum(math.comb(n, k) for k in range(min(w, n - w) + 1)) / 2**n)
+    assert [r.p is None if w is None else r.p == pytest.approx(exact(w, n)) for r, (w, n) in zip(p, [(0, 0), (3, 5), (5, 10), (10, 10), (None, 1), (300, 700)])] == [True] * 6
+
+
+def test_half_hits_are_those_of_one_edit(spark):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("ACG") for _ in range(n))
+    halves, names = sorted({text(rng.randint(3, 6)) for _ in range(60)}), sorted({text(rng.randint(3, 6)) for _ in range(30)})
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j - 1] + (x != y), old[j] + 1, row[-1] + 1))
+        return row[-1]
+
+    got = candidates.half_hits(spark.createDataFrame([(h,) for h in halves], "text string"), spark.createDataFrame(list(zip(names, range(30))), "text string, c long"), "c", "e")
+    want = sorted((h, c, edits(h, n)) for h in halves for c, n in enumerate(names) if edits(h, n) <= 1)
+    assert _rows(got, "text", "c", "e") == want and any(x[2] for x in want)
