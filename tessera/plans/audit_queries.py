@@ -1,11 +1,11 @@
 """Queries on registration surfaces, priors, panels and read-level audits."""
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..operators import grid, raster
+from ..operators.registration import block_draws
 from .registry import query
 from .views import Views
 
@@ -54,10 +54,10 @@ def region_surfaces(v: Views):
 @query("bootstrap_surface")
 def bootstrap_surface(v: Views):
     """Shares of 200 draws of blocks whose best shift is within one cell of the whole surface's; draws are numpy's."""
-    d = v.dense()
-    mask = d.where("inside").select("r", "c", (grid.parent(F.col("r"), 16) * 4 + grid.parent(F.col("c"), 16)).alias("block"))
+    d, across = v.dense(), -(-v.side // 16)
+    mask = d.where("inside").select("r", "c", (grid.parent(F.col("r"), 16) * across + grid.parent(F.col("c"), 16)).alias("block"))
     stat = raster._met(mask, d.where("support").select("r", "c", "v"), 2).groupBy("block", "dy", "dx").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
-    draws = np.random.default_rng(20261007).multinomial(16, np.full(16, 1 / 16), size=200)  # 16 blocks by definition of the grid
+    draws = block_draws(across * across, 200, 11)  # a number per draw and block of the grid
     weights = v.spark.createDataFrame([(int(k), int(b), int(w)) for k, row in enumerate(draws) for b, w in enumerate(row) if w], "draw long, block long, w long")
     drawn = stat.join(F.broadcast(weights), "block").groupBy("draw", "dy", "dx").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("m"))
     whole = stat.groupBy("dy", "dx").agg((F.sum("s") / F.sum("n")).alias("m")).agg(F.max_by(F.struct(F.col("dy").alias("y"), F.col("dx").alias("x")), F.struct("m", "dy", "dx")).alias("w"))
@@ -146,7 +146,7 @@ def histogram_percentiles(v: Views):
 
 
 @query("patch_weighted_pearson", """
-, g AS (SELECT feature_id, r // 16 * 4 + c // 16 AS patch, sum(a) AS a, sum(b) AS b FROM al GROUP BY ALL), w AS (SELECT feature_id, sum(a + b) AS w FROM al GROUP BY feature_id),
+, g AS (SELECT feature_id, r // 16 * 1000 + c // 16 AS patch, sum(a) AS a, sum(b) AS b FROM al GROUP BY ALL), w AS (SELECT feature_id, sum(a + b) AS w FROM al GROUP BY feature_id),
 m AS (SELECT patch, sum(w) AS n, sum(w * a) AS sx, sum(w * b) AS sy, sum(w * a * a) AS sxx, sum(w * b * b) AS syy, sum(w * a * b) AS sxy FROM g JOIN w USING (feature_id) GROUP BY patch)
 SELECT patch, round((n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)), 6) AS pearson FROM m
 """)
@@ -154,7 +154,7 @@ def patch_weighted_pearson(v: Views):
     from ..operators import sparse
 
     al = sparse.align(v.matrix("A"), v.matrix("R"))
-    g = al.groupBy("feature_id", (grid.parent(F.col("r"), 16) * 4 + grid.parent(F.col("c"), 16)).alias("patch")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    g = al.groupBy("feature_id", (grid.parent(F.col("r"), 16) * 1000 + grid.parent(F.col("c"), 16)).alias("patch")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     w = al.groupBy("feature_id").agg(F.sum(F.col("a") + F.col("b")).alias("w"))
     x, y, k = F.col("a"), F.col("b"), F.col("w")
     m = g.join(w, "feature_id").groupBy("patch").agg(F.sum(k).alias("n"), F.sum(k * x).alias("sx"), F.sum(k * y).alias("sy"), F.sum(k * x * x).alias("sxx"), F.sum(k * y * y).alias("syy"), F.sum(k * x * y).alias("sxy"))

@@ -9,11 +9,11 @@ from ..operators import grid, sparse
 from .registry import query
 from .views import Views
 
-_P = ", pa AS (SELECT feature_id, r // 8 * 8 + c // 8 AS patch, sum(v) AS v FROM ma GROUP BY ALL), pb AS (SELECT feature_id, r // 8 * 8 + c // 8 AS patch, sum(v) AS v FROM mb GROUP BY ALL)"
+_P = ", pa AS (SELECT feature_id, r // 8 * 1000 + c // 8 AS patch, sum(v) AS v FROM ma GROUP BY ALL), pb AS (SELECT feature_id, r // 8 * 1000 + c // 8 AS patch, sum(v) AS v FROM mb GROUP BY ALL)"
 
 
 def _patch(v: Views, m: str):
-    return v.matrix(m).groupBy("feature_id", (grid.parent(F.col("r"), 8) * 8 + grid.parent(F.col("c"), 8)).alias("patch")).agg(F.sum("v").alias("v"))
+    return v.matrix(m).groupBy("feature_id", (grid.parent(F.col("r"), 8) * 1000 + grid.parent(F.col("c"), 8)).alias("patch")).agg(F.sum("v").alias("v"))
 
 
 def _effect_sql(name: str, source: str) -> str:
@@ -42,16 +42,16 @@ def method_wins(v: Views):
     return w.withColumn("p", F.round(Q.binomial_two_sided(F.col("wins").cast("int"), (F.col("wins") + F.col("losses")).cast("int")), 9))
 
 
-@query("labelled_cells", ", k AS (SELECT r * 64 + c AS cell, (r // 16) * 4 + c // 16 AS cluster, sum(v) FILTER (feature_id IN (3, 7)) AS label FROM ma GROUP BY ALL) SELECT cluster, cast(count(*) AS bigint) AS cells FROM k WHERE cluster IN (1, 5, 6, 10) AND label > 0 GROUP BY cluster")
+@query("labelled_cells", ", k AS (SELECT r * 100000 + c AS cell, (r // 16) * 1000 + c // 16 AS cluster, sum(v) FILTER (feature_id IN (3, 7)) AS label FROM ma GROUP BY ALL) SELECT cluster, cast(count(*) AS bigint) AS cells FROM k WHERE cluster IN (1, 1001, 1002, 2002) AND label > 0 GROUP BY cluster")
 def labelled_cells(v: Views):
-    m = v.matrix("A").withColumn("cell", F.col("r") * v.side + F.col("c"))
-    clusters = m.select("cell", (grid.parent(F.col("r"), 16) * 4 + grid.parent(F.col("c"), 16)).alias("cluster")).distinct()
-    return E.labelled_cells(clusters, m, [1, 5, 6, 10], [3, 7]).groupBy("cluster").agg(F.count(F.lit(1)).alias("cells"))
+    m = v.matrix("A").withColumn("cell", F.col("r") * 100000 + F.col("c"))
+    clusters = m.select("cell", (grid.parent(F.col("r"), 16) * 1000 + grid.parent(F.col("c"), 16)).alias("cluster")).distinct()
+    return E.labelled_cells(clusters, m, [1, 1001, 1002, 2002], [3, 7]).groupBy("cluster").agg(F.count(F.lit(1)).alias("cells"))
 
 
-@query("eligible_genes", _P + ", x AS (SELECT feature_id FROM pa GROUP BY 1 HAVING sum(v) >= 12000 AND min(v) < max(v)), y AS (SELECT feature_id FROM pb GROUP BY 1 HAVING sum(v) >= 12000 AND min(v) < max(v)) SELECT feature_id FROM x WHERE feature_id IN (SELECT feature_id FROM y)")
+@query("eligible_genes", _P + ", x AS (SELECT feature_id FROM pa GROUP BY 1 HAVING sum(v) >= 4000 AND min(v) < max(v)), y AS (SELECT feature_id FROM pb GROUP BY 1 HAVING sum(v) >= 4000 AND min(v) < max(v)) SELECT feature_id FROM x WHERE feature_id IN (SELECT feature_id FROM y)")
 def eligible_genes(v: Views):
-    return E.eligible_genes([_patch(v, "A"), _patch(v, "R")], 12000)
+    return E.eligible_genes([_patch(v, "A"), _patch(v, "R")], 4000)
 
 
 @query("split_half_reliability")
@@ -96,7 +96,7 @@ def method_metrics(v: Views):
 
 
 @query("marker_coverage", """
-, t AS (SELECT p_brand AS symbol, p_partkey % 20 AS feature_id FROM part GROUP BY ALL), f AS (SELECT DISTINCT feature_id FROM ma)
+, t AS (SELECT p_brand AS symbol, p_partkey % 50 AS feature_id FROM part GROUP BY ALL), f AS (SELECT DISTINCT feature_id FROM ma)
 SELECT symbol, cast(count(*) AS bigint) AS genes, cast(count(f.feature_id) AS bigint) AS found FROM t LEFT JOIN f USING (feature_id) GROUP BY symbol
 """)
 def marker_coverage(v: Views):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..operators import grid, raster
 from .registry import query
-from .views import SIDE, Views
+from .views import Views
 
 
 @query("bin_parent_ids", """
@@ -43,11 +43,11 @@ def box_mean_corrected(v: Views):
     return raster.corrected(v.dense(), 2).select("r", "c", F.round("v", 6).alias("v"))
 
 
-_LABELS = ", lab AS (SELECT r, c, cast(r * 64 + c AS bigint) AS label FROM field WHERE r % 8 = 3 AND c % 8 = 5)"
+_LABELS = ", lab AS (SELECT r, c, cast(r * 100000 + c AS bigint) AS label FROM field WHERE r % 8 = 3 AND c % 8 = 5)"
 
 
 def _labels(v: Views):
-    return v.field().where("r % 8 = 3 and c % 8 = 5").select("r", "c", (F.col("r") * 64 + F.col("c")).alias("label"))
+    return v.field().where("r % 8 = 3 and c % 8 = 5").select("r", "c", (F.col("r") * 100000 + F.col("c")).alias("label"))
 
 
 @query("grow_labels", _LABELS + """
@@ -55,7 +55,7 @@ def _labels(v: Views):
 SELECT r, c, arg_min(label, (d2, label)) AS label, min(d2) AS d2 FROM k WHERE d2 <= 16 GROUP BY r, c
 """)
 def grow_labels(v: Views):
-    return raster.grow_labels(_labels(v), 4, SIDE, SIDE)
+    return raster.grow_labels(_labels(v), 4, v.side, v.side)
 
 
 @query("shift_surface", """
@@ -105,15 +105,15 @@ def eta2_surface(v: Views):
 SELECT r AS dy, c AS dx, v FROM n WHERE k = 8 AND v > most
 """)
 def local_maxima(v: Views):
-    return raster.local_maxima(v.dense().select(F.col("r").alias("dy"), F.col("c").alias("dx"), "v"), "v", SIDE)
+    return raster.local_maxima(v.dense().select(F.col("r").alias("dy"), F.col("c").alias("dx"), "v"), "v", v.side)
 
 
 _COEF = ((1.5, -2.5), (0.01, 0.05), (-0.03, 0.02))
-_MOVED = ", mv AS (SELECT cast(r + round_even(1.5e0 + 1e-2 * r + -3e-2 * c, 0) AS bigint) AS nr, cast(c + round_even(-2.5e0 + 5e-2 * r + 2e-2 * c, 0) AS bigint) AS nc, cast(r * 64 + c AS bigint) AS label, r, c FROM field), ap AS (SELECT nr AS r, nc AS c, arg_max(label, (r, c)) AS label, cast(count(*) AS bigint) AS met FROM mv WHERE nr BETWEEN 0 AND 63 AND nc BETWEEN 0 AND 63 GROUP BY nr, nc)"
+_MOVED = ", mv AS (SELECT cast(r + round_even(1.5e0 + 1e-2 * r + -3e-2 * c, 0) AS bigint) AS nr, cast(c + round_even(-2.5e0 + 5e-2 * r + 2e-2 * c, 0) AS bigint) AS nc, cast(r * 100000 + c AS bigint) AS label, r, c FROM field), ap AS (SELECT nr AS r, nc AS c, arg_max(label, (r, c)) AS label, cast(count(*) AS bigint) AS met FROM mv WHERE nr BETWEEN 0 AND (SELECT s - 1 FROM side) AND nc BETWEEN 0 AND (SELECT s - 1 FROM side) GROUP BY nr, nc)"
 
 
 def _moved(v: Views):
-    return grid.apply_affine(v.field().select("r", "c", (F.col("r") * 64 + F.col("c")).alias("label")), _COEF, SIDE, SIDE)
+    return grid.apply_affine(v.field().select("r", "c", (F.col("r") * 100000 + F.col("c")).alias("label")), _COEF, v.side, v.side)
 
 
 @query("apply_affine_collisions", _MOVED + " SELECT r, c, label, met FROM ap")
@@ -122,16 +122,16 @@ def apply_affine_collisions(v: Views):
 
 
 @query("remap_change_stats", _MOVED + """
-, u AS (SELECT CASE WHEN f.r IS NULL THEN 'appears' WHEN ap.r IS NULL THEN 'disappears' WHEN f.r * 64 + f.c = ap.label THEN 'stays' ELSE 'changes' END AS kind FROM field f FULL OUTER JOIN ap ON ap.r = f.r AND ap.c = f.c)
+, u AS (SELECT CASE WHEN f.r IS NULL THEN 'appears' WHEN ap.r IS NULL THEN 'disappears' WHEN f.r * 100000 + f.c = ap.label THEN 'stays' ELSE 'changes' END AS kind FROM field f FULL OUTER JOIN ap ON ap.r = f.r AND ap.c = f.c)
 SELECT kind, cast(count(*) AS bigint) AS cells FROM u GROUP BY kind
 """)
 def remap_change_stats(v: Views):
-    return grid.remap_statistics(v.field().select("r", "c", (F.col("r") * 64 + F.col("c")).alias("label")), _moved(v))
+    return grid.remap_statistics(v.field().select("r", "c", (F.col("r") * 100000 + F.col("c")).alias("label")), _moved(v))
 
 
-@query("shift_clip", "SELECT r - 3 AS r, c + 5 AS c, v FROM field WHERE r - 3 BETWEEN 0 AND 63 AND c + 5 BETWEEN 0 AND 63")
+@query("shift_clip", "SELECT r - 3 AS r, c + 5 AS c, v FROM field WHERE r - 3 BETWEEN 0 AND (SELECT s - 1 FROM side) AND c + 5 BETWEEN 0 AND (SELECT s - 1 FROM side)")
 def shift_clip(v: Views):
-    return grid.shift_cells(v.field(), -3, 5, SIDE, SIDE)
+    return grid.shift_cells(v.field(), -3, 5, v.side, v.side)
 
 
 @query("grid_coordinates", "SELECT floor((1.5 * c + 10) / 8.0)::bigint AS x, floor((2.0 * r + 20) / 8.0)::bigint AS y, sum(v) AS v FROM field GROUP BY ALL")

@@ -10,8 +10,8 @@ from .views import Views
 
 
 @query("mask_summary", """
-SELECT inside, cast(count(*) AS bigint) AS cells, round(count(*) / 4096.0, 6) AS area_fraction, sum(v) AS mass, round(sum(v) / (SELECT sum(v) FROM dense), 6) AS mass_fraction,
-  round(sum(v) / (SELECT sum(v) FROM dense) / (count(*) / 4096.0), 6) AS enrichment, round(sum(v) / count(*), 6) AS density FROM dense GROUP BY inside
+SELECT inside, cast(count(*) AS bigint) AS cells, round(count(*) / (SELECT s * s * 1.0 FROM side), 6) AS area_fraction, sum(v) AS mass, round(sum(v) / (SELECT sum(v) FROM dense), 6) AS mass_fraction,
+  round(sum(v) / (SELECT sum(v) FROM dense) / (count(*) / (SELECT s * s * 1.0 FROM side)), 6) AS enrichment, round(sum(v) / count(*), 6) AS density FROM dense GROUP BY inside
 """)
 def mask_summary(v: Views):
     d = v.dense()
@@ -153,27 +153,27 @@ def spearman_axes(v: Views):
 
 
 @query("rank_deciles", """
-, i AS (SELECT r, c, v, row_number() OVER (ORDER BY v, r * 64 + c) - 1 AS i, count(*) OVER () AS n FROM field)
+, i AS (SELECT r, c, v, row_number() OVER (ORDER BY v, r * 100000 + c) - 1 AS i, count(*) OVER () AS n FROM field)
 SELECT decile, cast(count(*) AS bigint) AS cells, sum(v) AS mass, min(v) AS least, max(v) AS most FROM (SELECT v, least(9, i * 10 // n) AS decile FROM i) GROUP BY decile
 """)
 def rank_deciles(v: Views):
-    placed = ranking.rank_deciles(v.field().withColumn("key", F.col("r") * 64 + F.col("c")), "v", "key")
+    placed = ranking.rank_deciles(v.field().withColumn("key", F.col("r") * 100000 + F.col("c")), "v", "key")
     return placed.groupBy("decile").agg(F.count(F.lit(1)).alias("cells"), F.sum("v").alias("mass"), F.min("v").alias("least"), F.max("v").alias("most"))
 
 
 @query("topk_concentration", """
-SELECT 100 AS k, round((SELECT sum(v) FROM (SELECT v FROM field ORDER BY v DESC, r * 64 + c LIMIT 100)) / sum(v), 6) AS share FROM field
+SELECT 100 AS k, round((SELECT sum(v) FROM (SELECT v FROM field ORDER BY v DESC, r * 100000 + c LIMIT 100)) / sum(v), 6) AS share FROM field
 """)
 def topk_concentration(v: Views):
-    return ranking.concentration(v.field().withColumn("key", F.col("r") * 64 + F.col("c")), "v", "key", 100)
+    return ranking.concentration(v.field().withColumn("key", F.col("r") * 100000 + F.col("c")), "v", "key", 100)
 
 
 @query("topk_overlap", """
-, t AS (SELECT r * 64 + c AS k, sum(a) AS a, sum(b) AS b FROM al GROUP BY r * 64 + c)
+, t AS (SELECT r * 100000 + c AS k, sum(a) AS a, sum(b) AS b FROM al GROUP BY r * 100000 + c)
 SELECT cast(count(*) AS bigint) AS common FROM (SELECT k FROM t ORDER BY a DESC, k LIMIT 200) x JOIN (SELECT k FROM t ORDER BY b DESC, k LIMIT 200) y USING (k)
 """)
 def topk_overlap(v: Views):
-    both = sparse.axis_totals(v.matrix("A"), v.matrix("R"), ["r", "c"]).withColumn("k", F.col("r") * 64 + F.col("c"))
+    both = sparse.axis_totals(v.matrix("A"), v.matrix("R"), ["r", "c"]).withColumn("k", F.col("r") * 100000 + F.col("c"))
     top = lambda c: ranking.top_k(both, c, "k", 200).select("k")
     return top("a").join(top("b"), "k").agg(F.count(F.lit(1)).alias("common"))
 
@@ -202,12 +202,12 @@ def fine_scale_support(v: Views):
     return g.where("ns > 0 and ne > 0 and mass > 0").select("pr", "pc", F.round(F.col("sup") / F.col("mass"), 6).alias("share"), F.round(delta, 6).alias("density_delta"), ((F.col("tied") == 1) & (F.col("te") == 1)).alias("unique_on_empty"), F.round(F.col("te") / F.col("tied"), 6).alias("tie_share"))
 
 
-_PATCH = ", g AS (SELECT feature_id, (r // 8) * 8 + c // 8 AS patch, sum(a) AS a, sum(b) AS b FROM al GROUP BY ALL), n AS (SELECT feature_id, patch, ln(1 + 10000 * a / sum(a) OVER (PARTITION BY patch)) AS x, ln(1 + 10000 * b / sum(b) OVER (PARTITION BY patch)) AS y FROM g), f AS (SELECT coalesce(n.x, 0) AS x, coalesce(n.y, 0) AS y, k.feature_id, k.patch FROM (SELECT DISTINCT g1.feature_id, g2.patch FROM g g1, g g2) k LEFT JOIN n ON n.feature_id = k.feature_id AND n.patch = k.patch)"
+_PATCH = ", g AS (SELECT feature_id, (r // 8) * 1000 + c // 8 AS patch, sum(a) AS a, sum(b) AS b FROM al GROUP BY ALL), n AS (SELECT feature_id, patch, ln(1 + 10000 * a / sum(a) OVER (PARTITION BY patch)) AS x, ln(1 + 10000 * b / sum(b) OVER (PARTITION BY patch)) AS y FROM g), f AS (SELECT coalesce(n.x, 0) AS x, coalesce(n.y, 0) AS y, k.feature_id, k.patch FROM (SELECT DISTINCT g1.feature_id, g2.patch FROM g g1, g g2) k LEFT JOIN n ON n.feature_id = k.feature_id AND n.patch = k.patch)"
 
 
 def _patches(v: Views):
     """Gene by patch log-normalised values of both methods, over all genes and patches."""
-    g = sparse.align(v.matrix("A"), v.matrix("R")).groupBy("feature_id", (grid.parent(F.col("r"), 8) * 8 + grid.parent(F.col("c"), 8)).alias("patch")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    g = sparse.align(v.matrix("A"), v.matrix("R")).groupBy("feature_id", (grid.parent(F.col("r"), 8) * 1000 + grid.parent(F.col("c"), 8)).alias("patch")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     total = g.groupBy("patch").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
     log = lambda x, t: F.log1p(1e4 * S.safe_fraction(F.col(x), F.col(t)))
     n = g.join(total, "patch").select("feature_id", "patch", log("a", "ta").alias("x"), log("b", "tb").alias("y"))
@@ -240,12 +240,12 @@ def reliability(v: Views):
 
 
 @query("marker_topn", """
-, s AS (SELECT feature_id, (r // 16) * 4 + c // 16 AS cluster, sum(v) AS v FROM ma GROUP BY ALL), t AS (SELECT *, v / avg(v) OVER (PARTITION BY feature_id) AS fold FROM s),
+, s AS (SELECT feature_id, (r // 16) * 1000 + c // 16 AS cluster, sum(v) AS v FROM ma GROUP BY ALL), t AS (SELECT *, v / avg(v) OVER (PARTITION BY feature_id) AS fold FROM s),
 k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(fold * ln(1 + v), 9) DESC, v DESC, feature_id) AS place FROM t)
 SELECT cluster, place, feature_id, v FROM k WHERE place <= 5
 """)
 def marker_topn(v: Views):
-    s = v.matrix("A").groupBy("feature_id", (grid.parent(F.col("r"), 16) * 4 + grid.parent(F.col("c"), 16)).alias("cluster")).agg(F.sum("v").alias("v"))
+    s = v.matrix("A").groupBy("feature_id", (grid.parent(F.col("r"), 16) * 1000 + grid.parent(F.col("c"), 16)).alias("cluster")).agg(F.sum("v").alias("v"))
     mean = s.groupBy("feature_id").agg(F.avg("v").alias("m"))
     score = F.round(F.col("v") / F.col("m") * F.log1p("v"), 9)
     w = Window.partitionBy("cluster").orderBy(score.desc(), F.desc("v"), "feature_id")
@@ -315,12 +315,12 @@ def cell_aggregate(v: Views):
 
 
 @query("profile_correlations", """
-, l AS (SELECT r, c, (r // 16) * 4 + c // 16 AS label FROM mask WHERE inside), x AS (SELECT feature_id, label, sum(a) AS a, sum(b) AS b FROM al JOIN l USING (r, c) GROUP BY ALL),
+, l AS (SELECT r, c, (r // 16) * 1000 + c // 16 AS label FROM mask WHERE inside), x AS (SELECT feature_id, label, sum(a) AS a, sum(b) AS b FROM al JOIN l USING (r, c) GROUP BY ALL),
 k AS (SELECT f.feature_id, q.label, ln(1 + coalesce(a, 0)) AS x, ln(1 + coalesce(b, 0)) AS y FROM (SELECT DISTINCT feature_id FROM al) f CROSS JOIN (SELECT DISTINCT label FROM x) q LEFT JOIN x ON x.feature_id = f.feature_id AND x.label = q.label)
 SELECT label, round(corr(x, y), 6) AS pearson FROM k GROUP BY label
 """)
 def profile_correlations(v: Views):
-    cells = v.mask().where("inside").select("r", "c", (grid.parent(F.col("r"), 16) * 4 + grid.parent(F.col("c"), 16)).alias("label"))
+    cells = v.mask().where("inside").select("r", "c", (grid.parent(F.col("r"), 16) * 1000 + grid.parent(F.col("c"), 16)).alias("label"))
     d = sparse.align(v.matrix("A"), v.matrix("R"))
     genes = d.select("feature_id").distinct().agg(F.count(F.lit(1)).alias("genes"))
     x = d.join(cells, ["r", "c"]).groupBy("feature_id", "label").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))

@@ -163,7 +163,7 @@ def homography_residual(v: Views):
 
 @query("cyclic_displacement", """
 , fa AS (SELECT r, c, sum(v) AS v FROM ma GROUP BY r, c), fb AS (SELECT r, c, sum(v) AS v FROM mb GROUP BY r, c)
-SELECT dy, dx, sum(fa.v * fb.v) AS v FROM range(-2, 3) t1(dy), range(-2, 3) t2(dx), fa JOIN fb ON fb.r = (fa.r + dy + 64) % 64 AND fb.c = (fa.c + dx + 64) % 64 GROUP BY dy, dx
+SELECT dy, dx, sum(fa.v * fb.v) AS v FROM range(-2, 3) t1(dy), range(-2, 3) t2(dx), fa JOIN fb ON fb.r = (fa.r + dy + (SELECT s FROM side)) % (SELECT s FROM side) AND fb.c = (fa.c + dx + (SELECT s FROM side)) % (SELECT s FROM side) GROUP BY dy, dx
 """)
 def cyclic_displacement(v: Views):
     total = lambda m: v.matrix(m).groupBy("r", "c").agg(F.sum("v").alias("v"))

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import math
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grid
 
-#: Side of the grid that the tables' keys are dealt on.
-SIDE = 64
+#: Features, and the least side of the grid, that the tables' keys are dealt on. The side grows with the root of the items, so
+#: that a cell has the same number of them at any size.
+FEATURES, SIDE, PER_CELL = 50, 64, 16
 
 PRELUDE = """
-WITH RECURSIVE obs AS (SELECT l_partkey % 20 AS feature_id, l_orderkey % 64 AS r, l_suppkey % 64 AS c, l_quantity AS v, l_returnflag AS m FROM lineitem),
+WITH RECURSIVE side AS (SELECT cast(greatest(64, 8 * ceil(sqrt(count(*) / 16.0) / 8)) AS bigint) AS s FROM lineitem),
+obs AS (SELECT l_partkey % 50 AS feature_id, l_orderkey % (SELECT s FROM side) AS r, l_suppkey % (SELECT s FROM side) AS c, l_quantity AS v, l_returnflag AS m FROM lineitem),
 ma AS (SELECT feature_id, r, c, sum(v) AS v FROM obs WHERE m = 'A' GROUP BY ALL),
 mb AS (SELECT feature_id, r, c, sum(v) AS v FROM obs WHERE m = 'R' GROUP BY ALL),
 mp AS (SELECT feature_id, r, c, sum(v) AS v FROM obs WHERE m IN ('A', 'R') GROUP BY ALL),
 field AS (SELECT r, c, sum(v) AS v FROM obs GROUP BY ALL),
-mask AS (SELECT i // 64 AS r, i % 64 AS c, ((i // 64) * 7 + (i % 64) * 13) % 11 < 4 AS inside, ((i // 64) + (i % 64)) % 9 > 0 AS support FROM range(4096) t(i)),
+mask AS (SELECT i // s AS r, i % s AS c, ((i // s) * 7 + (i % s) * 13) % 11 < 4 AS inside, ((i // s) + (i % s)) % 9 > 0 AS support FROM (SELECT unnest(range(s * s)) AS i, s FROM side)),
 dense AS (SELECT mask.r, mask.c, inside, support, coalesce(v, 0) AS v FROM mask LEFT JOIN field ON field.r = mask.r AND field.c = mask.c),
 al AS (SELECT coalesce(ma.feature_id, mb.feature_id) AS feature_id, coalesce(ma.r, mb.r) AS r, coalesce(ma.c, mb.c) AS c, coalesce(ma.v, 0) AS a, coalesce(mb.v, 0) AS b
   FROM ma FULL OUTER JOIN mb ON ma.feature_id = mb.feature_id AND ma.r = mb.r AND ma.c = mb.c),
@@ -38,14 +43,19 @@ class Views:
     """The views of one data directory; each is a plan, nothing is computed here."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self.side, self.features = spark, sf_dir, SIDE, 20
+        self.spark, self.sf_dir, self.features = spark, sf_dir, FEATURES
+
+    @cached_property
+    def side(self) -> int:
+        rows = self.table("lineitem").count()  # from the files' footers
+        return max(SIDE, 8 * math.ceil(math.sqrt(rows / PER_CELL) / 8))
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
     def obs(self) -> DataFrame:
         key = lambda c, n: F.pmod(F.col(c), F.lit(n))
-        return self.table("lineitem").select(key("l_partkey", 20).alias("feature_id"), key("l_orderkey", SIDE).alias("r"), key("l_suppkey", SIDE).alias("c"), F.col("l_quantity").alias("v"), F.col("l_returnflag").alias("m"))
+        return self.table("lineitem").select(key("l_partkey", FEATURES).alias("feature_id"), key("l_orderkey", self.side).alias("r"), key("l_suppkey", self.side).alias("c"), F.col("l_quantity").alias("v"), F.col("l_returnflag").alias("m"))
 
     def matrix(self, *flags: str) -> DataFrame:
         return self.obs().where(F.col("m").isin(*flags)).groupBy("feature_id", "r", "c").agg(F.sum("v").alias("v"))
@@ -54,7 +64,7 @@ class Views:
         return self.obs().groupBy("r", "c").agg(F.sum("v").alias("v"))
 
     def mask(self) -> DataFrame:
-        g = grid.dense_grid(self.spark, SIDE, SIDE)
+        g = grid.dense_grid(self.spark, self.side, self.side)
         return g.withColumn("inside", (F.col("r") * 7 + F.col("c") * 13) % 11 < 4).withColumn("support", (F.col("r") + F.col("c")) % 9 > 0)
 
     def dense(self) -> DataFrame:
