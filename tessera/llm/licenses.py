@@ -47,29 +47,91 @@ SENTENCES = {
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "mpl2-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense-notice": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "apache-basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-named": "the names of its contributors may not be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-warranty": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "zlib-warranty": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "boost-notice": "distributed under the boost software license version 1 0",
+    "gpl2-program": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl2-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "lgpl3-library": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl21-library": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "agpl3-program": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "mpl2-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "epl2-notice": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "cc-by-sa-4-notice": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc-by-nc-4-full": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc0-notice": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "spdx-mit": "spdx license identifier mit",
+    "spdx-apache": "spdx license identifier apache 2 0",
+    "spdx-gpl3": "spdx license identifier gpl 3 0 or later",
+    "spdx-bsd3": "spdx license identifier bsd 3 clause",
 }
 
 #: Licences and the ordered sentences of their rules.
 RULES = (
+    ("MIT", ("mit-grant", "mit-condition", "mit-warranty", "mit-liability")),
     ("MIT", ("mit-grant", "mit-condition", "mit-warranty")),
     ("MIT", ("mit-grant", "mit-condition")),
     ("MIT", ("mit-notice",)),
+    ("MIT", ("spdx-mit",)),
+    ("Apache-2.0", ("apache-notice-the", "apache-compliance", "apache-copy", "apache-basis")),
     ("Apache-2.0", ("apache-notice-the", "apache-compliance", "apache-copy")),
     ("Apache-2.0", ("apache-notice", "apache-compliance")),
     ("Apache-2.0", ("apache-notice",)),
+    ("Apache-2.0", ("apache-notice-the",)),
+    ("Apache-2.0", ("spdx-apache",)),
     ("GPL-3.0", ("gpl-program", "gpl-hope")),
     ("GPL-3.0", ("gpl-program",)),
     ("GPL-3.0", ("gpl3-notice",)),
+    ("GPL-3.0", ("spdx-gpl3",)),
+    ("GPL-2.0", ("gpl2-program", "gpl-hope")),
+    ("GPL-2.0", ("gpl2-program",)),
+    ("GPL-2.0", ("gpl2-only",)),
+    ("LGPL-3.0", ("lgpl3-library", "lgpl-hope")),
+    ("LGPL-3.0", ("lgpl3-library",)),
+    ("LGPL-2.1", ("lgpl21-library", "lgpl-hope")),
+    ("LGPL-2.1", ("lgpl21-library",)),
+    ("AGPL-3.0", ("agpl3-program", "gpl-hope")),
+    ("AGPL-3.0", ("agpl3-program",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4-notice",)),
     ("CC-BY-4.0", ("cc-by-4-notice",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-4-full",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-4-notice",)),
+    ("CC0-1.0", ("cc0-notice",)),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse-named")),
+    ("BSD-3-Clause", ("spdx-bsd3",)),
+    ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-as-is")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
+    ("ISC", ("isc-grant", "isc-warranty")),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant", "isc-warranty")),
+    ("0BSD", ("0bsd-grant",)),
+    ("Zlib", ("zlib-warranty", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("BSL-1.0", ("boost-notice",)),
+    ("MPL-2.0", ("mpl2-notice", "mpl2-copy")),
     ("MPL-2.0", ("mpl2-notice",)),
+    ("EPL-2.0", ("epl2-notice",)),
+    ("Unlicense", ("unlicense-notice", "unlicense-anyone")),
     ("Unlicense", ("unlicense-notice",)),
 )
 
 _KNOWN = {text.encode(): name for name, text in SENTENCES.items()}
 #: Every known sentence holds one of these, so a text without them has none.
-ANCHORS = (b"licen", b"permission", b"software", b"copyright", b"redistribut", b"warrant")
+ANCHORS = (b"licen", b"permission", b"software", b"copyright", b"redistribut", b"warrant", b"distributed", b"contributors")
 #: The normal forms of the first words of known sentences, whole ones too.
 _HEADS = {b" ".join(w[: k + 1]) for w in (t.split(b" ") for t in _KNOWN) for k in range(len(w))}
 _CUT = re.compile(rb"(?<=[.!?:;])[\x20\t\x0b\x0c]+|[\x20\t\x0b\x0c]*(?:\r\n|\n|\r)")
