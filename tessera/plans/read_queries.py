@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..operators import grid, molecules
+from ..operators.nearest import nearest
 from .registry import query
 from .views import Views
 
@@ -228,13 +229,9 @@ _KNN = ", q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT q.
 
 
 def _knn(v: Views, k: int):
-    """The k nearest rows of every row whose id is divisible by 50. Each query's rows are cut to k by a windowed limit
-    in the tasks that hold them before they meet."""
-    e = v.table("embeddings").select("vec_id", "embedding")
-    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("_e"))
-    squares = F.aggregate(F.zip_with("embedding", "_e", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    d = e.crossJoin(queries).where("vec_id <> q").select("q", F.col("vec_id").alias("x"), F.round(F.sqrt(squares), 5).alias("d"))  # a stated query set
-    return d.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy("d", "x"))).where(F.col("k") <= k)
+    """The k nearest rows of every row whose id is divisible by 50."""
+    e = v.table("embeddings").select(F.col("vec_id").alias("x"), F.col("embedding").alias("vector"))
+    return nearest(e, e.where("x % 50 = 0").withColumnRenamed("x", "q"), k)
 
 
 @query("knn_ratio", _KNN + " SELECT q, max(x) FILTER (k = 1) AS x, max(d) FILTER (k = 1) AS d1, max(d) FILTER (k = 2) AS d2, round(max(d) FILTER (k = 1) / max(d) FILTER (k = 2), 4) AS ratio FROM k WHERE k <= 2 GROUP BY q")

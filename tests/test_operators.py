@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import sequences
 from tessera.functions import stats as S
-from tessera.operators import candidates, effects, grid, molecules, ranking, raster, registration, report, sparse
+from tessera.operators import candidates, effects, grid, molecules, nearest, ranking, raster, registration, report, sparse
 from tessera.sources import ledger, lines, matrix, tables
 
 
@@ -425,3 +425,14 @@ def test_half_hits_are_those_of_one_edit(spark):
     got = candidates.half_hits(spark.createDataFrame([(h,) for h in halves], "text string"), spark.createDataFrame(list(zip(names, range(30))), "text string, c long"), "c", "e")
     want = sorted((h, c, edits(h, n)) for h in halves for c, n in enumerate(names) if edits(h, n) <= 1)
     assert _rows(got, "text", "c", "e") == want and any(x[2] for x in want)
+
+
+def test_nearest_over_blocks(spark):
+    rng = random.Random(7)
+    rows = [(k, [float(rng.randint(0, 4)) for _ in range(3)]) for k in range(90)]
+    d = spark.createDataFrame(rows, "x long, vector array<double>")
+    got = nearest.nearest(d, d.where("x % 9 = 0").withColumnRenamed("x", "q"), 4, query_block=3, row_block=20)
+    away = lambda a, b: round(math.dist(a, b), 5)
+    want = [(q, x, k + 1) for q, a in rows if q % 9 == 0 for k, (_, x) in enumerate(sorted((away(a, b), x) for x, b in rows if x != q)[:4])]
+    assert _rows(got, "q", "x", "k") == sorted(want)
+    assert nearest.nearest(d.limit(0), d.limit(0).withColumnRenamed("x", "q"), 3).count() == 0
