@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from .lineage import cut
 
+#: Buckets at least, and rows of a bucket beyond which there are more.
+BUCKETS, BUCKET_ROWS = 64, 1_000_000
 
-def cumulative(df: DataFrame, order: str, sums: list[str], buckets: int = BUCKETS) -> DataFrame:
+
+def cumulative(df: DataFrame, order: str, sums: list[str], buckets: int | None = None) -> DataFrame:
     """Adds ``before_x`` for each x in ``sums``: its total over rows with a smaller ``order``. Rows have distinct orders.
 
-    The order's approximate quantiles, at most ``buckets`` numbers, make the ranges."""
-    bounds = sorted(set(df.approxQuantile(order, [k / buckets for k in range(1, buckets)], 0.01)))
-    place = F.lit(0)
-    for b in bounds:
-        place = place + (F.col(order) > b).cast("int")
+    Approximate quantiles of the order, a number per bucket, make the ranges; buckets are as many as the rows need."""
+    df = cut(df)  # read for the quantiles, the totals and the rows
+    buckets = buckets or max(BUCKETS, -(-df.count() // BUCKET_ROWS))
+    bounds = sorted(set(df.approxQuantile(order, [k / buckets for k in range(1, buckets)], 0.2 / buckets)))
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))) if bounds else F.lit(0)
     dealt = df.withColumn("_bucket", place)
     totals = dealt.groupBy("_bucket").agg(*(F.sum(x).alias(f"_t_{x}") for x in sums))
     by = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows

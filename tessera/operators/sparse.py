@@ -19,13 +19,12 @@ def align(a: DataFrame, b: DataFrame, key: list[str] = KEY) -> DataFrame:
 def matrix_compare(a: DataFrame, b: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     """Masses, ratio, L1, exact entries, cosine, total variation and correlation over the union of entries."""
     x, y = F.col("a"), F.col("b")
-    got = align(a, b).agg(
+    masses = a.agg(F.sum("v").alias("ma")).crossJoin(b.agg(F.sum("v").alias("mb")))  # one row each, so that one aligned pass is enough
+    got = align(a, b).crossJoin(F.broadcast(masses)).agg(
         F.count(F.lit(1)).alias("entries"), F.sum((x > 0).cast("long")).alias("nnz_a"), F.sum((y > 0).cast("long")).alias("nnz_b"), F.sum(F.abs(x - y)).alias("l1"),
-        F.sum((F.abs(x - y) <= tolerance).cast("long")).alias("exact"), *S.moments(x, y),
+        F.sum((F.abs(x - y) <= tolerance).cast("long")).alias("exact"), (F.sum(F.abs(F.try_divide(x, F.col("ma")) - F.try_divide(y, F.col("mb")))) / 2).alias("tv"), *S.moments(x, y),
     )
-    masses = align(a, b).crossJoin(F.broadcast(got.select("sx", "sy")))  # one row
-    tv = masses.agg((F.sum(F.abs(F.try_divide(x, F.col("sx")) - F.try_divide(y, F.col("sy")))) / 2).alias("tv"))
-    return got.crossJoin(F.broadcast(tv)).select(
+    return got.select(
         "entries", "nnz_a", "nnz_b", F.col("sx").alias("mass_a"), F.col("sy").alias("mass_b"), F.round(F.try_divide("sx", "sy"), 6).alias("mass_ratio"), "l1", "exact",
         F.round(S.cosine_equal1(), 6).alias("cosine"), F.round("tv", 6).alias("tv"), F.round(S.pearson_equal1(), 6).alias("pearson"),
     )

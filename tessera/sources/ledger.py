@@ -9,15 +9,46 @@ from pyspark.sql import types as T
 from ..operators.grid import bin_id
 
 #: Columns of a ledger and their types, in file order.
-COLUMNS = (
-    "assignment_group_id string, candidate_index int, candidate_count int, feature_id string, feature_name string, umi string, row2 int, col2 int, "
-    "unit_2um_id string, unit_8um_id string, unit_16um_id string, sequence_status string, sequence_score double, sequence_rank int, "
-    "score0 double, score1 double, score2 double, score3 double, posterior_weight double, resolver string, resolver_version string, "
-    "resolver_margin double, source string, read_id string, raw_bc_sequence string, bc1_edit int, bc2_edit int, anchor_score int, offset_sum int, "
-    "full_start int, bc1_obs_len int, bc2_obs_len int, same_parent_8um boolean, same_parent_16um boolean, cell_id string, region_id string"
-)
+COLUMNS = """
+assignment_group_id string
+candidate_index int
+candidate_count int
+feature_id string
+feature_name string
+umi string
+row2 int
+col2 int
+unit_2um_id string
+unit_8um_id string
+unit_16um_id string
+sequence_status string
+sequence_score double
+sequence_rank int
+score0 double
+score1 double
+score2 double
+score3 double
+posterior_weight double
+resolver string
+resolver_version string
+resolver_margin double
+source string
+read_id string
+raw_bc_sequence string
+bc1_edit int
+bc2_edit int
+anchor_score int
+offset_sum int
+full_start int
+bc1_obs_len int
+bc2_obs_len int
+same_parent_8um boolean
+same_parent_16um boolean
+cell_id string
+region_id string
+"""
 _TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
-SCHEMA = T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in COLUMNS.split(", "))])
+SCHEMA = T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (line.split() for line in COLUMNS.strip().splitlines())])
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
