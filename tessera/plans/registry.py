@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None, prelude: bool = True):
     return add
 
 
-from . import audit_queries, effect_queries, grid_queries, matrix_queries, read_queries, registration_queries, sequence_queries, source_queries, table_queries  # noqa: E402, F401
+from . import audit_queries, effect_queries, grid_queries, matrix_queries, read_queries, registration_queries, report_queries, sequence_queries, source_queries, table_queries  # noqa: E402, F401
