@@ -170,7 +170,7 @@ def affine_check(rows: DataFrame, keys: list[str], minimum: int = 12, tolerance:
     passed = F.coalesce(F.try_divide("held_out_pass", "held_out"), F.lit(0.0)) >= share
     reason = F.when(~F.coalesce("trained", F.lit(False)), "too few positions to train").when(~passed, "held-out prediction").when(F.col("k0_dy").isNull(), "too few positions").when(F.col("retained") < minimum, "too few regions remain")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return both.select(*keys, zero("usable"), zero("held_out"), zero("held_out_pass"), F.col("retained").cast("long").alias("retained"), *COEFFICIENTS, reason.isNull().alias("accepted"), reason.alias("reason"))
+    return both.select(*keys, zero("usable"), zero("held_out"), zero("held_out_pass"), zero("retained"), *COEFFICIENTS, reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
 def block_draws(blocks: int, draws: int, seed: int) -> np.ndarray:

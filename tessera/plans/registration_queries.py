@@ -130,16 +130,16 @@ def _regions(v: Views):
     return best.join(centres, ["br", "bc"]).select("feature_id", F.col("br").alias("row"), F.col("bc").alias("col"), F.col("b.dy").cast("double").alias("dy"), F.col("b.dx").cast("double").alias("dx"), "y", "x", (F.col("cells") >= 60).alias("usable"))
 
 
-@query("affine_rejection", _REGIONS + _fit_sql("ft", "rg", "usable") + " SELECT feature_id, cast(n AS bigint) AS retained, round(k0_dy, 5) AS k0_dy, round(ky_dy, 5) AS ky_dy, round(kx_dy, 5) AS kx_dy, round(k0_dx, 5) AS k0_dx, round(ky_dx, 5) AS ky_dx, round(kx_dx, 5) AS kx_dx FROM ft")
+@query("affine_rejection", _REGIONS + _fit_sql("ft", "rg", "usable") + " SELECT feature_id, cast(n AS bigint) AS retained, round(k0_dy, 5) + 0e0 AS k0_dy, round(ky_dy, 5) + 0e0 AS ky_dy, round(kx_dy, 5) + 0e0 AS kx_dy, round(k0_dx, 5) + 0e0 AS k0_dx, round(ky_dx, 5) + 0e0 AS ky_dx, round(kx_dx, 5) + 0e0 AS kx_dx FROM ft")
 def affine_rejection(v: Views):
     """Of every feature the displacement that varies with the place, fitted to its regions' best shifts."""
     got = R.affine_fit(_regions(v).where("usable"), ["feature_id"])
-    return got.select("feature_id", F.col("retained").cast("long").alias("retained"), *(F.round(c, 5).alias(c) for c in R.COEFFICIENTS))
+    return got.select("feature_id", F.col("retained").cast("long").alias("retained"), *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in R.COEFFICIENTS))
 
 
 @query("affine_check", _REGIONS + ", us AS (SELECT * FROM rg WHERE usable)" + _fit_sql("tr", "us", "(row + col) % 2 = 0") + _fit_sql("fin", "us", "true") + """
-, hd AS (SELECT u.feature_id, count(*) AS usable, count(*) FILTER ((row + col) % 2 = 1) AS held_out, count(*) FILTER ((row + col) % 2 = 1 AND greatest(abs(dy - (k0_dy + ky_dy * y + kx_dy * x)), abs(dx - (k0_dx + ky_dx * y + kx_dx * x))) <= 1) AS passed, bool_or(k0_dy IS NOT NULL) AS trained FROM us u JOIN tr USING (feature_id) GROUP BY u.feature_id),
-rn AS (SELECT hd.*, fin.n AS retained, CASE WHEN NOT trained THEN 'too few positions to train' WHEN coalesce(passed / held_out, 0) < 0.75 THEN 'held-out prediction' WHEN k0_dy IS NULL THEN 'too few positions' WHEN fin.n < 12 THEN 'too few regions remain' END AS reason FROM hd LEFT JOIN fin USING (feature_id))
+, hd AS (SELECT u.feature_id, count(*) AS usable, count(*) FILTER ((row + col) % 2 = 1) AS held_out, count(*) FILTER ((row + col) % 2 = 1 AND greatest(abs(dy - (k0_dy + ky_dy * y + kx_dy * x)), abs(dx - (k0_dx + ky_dx * y + kx_dx * x))) <= 1) AS passed, coalesce(bool_or(k0_dy IS NOT NULL), false) AS trained FROM us u LEFT JOIN tr USING (feature_id) GROUP BY u.feature_id),
+rn AS (SELECT hd.*, coalesce(fin.n, 0) AS retained, CASE WHEN NOT trained THEN 'too few positions to train' WHEN coalesce(passed / held_out, 0) < 0.75 THEN 'held-out prediction' WHEN k0_dy IS NULL THEN 'too few positions' WHEN fin.n < 12 THEN 'too few regions remain' END AS reason FROM hd LEFT JOIN fin USING (feature_id))
 SELECT feature_id, cast(usable AS bigint) AS usable, cast(held_out AS bigint) AS held_out, cast(passed AS bigint) AS held_out_pass, cast(retained AS bigint) AS retained, reason IS NULL AS accepted, reason FROM rn
 """)
 def affine_check(v: Views):
