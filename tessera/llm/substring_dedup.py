@@ -11,8 +11,8 @@ What is sent is packed: a row per chunk and bucket, with the answers as bits in
 exchange is a few bytes per symbol. A symbol or window that is everywhere is sent once by a chunk. Buckets grow with the
 text. Answers are put together per chunk, and texts are joined to their document's flags and ranges by id and hash.
 
-Names are cut to 40 bits for step 1, where a chance match only keeps a window for step 2. Step 2 compares windows by two
-64-bit hashes, made of two independent hashes of each word.
+Names are cut to 40 bits for step 1, where a chance match only keeps a window for step 2. Step 2 compares windows by 96 bits,
+64 and 32 of two hashes that are made of two independent hashes of each word.
 
 Defined cases: a null or empty text has no words, and the digest of the empty string; a document shorter than a window
 keeps all; repeated rows with one id do not remove each other's words, as neither id is smaller; rows with a null id
@@ -81,7 +81,7 @@ def _send_windows(buckets: int):
                 at = _candidates(h, first, bits[i:j], sizes[i:j])
                 if not len(at):
                     continue
-                keys = [tk.window_hash(x, WINDOW)[at] for x in (h, tk.hash_words(buf, starts, ends, seed=1))]
+                keys = [tk.window_hash(h, WINDOW)[at], (tk.window_hash(tk.hash_words(buf, starts, ends, seed=1), WINDOW)[at] >> np.uint64(32)).astype(np.uint32)]
                 doc = np.searchsorted(first, at, side="right") - 1
                 order = np.lexsort((ids[i:j][doc], *keys[::-1]))
                 new = np.ones(len(order), bool)
@@ -101,7 +101,7 @@ def _send_windows(buckets: int):
                     own = order[begin[b] : begin[b + 1]]
                     if len(own):
                         used, who = np.unique(local[own], return_inverse=True)
-                        body = np.stack([k[own] for k in keys]).tobytes()
+                        body = b"".join(k[own].tobytes() for k in keys)
                         rows.append((b, chunk, len(own), body, who.astype(small).tobytes(), ids[i:j][has[used]].astype(np.int64).tobytes()))
                 steps = np.diff(at - first[doc], prepend=0).astype(np.int32)
                 rows.append((-1, chunk, len(at), code.astype(code_type(buckets)).tobytes(), steps.tobytes(), docs))
@@ -111,17 +111,19 @@ def _send_windows(buckets: int):
 
 
 def _answer_windows(group: pa.Table) -> pa.Table:
-    keys, docs, sizes = [], [], []
+    keys, more, docs, sizes = [], [], [], []
     for r in group.select(["head", "body", "who", "docs"]).to_pylist():
-        keys.append(np.frombuffer(r["body"], np.uint64).reshape(2, -1))
+        n = len(r["body"]) // 12
+        keys.append(np.frombuffer(r["body"], np.uint64, n))
+        more.append(np.frombuffer(r["body"], np.uint32, n, 8 * n))
         own = np.frombuffer(r["docs"], np.int64)
         who = np.frombuffer(r["who"], np.uint16 if len(r["who"]) == 2 * r["head"] else np.uint32)
         docs.append(own[who])
         sizes.append(r["head"])
-    key, doc = np.concatenate(keys, axis=1), np.concatenate(docs)
-    order = np.lexsort((doc, *key[::-1]))
+    key, other, doc = np.concatenate(keys), np.concatenate(more), np.concatenate(docs)
+    order = np.lexsort((doc, other, key))
     new = np.ones(len(order), bool)
-    new[1:] = np.any(key[:, order[1:]] != key[:, order[:-1]], axis=0)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (other[order][1:] != other[order][:-1])
     flags = np.zeros(len(order), bool)
     flags[order] = doc[order] > doc[order[np.flatnonzero(new)]][np.cumsum(new) - 1]
     return answers_of(group, flags, sizes)
