@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_folder() -> str:
+    """A temporary folder of this process, gone when it ends."""
+    folder = tempfile.mkdtemp(prefix="spark-tessera-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the folder that the session names in spark.checkpoint.dir; in a temporary one where that is unset and
     all runs in one process, as executors of a cluster could not read it."""
@@ -17,7 +27,7 @@ def scratch(spark: SparkSession, what: str) -> str:
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = os.environ.setdefault("TESSERA_SCRATCH", "file://" + tempfile.mkdtemp(prefix="spark-tessera-"))
+        folder = _own_folder()
     return f"{folder.rstrip('/')}/tessera-{what}-{uuid.uuid4().hex}"
 
 
