@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -20,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_folder() -> str:
+    """A temporary folder of this process, gone when it ends."""
+    folder = tempfile.mkdtemp(prefix="spark-tessera-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset and all run in one
     process (tests), as executors of a cluster could not read it."""
@@ -28,9 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if "TESSERA_SHARED" not in os.environ:
-        os.environ["TESSERA_SHARED"] = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
-    return os.environ["TESSERA_SHARED"]
+    return _own_folder()
 
 
 def scratch(spark: SparkSession, what: str) -> str:
