@@ -137,8 +137,7 @@ def test_jaccard_join(spark, corpus):
     assert jaccard_join.near_classes(spark.createDataFrame([], schema)).count() == 0
 
 
-@pytest.mark.parametrize("most_docs, pivots, splits", [(6, (3, 3), 3), (6, (3, 3), 0), (10, (20, 20), 2)])
-@pytest.mark.parametrize("size, limit", [(3, 90), (5, 80)])
+@pytest.mark.parametrize("most_docs, pivots, splits, size, limit", [(6, (3, 3), 3, 5, 80), (6, (3, 3), 0, 3, 90), (10, (20, 20), 2, 3, 90)])
 def test_jaccard_join_splits_large_regions(spark, most_docs, pivots, splits, size, limit):
     rng = random.Random(5)
     texts = []
