@@ -51,6 +51,29 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.kept_at = path
+    if _kept:
+        _kept[-1].append(out)
+    return out
+
+
+#: The tables that keep() wrote, for each result that is being made.
+_kept: list[list[DataFrame]] = []
+
+
+def finished(what: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build()`` gives, written as a table; those that :func:`keep` wrote on the way are deleted, if it fails too."""
+    mine: list[DataFrame] = []
+    out = None
+    _kept.append(mine)
+    try:
+        out = keep(build(), what)
+    finally:
+        _kept.pop()
+        for df in mine:
+            if df is not out:
+                discard(df)
+    if _kept:
+        _kept[-1].append(out)
     return out
 
 

@@ -1,6 +1,6 @@
 """The queries of this folder by name, and the SQL that must give the same rows."""
 
-from . import decontaminate, jaccard_join, licenses, mixing, quality, secrets, substring_dedup, token_files, toxicity, url_filter
+from . import decontaminate, jaccard_join, licenses, merkle, mixing, quality, secrets, substring_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
@@ -13,5 +13,6 @@ QUERIES = {
     "op10_token_files": token_files.op10_token_files,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
-ORACLE_SQL = {"op4_jaccard_join": jaccard_join.OP4_SQL, "op2_substring_dedup": substring_dedup.OP2_SQL, "op3_decontaminate": decontaminate.OP3_SQL}
+ORACLE_SQL = {"op4_jaccard_join": jaccard_join.OP4_SQL, "op2_substring_dedup": substring_dedup.OP2_SQL, "op3_decontaminate": decontaminate.OP3_SQL, "op13_merkle_manifest": merkle.OP13_SQL}
