@@ -60,6 +60,27 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
+def parts(buf: np.ndarray, offs: np.ndarray, ends: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A chunk as :func:`chunks` gives it, but a single text of more than ``limit`` bytes in parts, each up to and with the last
+    byte of ``ends`` before the limit, or the first one after it: bytes and offsets."""
+    if len(offs) > 2 or len(buf) <= limit:
+        yield buf, offs
+        return
+    a = 0
+    while a < len(buf):
+        b = len(buf)
+        if a + limit < b:
+            near = np.flatnonzero(ends[buf[a : a + limit]])
+            b = a + int(near[-1]) + 1 if len(near) else 0
+            at = a + limit
+            while not b:  # no end so far: look on
+                near = np.flatnonzero(ends[buf[at : at + limit]])
+                b = at + int(near[0]) + 1 if len(near) else len(buf) if at + limit >= len(buf) else 0
+                at += limit
+        yield buf[a:b], np.array([0, b - a])
+        a = b
+
+
 def lower(buf: np.ndarray) -> np.ndarray:
     """A-Z to a-z; other bytes stay."""
     return _LOWER[buf]
