@@ -1,6 +1,6 @@
 """The queries of this folder by name, and the SQL that must give the same rows."""
 
-from . import collocation, decontaminate, jaccard_join, licenses, merkle, mixing, quality, secrets, substring_dedup, token_files, toxicity, url_filter
+from . import collocation, decontaminate, jaccard_join, licenses, merkle, mixing, quality, quality_fm, secrets, substring_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
@@ -13,6 +13,7 @@ QUERIES = {
     "op10_token_files": token_files.op10_token_files,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op11_quality_classifier": quality_fm.op11_quality_classifier,
     "op12_collocations": collocation.op12_collocations,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
