@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grid import with_shifts
+from .tiles import met_sums
+from .transforms import squared_distances
 
 
 def box_sums(dense: DataFrame, value: str, radius: int, out: str) -> DataFrame:
@@ -27,21 +29,15 @@ def _disc(radius: int) -> Column:
     return F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx") <= radius * radius
 
 
-def nearest_distance(dense: DataFrame, flag: Column, radius: int) -> DataFrame:
-    """r, c, d2: the squared distance to the nearest flagged cell within ``radius``. Cells send themselves to their disc,
-    whose size is fixed, and the least distance is kept in a partial aggregate."""
-    sent = with_shifts(dense.where(flag).select("r", "c"), radius).where(_disc(radius))
-    return sent.groupBy((F.col("r") + F.col("dy")).alias("r"), (F.col("c") + F.col("dx")).alias("c")).agg(F.min(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).alias("d2"))
-
-
-def distance_bands(dense: DataFrame, radius: int = 6) -> DataFrame:
-    """Band of each cell: 0.. inside by distance to the outside, 3 + floor of the distance beyond the edge outside, -1 far."""
-    out = nearest_distance(dense, F.col("inside"), radius).withColumnRenamed("d2", "_o")
-    into = nearest_distance(dense, ~F.col("inside"), radius).withColumnRenamed("d2", "_i")
-    got = dense.join(out, ["r", "c"], "left").join(into, ["r", "c"], "left")
-    inner = F.when(F.col("_i") <= 1, 2).when(F.col("_i") <= 4, 1).otherwise(0)
-    outer = F.when(F.col("_o").isNull(), -1).otherwise(2 + F.ceil(F.sqrt("_o")))
-    return got.select("r", "c", "v", F.when(F.col("inside"), inner).otherwise(outer).cast("int").alias("band"))
+def distance_bands(dense: DataFrame, outer: int = 6) -> DataFrame:
+    """Band of each cell: 0.. inside by distance to the outside, 3 + floor of the distance beyond the edge outside, -1 beyond
+    ``outer``. Distances are exact at any range; without an inside, or an outside, cells are as far as can be."""
+    far = squared_distances(dense.withColumn("outside", ~F.col("inside")), ["inside", "outside"])
+    got = dense.join(far, ["r", "c"])
+    into = F.col("d2_outside")
+    inner = F.when(into <= 1, 2).when(into <= 4, 1).otherwise(0)
+    out = F.when(F.col("d2_inside") <= outer * outer, 2 + F.ceil(F.sqrt("d2_inside"))).otherwise(-1)
+    return got.select("r", "c", "v", F.when(F.col("inside"), inner).otherwise(out).cast("int").alias("band"))
 
 
 def grow_labels(labels: DataFrame, radius: int, height: int, width: int) -> DataFrame:
@@ -52,23 +48,15 @@ def grow_labels(labels: DataFrame, radius: int, height: int, width: int) -> Data
     return grown.where(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1)).select("r", "c", F.col("near.label").alias("label"), F.col("near.d2").alias("d2"))
 
 
-def _met(a: DataFrame, b: DataFrame, radius: int) -> DataFrame:
-    """Cells of ``a`` with those of ``b`` at every shift: a at (r, c) meets b at (r + dy, c + dx)."""
-    sent = with_shifts(a, radius).withColumn("r", F.col("r") + F.col("dy")).withColumn("c", F.col("c") + F.col("dx"))
-    return sent.join(b, ["r", "c"])
-
-
 def shift_surface(dense: DataFrame, radius: int) -> DataFrame:
     """Mean count under the mask at every shift, over supported cells."""
-    met = _met(dense.where("inside").select("r", "c"), dense.where("support").select("r", "c", "v"), radius)
-    return met.groupBy("dy", "dx").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")).withColumn("mean", F.round(F.try_divide("total", "n"), 6))
+    met = met_sums(dense.where("inside"), dense.where("support").withColumn("y", F.col("v")), radius, total=(0, 1))
+    return met.withColumn("mean", F.round(F.try_divide("total", "n"), 6))
 
 
 def ncc_surface(a: DataFrame, b: DataFrame, radius: int) -> DataFrame:
     """Correlation at every shift over joint support; null for fewer than three cells or a constant side."""
-    met = _met(a.select("r", "c", F.col("v").alias("x")), b.select("r", "c", F.col("v").alias("y")), radius)
-    x, y = F.col("x"), F.col("y")
-    got = met.groupBy("dy", "dx").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
+    got = met_sums(a.withColumn("x", F.col("v")), b.withColumn("y", F.col("v")), radius, sx=(1, 0), sy=(0, 1), sxx=(2, 0), syy=(0, 2), sxy=(1, 1))
     n = F.col("n")
     spread = (n * F.col("sxx") - F.col("sx") * F.col("sx")) * (n * F.col("syy") - F.col("sy") * F.col("sy"))
     return got.select("dy", "dx", "n", F.round(F.when((n >= 3) & (spread > 0), (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(F.when(spread > 0, spread).otherwise(1.0))), 6).alias("ncc"))
@@ -82,7 +70,7 @@ def mi_surface(a: DataFrame, b: DataFrame, radius: int, bins: int = 8) -> DataFr
         code = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.coalesce(F.try_divide((F.col("v") - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo")), F.lit(0.0)))))
         return d.crossJoin(F.broadcast(ends)).select("r", "c", code.alias(name))
 
-    met = _met(coded(a, "x"), coded(b, "y"), radius).groupBy("dy", "dx", "x", "y").agg(F.count(F.lit(1)).alias("k"))
+    met = met_sums(coded(a, "x"), coded(b, "y"), radius, ["x"], ["y"]).withColumnRenamed("n", "k")
     at = Window.partitionBy("dy", "dx")  # bins^2 rows
     p = met.withColumn("n", F.sum("k").over(at)).withColumn("kx", F.sum("k").over(Window.partitionBy("dy", "dx", "x"))).withColumn("ky", F.sum("k").over(Window.partitionBy("dy", "dx", "y")))
     return p.groupBy("dy", "dx").agg(F.round(F.sum(F.col("k") / F.col("n") * F.ln(F.col("k") * F.col("n") / (F.col("kx") * F.col("ky")))), 6).alias("mi"))
@@ -90,8 +78,7 @@ def mi_surface(a: DataFrame, b: DataFrame, radius: int, bins: int = 8) -> DataFr
 
 def eta2_surface(bands: DataFrame, values: DataFrame, radius: int) -> DataFrame:
     """Correlation ratio of values by distance band at every shift; an empty band adds nothing."""
-    met = _met(bands.select("r", "c", "band"), values.select("r", "c", "v"), radius)
-    per = met.groupBy("dy", "dx", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    per = met_sums(bands, values.withColumn("y", F.col("v")), radius, ["band"], s=(0, 1), q=(0, 2))
     all_ = per.groupBy("dy", "dx").agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     mean = F.col("s") * F.col("s") / F.col("n")
     return all_.select("dy", "dx", F.round(F.try_divide(F.col("between") - mean, F.col("q") - mean), 6).alias("eta2"))

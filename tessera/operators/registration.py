@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import raster
 from .grid import with_shifts
+from .tiles import met_sums
 
 #: Chebyshev distances of the ring that a centre is held against.
 RING = (3, 5)
@@ -186,8 +187,7 @@ def assess(dense: DataFrame, search: int, block: int, draws: int = 200, seed: in
     their highest maximum within one location of it. Statistics are summed per block once; a draw is a weighted sum of them."""
     spark = dense.sparkSession
     values = raster.corrected(dense, baseline).where("support").select("r", "c", "v", (F.floor(F.col("r") / block)).alias("by"), F.floor(F.col("c") / block).alias("bx"))
-    met = raster._met(raster.distance_bands(dense).select("r", "c", "band"), values, search + 1)
-    per = met.groupBy("by", "bx", "dy", "dx", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")).cache()
+    per = met_sums(raster.distance_bands(dense), values.withColumn("y", F.col("v")), search + 1, ["band"], ["by", "bx"], s=(0, 1), q=(0, 2)).cache()
     names = per.select("by", "bx").distinct().orderBy("by", "bx").collect()  # a row per block of the slide
     if not names:
         return spark.createDataFrame([("not registered", "no tissue", None, None, None, None, None)], "status string, reason string, dy long, dx long, eta2 double, share_within_one double, share_exact double")

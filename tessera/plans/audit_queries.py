@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..operators import grid, raster
 from ..operators.registration import block_draws
+from ..operators.tiles import met_sums
+from ..operators.transforms import squared_distances
 from .registry import query
 from .views import Views
 
@@ -45,8 +47,7 @@ def region_surfaces(v: Views):
     """Best shift of every region in one pass over all of them."""
     d = v.dense()
     mask = d.where("inside").select("r", "c", grid.parent(F.col("r"), 16).alias("br"), grid.parent(F.col("c"), 16).alias("bc"))
-    met = raster._met(mask, d.where("support").select("r", "c", "v"), 2)
-    m = met.groupBy("br", "bc", "dy", "dx").agg((F.sum("v") / F.count(F.lit(1))).alias("m"))
+    m = met_sums(mask, d.where("support").withColumn("y", F.col("v")), 2, ["br", "bc"], v=(0, 1)).withColumn("m", F.col("v") / F.col("n"))
     order = F.struct((-F.round("m", 9)).alias("high"), F.greatest(F.abs("dy"), F.abs("dx")).alias("far"), "dy", "dx", "m")
     return m.groupBy("br", "bc").agg(F.min(order).alias("b")).select("br", "bc", "b.dy", "b.dx", F.round("b.m", 6).alias("m"))
 
@@ -56,7 +57,7 @@ def bootstrap_surface(v: Views):
     """Shares of 200 draws of blocks whose best shift is within one cell of the whole surface's; draws are numpy's."""
     d, across = v.dense(), -(-v.side // 16)
     mask = d.where("inside").select("r", "c", (grid.parent(F.col("r"), 16) * across + grid.parent(F.col("c"), 16)).alias("block"))
-    stat = raster._met(mask, d.where("support").select("r", "c", "v"), 2).groupBy("block", "dy", "dx").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+    stat = met_sums(mask, d.where("support").withColumn("y", F.col("v")), 2, ["block"], s=(0, 1))
     draws = block_draws(across * across, 200, 11)  # a number per draw and block of the grid
     weights = v.spark.createDataFrame([(int(k), int(b), int(w)) for k, row in enumerate(draws) for b, w in enumerate(row) if w], "draw long, block long, w long")
     drawn = stat.join(F.broadcast(weights), "block").groupBy("draw", "dy", "dx").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("m"))
@@ -73,7 +74,7 @@ SELECT CASE WHEN d2 <= 1 THEN 1 WHEN d2 <= 4 THEN 2 WHEN d2 <= 9 THEN 3 ELSE 5 E
 """)
 def edge_profile(v: Views):
     d = v.dense()
-    near = d.where("support").join(raster.nearest_distance(d, ~F.col("support"), 5), ["r", "c"])
+    near = d.where("support").join(squared_distances(d.withColumn("off", ~F.col("support")), ["off"]).where("d2_off <= 25").withColumnRenamed("d2_off", "d2"), ["r", "c"])
     upto = F.when(F.col("d2") <= 1, 1).when(F.col("d2") <= 4, 2).when(F.col("d2") <= 9, 3).otherwise(5)
     return near.groupBy(upto.alias("upto")).agg(F.count(F.lit(1)).alias("cells"), F.round(F.avg("v"), 6).alias("density"))
 
