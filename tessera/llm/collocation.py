@@ -6,7 +6,10 @@ so ROLLUP over the windows' counts gives all shorter phrases, the words and the
 into n-grams of each length.
 
 Tasks count the windows of a bounded number of words before anything is shuffled, so a window that is everywhere is one
-row a task; windows are dealt by all their words, so none shares its partition with all that begin like it.
+entry a task, and send them packed to buckets by a hash of all their words, so none gets all that begin like it. A bucket
+adds up what it was sent; its windows that are phrases counted often enough are done, and all windows of the same first
+words become one row of the roll-up. Buckets hold a bounded amount; where they are more than ``FAN``, tasks deal to
+``FAN`` coarse ones first, whose entries are counted together and dealt again.
 
 Words are compared as bytes. Counts are 64-bit, products of counts decimals of 38 digits: exact up to 10^15 words of a
 language. What meets after the roll-up are phrases counted at least ``least`` times: each cut of a candidate looks up its
@@ -27,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .exchange import bucket_count, text_bytes
 from .io import finished, keep, map_batches, table
 
 #: Words of the longest phrase, occurrences of a candidate, phrases that are reported for a language, and the share of a
 #: phrase's occurrences, in percent, within one longer candidate that drops it.
 MOST, LEAST, TOP, COVERED = 3, 10, 2000, 50
-#: Words that a task counts at once, and rows of a batch that it sends.
-WORDS_AT_ONCE, SEND_ROWS = 2_500_000, 100_000
+#: Words that a task counts at once, rows of a batch that it sends, text of a bucket on average, and buckets that are dealt to
+#: at once at most.
+WORDS_AT_ONCE, SEND_ROWS, BUCKET_BYTES, FAN = 2_500_000, 100_000, 16 << 20, 1024
 #: Parts of a language from each of which the first phrases are taken before the language's own are.
 TOP_PARTS = 64
 
@@ -43,19 +48,18 @@ _WORD = ~_PIECE_END
 _WORD[[0x20, 0x09]] = False
 
 
-class _Counter:
+class _Words:
     """Words of one language in the order of the text, and where pieces end, until they are counted."""
 
-    def __init__(self, most: int):
-        self.most, self.data, self.sizes, self.ends, self.n = most, [], [], [], 0
+    def __init__(self):
+        self.data, self.sizes, self.ends, self.n = [], [], [], 0
 
     def add(self, buf: np.ndarray, offs: np.ndarray) -> None:
         starts, ends, _ = tk.words(buf, offs, _WORD)
         if not len(starts):
             return
-        cut = _PIECE_END[buf]
         marks = np.zeros(len(buf) + 1, np.int32)
-        np.cumsum(cut, out=marks[1:])
+        np.cumsum(_PIECE_END[buf], out=marks[1:])
         doc = np.searchsorted(offs, starts, side="right")
         last = np.ones(len(starts), bool)  # the last word of its piece
         last[:-1] = (marks[starts[1:]] != marks[ends[:-1]]) | (doc[1:] != doc[:-1])
@@ -64,53 +68,106 @@ class _Counter:
         self.ends.append(last)
         self.n += len(starts)
 
-    def counted(self) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
-        """The words, the numbers of each window's words among them (0 pads), and how often each window occurs."""
+    def counted(self, most: int) -> Counts:
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(self.sizes))])
-        data = np.concatenate(self.data)
-        last = np.concatenate(self.ends)
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(self.data))])
         coded = words.dictionary_encode()
-        own = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        last, own = np.concatenate(self.ends), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
         leads, open_ = [own], np.ones(len(own), bool)
-        for k in range(1, self.most):
+        for k in range(1, most):
             ahead, ended = np.zeros(len(own), np.int64), np.ones(len(own), bool)
             ahead[:-k], ended[:-k] = own[k:], last[k - 1 : -1]
             open_ = open_ & ~ended
             leads.append(np.where(open_, ahead, 0))
-        base = len(coded.dictionary) + 1
-        key, room = leads[0].astype(np.uint64), base
-        for lead in leads[1:]:
-            if room > (1 << 63) // base:  # number the distinct ones anew
-                key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-                room = len(own) + 1
-            key, room = key * np.uint64(base) + lead.astype(np.uint64), room * base
-        _, at, n = np.unique(key, return_index=True, return_counts=True)
-        self.__init__(self.most)
-        return coded.dictionary, [lead[at] for lead in leads], n
+        words = pa.concat_arrays([pa.array([b""], pa.large_binary()), coded.dictionary])
+        return Counts(words, leads, np.ones(len(own), np.int64)).summed()
+
+
+def _keys(leads: list[np.ndarray], base: int) -> np.ndarray:
+    """A number per row that is the same for the same words."""
+    key, room = leads[0].astype(np.uint64), base
+    for lead in leads[1:]:
+        if room > (1 << 63) // base:  # number the distinct ones anew
+            key, room = np.unique(key, return_inverse=True)[1].astype(np.uint64), len(key) + 1
+        key, room = key * np.uint64(base) + lead.astype(np.uint64), room * base
+    return key
+
+
+class Counts:
+    """Windows as numbers of their words, of which 0 is the empty one that pads, and how often each occurs."""
+
+    def __init__(self, words: pa.Array, leads: list[np.ndarray], n: np.ndarray):
+        self.words, self.leads, self.n = words, leads, n
+
+    def summed(self, columns: int | None = None) -> Counts:
+        """Equal windows, or those equal in their first ``columns`` words, once with the sum of their counts."""
+        leads = self.leads[:columns]
+        _, at, of = np.unique(_keys(leads, len(self.words)), return_index=True, return_inverse=True)
+        n = np.zeros(len(at), np.int64)
+        np.add.at(n, of, self.n)
+        return Counts(self.words, [lead[at] for lead in leads], n)
+
+    def where(self, rows: np.ndarray) -> Counts:
+        return Counts(self.words, [lead[rows] for lead in self.leads], self.n[rows])
+
+    def hashes(self) -> np.ndarray:
+        offsets = np.frombuffer(self.words.buffers()[1], np.int64, len(self.words) + 1)
+        data = self.words.buffers()[2]
+        own = tk.hash_words(np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets[:-1], offsets[1:])
+        h = np.zeros(len(self.n), np.uint64)
+        for lead in self.leads:
+            h = tk.mix(h * np.uint64(0x9E3779B97F4A7C15) + own[lead])
+        return h
+
+    def packed(self) -> bytes:
+        """The windows with only the words that they have, compressed."""
+        used = np.zeros(len(self.words), bool)
+        used[0] = True
+        for lead in self.leads:
+            used[lead] = True
+        local = np.cumsum(used, dtype=np.uint32) - np.uint32(1)
+        columns = [self.words.take(pa.array(np.flatnonzero(used))), *(pa.array(local[lead]) for lead in self.leads), pa.array(self.n)]
+        lists = [pa.LargeListArray.from_arrays(pa.array([0, len(c)], pa.int64()), c) for c in columns]
+        sink = pa.BufferOutputStream()
+        batch = pa.RecordBatch.from_arrays(lists, [str(k) for k in range(len(lists))])
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        return sink.getvalue().to_pybytes()
+
+
+def unpacked(bodies: list[bytes]) -> Counts:
+    """What several packed windows hold, equal ones once."""
+    parts = [[c.values for c in pa.ipc.open_stream(body).read_next_batch().columns] for body in bodies]
+    coded = pa.concat_arrays([pa.array([b""], pa.large_binary()), *(p[0] for p in parts)]).dictionary_encode()
+    number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    at, leads = 1, [[] for _ in parts[0][1:-1]]
+    for p in parts:
+        own = number[at : at + len(p[0])]
+        at += len(p[0])
+        for to, lead in zip(leads, p[1:-1]):
+            to.append(own[lead.to_numpy()])
+    return Counts(coded.dictionary, [np.concatenate(x) for x in leads], np.concatenate([p[-1].to_numpy() for p in parts])).summed()
 
 
 def _columns(most: int) -> list[str]:
     return [f"w{k}" for k in range(1, most + 1)]
 
 
-def windows(docs: DataFrame, most: int = MOST, words_at_once: int = WORDS_AT_ONCE) -> DataFrame:
-    """lang, w1 to wN and n: the longest windows as tasks have counted them, those of one task once for every
-    ``words_at_once`` words that it reads; no shuffle."""
-    if words_at_once >= 1 << 31:
-        raise ValueError("words_at_once is too large")
-    names = ["lang", *_columns(most), "n"]
+_SENT = "lang string, bucket long, body binary"
+
+
+def _dealt(lang: str, counts: Counts, within: int, fan: int, level: int) -> Iterator[pa.RecordBatch]:
+    """A row for each part of bucket ``within`` that the windows fall in, by the digit of their hashes at ``level``."""
+    digit = (counts.hashes() // np.uint64(fan**level) % np.uint64(fan)).astype(np.int64)
+    order = np.argsort(digit, kind="stable")
+    found, begin = np.unique(digit[order], return_index=True)
+    for d, a, b in zip(found.tolist(), begin, np.append(begin[1:], len(order))):
+        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([within * fan + d]), pa.array([counts.where(order[a:b]).packed()], pa.binary())], ["lang", "bucket", "body"])
 
-    def sent(lang: str, counter: _Counter) -> Iterator[pa.RecordBatch]:
-        words, leads, n = counter.counted()
-        words = pa.concat_arrays([pa.array([b""], pa.large_binary()), words]).cast(pa.large_string())
-        for a in range(0, len(n), SEND_ROWS):
-            part = [words.take(pa.array(lead[a : a + SEND_ROWS])).cast(pa.string()) for lead in leads]
-            own = n[a : a + SEND_ROWS]
-            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(own), np.int8))), *part, pa.array(own.astype(np.int64))], names)
 
+def _counted_texts(most: int, words_at_once: int, fan: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[str, _Counter] = {}
+        open_: dict[str, _Words] = {}
         total = 0
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
@@ -119,34 +176,80 @@ def windows(docs: DataFrame, most: int = MOST, words_at_once: int = WORDS_AT_ONC
                 rows = np.flatnonzero(code == c)
                 texts = batch.column(1) if len(rows) == batch.num_rows else batch.column(1).take(pa.array(rows))
                 for _, _, buf, offs in tk.chunks(texts):
-                    buf = tk.lower(buf)
-                    for piece, own in tk.parts(buf, offs, _PIECE_END):
-                        counter = open_.setdefault(lang, _Counter(most))
-                        before = counter.n
-                        counter.add(piece, own)
-                        total += counter.n - before
+                    for piece, own in tk.parts(tk.lower(buf), offs, _PIECE_END):
+                        words = open_.setdefault(lang, _Words())
+                        before = words.n
+                        words.add(piece, own)
+                        total += words.n - before
                         while total >= words_at_once:
                             fullest = max(open_, key=lambda x: open_[x].n)
                             done = open_.pop(fullest)
                             total -= done.n
-                            yield from sent(fullest, done)
-        for lang, counter in open_.items():
-            if counter.n:
-                yield from sent(lang, counter)
+                            yield from _dealt(fullest, done.counted(most), 0, fan, 0)
+        for lang, words in open_.items():
+            if words.n:
+                yield from _dealt(lang, words.counted(most), 0, fan, 0)
 
+    return run
+
+
+def _dealt_again(words_at_once: int, fan: int, level: int):
+    """Rows in order of language and bucket; those of one are counted together up to a bound before they are dealt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, size = None, [], 0
+        for batch in batches:
+            for lang, bucket, body in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and ((lang, bucket) != key or size >= 8 * words_at_once):
+                    yield from _dealt(key[0], unpacked(held), key[1], fan, level)
+                    held, size = [], 0
+                key = (lang, bucket)
+                held.append(body)
+                size += len(body)
+        if held:
+            yield from _dealt(key[0], unpacked(held), key[1], fan, level)
+
+    return run
+
+
+def windows(docs: DataFrame, most: int = MOST, words_at_once: int = WORDS_AT_ONCE, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN) -> DataFrame:
+    """lang, bucket and body: the longest windows, counted by tasks and packed for the buckets that add them up."""
+    buckets = bucket_count(text_bytes(docs), bucket_bytes)
+    levels = 1
+    while fan**levels < buckets:
+        levels += 1
+    fan = min(fan, max(8, buckets)) if levels == 1 else fan
     text = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text"))
-    return map_batches(text, None, ", ".join(f"{c} string" for c in names[:-1]) + ", n long", whole=run)
+    sent = map_batches(text, None, _SENT, whole=_counted_texts(most, words_at_once, fan))
+    for level in range(1, levels):
+        dealt = sent.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+        sent = map_batches(dealt, None, _SENT, whole=_dealt_again(words_at_once, fan, level))
+    return sent
+
+
+def _rows(lang: str, counts: Counts, names: list[str]) -> pa.Table:
+    words = counts.words.cast(pa.large_string())
+    columns = [words.take(pa.array(lead)).cast(pa.string()) for lead in counts.leads]
+    return pa.table([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(counts.n), np.int8))), *columns, pa.array(counts.n)], names=["lang", *names, "f"])
 
 
-def phrase_counts(docs: DataFrame, most: int = MOST, least: int = LEAST, words_at_once: int = WORDS_AT_ONCE) -> DataFrame:
+def phrase_counts(docs: DataFrame, most: int = MOST, least: int = LEAST, **bounds: int) -> DataFrame:
     """lang, phrase (its words joined by one space; null for all words), size and f of every phrase of up to ``most`` words
-    counted ``least`` times or more, and of all words of each language."""
+    counted ``least`` times or more, and of all words of each language. ``bounds`` are those of :func:`windows`."""
     names = _columns(most)
-    longest = windows(docs, most, words_at_once).repartition("lang", *names).groupBy("lang", *names).agg(F.sum("n").alias("f"))
-    real = F.col(names[-1]) != ""
-    full = longest.where(real & (F.col("f") >= least)).select("lang", *names, "f", F.lit(most).alias("size"))
+    sent = windows(docs, most, **bounds).groupBy("lang", "bucket")
+
+    def full_rows(key: tuple, group: pa.Table) -> pa.Table:
+        counts = unpacked(group.column("body").to_pylist())
+        return _rows(key[0].as_py(), counts.where((counts.leads[-1] > 0) & (counts.n >= least)), names)
+
+    def prefix_rows(key: tuple, group: pa.Table) -> pa.Table:
+        return _rows(key[0].as_py(), unpacked(group.column("body").to_pylist()).summed(most - 1), names[:-1])
+
+    schema = lambda own: "lang string, " + ", ".join(f"{c} string" for c in own) + ", f long"
+    full = sent.applyInArrow(full_rows, schema(names)).withColumn("size", F.lit(most))
     # from the longest windows down: the phrases that begin them, one word fewer each time, then the language
-    prefix = longest.rollup("lang", *names[:-1]).agg(F.sum("f").alias("f"), F.grouping_id().alias("_gid"))
+    prefix = sent.applyInArrow(prefix_rows, schema(names[:-1])).rollup("lang", *names[:-1]).agg(F.sum("f").alias("f"), F.grouping_id().alias("_gid"))
     size = F.lit(most - 1) - F.bit_count("_gid").cast("int")
     shorter = prefix.select("lang", *names[:-1], F.lit(None).cast("string").alias(names[-1]), "f", size.alias("size"))
     ends = F.lit(True)
@@ -157,9 +260,9 @@ def phrase_counts(docs: DataFrame, most: int = MOST, least: int = LEAST, words_a
     return full.unionByName(shorter).select("lang", phrase.alias("phrase"), "size", "f")
 
 
-def collocations(docs: DataFrame, most: int = MOST, least: int = LEAST, top: int = TOP, covered: int = COVERED, words_at_once: int = WORDS_AT_ONCE) -> DataFrame:
+def collocations(docs: DataFrame, most: int = MOST, least: int = LEAST, top: int = TOP, covered: int = COVERED, **bounds: int) -> DataFrame:
     """Each language's first phrases by the score of their weakest cut: lang, rank, phrase, a, l, r, n, score."""
-    counts = keep(phrase_counts(docs, most, least, words_at_once), "phrases")
+    counts = keep(phrase_counts(docs, most, least, **bounds), "phrases")
     candidates = counts.where("size >= 2")
     word = F.split("phrase", " ")
     part = lambda a, n: F.array_join(F.slice(F.col("_w"), a, n), " ")

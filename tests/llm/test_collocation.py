@@ -47,11 +47,11 @@ def _rows(seed=2):
     return rows + rows[:5]
 
 
-@pytest.mark.parametrize("most, least, top, covered, at_once", [(3, 3, 2000, 50, 10**6), (3, 2, 7, 100, 50), (4, 4, 2000, 30, 300), (2, 3, 5, 50, 10**6)])
-def test_collocations(spark, most, least, top, covered, at_once):
+@pytest.mark.parametrize("most, least, top, covered, bounds", [(3, 3, 2000, 50, {}), (3, 2, 7, 100, {"words_at_once": 50, "bucket_bytes": 20_000, "fan": 4}), (4, 4, 2000, 30, {"words_at_once": 300}), (2, 3, 5, 50, {})])
+def test_collocations(spark, most, least, top, covered, bounds):
     rows = _rows()
     df = spark.createDataFrame([(t, x, 1, "p", 2) for t, x in rows], "text string, lang string, size int, phrase string, f int").repartition(4)
-    got = collocation.collocations(df, most, least, top, covered, at_once)
+    got = collocation.collocations(df, most, least, top, covered, **bounds)
     assert sorted(map(tuple, got.collect())) == _plain(rows, most, least, top, covered)
 
 
