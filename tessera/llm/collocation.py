@@ -38,7 +38,7 @@ from .io import finished, keep, map_batches, table
 MOST, LEAST, TOP, COVERED = 3, 10, 2000, 50
 #: Words that a task counts at once, rows of a batch that it sends, text of a bucket on average, and buckets that are dealt to
 #: at once at most.
-WORDS_AT_ONCE, SEND_ROWS, BUCKET_BYTES, FAN = 2_500_000, 100_000, 16 << 20, 1024
+WORDS_AT_ONCE, SEND_ROWS, BUCKET_BYTES, FAN = 1_500_000, 50_000, 12 << 20, 1024
 #: Parts of a language from each of which the first phrases are taken before the language's own are.
 TOP_PARTS = 64
 
@@ -72,13 +72,13 @@ class _Words:
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(self.sizes))])
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(self.data))])
         coded = words.dictionary_encode()
-        last, own = np.concatenate(self.ends), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        last, own = np.concatenate(self.ends), coded.indices.to_numpy(zero_copy_only=False) + np.int32(1)
         leads, open_ = [own], np.ones(len(own), bool)
         for k in range(1, most):
-            ahead, ended = np.zeros(len(own), np.int64), np.ones(len(own), bool)
+            ahead, ended = np.zeros(len(own), np.int32), np.ones(len(own), bool)
             ahead[:-k], ended[:-k] = own[k:], last[k - 1 : -1]
             open_ = open_ & ~ended
-            leads.append(np.where(open_, ahead, 0))
+            leads.append(np.where(open_, ahead, np.int32(0)))
         words = pa.concat_arrays([pa.array([b""], pa.large_binary()), coded.dictionary])
         return Counts(words, leads, np.ones(len(own), np.int64)).summed()
 
@@ -102,9 +102,15 @@ class Counts:
     def summed(self, columns: int | None = None) -> Counts:
         """Equal windows, or those equal in their first ``columns`` words, once with the sum of their counts."""
         leads = self.leads[:columns]
-        _, at, of = np.unique(_keys(leads, len(self.words)), return_index=True, return_inverse=True)
-        n = np.zeros(len(at), np.int64)
-        np.add.at(n, of, self.n)
+        if not len(self.n):
+            return Counts(self.words, leads, self.n)
+        key = _keys(leads, len(self.words))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        del key
+        n = np.add.reduceat(self.n[order], head)
+        at = order[head]
         return Counts(self.words, [lead[at] for lead in leads], n)
 
     def where(self, rows: np.ndarray) -> Counts:
@@ -139,7 +145,7 @@ def unpacked(bodies: list[bytes]) -> Counts:
     """What several packed windows hold, equal ones once."""
     parts = [[c.values for c in pa.ipc.open_stream(body).read_next_batch().columns] for body in bodies]
     coded = pa.concat_arrays([pa.array([b""], pa.large_binary()), *(p[0] for p in parts)]).dictionary_encode()
-    number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    number = coded.indices.to_numpy(zero_copy_only=False)
     at, leads = 1, [[] for _ in parts[0][1:-1]]
     for p in parts:
         own = number[at : at + len(p[0])]
@@ -221,16 +227,21 @@ def windows(docs: DataFrame, most: int = MOST, words_at_once: int = WORDS_AT_ONC
     fan = min(fan, max(8, buckets)) if levels == 1 else fan
     text = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text"))
     sent = map_batches(text, None, _SENT, whole=_counted_texts(most, words_at_once, fan))
-    for level in range(1, levels):
+    for level in range(1, levels):  # the rows of one bucket may be many: they are read in turn, not as a group
         dealt = sent.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
         sent = map_batches(dealt, None, _SENT, whole=_dealt_again(words_at_once, fan, level))
     return sent
 
 
 def _rows(lang: str, counts: Counts, names: list[str]) -> pa.Table:
-    words = counts.words.cast(pa.large_string())
-    columns = [words.take(pa.array(lead)).cast(pa.string()) for lead in counts.leads]
-    return pa.table([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(counts.n), np.int8))), *columns, pa.array(counts.n)], names=["lang", *names, "f"])
+    """A table in batches of bounded size."""
+    words, own = counts.words.cast(pa.large_string()), pa.array([lang], pa.string())
+    batches = []
+    for a in range(0, max(1, len(counts.n)), SEND_ROWS):
+        n = counts.n[a : a + SEND_ROWS]
+        columns = [words.take(pa.array(lead[a : a + SEND_ROWS])).cast(pa.string()) for lead in counts.leads]
+        batches.append(pa.RecordBatch.from_arrays([own.take(pa.array(np.zeros(len(n), np.int8))), *columns, pa.array(n)], ["lang", *names, "f"]))
+    return pa.Table.from_batches(batches)
 
 
 def phrase_counts(docs: DataFrame, most: int = MOST, least: int = LEAST, **bounds: int) -> DataFrame:
