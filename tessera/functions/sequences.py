@@ -120,10 +120,39 @@ def alignment_log_likelihoods(gap_q: float = 30.0, missing_q: float = 20.0):
     return F.pandas_udf(scores, "double")
 
 
-def binomial_two_sided(wins: Column, trials: Column, most: int = 1000) -> Column:
-    """The exact two-sided probability of a split as uneven as this under even chances; null above ``most`` trials."""
-    logs = F.array(*(F.lit(math.lgamma(k + 1)) for k in range(most + 1)))
-    low = F.least(wins, trials - wins).cast("int")
-    at = lambda k: F.get(logs, k)
-    tail = F.aggregate(F.sequence(F.lit(0), low), F.lit(0.0), lambda s, k: s + F.exp(at(trials) - at(k) - at(trials - k) - trials * math.log(2)))
-    return F.when((trials >= 0) & (trials <= most) & (wins >= 0) & (wins <= trials), F.least(F.lit(1.0), 2 * tail))
+#: Trials up to which the chances come from a table of logarithms.
+TABLE_TRIALS = 1000
+
+
+def _stirling_rest(k: Column) -> Column:
+    """log k! less its leading terms k log k - k + log(2 pi k) / 2, for k of at least 1."""
+    few = F.array(*(F.lit(math.lgamma(i + 1) - (i * math.log(i) - i + math.log(2 * math.pi * i) / 2) if i else 0.0) for i in range(16)))
+    x = k.cast("double")
+    return F.when(k < 16, F.get(few, k.cast("int"))).otherwise((1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680) / (x * x)) / (x * x)) / (x * x)) / x)
+
+
+def binomial_two_sided(wins: Column, trials: Column, table: int = TABLE_TRIALS) -> Column:
+    """The exact two-sided probability of a split as uneven as this under even chances; null if there is no such split.
+
+    It is twice the tail: the chance of the split itself, and the chances of more uneven ones by the ratios of successive
+    terms, of which those beyond 5 roots of the trials are below 10^-21 of the first. Beyond ``table`` trials the first comes
+    from its expansion around the even split, whose rounding grows with the root of the trials only."""
+    logs = F.array(*(F.lit(math.lgamma(k + 1)) for k in range(table + 1)))
+    low, n = F.least(wins, trials - wins).cast("long"), trials.cast("double")
+    at = lambda k: F.get(logs, k.cast("int"))
+    known = F.exp(at(trials) - at(low) - at(trials - low) - n * math.log(2))
+    d = (trials - 2 * low) / n
+    spread = n / 2 * ((1 - d) * F.log1p(-d) + (1 + d) * F.log1p(d))
+    few = F.exp(_stirling_rest(trials) - _stirling_rest(low) - _stirling_rest(trials - low) - spread) * F.sqrt(n / (2 * math.pi * low * (trials - low)))
+    first = F.when(trials <= table, known).when(low == 0, F.exp(-n * math.log(2))).otherwise(few)
+    terms = F.least(low, (5 * F.sqrt(n)).cast("long") + 60)
+    # each step carries the term that it comes to and the sum so far
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def step(acc: Column, j: Column) -> Column:
+        term = acc["term"] * (low - j + 1) / (trials - low + j)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    steps = F.when(terms > 0, F.sequence(F.lit(1).cast("long"), terms)).otherwise(F.array().cast("array<long>"))
+    tail = F.aggregate(steps, start, step)["sum"]
+    return F.when((trials >= 0) & (wins >= 0) & (wins <= trials), F.when(trials == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * first * tail)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,30 +78,69 @@ def mass_curve(genes: DataFrame, targets: tuple[float, ...]) -> DataFrame:
     return met.groupBy("target").agg(F.min(F.struct("place", (F.col("upto") / F.col("total")).alias("share"))).alias("b")).select("target", "b.place", "b.share")
 
 
+#: Cells of the tables that one batch of alignments fills at once.
+ALIGN_CELLS = 8 << 20
+
+
+def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of each text in a row, and how many there are."""
+    size = np.array([len(t) for t in texts])
+    out = np.zeros((len(texts), size.max(initial=0)), np.uint32)
+    for row, t in zip(out, texts):
+        row[: len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, size
+
+
+def _align_batch(first: list[str], second: list[str]) -> list[tuple[int, str, str]]:
+    """All pairs at once: a table of costs with an axis for the pairs, and a walk through it that all pairs take together."""
+    a, rows = _letters(first)
+    b, cols = _letters(second)
+    n, high, wide = len(first), a.shape[1], b.shape[1]
+    across = np.arange(wide + 1)
+    cost = np.empty((high + 1, n, wide + 1), np.int32)
+    cost[0] = across
+    for i in range(high):
+        best = cost[i] + 1
+        best[:, 1:] = np.minimum(best[:, 1:], cost[i, :, :-1] + (a[:, i, None] != b))
+        # from the left each step costs one more, so the least so far less its place is what counts
+        cost[i + 1] = np.minimum.accumulate(best - across, axis=1) + across
+    pair = np.arange(n)
+    i, j, whole = rows.copy(), cols.copy(), cost[rows, pair, cols]
+    top, low = np.zeros((n, high + wide), np.uint32), np.zeros((n, high + wide), np.uint32)
+    at = np.full(n, high + wide)
+    while (left := (i > 0) | (j > 0)).any():
+        ia, jb = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        x = a[pair, ia] if high else np.zeros(n, np.uint32)
+        y = b[pair, jb] if wide else np.zeros(n, np.uint32)
+        here = cost[i, pair, j]
+        both = (i > 0) & (j > 0) & (here == cost[ia, pair, jb] + (x != y))
+        gap_above = ~both & (j > 0) & (here == cost[i, pair, jb] + 1)
+        at = np.where(left, at - 1, at)
+        go = np.flatnonzero(left)
+        top[go, at[go]] = np.where(gap_above, 0x2D, x)[go]
+        low[go, at[go]] = np.where(both | gap_above, y, 0x2D)[go]
+        i, j = np.where(left & ~gap_above, ia, i), np.where(left & (both | gap_above), jb, j)
+    text = lambda x, k: x[k, at[k] :].tobytes().decode("utf-32-le", "surrogatepass")
+    return [(int(whole[k]), text(top, k), text(low, k)) for k in range(n)]
+
+
 def aligned(a: Column, b: Column) -> Column:
-    """cost, first, second: two texts aligned at the fewest edits, with - for gaps; of equal ways pairs come before gaps in
-    the second and these before gaps in the first, from the end on."""
-
-    def one(x: str | None, y: str | None) -> tuple:
-        if x is None or y is None:
-            return None, None, None
-        cost = [[i + j if not i or not j else 0 for j in range(len(y) + 1)] for i in range(len(x) + 1)]
-        for i, p in enumerate(x, 1):
-            for j, q in enumerate(y, 1):
-                cost[i][j] = min(cost[i - 1][j - 1] + (p != q), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
-        i, j, top, low = len(x), len(y), [], []
-        while i or j:
-            if i and j and cost[i][j] == cost[i - 1][j - 1] + (x[i - 1] != y[j - 1]):
-                i, j, pair = i - 1, j - 1, (x[i - 1], y[j - 1])
-            elif i and cost[i][j] == cost[i - 1][j] + 1:
-                i, pair = i - 1, (x[i - 1], "-")
-            else:
-                j, pair = j - 1, ("-", y[j - 1])
-            top.append(pair[0])
-            low.append(pair[1])
-        return cost[-1][-1], "".join(reversed(top)), "".join(reversed(low))
+    """cost, first, second: two texts aligned at the fewest edits, with - for gaps. Read from the end, of equal ways a pair comes
+    before a gap in the first text and that before a gap in the second. Null for a null text.
+
+    Pairs of about the same length share a table; one pair takes four bytes for each pair of letters."""
 
     def batch(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(*p) for p in zip(x, y)], columns=["cost", "first", "second"])
+        out: list[tuple] = [(None, None, None)] * len(x)
+        some = [k for k, (p, q) in enumerate(zip(x, y)) if p is not None and q is not None]
+        some.sort(key=lambda k: (len(x[k]), len(y[k])))
+        while some:
+            take = len(some)
+            while take > 1 and take * (len(x[some[take - 1]]) + 1) * (max(len(y[k]) for k in some[:take]) + 1) > ALIGN_CELLS:
+                take //= 2
+            for k, got in zip(some[:take], _align_batch([x[k] for k in some[:take]], [y[k] for k in some[:take]])):
+                out[k] = got
+            some = some[take:]
+        return pd.DataFrame(out, columns=["cost", "first", "second"]).astype({"cost": "Int32"})
 
     return F.pandas_udf(batch, "cost int, first string, second string")(a, b)

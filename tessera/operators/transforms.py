@@ -167,4 +167,4 @@ def correlation_surface(a: DataFrame, b: DataFrame, height: int, width: int, rea
     vx, vy = n * F.col("c_sxx") - x * x, n * F.col("c_syy") - y * y
     ok = (n >= least) & (vx > 1e-9 * n * F.col("c_sxx")) & (vy > 1e-9 * n * F.col("c_syy"))
     ncc = F.when(ok, (n * F.col("c_sxy") - x * y) / F.sqrt(F.when(ok, vx * vy).otherwise(1.0)))
-    return s.select("dy", "dx", "n", F.round(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), ncc)), 6).alias("ncc"))
+    return s.select("dy", "dx", "n", F.round(F.when(ok, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), ncc))), 6).alias("ncc"))

@@ -436,3 +436,129 @@ def test_nearest_over_blocks(spark):
     want = [(q, x, k + 1) for q, a in rows if q % 9 == 0 for k, (_, x) in enumerate(sorted((away(a, b), x) for x, b in rows if x != q)[:4])]
     assert _rows(got, "q", "x", "k") == sorted(want)
     assert nearest.nearest(d.limit(0), d.limit(0).withColumnRenamed("x", "q"), 3).count() == 0
+
+
+def test_binomial_at_any_size(spark):
+    from fractions import Fraction
+
+    cases = [(w, n) for n in (1, 2, 15, 999, 1000, 1001, 1100, 4001) for w in {0, 1, n // 3, n // 2, n - n // 2 + 3, n} if 0 <= w <= n] + [(600, 1100), (10, 1200), (9_900, 20_000), (10_000, 20_000)]
+    got = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, w long, n long").select("k", sequences.binomial_two_sided(F.col("w"), F.col("n")).alias("p"), sequences.binomial_two_sided(F.col("w"), F.col("n"), 20).alias("q")).collect()
+    for r in got:
+        w, n = cases[r.k]
+        low = min(w, n - w)
+        term = total = 1
+        for j in range(low):
+            term = term * (n - j) // (j + 1)
+            total += term
+        want = float(min(Fraction(1), Fraction(2 * total, 2**n)))
+        assert r.p == pytest.approx(want, rel=1e-10, abs=1e-300), (w, n)
+        assert r.q == pytest.approx(want, rel=1e-9, abs=1e-300), (w, n)  # the expansion on both sides of the table's end
+    big = spark.createDataFrame([(10**9 // 2 - 20_000, 10**9)], "w long, n long").select(sequences.binomial_two_sided(F.col("w"), F.col("n")).alias("p")).first().p
+    assert big == pytest.approx(math.erfc((20_000 - 0.5) / math.sqrt(10**9 / 4) / math.sqrt(2)), rel=1e-3)
+    odd = spark.createDataFrame([(-1, 5), (6, 5), (None, 5), (2, None)], "w int, n int").select(sequences.binomial_two_sided(F.col("w"), F.col("n")).alias("p"))
+    assert all(r.p is None for r in odd.collect())
+
+
+def test_alignments_against_all_of_them(spark):
+    import random
+
+    def ways(x, y):
+        """All alignments as pairs of letters, from the end on."""
+        if not x and not y:
+            yield ()
+        if x and y:
+            yield from (((x[-1], y[-1]), *w) for w in ways(x[:-1], y[:-1]))
+        if y:
+            yield from ((("-", y[-1]), *w) for w in ways(x, y[:-1]))
+        if x:
+            yield from (((x[-1], "-"), *w) for w in ways(x[:-1], y))
+
+    rng = random.Random(4)
+    some = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(0, 5)))
+    pairs = [(some(), some()) for _ in range(150)] + [("aba", "bab"), ("", ""), ("a", ""), ("", "b"), (None, "a"), ("a", None)]
+    frame = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string")
+    for r in frame.select("k", effects.aligned(F.col("a"), F.col("b")).alias("x")).select("k", "x.*").collect():
+        x, y = pairs[r.k]
+        if x is None or y is None:
+            assert r["cost"] is None and r["first"] is None and r["second"] is None
+            continue
+        cost = lambda w: sum(p != q for p, q in w)
+        best = min(ways(x, y), key=cost)  # the first of equal ones: pairs, then gaps in the first text
+        assert (r["cost"], r["first"], r["second"]) == (cost(best), "".join(p for p, _ in best)[::-1], "".join(q for _, q in best)[::-1])
+    long = spark.createDataFrame([("ab" * 3000, "ba" * 2500)], "a string, b string").select(effects.aligned(F.col("a"), F.col("b")).alias("x")).select("x.*").first()
+    assert long["first"].replace("-", "") == "ab" * 3000 and long["second"].replace("-", "") == "ba" * 2500 and sum(p != q for p, q in zip(long["first"], long["second"])) == long["cost"] == 1000
+
+
+def test_fields_meet_in_tiles_as_cell_by_cell(spark):
+    import numpy as np
+
+    from tessera.operators import tiles
+
+    rng = np.random.default_rng(3)
+    a = [(int(r), int(c), float(rng.integers(1, 9)), int(rng.integers(0, 3))) for r, c in {(int(x), int(y)) for x, y in rng.integers(-30, 170, (400, 2))}]
+    b = [(int(r), int(c), float(rng.integers(1, 9)), int(g)) for r, c, g in np.column_stack([rng.integers(-40, 170, (500, 2)), rng.integers(0, 2, 500)])]
+    left, right = spark.createDataFrame(a, "r long, c long, x double, band int"), spark.createDataFrame([*b, (None, 3, 1.0, 0)], "r long, c long, y double, f int")
+    for radius in (0, 3, 9):
+        want = {}
+        for r, c, x, band in a:
+            for s, d, y, f in b:
+                if max(abs(s - r), abs(d - c)) <= radius:
+                    at = want.setdefault((s - r, d - c, band, f), [0, 0.0, 0.0, 0.0])
+                    for k, v in enumerate((1, x * y, y * y, x)):
+                        at[k] += v
+        got = tiles.met_sums(left, right, radius, ["band"], ["f"], xy=(1, 1), yy=(0, 2), x1=(1, 0)).collect()
+        assert {(r.dy, r.dx, r.band, r.f): [r.n, r.xy, r.yy, r.x1] for r in got} == want
+        plain = {(r.dy, r.dx): r.n for r in tiles.met_sums(left, right, radius).collect()}
+        assert plain == {k: sum(v[0] for j, v in want.items() if j[:2] == k) for k in {j[:2] for j in want}}
+    assert tiles.met_sums(left.limit(0), right, 2).count() == 0
+    # each cell in its own tile and in those near it
+    side = tiles.tile_side(17)
+    field = spark.range(400 * 400).select((F.col("id") / 400).cast("long").alias("r"), (F.col("id") % 400).alias("c"))
+    sent = tiles.with_halo(field, 17, side)
+    assert sent.count() + 400 * 400 < 2 * 2 * 400 * 400 and sent.groupBy("r", "c").count().agg(F.max("count")).first()[0] == 4
+
+
+def test_distances_of_any_range(spark):
+    import numpy as np
+
+    from tessera.operators import transforms
+
+    rng = np.random.default_rng(8)
+    for height, width, share in ((1, 1, 1.0), (1, 40, 0.1), (37, 1, 0.05), (33, 47, 0.004), (20, 25, 0.5), (9, 7, 0.0)):
+        mask = rng.random((height, width)) < share
+        cells = spark.createDataFrame([(r + 5, c - 3, bool(mask[r, c])) for r in range(height) for c in range(width)], "r int, c int, on boolean").withColumn("off", ~F.col("on"))
+        got = {(x.r - 5, x.c + 3): (x.d2_on, x.d2_off) for x in transforms.squared_distances(cells, ["on", "off"]).collect()}
+        for r in range(height):
+            for c in range(width):
+                for k, flag in enumerate((mask, ~mask)):
+                    at = np.argwhere(flag)
+                    assert got[r, c][k] == (((at - [r, c]) ** 2).sum(axis=1).min() if len(at) else None)
+
+
+def test_correlation_at_every_lag(spark):
+    import numpy as np
+
+    from tessera.operators import transforms
+
+    rng = np.random.default_rng(2)
+    h, w = 23, 31
+    a = {(int(r), int(c)): float(rng.normal(50, 9)) for r, c in rng.integers(0, [h, w], (300, 2))}
+    b = {(int(r), int(c)): float(rng.normal(3, 1)) for r, c in rng.integers(0, [h, w], (300, 2))}
+    frame = lambda d: spark.createDataFrame([(*k, v) for k, v in d.items()], "r long, c long, v double")
+    for reach in (None, (4, 11)):
+        got = {(x.dy, x.dx): x for x in transforms.lag_sums(frame(a), frame(b), h, w, reach).collect()}
+        ncc = {(x.dy, x.dx): x.ncc for x in transforms.correlation_surface(frame(a), frame(b), h, w, reach).collect()}
+        ry, rx = reach or (h - 1, w - 1)
+        for dy in range(-ry, ry + 1):
+            for dx in range(-rx, rx + 1):
+                met = [(x, b[r + dy, c + dx]) for (r, c), x in a.items() if (r + dy, c + dx) in b]
+                if not met:
+                    assert (dy, dx) not in got
+                    continue
+                x, y = np.array(met).T
+                g = got[dy, dx]
+                assert g.n == len(met) and np.allclose([g.sx, g.sy, g.sxx, g.syy, g.sxy], [x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum()])
+                assert (ncc[dy, dx] is None) == (len(met) < 3) and (len(met) < 3 or abs(ncc[dy, dx] - np.corrcoef(x, y)[0, 1]) < 2e-6)
+        near = {(x.dy, x.dx): x.ncc for x in raster.ncc_surface(frame(a), frame(b), 4).collect()}
+        assert all(near[k] is None or abs(near[k] - ncc[k]) < 2e-6 for k in near)
+    assert transforms.lag_sums(frame(a).limit(0), frame(b), h, w).count() == 0
