@@ -95,7 +95,7 @@ def exchange(sent: DataFrame, answer: Callable, gather_: Callable, schema: str,
     """Writes what is sent, lets the buckets answer, and puts the answers of each chunk together."""
     spark = sent.sparkSession
     path = scratch(spark, what)
-    sent.write.parquet(path)
+    sent.write.option("compression", "zstd").parquet(path)
     stored = spark.read.schema(SENT).parquet(path)
     answers = stored.where("bucket >= 0").groupBy("bucket").applyInArrow(answer, SENT)
     out = keep(answers.unionByName(stored.where("bucket < 0")).groupBy("chunk").applyInArrow(gather_, schema), what)
