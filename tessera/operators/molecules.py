@@ -55,19 +55,67 @@ def _partition(reads: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"read_id": names, "feature_id": reads["feature_id"], "umi": reads["umi"], "clique_key": names[np.array(opened)[clique]], "candidates": [sorted(held[k]) for k in clique]})
 
 
-def read_cliques(candidates: DataFrame) -> DataFrame:
+#: Reads of a group up to which one task finds its cliques; larger groups are spread over tasks and take rounds.
+GROUP_READS = 50_000
+_GROUP = ["feature_id", "umi"]
+
+
+def read_cliques(candidates: DataFrame, group_reads: int = GROUP_READS) -> DataFrame:
     """A row per read with its clique's key (the first read) and final candidates.
 
-    A group whose reads all share a candidate is one clique, found by counts alone; only other groups, whose greedy
-    order matters, go to a grouped function."""
-    per_read = candidates.groupBy("feature_id", "umi", "read_id").agg(F.sort_array(F.collect_set("candidate")).alias("candidates"))
-    sizes = per_read.groupBy("feature_id", "umi").agg(F.count(F.lit(1)).alias("reads"), F.min("read_id").alias("clique_key"))
-    shared = candidates.select("feature_id", "umi", "read_id", "candidate").distinct().groupBy("feature_id", "umi", "candidate").agg(F.count(F.lit(1)).alias("k"))
-    common = shared.join(sizes, ["feature_id", "umi"]).where("k = reads").groupBy("feature_id", "umi").agg(F.sort_array(F.collect_list("candidate")).alias("common"))
-    known = per_read.join(sizes, ["feature_id", "umi"]).join(common, ["feature_id", "umi"], "left")
-    one = known.where("common is not null").select("read_id", "feature_id", "umi", "clique_key", F.col("common").alias("candidates"))
-    rest = known.where("common is null").select("feature_id", "umi", "read_id", "candidates")
-    return one.unionByName(rest.groupBy("feature_id", "umi").applyInPandas(_partition, CLIQUES))
+    A group whose reads all share a candidate is one clique, found by counts alone. Of the others, whose greedy order
+    matters, those of at most ``group_reads`` reads go to a grouped function and larger ones to :func:`cliques_by_rounds`."""
+    per_read = candidates.groupBy(*_GROUP, "read_id").agg(F.sort_array(F.collect_set("candidate")).alias("candidates"))
+    sizes = per_read.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("reads"), F.min("read_id").alias("clique_key"))
+    shared = candidates.select(*_GROUP, "read_id", "candidate").distinct().groupBy(*_GROUP, "candidate").agg(F.count(F.lit(1)).alias("k"))
+    common = shared.join(sizes, _GROUP).where("k = reads").groupBy(*_GROUP).agg(F.sort_array(F.collect_list("candidate")).alias("common"))
+    known = per_read.join(sizes, _GROUP).join(common, _GROUP, "left")
+    one = known.where("common is not null").select("read_id", *_GROUP, "clique_key", F.col("common").alias("candidates"))
+    rest = known.where("common is null").select(*_GROUP, "read_id", "candidates", "reads")
+    some = rest.where(F.col("reads") <= group_reads).drop("reads").groupBy(*_GROUP).applyInPandas(_partition, CLIQUES)
+    return one.unionByName(some).unionByName(cliques_by_rounds(rest.where(F.col("reads") > group_reads).drop("reads")))
+
+
+def cliques_by_rounds(reads: DataFrame) -> DataFrame:
+    """The cliques of :func:`read_cliques` for groups of any size, all groups at once, one barrier of each group a round.
+
+    Reads with equal candidates are one class. Between two reads that open or narrow a clique, every class goes to one clique.
+    So a round lets each class meet the cliques by their candidates, finds in each group the first read whose class would
+    open or narrow one (a least read id, summed up in partial aggregates), assigns the reads before it, and changes the
+    cliques by that read. Rounds are as many as a group has such reads: at most its cliques' first candidates, summed up.
+    Each round is written, so a lost executor costs one."""
+    spark = reads.sparkSession
+    left = cut(reads.select(*_GROUP, "read_id", "candidates"))
+    held = spark.createDataFrame([], "feature_id string, umi string, k long, held array<string>, clique_key string")
+    assigned: list[DataFrame] = []
+    while not left.isEmpty():
+        classes = left.select(*_GROUP, "candidates").distinct()
+        met = classes.withColumn("c", F.explode("candidates")).join(held.withColumn("c", F.explode("held")), [*_GROUP, "c"])
+        both = met.groupBy(*_GROUP, "candidates", "k").agg(F.sort_array(F.collect_list("c")).alias("shared"), F.max(F.size("held")).alias("size"))
+        best = both.groupBy(*_GROUP, "candidates").agg(F.min(F.struct("shared", "k", "size")).alias("b"))
+        own = classes.join(best, [*_GROUP, "candidates"], "left")
+        # a class that moves something: it finds no clique, or one with candidates that it lacks
+        moves = F.col("b").isNull() | (F.size("b.shared") < F.col("b.size"))
+        choice = cut(own.select(*_GROUP, "candidates", F.col("b.k").alias("k"), F.col("b.shared").alias("shared"), moves.alias("moves")))
+        placed = left.join(choice, [*_GROUP, "candidates"])
+        barrier = cut(placed.where("moves").groupBy(*_GROUP).agg(F.min(F.struct("read_id", "k", "shared", "candidates")).alias("x")).select(*_GROUP, "x.*"))
+        count = held.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("cliques"))
+        turn = barrier.join(count, _GROUP, "left").withColumn("to", F.coalesce("k", "cliques", F.lit(0).cast("long")))
+        stop = turn.select(*_GROUP, F.col("read_id").alias("stop"), "to")
+        at = placed.join(stop, _GROUP, "left")
+        before = F.col("stop").isNull() | (F.col("read_id") < F.col("stop"))
+        assigned.append(cut(at.where(before | (F.col("read_id") == F.col("stop"))).select("read_id", *_GROUP, F.when(before, F.col("k")).otherwise(F.col("to")).alias("k"))))
+        left = cut(at.where(~before & (F.col("read_id") > F.col("stop"))).select(*_GROUP, "read_id", "candidates"))
+        narrowed = turn.where("k is not null").select(*_GROUP, "k", "shared")
+        kept = held.join(narrowed, [*_GROUP, "k"], "left").select(*_GROUP, "k", F.coalesce("shared", "held").alias("held"), "clique_key")
+        opened = turn.where("k is null").select(*_GROUP, F.col("to").alias("k"), F.col("candidates").alias("held"), F.col("read_id").alias("clique_key"))
+        held = cut(kept.unionByName(opened))
+    if not assigned:
+        return spark.createDataFrame([], CLIQUES)
+    every = assigned[0]
+    for x in assigned[1:]:
+        every = every.unionByName(x)
+    return every.join(held, [*_GROUP, "k"]).select("read_id", *_GROUP, "clique_key", F.col("held").alias("candidates"))
 
 
 def posteriors(candidates: DataFrame, cliques: DataFrame, prior: DataFrame | None = None, temperature: float = 1.0, beta: float = 1.0) -> DataFrame:

@@ -45,10 +45,12 @@ def test_cliques_of_many_groups(spark):
         sets = {f"r{k:02d}": rng.sample(letters, rng.randint(1, min(3, len(letters)))) for k in range(rng.randint(1, 40))}
         want[f"g{g}"] = _cliques_one_by_one(sets)
         rows += [(r, f"g{g}", "AAAA", c, 0.0) for r, cs in sets.items() for c in cs]
-    got: dict = {}
-    for r in molecules.read_cliques(spark.createDataFrame(rows, "read_id string, feature_id string, umi string, candidate string, ll double")).collect():
-        got.setdefault(r.feature_id, []).append((r.read_id, r.clique_key, tuple(r.candidates)))
-    assert {g: sorted(x) for g, x in got.items()} == want
+    frame = spark.createDataFrame(rows, "read_id string, feature_id string, umi string, candidate string, ll double")
+    for group_reads in (50_000, 25, 0):  # in one task each, the larger ones in rounds, all in rounds
+        got: dict = {}
+        for r in molecules.read_cliques(frame, group_reads).collect():
+            got.setdefault(r.feature_id, []).append((r.read_id, r.clique_key, tuple(r.candidates)))
+        assert {g: sorted(x) for g, x in got.items()} == want
 
 
 def test_cliques_do_not_depend_on_partitions(spark):
@@ -562,3 +564,67 @@ def test_correlation_at_every_lag(spark):
         near = {(x.dy, x.dx): x.ncc for x in raster.ncc_surface(frame(a), frame(b), 4).collect()}
         assert all(near[k] is None or abs(near[k] - ncc[k]) < 2e-6 for k in near)
     assert transforms.lag_sums(frame(a).limit(0), frame(b), h, w).count() == 0
+
+
+def test_hits_within_several_edits(spark):
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    names = {some(rng.randint(1, 17)) for _ in range(60)} | {"", "A", "AC", "ACG"}
+    halves = {some(rng.randint(0, 17)) for _ in range(40)} | {""}
+    for x in list(names)[:40]:
+        for _ in range(3):
+            y = list(x)
+            for _ in range(rng.randint(1, 4)):
+                k = rng.randrange(len(y) + 1)
+                y[k : k + rng.randint(0, 1)] = [rng.choice("ACGT")] * rng.randint(0, 1)
+            halves.add("".join(y))
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            new = [i]
+            for j, q in enumerate(y, 1):
+                new.append(min(row[j - 1] + (p != q), row[j] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    index = {x: k for k, x in enumerate(sorted(names))}
+    a, b = spark.createDataFrame([(x,) for x in halves] * 2, "text string"), spark.createDataFrame([(x, k) for x, k in index.items()], "text string, c int")
+    for most in (0, 1, 2, 3):
+        want = sorted((x, k, distance(x, y)) for x in halves for y, k in index.items() if distance(x, y) <= most)
+        assert sorted(map(tuple, candidates.half_hits(a, b, "c", "e", most).collect())) == want
+
+
+def test_sums_that_no_order_changes(spark):
+    from tessera.operators import exact
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1e300, -1e300, 1e16, 1.0, -1e-9, 3.3, 5e-324, 2.0**-1040]) * rng.choice([1, -1, 0.1])) for _ in range(4000)] + [("c", None), ("d", 1e308), ("d", 1e308), ("e", float("inf")), ("e", 1.0), ("f", float("nan")), ("g", float("inf")), ("g", float("-inf"))]
+    rows += [("h", 0.1)] * 10
+    df = spark.createDataFrame(rows, "k string, x double")
+    one = {r.k: r.s for r in exact.exact_sums(df.repartition(7), ["k"], s="x").collect()}
+    two = {r.k: r.s for r in exact.exact_sums(df.orderBy("x").repartition(3), ["k"], s=F.col("x")).collect()}
+    assert all(one[k] == two[k] or math.isnan(one[k]) and math.isnan(two[k]) for k in one if one[k] is not None) and set(one) == set(two)
+    for k in ("a", "b", None):
+        assert one[k] == math.fsum(x for j, x in rows if j == k)
+    assert one["c"] is None and one["d"] == one["e"] == math.inf and math.isnan(one["f"]) and math.isnan(one["g"]) and one["h"] == 1.0
+    assert exact.exact_sums(df.where("k = 'h'"), [], s="x", t=-F.col("x")).collect() == [(1.0, -1.0)]
+
+
+def test_quantiles_by_selection(spark):
+    import numpy as np
+
+    from tessera.operators import exact
+
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=700), "b": np.round(rng.normal(size=300)), "c": np.array([5.0]), None: rng.normal(size=40) * 1e200, "d": np.array([-0.0, 0.0, -1e-310, 1e-310]), "e": np.full(90, -7.5), "f": np.array([1.0, np.inf, -np.inf])}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("z", None)]
+    got = {r.k: r for r in exact.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", low=0.1, half=0.5, most=1.0).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        for name, p in (("low", 0.1), ("half", 0.5), ("most", 1.0)):
+            s, at = np.sort(v), p * (len(v) - 1)
+            x, y, f = s[math.floor(at)], s[math.ceil(at)], at - math.floor(at)
+            assert got[k][name] == pytest.approx(x if not f else (1 - f) * x + f * y, rel=1e-15)
+    whole = exact.quantiles(spark.createDataFrame(rows[:700], "k string, v double"), [], "v", half=0.5).collect()
+    assert len(whole) == 1 and whole[0].half == pytest.approx(np.median(groups["a"]))
