@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .lineage import cut
 
@@ -18,14 +19,14 @@ from .lineage import cut
 DIGIT_BITS = 16
 
 
-@F.pandas_udf("struct<m: long, e: int>")
+@F.pandas_udf(T.StructType([T.StructField("m", T.LongType()), T.StructField("e", T.IntegerType())]))
 def _split(x: pd.Series) -> pd.DataFrame:
     """x = m 2^e with an integer m below 2^53."""
     m, e = np.frexp(x.to_numpy(float))
     return pd.DataFrame({"m": np.ldexp(m, 53).astype(np.int64), "e": e.astype(np.int32) - 53})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _rounded(parts: pd.Series) -> pd.Series:
     """The double next to the sum of s 2^e, the even one of two."""
 
@@ -62,14 +63,14 @@ def exact_sums(df: DataFrame, keys: Sequence[str], **values: Column | str) -> Da
     return df.select(*keys).distinct().alias("k").join(known.alias("v"), [F.col(f"k.{k}").eqNullSafe(F.col(f"v.{k}")) for k in keys], "left").select(*(F.col(f"k.{k}").alias(k) for k in keys), *(F.col(f"v.{name}") for name in values))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _ordered(x: pd.Series) -> pd.Series:
     """Integers in the order of the doubles: nan last, and one zero."""
     bits = (np.where(np.isnan(x), np.nan, x.to_numpy(float)) + 0.0).view(np.int64)
     return pd.Series(np.where(bits < 0, np.int64(-(2**63)) - bits - 1, bits))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _value(key: pd.Series) -> pd.Series:
     k = key.to_numpy(np.int64)
     return pd.Series(np.where(k < 0, np.int64(-(2**63)) - k - 1, k).view(np.float64))

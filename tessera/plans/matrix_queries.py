@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..operators import grid, ranking, sparse
+from ..operators.exact import exact_sums, quantiles
 from .registry import query
 from .views import Views
 
@@ -76,9 +77,9 @@ SELECT round(sum(least(a, b)) + sum(greatest(a - b, 0)) - sum(a), 6) AS a_gap, r
 """)
 def conservation(v: Views):
     d = sparse.align(v.matrix("A"), v.matrix("R"))
-    x, y = F.col("a"), F.col("b")
-    shared = F.sum(F.least(x, y))
-    return d.agg(F.round(shared + F.sum(F.greatest(x - y, F.lit(0.0))) - F.sum(x), 6).alias("a_gap"), F.round(shared + F.sum(F.greatest(y - x, F.lit(0.0))) - F.sum(y), 6).alias("b_gap"))
+    x, y, zero = F.col("a"), F.col("b"), F.lit(0.0)
+    s = exact_sums(d, [], shared=F.least(x, y), more=F.greatest(x - y, zero), less=F.greatest(y - x, zero), a="a", b="b")
+    return s.select(F.round(F.col("shared") + F.col("more") - F.col("a"), 6).alias("a_gap"), F.round(F.col("shared") + F.col("less") - F.col("b"), 6).alias("b_gap"))
 
 
 @query("gene_bin_residuals", """
@@ -284,7 +285,7 @@ SELECT (SELECT q FROM h) AS threshold, round(sum(p * (bn + n / 2.0)) / (sum(p) *
 """)
 def protein_quantile_auc(v: Views):
     x = sparse.axis_totals(v.matrix("A"), v.matrix("R"), ["r", "c"])
-    q = x.agg(F.percentile("b", F.lit(0.8)).alias("q"))
+    q = quantiles(x, [], "b", q=0.8)
     marked = x.crossJoin(F.broadcast(q)).withColumn("positive", F.col("b") >= F.col("q"))
     return ranking.roc_and_precision(marked, "a", "positive").crossJoin(F.broadcast(q)).select(F.col("q").alias("threshold"), "auc")
 
@@ -297,7 +298,7 @@ SELECT cast(count(*) FILTER (a AND b) AS bigint) AS tp, cast(count(*) FILTER (NO
 """)
 def binary_mask_metrics(v: Views):
     d = v.dense()
-    q = d.agg(F.percentile("v", F.lit(0.6)).alias("q"))
+    q = quantiles(d, [], "v", q=0.6)
     a, b = F.col("inside"), F.col("v") >= F.col("q")
     n = lambda x: F.sum(x.cast("long"))
     got = d.crossJoin(F.broadcast(q)).agg(n(a & b).alias("tp"), n(~a & b).alias("fp"), n(a & ~b).alias("fn"))

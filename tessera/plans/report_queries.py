@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as Q
 from ..operators import report
+from ..operators.exact import quantiles
 from .registry import query
 from .views import Views
 
@@ -68,11 +69,11 @@ SELECT method, wins::bigint AS wins, losses::bigint AS losses, ties::bigint AS t
 """, prelude=False)
 def campaign_wins(v: Views):
     """Methods against one of them over all datasets: wins, losses, ties, the exact chance, and the median."""
-    a = v.table("customer").groupBy("c_nationkey", "c_mktsegment").agg(F.percentile("c_acctbal", F.lit(0.5)).alias("m"))
+    a = quantiles(v.table("customer"), ["c_nationkey", "c_mktsegment"], "c_acctbal", m=0.5)
     base = a.where("c_mktsegment = 'BUILDING'").select("c_nationkey", F.col("m").alias("b"))
     n = lambda c: F.count(F.when(c, 1))
     w = a.where("c_mktsegment <> 'BUILDING'").join(base, "c_nationkey").groupBy(F.col("c_mktsegment").alias("method")).agg(n(F.col("m") > F.col("b")).alias("wins"), n(F.col("m") < F.col("b")).alias("losses"), n(F.col("m") == F.col("b")).alias("ties"), F.round(F.percentile("m", F.lit(0.5)), 4).alias("middle"))
-    return w.withColumn("p", F.round(Q.binomial_two_sided(F.col("wins").cast("int"), (F.col("wins") + F.col("losses")).cast("int")), 9))
+    return w.withColumn("p", F.round(Q.binomial_two_sided(F.col("wins"), F.col("wins") + F.col("losses")), 9))
 
 
 @query("role_differences", """
@@ -137,8 +138,8 @@ def timing_table(v: Views):
     """Medians of two pipelines' run times by slide, read from h:mm:ss, with fold and reduction."""
     shown = report.display((F.col("o_orderkey") % 4000 + 60).cast("double"), "duration")
     t = v.table("orders").where("o_orderstatus <> 'P'").select(F.col("o_orderpriority").alias("slide"), F.col("o_orderstatus").alias("pipeline"), report.elapsed_seconds(shown).alias("s"))
-    half = lambda p: F.percentile(F.when(F.col("pipeline") == p, F.col("s")), F.lit(0.5))
-    g = t.groupBy("slide").agg(half("F").alias("open_median"), F.min(F.when(F.col("pipeline") == "F", F.col("s"))).cast("long").alias("open_least"), half("O").alias("other"))
+    half = quantiles(t, ["slide", "pipeline"], "s", m=0.5).groupBy("slide").pivot("pipeline", ["F", "O"]).agg(F.max("m"))
+    g = t.groupBy("slide").agg(F.min(F.when(F.col("pipeline") == "F", F.col("s"))).cast("long").alias("open_least")).join(half.select("slide", F.col("F").alias("open_median"), F.col("O").alias("other")), "slide")
     return g.select("slide", "open_median", "open_least", F.round(F.try_divide("other", "open_median"), 6).alias("fold"), F.round(100 * (1 - F.try_divide("open_median", "other")), 6).alias("reduction"))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
+from ..operators.exact import quantiles
 from .registry import query
 from .views import Views
 
@@ -22,8 +23,11 @@ SELECT r_name, n_name, cast(count(*) AS bigint) AS n, round(quantile_cont(x, 0.5
 def qc_grouped(v: Views):
     d = _slides(v)
     enough = lambda x: F.when(F.count(F.lit(1)) >= 5, F.round(x, 4))
-    aggs = [F.count(F.lit(1)).alias("n"), F.round(F.percentile("x", F.lit(0.5)), 4).alias("median"), F.min("x").alias("least"), F.max("x").alias("most"), enough(F.avg("x")).alias("mean"), enough(F.stddev_samp("x")).alias("sd")]
-    return d.rollup("r_name", "n_name").agg(F.grouping_id().alias("g"), *aggs).where("g < 3").drop("g")
+    aggs = [F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), enough(F.avg("x")).alias("mean"), enough(F.stddev_samp("x")).alias("sd")]
+    got = d.rollup("r_name", "n_name").agg(F.grouping_id().alias("g"), *aggs).where("g < 3").drop("g")
+    levels = d.withColumn("n_name", F.explode(F.array("n_name", F.lit(None).cast("string"))))
+    half = quantiles(levels, ["r_name", "n_name"], "x", m=0.5).select(F.col("r_name").alias("_r"), F.col("n_name").alias("_n"), F.round("m", 4).alias("median"))
+    return got.join(half, (F.col("r_name") == F.col("_r")) & F.col("n_name").eqNullSafe(F.col("_n"))).drop("_r", "_n")
 
 
 @query("qc_leave_one_out", _SLIDES + """
@@ -151,9 +155,9 @@ def policy_mass_conserved(v: Views):
 @query("timing_summary", "SELECT o_orderpriority AS slide, round(quantile_cont(o_totalprice, 0.5), 4) AS median, min(o_totalprice) AS least, max(o_totalprice) AS most, round(quantile_cont(o_totalprice, 0.5) / (SELECT quantile_cont(o_totalprice, 0.5) FROM orders), 6) AS fold FROM orders GROUP BY o_orderpriority", prelude=False)
 def timing_summary(v: Views):
     o = v.table("orders")
-    half = F.percentile("o_totalprice", F.lit(0.5))
-    all_ = o.agg(half.alias("m"))
-    got = o.groupBy(F.col("o_orderpriority").alias("slide")).agg(half.alias("median"), F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("most"))
+    s = o.select(F.col("o_orderpriority").alias("slide"), "o_totalprice")
+    all_ = quantiles(s, [], "o_totalprice", m=0.5)
+    got = s.groupBy("slide").agg(F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("most")).join(quantiles(s, ["slide"], "o_totalprice", median=0.5), "slide")
     return got.crossJoin(F.broadcast(all_)).select("slide", F.round("median", 4).alias("median"), "least", "most", F.round(F.try_divide("median", "m"), 6).alias("fold"))
 
 
@@ -178,8 +182,8 @@ def set_operations(v: Views):
 
 @query("column_profile", "SELECT o_orderstatus AS status, cast(count(*) AS bigint) AS n, cast(count(DISTINCT o_custkey) AS bigint) AS customers, round(quantile_cont(o_totalprice, 0.1), 4) AS p10, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY 1", prelude=False)
 def column_profile(v: Views):
-    q = F.percentile("o_totalprice", F.array(F.lit(0.1), F.lit(0.9)))
-    got = v.table("orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("customers"), q.alias("q"))
-    return got.select("status", "n", "customers", F.round(F.col("q")[0], 4).alias("p10"), F.round(F.col("q")[1], 4).alias("p90"))
+    o = v.table("orders").withColumn("status", F.col("o_orderstatus"))
+    got = o.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("customers"))
+    return got.join(quantiles(o, ["status"], "o_totalprice", p10=0.1, p90=0.9), "status").select("status", "n", "customers", F.round("p10", 4).alias("p10"), F.round("p90", 4).alias("p90"))
 
 
