@@ -7,11 +7,13 @@ once. Offsets are few by definition, so windows and joins inside one surface are
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import raster
 from .grid import with_shifts
+from .lineage import cut
 from .tiles import met_sums
 
 #: Chebyshev distances of the ring that a centre is held against.
@@ -179,34 +181,155 @@ def block_draws(blocks: int, draws: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).multinomial(blocks, np.full(blocks, 1 / blocks), size=draws)
 
 
-def assess(dense: DataFrame, search: int, block: int, draws: int = 200, seed: int = 7, stable: float = 0.95, baseline: int = 2) -> DataFrame:
-    """The shift of a mask against counts, and whether to trust it, as one row.
-
-    The shift is the highest local maximum of the correlation ratio of counts, each over its neighbourhood's mean, by distance
-    band from the mask. It is usable if it lies inside the search and at least ``stable`` of the resamples of blocks have
-    their highest maximum within one location of it. Statistics are summed per block once; a draw is a weighted sum of them."""
-    spark = dense.sparkSession
-    values = raster.corrected(dense, baseline).where("support").select("r", "c", "v", (F.floor(F.col("r") / block)).alias("by"), F.floor(F.col("c") / block).alias("bx"))
-    per = met_sums(raster.distance_bands(dense), values.withColumn("y", F.col("v")), search + 1, ["band"], ["by", "bx"], s=(0, 1), q=(0, 2)).cache()
-    names = per.select("by", "bx").distinct().orderBy("by", "bx").collect()  # a row per block of the slide
-    if not names:
-        return spark.createDataFrame([("not registered", "no tissue", None, None, None, None, None)], "status string, reason string, dy long, dx long, eta2 double, share_within_one double, share_exact double")
-    drawn = block_draws(len(names), draws, seed)
-    weights = spark.createDataFrame([(k, b.by, b.bx, int(w)) for k, row in enumerate(drawn) for b, w in zip(names, row) if w] + [(-1, b.by, b.bx, 1) for b in names], "draw int, by long, bx long, w int")
-    w = F.col("w")
-    sums = per.join(F.broadcast(weights), ["by", "bx"]).groupBy("draw", "dy", "dx", "band").agg(F.sum(w * F.col("n")).alias("n"), F.sum(w * F.col("s")).alias("s"), F.sum(w * F.col("q")).alias("q"))
-    whole = sums.groupBy("draw", "dy", "dx").agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    mean = F.col("s") * F.col("s") / F.col("n")
-    stack = whole.select("draw", "dy", "dx", F.try_divide(F.col("between") - mean, F.col("q") - mean).alias("v"))
-    top = neighbours(stack, ["draw"]).where((F.col("around") == 8) & (F.col("v") > F.col("most")) & (chebyshev(F.col("dy"), F.col("dx")) <= search))
-    best = top.groupBy("draw").agg(F.min(F.struct((-F.col("v")).alias("low"), "dy", "dx")).alias("b")).select("draw", "b.dy", "b.dx", (-F.col("b.low")).alias("eta2"))
-    own = best.where("draw = -1").select(F.col("dy").alias("y"), F.col("dx").alias("x"), F.col("eta2").alias("own"))
+class _Blocks:
+    """Blocks of a split grid, numbered along one axis over all parts of it, so that their numbers rise with the place."""
+
+    def __init__(self, size: int, parts: int, block: int):
+        self.edges = [k * size // parts for k in range(parts + 1)]
+        each = [-(-(y - x) // block) for x, y in zip(self.edges, self.edges[1:])]
+        self.first, self.block = [sum(each[:k]) for k in range(parts + 1)], block
+
+    def part(self, at: Column) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, self.edges[1:-1])).cast("array<long>"), lambda e: e <= at))
+
+    def number(self, at: Column) -> Column:
+        k = self.part(at)
+        of = lambda values: F.get(F.array(*map(F.lit, values)).cast("array<long>"), k)
+        return of(self.first) + F.floor((at - of(self.edges)) / self.block)
+
+    def part_of(self, number: Column) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, self.first[1:-1])).cast("array<long>"), lambda e: e <= number))
+
+
+def _hashed(*parts: np.ndarray | int) -> np.ndarray:
+    """A 64-bit mix of numbers, the same wherever it is computed."""
+    h = np.uint64(0)
+    with np.errstate(over="ignore"):
+        for x in parts:
+            h = (h ^ np.asarray(x).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+    return h
+
+
+def resampled_blocks(blocks: int, draw: int, seed: int, region: int) -> np.ndarray:
+    """How often a draw of as many blocks, with replacement, takes each: from hashes, so every task draws alike."""
+    return np.bincount((_hashed(seed, region, draw, np.arange(blocks)) % np.uint64(blocks)).astype(np.int64), minlength=blocks)
+
+
+def _drawn_surfaces(draws: int, seed: int):
+    """The correlation ratio of one region at one shift: of all blocks (draw -1) and of every draw of them."""
+
+    def work(key: tuple, group: pa.Table, blocks: pa.Table) -> pa.Table:
+        empty = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())], names=["region", "draw", "dy", "dx", "v"])
+        if not group.num_rows or not blocks.num_rows:
+            return empty
+        region, dy, dx = (k.as_py() for k in key)
+        place = np.stack([blocks.column(k).to_numpy() for k in ("gy", "gx")], axis=1)
+        order = np.lexsort(place.T[::-1])
+        place = place[order]
+        total = np.stack([blocks.column(k).to_numpy()[order] for k in ("n", "s", "q")], axis=1).astype(float)
+        wide = int(place[:, 1].max()) + 1
+        own = np.searchsorted(place[:, 0] * wide + place[:, 1], group.column("gy").to_numpy() * wide + group.column("gx").to_numpy())
+        bands, code = np.unique(group.column("band").to_numpy(), return_inverse=True)
+        n, s = np.zeros((len(place), len(bands))), np.zeros((len(place), len(bands)))
+        np.add.at(n, (own, code), group.column("n").to_numpy())
+        np.add.at(s, (own, code), group.column("s").to_numpy())
+        out = []
+        for draw in range(-1, draws):
+            w = np.ones(len(place)) if draw < 0 else resampled_blocks(len(place), draw, seed, region)
+            nb, sb, (all_n, all_s, all_q) = w @ n, w @ s, w @ total
+            far_n, far_s = all_n - nb.sum(), all_s - sb.sum()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                between = np.where(nb > 0, sb * sb / nb, 0).sum() + (far_s * far_s / far_n if far_n > 0 else 0) - all_s * all_s / all_n
+                out.append(float(between / (all_q - all_s * all_s / all_n)))
+        k = len(out)
+        v = np.array(out)
+        return pa.table([pa.array([region] * k), pa.array(range(-1, draws), pa.int64()), pa.array([dy] * k), pa.array([dx] * k), pa.array(v, mask=~np.isfinite(v))], names=["region", "draw", "dy", "dx", "v"])
+
+    return work
+
+
+def _highest(radius: int, search: int):
+    """The highest local maximum of a surface, above all of its eight neighbours, within ``search``; the first of equal ones."""
+    side = 2 * radius + 1
+
+    def work(key: tuple, group: pa.Table) -> pa.Table:
+        region, draw = (k.as_py() for k in key)
+        v = np.full((side + 2, side + 2), np.nan)
+        v[group.column("dy").to_numpy() + radius + 1, group.column("dx").to_numpy() + radius + 1] = group.column("v").to_numpy(zero_copy_only=False)
+        near = np.stack([v[1 + j : side + 1 + j, 1 + i : side + 1 + i] for j in (-1, 0, 1) for i in (-1, 0, 1) if j or i])
+        centre = v[1:-1, 1:-1]
+        with np.errstate(invalid="ignore"):
+            hit = (centre > near).all(axis=0)  # false next to a place without a value
+        lag = np.arange(-radius, radius + 1)
+        hit &= (np.abs(lag)[:, None] <= search) & (np.abs(lag) <= search)
+        k = int(np.argmax(np.where(hit, centre, -np.inf)))
+        found = bool(hit.any())
+        row = [region, draw, int(lag[k // side]), int(lag[k % side]), float(centre.reshape(-1)[k])] if found else [region, draw, None, None, None]
+        return pa.table([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["region", "draw", "dy", "dx", "eta2"])
+
+    return work
+
+
+def assess_regions(dense: DataFrame, height: int, width: int, divisions: int = 5, minimum: int = 30_000, *, search: int, block: int, draws: int = 200, seed: int = 7, stable: float = 0.95, baseline: int = 2) -> DataFrame:
+    """The shift of a mask against counts in each part of a split of the grid, and whether to trust it; a row per part.
+
+    Its shift is the highest local maximum of the correlation ratio of counts, each over its neighbourhood's mean, by distance
+    band from the mask; locations beyond all bands, or under no location of the mask, are a band of their own. A part is
+    usable if it has ``minimum`` locations of the mask in the support, if the shift lies inside the search, and if in at least
+    ``stable`` of the resamples of its blocks the highest maximum is within one location. A block takes part if support
+    lies within it or within the reach of a shift; bands come from the whole grid.
+
+    All parts go on together: sums per block, shift and band come from one pass over tiles; each part and shift is then a
+    group that draws its blocks by hashes, and each part and draw a surface."""
+    radius = search + 1
+    ys, xs = _Blocks(height, divisions, block), _Blocks(width, divisions, block)
+    numbered = lambda d: d.withColumns({"gy": ys.number(F.col("r")), "gx": xs.number(F.col("c"))})
+    region = (ys.part_of(F.col("gy")) * divisions + xs.part_of(F.col("gx"))).cast("long").alias("region")
+    support = dense.where("support")
+    values = cut(numbered(raster.corrected(dense, baseline).where("support").select("r", "c", "v")))
+    bands = raster.distance_bands(dense).where("band >= 0")
+    # the blocks that support reaches, with their own totals
+    clip = lambda at, size: F.greatest(F.lit(0), F.least(F.lit(size - 1), at))
+    hit = lambda axis, k, size: F.explode(F.sequence(axis.number(clip(F.col(k) - radius, size)), axis.number(clip(F.col(k) + radius, size))))
+    reached = support.select("r", "c").withColumn("gy", hit(ys, "r", height)).withColumn("gx", hit(xs, "c", width)).select("gy", "gx").distinct()
+    own = values.groupBy("gy", "gx").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    zero = lambda k: F.coalesce(k, F.lit(0)).cast("double").alias(k)
+    blocks = cut(reached.join(own, ["gy", "gx"], "left").select(region, "gy", "gx", zero("n"), zero("s"), zero("q")))
+    # every part
+    parts = dense.sparkSession.range(divisions * divisions).withColumnRenamed("id", "region")
+    part = (ys.part(F.col("r")) * divisions + xs.part(F.col("c"))).cast("long").alias("region")
+    inside = support.where("inside").select(part, "r", "c").groupBy("region").agg(F.count(F.lit(1)).alias("squares"), F.avg("r").alias("centroid_y"), F.avg("c").alias("centroid_x"))
+    several = blocks.groupBy("region").agg(F.count(F.lit(1)).alias("blocks"))
+    all_ = cut(parts.join(inside, "region", "left").join(several, "region", "left").withColumn("squares", F.coalesce("squares", F.lit(0))))
+    tested = all_.where((F.col("squares") >= minimum) & F.col("blocks").isNotNull()).select("region")
+    per = met_sums(bands, values.withColumn("y", F.col("v")), radius, ["band"], ["gy", "gx"], s=(0, 1)).withColumn("region", region)
+    span = F.sequence(F.lit(-radius).cast("long"), F.lit(radius).cast("long"))
+    shifts = blocks.join(F.broadcast(tested), "region").withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span))
+    by = ["region", "dy", "dx"]
+    sums = per.join(F.broadcast(tested), "region").select(*by, "gy", "gx", "band", "n", "s")
+    stack = sums.groupBy(*by).cogroup(shifts.groupBy(*by)).applyInArrow(_drawn_surfaces(draws, seed), "region long, draw long, dy long, dx long, v double")
+    best = cut(stack.groupBy("region", "draw").applyInArrow(_highest(radius, search), "region long, draw long, dy long, dx long, eta2 double"))
+    top = best.where("draw = -1 and eta2 is not null").select("region", F.col("dy").alias("y"), F.col("dx").alias("x"), "eta2")
     far = chebyshev(F.col("dy") - F.col("y"), F.col("dx") - F.col("x"))
-    shares = best.where("draw >= 0").crossJoin(F.broadcast(own)).groupBy("y", "x", "own").agg((F.sum((far <= 1).cast("long")) / draws).alias("share_within_one"), (F.sum((far == 0).cast("long")) / draws).alias("share_exact"))
-    interior = chebyshev(F.col("y"), F.col("x")) < search
-    reason = F.when(F.col("own").isNull(), "no local maximum").when(~interior, "highest maximum on the edge of the search").when(F.col("share_within_one") < stable, "not stable under resampling").otherwise("usable")
-    row = spark.range(1).select().join(own, F.lit(True), "left").join(shares.select("share_within_one", "share_exact"), F.lit(True), "left")
-    return row.select(F.when(reason == "usable", "usable").otherwise("not registered").alias("status"), reason.alias("reason"), F.col("y").alias("dy"), F.col("x").alias("dx"), F.col("own").alias("eta2"), "share_within_one", "share_exact")
+    near = lambda most: (F.coalesce(F.sum((far <= most).cast("long")), F.lit(0)) / draws).alias("share_exact" if not most else "share_within_one")
+    shares = best.where("draw >= 0").join(top.select("region", "y", "x"), "region").groupBy("region").agg(near(1), near(0))
+    got = all_.join(top, "region", "left").join(shares, "region", "left")
+    reason = F.when(F.col("squares") < minimum, F.lit(f"fewer than {minimum} locations of the mask in the support")).when(F.col("blocks").isNull(), "no tissue").when(F.col("eta2").isNull(), "no local maximum")
+    reason = reason.when(chebyshev(F.col("y"), F.col("x")) >= search, "highest maximum on the edge of the search").when(F.coalesce("share_within_one", F.lit(0.0)) < stable, "not stable under resampling").otherwise("usable")
+    status = F.when(F.col("squares") < minimum, "not tested").when(reason == "usable", "usable").otherwise("not registered")
+    row, col = F.floor(F.col("region") / divisions), F.col("region") % divisions
+    return got.select(
+        row.alias("row"), col.alias("col"), "squares", "centroid_y", "centroid_x", F.coalesce("blocks", F.lit(0)).alias("blocks"), status.alias("status"), reason.alias("reason"),
+        F.col("y").alias("dy"), F.col("x").alias("dx"), "eta2", "share_within_one", "share_exact",
+    )
+
+
+def assess(dense: DataFrame, height: int, width: int, search: int, block: int, draws: int = 200, seed: int = 7, stable: float = 0.95, baseline: int = 2) -> DataFrame:
+    """:func:`assess_regions` of the whole grid, as one row."""
+    got = assess_regions(dense, height, width, 1, 0, search=search, block=block, draws=draws, seed=seed, stable=stable, baseline=baseline)
+    return got.select("status", "reason", "dy", "dx", "eta2", "share_within_one", "share_exact")
 
 
 def fit_homography(points: DataFrame) -> tuple[np.ndarray, float]:

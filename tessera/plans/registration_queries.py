@@ -158,16 +158,41 @@ def affine_check(v: Views):
     return R.affine_check(_regions(v), ["feature_id"]).select("feature_id", "usable", "held_out", "held_out_pass", "retained", "accepted", "reason")
 
 
+_PARTS = """
+, o AS (SELECT dy, dx, dy * dy + dx * dx AS d2 FROM range(-6, 7) y(dy), range(-6, 7) x(dx) WHERE dy * dy + dx * dx <= 36),
+nn AS (SELECT a.r, a.c, a.inside, min(d2) FILTER (b.inside) AS di, min(d2) FILTER (NOT b.inside) AS dn FROM dense a, o JOIN dense b ON b.r = a.r + dy AND b.c = a.c + dx GROUP BY a.r, a.c, a.inside),
+kb AS (SELECT r, c, CASE WHEN inside THEN CASE WHEN dn <= 1 THEN 2 WHEN dn <= 4 THEN 1 ELSE 0 END ELSE 2 + ceil(sqrt(di)) END::int AS band FROM nn WHERE inside OR di IS NOT NULL),
+cv AS (SELECT a.r, a.c, a.v, sum(b.v) AS s, count(*) AS n FROM dense a JOIN dense b ON b.support AND b.r BETWEEN a.r - 2 AND a.r + 2 AND b.c BETWEEN a.c - 2 AND a.c + 2 WHERE a.support GROUP BY a.r, a.c, a.v),
+xv AS (SELECT r, c, r // (s.s // 2) AS row, c // (s.s // 2) AS col, CASE WHEN cv.s > 0 THEN v / (cv.s / n) ELSE 0 END AS v FROM cv, side s),
+tt AS (SELECT row, col, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM xv GROUP BY ALL),
+mbd AS (SELECT row, col, dy, dx, band, count(*) AS n, sum(v) AS s FROM range(-3, 4) y(dy), range(-3, 4) x(dx), xv JOIN kb ON kb.r = xv.r - dy AND kb.c = xv.c - dx GROUP BY ALL),
+mt AS (SELECT row, col, dy, dx, sum(s * s / n) AS between, sum(n) AS n, sum(s) AS s FROM mbd GROUP BY ALL),
+et AS (SELECT row, col, dy, dx, (between + CASE WHEN tt.n > mt.n THEN (tt.s - mt.s) * (tt.s - mt.s) / (tt.n - mt.n) ELSE 0 END - tt.s * tt.s / tt.n) / (tt.q - tt.s * tt.s / tt.n) AS v FROM mt JOIN tt USING (row, col)),
+lm AS (SELECT a.row, a.col, a.dy, a.dx, a.v FROM et a JOIN et b ON a.row = b.row AND a.col = b.col AND abs(a.dy - b.dy) <= 1 AND abs(a.dx - b.dx) <= 1 AND NOT (a.dy = b.dy AND a.dx = b.dx) WHERE abs(a.dy) <= 2 AND abs(a.dx) <= 2 GROUP BY ALL HAVING count(*) = 8 AND a.v > max(b.v)),
+bt AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY v DESC, dy, dx) AS place FROM lm),
+sq AS (SELECT r // (s.s // 2) AS row, c // (s.s // 2) AS col, count(*) AS squares, avg(r) AS y, avg(c) AS x FROM mask, side s WHERE inside AND support GROUP BY ALL)
+"""
+
+
+@query("regional_registration", _PARTS + """
+SELECT sq.row, sq.col, cast(squares AS bigint) AS squares, round(y, 6) AS centroid_y, round(x, 6) AS centroid_x, dy, dx, round(v, 6) AS eta2 FROM sq LEFT JOIN bt ON bt.row = sq.row AND bt.col = sq.col AND place = 1
+""")
+def regional_registration(v: Views):
+    """The shift of each quarter of the grid; whether resamples agree is tested on planted shifts."""
+    got = R.assess_regions(v.dense(), v.side, v.side, 2, 0, search=2, block=16, draws=1)
+    return got.select("row", "col", "squares", F.round("centroid_y", 6).alias("centroid_y"), F.round("centroid_x", 6).alias("centroid_x"), "dy", "dx", F.round("eta2", 6).alias("eta2"))
+
+
 @query("assess_field")
 def assess_field(v: Views):
-    """Whether the mask is registered to the counts; the resamples of blocks are numpy's."""
-    return R.assess(v.dense(), 3, 16, draws=60)
+    """Whether the mask is registered to the counts, by resamples of blocks."""
+    return R.assess(v.dense(), v.side, v.side, 3, 16, draws=60)
 
 
-@query("homography_residual", "SELECT cast(count(*) AS bigint) AS points, 0e0 AS worst, 1.2e0 AS h00, 0e0 AS h20 FROM field WHERE r % 2 = 0", prelude=True)
+@query("homography_residual", "SELECT cast(count(*) AS bigint) AS points, 0e0 AS worst, 1.2e0 AS h00, 0e0 AS h20 FROM field", prelude=True)
 def homography_residual(v: Views):
-    """The map of cell centres to an image, fitted to every second row and held against all points."""
-    points = v.field().where("r % 2 = 0").select(R.grid_centres(F.col("c"), 8).alias("x"), R.grid_centres(F.col("r"), 8).alias("y"))
+    """The map of cell centres to an image, fitted to all points and held against them."""
+    points = v.field().select(R.grid_centres(F.col("c"), 8).alias("x"), R.grid_centres(F.col("r"), 8).alias("y"))
     seen = points.select("x", "y", (1.2 * F.col("x") - 0.1 * F.col("y") + 40).alias("u"), (0.1 * F.col("x") + 1.1 * F.col("y") + 25).alias("v"))
     h, worst = R.fit_homography(seen)
     return seen.agg(F.count(F.lit(1)).alias("points")).select("points", F.round(F.lit(worst), 5).alias("worst"), F.round(F.lit(float(h[0][0])), 5).alias("h00"), F.round(F.lit(abs(float(h[2][0]))), 5).alias("h20"))

@@ -224,16 +224,46 @@ def _field(spark, dy, dx, seed=5, noise=False, side=48):
 
 
 def test_planted_registration_is_usable_and_noise_is_not(spark):
-    found = registration.assess(_field(spark, 1, -2), 3, 12, draws=40).first()
+    found = registration.assess(_field(spark, 1, -2), 48, 48, 3, 12, draws=40).first()
     assert (found.status, found.reason, found.dy, found.dx, found.share_within_one) == ("usable", "usable", 1, -2, 1.0)
-    edge = registration.assess(_field(spark, 3, 0), 3, 12, draws=40).first()
+    edge = registration.assess(_field(spark, 3, 0), 48, 48, 3, 12, draws=40).first()
     assert (edge.status, edge.reason) == ("not registered", "highest maximum on the edge of the search")
-    noise = registration.assess(_field(spark, 0, 0, noise=True), 3, 12, draws=40).first()
+    noise = registration.assess(_field(spark, 0, 0, noise=True), 48, 48, 3, 12, draws=40).first()
     assert noise.status == "not registered" and noise.dy is not None or noise.reason == "no local maximum"
-    bare = registration.assess(_field(spark, 0, 0).withColumn("support", F.lit(False)), 3, 12).first()
+    bare = registration.assess(_field(spark, 0, 0).withColumn("support", F.lit(False)), 48, 48, 3, 12).first()
     assert (bare.status, bare.reason) == ("not registered", "no tissue")
 
 
+def test_regions_of_a_planted_shift(spark):
+    import numpy as np
+
+    side, search, block = 72, 2, 9
+    field = _field(spark, 1, -1, side=side).withColumn("support", (F.col("r") < 60) | (F.col("c") < 40))
+    half = field.withColumn("v", F.when(F.col("c") >= 36, 10.0 + F.col("r") * 7 % 3 + F.col("c") * 5 % 2).otherwise(F.col("v"))).cache()
+    rows = registration.assess_regions(half, side, side, 2, 200, search=search, block=block, draws=50).collect()
+    got = {(r.row, r.col): r for r in rows}
+    assert len(rows) == 4 and all((got[k].status, got[k].dy, got[k].dx) == ("usable", 1, -1) for k in ((0, 0), (1, 0)))
+    assert got[0, 1].status != "usable" and (got[1, 1].status == "not tested") == (got[1, 1].squares < 200) and any(r.squares < 200 for r in rows)
+    # the ratio itself, cell by cell, in one region
+    inside, support, v = (np.zeros((side, side)) for _ in range(3))
+    for r in raster.corrected(half, 2).collect():
+        inside[r.r, r.c], support[r.r, r.c], v[r.r, r.c] = r.inside, r.support, r.v
+    band = np.full((side, side), -1)
+    for r in raster.distance_bands(half).collect():
+        band[r.r, r.c] = r.band
+    cells = [(r, c) for r in range(36) for c in range(36) if support[r, c]]
+    x = np.array([v[k] for k in cells])
+    under = np.array([band[r - 1, c + 1] if 0 <= r - 1 < side and 0 <= c + 1 < side else -1 for r, c in cells])
+    mean = x.mean()
+    between = sum((under == k).sum() * (x[under == k].mean() - mean) ** 2 for k in np.unique(under))
+    assert got[0, 0].eta2 == pytest.approx(between / ((x - mean) ** 2).sum(), rel=1e-9)
+    assert got[0, 0].squares == sum(inside[k] for k in cells) and got[0, 0].blocks == 16
+    again = registration.assess_regions(half.repartition(7), side, side, 2, 200, search=search, block=block, draws=50).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
+    w = registration.resampled_blocks(500, 3, 7, 2)
+    assert w.sum() == 500 and 0.2 < (w == 0).mean() < 0.55 and (w != registration.resampled_blocks(500, 4, 7, 2)).any()
+
+
 def test_extremes_of_a_stack(spark):
     up = {(y, x): float(-(y * y + x * x)) + 50 for y in range(-4, 5) for x in range(-4, 5)}
     down = {(y, x): float((y - 2) ** 2 + (x + 1) ** 2) for y in range(-4, 5) for x in range(-4, 5)}
