@@ -57,6 +57,47 @@ def apply_affine(labels: DataFrame, coef: tuple[tuple[float, float], ...], heigh
     return inside.groupBy(F.col("nr").alias("r"), F.col("nc").alias("c")).agg(F.max_by("label", "source").alias("label"), F.count(F.lit(1)).alias("met"))
 
 
+def inverse_affine(coef: tuple[tuple[float, float], ...]) -> list[list[float]]:
+    """The linear part that undoes a displacement [1, row, col] @ coef; an error if it turns the plane over or flattens it."""
+    a, b, c, d = 1 + coef[1][0], coef[2][0], coef[1][1], 1 + coef[2][1]
+    size = a * d - b * c
+    if not size > 1e-8:
+        raise ValueError("the displacement is singular or reverses orientation")
+    return [[d / size, -b / size], [-c / size, a / size]]
+
+
+def pull_affine(cells: DataFrame, coef: tuple[tuple[float, float], ...], height: int, width: int) -> DataFrame:
+    """Every place of the grid whose source, the nearest place to it moved back, is one of ``cells`` (r, c, ...): r, c, what that
+    cell carries, and where it lies (from_r, from_c). Halves go to the even place. No place gets two cells; a cell may come to
+    several places or to none, which :func:`pull_account` counts."""
+    inverse = inverse_affine(coef)
+    y, x = F.col("r") - F.lit(float(coef[0][0])), F.col("c") - F.lit(float(coef[0][1]))
+    back = [F.rint(F.lit(row[0]) * y + F.lit(row[1]) * x).cast("long") for row in inverse]
+    places = dense_grid(cells.sparkSession, height, width).select("r", "c", back[0].alias("from_r"), back[1].alias("from_c"))
+    inside = places.where(F.col("from_r").between(0, height - 1) & F.col("from_c").between(0, width - 1))
+    return inside.join(cells.withColumnsRenamed({"r": "from_r", "c": "from_c"}), ["from_r", "from_c"])
+
+
+def pull_account(cells: DataFrame, pulled: DataFrame, key: str) -> DataFrame:
+    """key, before, after, dropped, repeated: a label's places before and after, its cells that come to no place, and places that
+    repeat a cell; after = before - dropped + repeated."""
+    uses = pulled.groupBy("from_r", "from_c").agg(F.count(F.lit(1)).alias("_n"))
+    met = cells.select("r", "c", key).join(uses, (F.col("r") == F.col("from_r")) & (F.col("c") == F.col("from_c")), "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    return met.groupBy(key).agg(F.count(F.lit(1)).alias("before"), F.sum("_n").alias("after"), F.sum((F.col("_n") == 0).cast("long")).alias("dropped"), F.sum(F.greatest(F.col("_n") - 1, F.lit(0))).alias("repeated"))
+
+
+def claimed(labels: DataFrame, priority: list[Column]) -> DataFrame:
+    """``labels`` (r, c, label, ...) with one row a place: where several cells claim it, the first by ``priority`` and then by label,
+    with how many did (claims)."""
+    order = F.struct(*(p.alias(f"p{k}") for k, p in enumerate([*priority, F.col("label")])))
+    return labels.groupBy("r", "c").agg(F.min_by("label", order).alias("label"), F.count(F.lit(1)).alias("claims"))
+
+
+def complete_parents(cells: DataFrame, factor: int) -> DataFrame:
+    """pr, pc of the parents that have all their ``factor`` x ``factor`` places among ``cells``."""
+    return cells.groupBy(parent(F.col("r"), factor).alias("pr"), parent(F.col("c"), factor).alias("pc")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == factor * factor).drop("_n")
+
+
 def project(h: list[list[float]], x: Column, y: Column) -> tuple[Column, Column]:
     """A projective map of points; null at the pole."""
     w = h[2][0] * x + h[2][1] * y + h[2][2]

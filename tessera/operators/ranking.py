@@ -30,6 +30,19 @@ def cumulative(df: DataFrame, order: str, sums: list[str], buckets: int | None =
     return out.drop("_bucket", *(f"_o_{x}" for x in sums))
 
 
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``df`` with ``out``, the place of each row from 1 by ``order``, nulls first.
+
+    Rows are range-partitioned and sorted, and written with their row number within the partition; only the partitions' row
+    counts are added up, so no task holds all rows."""
+    by = [F.col(c).asc_nulls_first() for c in order]
+    dealt = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    counts = dealt.groupBy("_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
+    offsets = counts.select("_part", (before - F.col("_first") + 1).alias("_shift"))
+    return dealt.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
+
+
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     """1-based ranks with ties averaged."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))

@@ -129,6 +129,52 @@ def remap_change_stats(v: Views):
     return grid.remap_statistics(v.field().select("r", "c", (F.col("r") * 100000 + F.col("c")).alias("label")), _moved(v))
 
 
+_INVERSE = grid.inverse_affine(_COEF)
+_PULLED = f"""
+, sc AS (SELECT r, c, inside, cast((r // 6) * 1000 + c // 6 AS bigint) AS label FROM mask WHERE support),
+pl AS (SELECT r, c, cast(round_even({_INVERSE[0][0]!r}::double * (r - 1.5e0) + {_INVERSE[0][1]!r}::double * (c + 2.5e0), 0) AS bigint) AS y, cast(round_even({_INVERSE[1][0]!r}::double * (r - 1.5e0) + {_INVERSE[1][1]!r}::double * (c + 2.5e0), 0) AS bigint) AS x FROM mask),
+pu AS (SELECT pl.r, pl.c, y, x, inside, label FROM pl JOIN sc ON sc.r = y AND sc.c = x)"""
+
+
+def _pulled(v: Views):
+    cells = v.mask().where("support").select("r", "c", "inside", (F.floor(F.col("r") / 6) * 1000 + F.floor(F.col("c") / 6)).cast("long").alias("label"))
+    return cells, grid.pull_affine(cells, _COEF, v.side, v.side)
+
+
+@query("pulled_cells", _PULLED + """
+, u AS (SELECT y, x, count(*) AS n FROM pu GROUP BY ALL)
+SELECT label, cast(count(*) AS bigint) AS before, cast(coalesce(sum(n), 0) AS bigint) AS after, cast(count(*) FILTER (n IS NULL) AS bigint) AS dropped, cast(coalesce(sum(n - 1), 0) AS bigint) AS repeated FROM sc LEFT JOIN u ON y = sc.r AND x = sc.c GROUP BY label
+""")
+def pulled_cells(v: Views):
+    """Labelled cells moved by an affine displacement, with an account of every label's places."""
+    return grid.pull_account(*_pulled(v), "label")
+
+
+@query("pulled_geometry", _PULLED + """
+, pc AS (SELECT r // 8 AS pr, c // 8 AS pc, count(*) AS n FROM pu GROUP BY ALL)
+SELECT cast(count(*) AS bigint) AS places, cast(count(*) FILTER (inside) AS bigint) AS inside, cast((SELECT count(*) FROM pl, side WHERE NOT (y BETWEEN 0 AND s - 1 AND x BETWEEN 0 AND s - 1)) AS bigint) AS without_source, cast((SELECT count(*) FROM pc WHERE n = 64) AS bigint) AS complete FROM pu
+""")
+def pulled_geometry(v: Views):
+    cells, pulled = _pulled(v)
+    every = grid.pull_affine(grid.dense_grid(v.spark, v.side, v.side), _COEF, v.side, v.side).agg((F.lit(v.side * v.side) - F.count(F.lit(1))).alias("without_source"))
+    counts = pulled.agg(F.count(F.lit(1)).alias("places"), F.sum(F.col("inside").cast("long")).alias("inside"))
+    return counts.crossJoin(every).crossJoin(grid.complete_parents(pulled, 8).agg(F.count(F.lit(1)).alias("complete")))  # one row each
+
+
+@query("claimed_places", """
+, cl AS (SELECT cast(r + round_even(-0.4e0 * r + 0.1e0 * c, 0) AS bigint) AS nr, cast(c + round_even(-0.3e0 * c, 0) AS bigint) AS nc, cast(r * 100000 + c AS bigint) AS label, v FROM field),
+k AS (SELECT nr AS r, nc AS c, arg_min(label, (-v, label)) AS label, count(*) AS claims FROM cl WHERE nr BETWEEN 0 AND (SELECT s - 1 FROM side) AND nc BETWEEN 0 AND (SELECT s - 1 FROM side) GROUP BY 1, 2)
+SELECT claims::bigint AS claims, cast(count(*) AS bigint) AS places, sum(label)::bigint AS digest FROM k GROUP BY 1
+""")
+def claimed_places(v: Views):
+    """Cells pushed together; of those that claim one place, that with the most counts stays."""
+    r, c = F.col("r"), F.col("c")
+    to = [(r + F.rint(-0.4 * r + 0.1 * c)).cast("long").alias("nr"), (c + F.rint(-0.3 * c)).cast("long").alias("nc")]
+    moved = v.field().select(*to, (r * 100000 + c).alias("label"), "v").where(F.col("nr").between(0, v.side - 1) & F.col("nc").between(0, v.side - 1))
+    got = grid.claimed(moved.select(F.col("nr").alias("r"), F.col("nc").alias("c"), "label", "v"), [-F.col("v")])
+    return got.groupBy("claims").agg(F.count(F.lit(1)).alias("places"), F.sum("label").alias("digest"))
+
+
 @query("shift_clip", "SELECT r - 3 AS r, c + 5 AS c, v FROM field WHERE r - 3 BETWEEN 0 AND (SELECT s - 1 FROM side) AND c + 5 BETWEEN 0 AND (SELECT s - 1 FROM side)")
 def shift_clip(v: Views):
     return grid.shift_cells(v.field(), -3, 5, v.side, v.side)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..operators import grid, molecules
 from ..operators.nearest import nearest
+from ..operators.lineage import scratch
+from ..sources.candidate_store import CandidateStore, group_calls
 from .registry import query
 from .views import Views
 
@@ -93,6 +95,28 @@ def clique_posteriors(v: Views):
     return molecules.posteriors(c, molecules.read_cliques(c)).select("feature_id", "umi", "clique_key", "candidate", F.round("p", 9).alias("p"))
 
 
+@query("stored_group_calls", """
+, w AS (SELECT cast(event_id AS varchar) AS read_id, event_type || '-' || (event_id % 40) AS feature_id, 'u' || (user_id % 4096) AS umi, 's_002um_' || ((event_id * 7 + k * 5) % (SELECT s FROM side)) || '_' || ((event_id * 11 + k * 3) % (SELECT s FROM side)) AS candidate,
+  -((event_id * 13 + k * 7) % 10) / 4.0 AS ll FROM events, range(3) t(k) WHERE k <= event_id % 3),
+p AS (SELECT *, exp(ll) / sum(exp(ll)) OVER (PARTITION BY read_id) AS p FROM w)
+SELECT feature_id, umi, candidate, cast(count(*) AS bigint) AS reads, round(sum(p), 6) AS mass, round(1 - product(1 - p), 6) AS expected FROM p GROUP BY ALL
+""")
+def stored_group_calls(v: Views):
+    """Groups of reads resolved from a bucketed store, whose groups and cells grow with the events."""
+    store = CandidateStore(v.spark, scratch(v.spark, "store"), 16)
+    store.write(v.wide_candidates())
+    out = scratch(v.spark, "calls")
+    store.resolve(group_calls, out)
+    store.forget()
+    return v.spark.read.parquet(f"{out}/data").select("feature_id", "umi", "candidate", "reads", F.round("mass", 6).alias("mass"), F.round("expected", 6).alias("expected"))
+
+
+@query("wide_read_cliques")
+def wide_read_cliques(v: Views):
+    """Cliques of groups that grow in number with the events; the greedy order has no SQL form."""
+    return molecules.read_cliques(v.wide_candidates())
+
+
 @query("exact_member_match", """
 , a AS (SELECT molecule, string_agg(read::varchar, ',' ORDER BY read::varchar) AS k FROM mol_a GROUP BY molecule), b AS (SELECT molecule, string_agg(read::varchar, ',' ORDER BY read::varchar) AS k FROM mol_b GROUP BY molecule)
 SELECT a.molecule AS a, b.molecule AS b FROM a JOIN b USING (k)

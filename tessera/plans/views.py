@@ -80,6 +80,13 @@ class Views:
             r.alias("r"), c.alias("c"), grid.bin_id(2, r, c).alias("candidate"), (-((F.col("event_id") * 13 + F.col("k") * 7) % 10) / 4.0).alias("ll"),
         )
 
+    def wide_candidates(self) -> DataFrame:
+        """Candidates on the whole grid, of groups that grow with the events: read_id, feature_id, umi, candidate, ll."""
+        e = self.table("events").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("event_id") % 3)))
+        r, c = (F.col("event_id") * 7 + F.col("k") * 5) % self.side, (F.col("event_id") * 11 + F.col("k") * 3) % self.side
+        feature, umi = F.concat("event_type", F.lit("-"), (F.col("event_id") % 40).cast("string")), F.concat(F.lit("u"), (F.col("user_id") % 4096).cast("string"))
+        return e.select(F.col("event_id").cast("string").alias("read_id"), feature.alias("feature_id"), umi.alias("umi"), grid.bin_id(2, r, c).alias("candidate"), (-((F.col("event_id") * 13 + F.col("k") * 7) % 10) / 4.0).alias("ll"))
+
     def posteriors(self) -> DataFrame:
         """Every read as a clique of its own."""
         from pyspark.sql import Window

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grid import parse_bin_id
+from ..operators.ranking import numbered
 from .lines import numbered_lines
 
 
@@ -43,19 +44,23 @@ def read_mex(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_mex(matrix: DataFrame, folder: str) -> None:
-    """A matrix (feature_id, r, c, v) as a compressed Matrix Market directory; axes in the order of their names."""
-    features = matrix.select("feature_id").distinct().orderBy("feature_id")
-    cells = matrix.select("r", "c").distinct().orderBy("r", "c")
-    numbered = lambda d, name: d.select(*d.columns, F.row_number().over(Window.orderBy(*d.columns)).cast("long").alias(name))
-    f, b = numbered(features, "i"), numbered(cells, "j")
+    """A matrix (feature_id, r, c, v) as a compressed Matrix Market directory; axes in the order of their names.
+
+    Axes are numbered by ranges, and every member is a folder of parts in the order of their names, which are its lines."""
+    f = numbered(matrix.select("feature_id").distinct(), ["feature_id"], "i")
+    b = numbered(matrix.select("r", "c").distinct(), ["r", "c"], "j")
     name = F.concat(F.lit("s_002um_"), F.lpad(F.col("r").cast("string"), 5, "0"), F.lit("_"), F.lpad(F.col("c").cast("string"), 5, "0"), F.lit("-1"))
-    body = matrix.join(f, "feature_id").join(b, ["r", "c"]).select(F.concat_ws(" ", "i", "j", F.col("v").cast("string")).alias("value"))
-    sizes = matrix.agg(F.concat_ws(" ", F.countDistinct("feature_id"), F.countDistinct("r", "c"), F.count(F.lit(1))).alias("value"))
-    head = matrix.sparkSession.createDataFrame([("%%MatrixMarket matrix coordinate real general",)], "value string")
-    one = lambda d, part: d.coalesce(1).write.option("compression", "gzip").text(f"{folder}/{part}")
-    one(f.orderBy("i").select(F.concat_ws("\t", "feature_id", "feature_id", F.lit("Gene Expression"))), "features.tsv")
-    one(b.orderBy("j").select(name), "barcodes.tsv")
-    one(head.unionByName(sizes).unionByName(body), "matrix.mtx")
+    body = matrix.join(f, "feature_id").join(b, ["r", "c"]).select("i", "j", F.concat_ws(" ", "i", "j", F.col("v").cast("string")).alias("value"))
+    before = lambda k, value: [F.lit(k).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), value.alias("value")]
+    sizes = matrix.agg(F.countDistinct("feature_id").alias("f"), F.countDistinct("r", "c").alias("b"), F.count(F.lit(1)).alias("n")).select(*before(0, F.concat_ws(" ", "f", "b", "n")))
+    head = matrix.sparkSession.range(1).select(*before(-1, F.lit("%%MatrixMarket matrix coordinate real general")))
+
+    def written(d: DataFrame, order: list[str], line: Column, part: str) -> None:
+        d.repartitionByRange(*order).sortWithinPartitions(*order).select(line).write.option("compression", "gzip").text(f"{folder}/{part}")
+
+    written(f, ["i"], F.concat_ws("\t", "feature_id", "feature_id", F.lit("Gene Expression")), "features.tsv")
+    written(b, ["j"], name, "barcodes.tsv")
+    written(head.unionByName(sizes).unionByName(body), ["i", "j"], F.col("value"), "matrix.mtx")
 
 
 def axis_totals(matrix: DataFrame) -> DataFrame:

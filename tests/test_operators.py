@@ -658,3 +658,81 @@ def test_quantiles_by_selection(spark):
             assert got[k][name] == pytest.approx(x if not f else (1 - f) * x + f * y, rel=1e-15)
     whole = exact.quantiles(spark.createDataFrame(rows[:700], "k string, v double"), [], "v", half=0.5).collect()
     assert len(whole) == 1 and whole[0].half == pytest.approx(np.median(groups["a"]))
+
+
+def test_candidate_store_resumes_and_repairs(spark, tmp_path):
+    from tessera.sources import candidate_store as C
+
+    rng = random.Random(12)
+    rows = [(f"r{k}", f"g{rng.randrange(30)}", f"u{rng.randrange(50)}", f"c{j}", float(rng.randint(-5, 0))) for k in range(600) for j in range(1 + k % 3)]
+    schema = "read_id string, feature_id string, umi string, candidate string, ll double"
+    df = spark.createDataFrame(rows, schema)
+    store = C.CandidateStore(spark, str(tmp_path / "store"), 8)
+    store.write(df)
+    assert store.broken() == [] and store.rows().count() == len(rows)
+    plan = C.group_calls(store.rows())._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "PushedFilters: [In(bucket, [1,5])" in C.group_calls(store.rows([1, 5]))._jdf.queryExecution().executedPlan().toString()
+    out = str(tmp_path / "out")
+    every = store.missing(out)
+    assert store.resolve(C.group_calls, out) == every and store.resolve(C.group_calls, out) == []
+    key = lambda d: {(r.feature_id, r.umi, r.candidate): (r.reads, round(r.expected, 9)) for r in d.collect()}
+    want = key(C.group_calls(df.withColumn("bucket", F.lit(0))))
+    assert key(spark.read.parquet(f"{out}/data")) == want
+    # a new session knows the store by its folder
+    store.forget()
+    store = C.CandidateStore(spark, str(tmp_path / "store"), 8)
+    assert store.missing(out) == [] and "Exchange" not in C.group_calls(store.rows())._jdf.queryExecution().executedPlan().toString()
+    # other rows in one group: its bucket is found, written anew alone, and computed again alone
+    changed = df.withColumn("ll", F.when(F.col("feature_id") == "g3", F.col("ll") - F.col("umi").substr(2, 2).cast("int")).otherwise(F.col("ll")))
+    at = {r.bucket for r in changed.where("feature_id = 'g3'").withColumn("bucket", store.bucket()).select("bucket").distinct().collect()}
+    first = min(at)
+    assert store.repair(changed, [first]) == [first] and store.broken() == [] and store.missing(out) == [first]
+    assert store.resolve(C.group_calls, out) == [first] and store.missing(out) == []
+    mixed = changed.withColumn("bucket", store.bucket()).where(F.col("bucket") == first).drop("bucket").unionByName(df.withColumn("bucket", store.bucket()).where(F.col("bucket") != first).drop("bucket"))
+    assert key(spark.read.parquet(f"{out}/data")) == key(C.group_calls(mixed.withColumn("bucket", F.lit(0))))
+    # rows that are lost
+    lost = next(p for p in (tmp_path / "store" / "rows").glob("*.parquet") if "_00002." in p.name)
+    lost.unlink()
+    spark.catalog.refreshTable(store.name)
+    assert store.broken() == [2] and store.repair(mixed) == [2] and store.broken() == [] and store.missing(out) == []
+    store.forget()
+
+
+def test_cells_pulled_through_a_displacement(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    h, w = 19, 23
+    support = rng.random((h, w)) < 0.8
+    cells = spark.createDataFrame([(r, c, r // 4 * 10 + c // 4, int(support[r, c])) for r in range(h) for c in range(w) if support[r, c]], "r long, c long, label long, state int")
+    coef = ((1.5, -2.0), (0.2, -0.1), (0.05, -0.3))
+    inverse = np.array(grid.inverse_affine(coef))
+    assert np.allclose(inverse @ (np.eye(2) + np.array(coef[1:]).T), np.eye(2))
+    want = {}
+    for r in range(h):
+        for c in range(w):
+            y, x = (int(np.rint(row[0] * (r - 1.5) + row[1] * (c + 2.0))) for row in inverse)
+            if 0 <= y < h and 0 <= x < w and support[y, x]:
+                want[r, c] = (y, x, y // 4 * 10 + x // 4)
+    pulled = grid.pull_affine(cells, coef, h, w)
+    assert {(x.r, x.c): (x.from_r, x.from_c, x.label) for x in pulled.collect()} == want
+    account = grid.pull_account(cells, pulled, "label").collect()
+    assert all(x.after == x.before - x.dropped + x.repeated for x in account) and sum(x.after for x in account) == len(want) and any(x.dropped for x in account) and any(x.repeated for x in account)
+    none = ((0.0, 0.0), (0.0, 0.0), (0.0, 0.0))
+    assert grid.pull_affine(cells, none, h, w).where("r = from_r and c = from_c").count() == cells.count()
+    for bad in (((0, 0), (-1.0, 0.0), (0.0, 0.0)), ((0, 0), (-2.0, 0.0), (0.0, 0.0))):
+        with pytest.raises(ValueError):
+            grid.inverse_affine(bad)
+    claims = spark.createDataFrame([(0, 0, 5, 2.0), (0, 0, 3, 2.0), (0, 0, 1, 1.0), (1, 0, 9, 0.0)], "r long, c long, label long, v double")
+    assert sorted((x.r, x.label, x.claims) for x in grid.claimed(claims, [-F.col("v")]).collect()) == [(0, 3, 3), (1, 9, 1)]
+    assert grid.complete_parents(cells, 1).count() == cells.count()
+
+
+def test_places_on_an_axis_and_parts_of_a_matrix(spark, tmp_path):
+    rows = [(None, 1)] + [(f"k{k * 7919 % 1000:04d}", k) for k in range(1000)]
+    got = ranking.numbered(spark.createDataFrame(rows, "a string, b int").repartition(9), ["a", "b"], "n").collect()
+    want = {x: k for k, x in enumerate(sorted(rows, key=lambda x: (x[0] is not None, x[0] or "", x[1])), 1)}
+    assert {(r.a, r.b): r.n for r in got} == want
+    m = spark.createDataFrame([(f"f{k % 40:02d}", k // 40, k % 17, float(k + 1)) for k in range(900)], "feature_id string, r long, c long, v double").repartition(6)
+    matrix.write_mex(m, str(tmp_path / "m"))
+    assert _rows(matrix.read_mex(spark, str(tmp_path / "m")), "feature_id", "r", "c", "v") == _rows(m, "feature_id", "r", "c", "v")
