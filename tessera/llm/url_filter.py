@@ -3,7 +3,7 @@
 Rules decide first; the longest that fits wins. The rest is judged by a tree of path templates. Urls that a rule decided
 are its labelled examples. A path becomes a list of segments; numbers, hexadecimal and mixed segments become wildcards
 by their form, and a segment whose parent has many children with few urls each becomes one by count, level by level from the
-root to the deepest segment of the data. Siblings at any level whose labelled block rate, all below them included, does not
+root to the deepest segment of the data, but for levels where no host has enough children. Siblings at any level whose labelled block rate, all below them included, does not
 differ from that of the others by a two-proportion test merge into one branch, from the deepest level up. A template's
 purity, its share of blocked examples, is smoothed towards that of the same template over all hosts, and that towards
 the rate of all; templates with purity of a half or more are rejected.
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .io import keep, table
+from .io import finished, keep, table
 
 #: Fixed rules: host, path prefix, verdict.
 RULES = (
@@ -96,15 +96,22 @@ def _merge(tree: DataFrame, depth: int) -> DataFrame:
     return joined.withColumn("now", F.when(F.col("_alike"), changed).otherwise(F.col("now"))).drop("_h", "_n", "_alike")
 
 
+def _depths(tree: DataFrame, more_than: int, rows: Column) -> list[int]:
+    """Depths at which some host has more than so many distinct segments among ``rows``, whatever stands before them: no parent of
+    a depth left out has so many children. One pass; a host with few long urls adds no depth."""
+    segments = tree.where(rows).select("host", F.posexplode("now").alias("depth", "segment")).where("depth > 0").distinct()
+    wide = segments.groupBy("host", "depth").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > more_than)
+    return sorted(r.depth for r in wide.select("depth").distinct().collect())  # at most the segments of one url
+
+
 def template_tree(judged: DataFrame) -> DataFrame:
     """host, form, template and purity of every host and form among the judged urls."""
     labelled = F.col("ruled").isNotNull().cast("long")
     tree = judged.groupBy("host", "form").agg(F.count(F.lit(1)).alias("n"), F.sum(labelled).alias("m"), F.sum((F.col("ruled") == "block").cast("long")).alias("b"))
     tree = keep(tree.select("host", "form", F.col("form").alias("now"), "n", "m", F.coalesce("b", F.lit(0)).alias("b")), "tree")
-    deepest = (tree.agg(F.max(F.size("now"))).first()[0] or 1) - 1
-    for depth in range(1, deepest + 1):
+    for depth in _depths(tree, MANY_CHILDREN, F.lit(True)):
         tree = keep(_wildcards(tree, depth), "tree")
-    for depth in range(deepest, 0, -1):
+    for depth in reversed(_depths(tree, 1, F.col("m") > 0)):  # branches are told apart by their labelled urls
         tree = keep(_merge(tree, depth), "tree")
     rate = tree.agg(((F.sum("b") + 1) / (F.sum("m") + 2)).alias("p0")).first()["p0"]
     smooth = lambda m, b, p: (F.col(b) + PRIOR * p) / (F.col(m) + PRIOR)
@@ -121,7 +128,7 @@ def judge_urls(pages: DataFrame) -> DataFrame:
     split = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, ruled = apply_rules(F.col("host"), F.col("path"))
     judged = split.select("*", rule.alias("rule"), ruled.alias("ruled"), form(F.col("path")).alias("form"))
-    tree = keep(template_tree(judged), "templates").withColumnsRenamed({"host": "_host", "form": "_form"})
+    tree = finished("templates", lambda: template_tree(judged)).withColumnsRenamed({"host": "_host", "form": "_form"})
     out = judged.join(tree, (F.col("host") == F.col("_host")) & (F.col("form") == F.col("_form")), "left")
     verdict = F.coalesce("ruled", F.when(F.col("purity") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
