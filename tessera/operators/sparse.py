@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from .exact import exact_sums
 
 KEY = ["feature_id", "r", "c"]
 
@@ -51,12 +52,15 @@ def shared_excess(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
 
 
 def nesting_audit(base: DataFrame, policy: DataFrame, key: list[str]) -> DataFrame:
-    """How a policy's field differs from its base: cells higher, lower and equal, signed masses, extremes, superset."""
+    """How a policy's field differs from its base: cells higher, lower and equal, signed masses, extremes, superset. Masses are
+    exact sums, so they are the same for any partitions."""
     d = align(policy, base, key).withColumn("d", F.col("a") - F.col("b"))
-    return d.agg(
+    masses = exact_sums(d, [], gained=F.greatest("d", F.lit(0.0)), lost=F.least("d", F.lit(0.0)))
+    counts = d.agg(
         F.count(F.lit(1)).alias("cells"), F.sum((F.col("d") > 0).cast("long")).alias("higher"), F.sum((F.col("d") < 0).cast("long")).alias("lower"), F.sum((F.col("d") == 0).cast("long")).alias("equal"),
-        F.sum(F.greatest("d", F.lit(0.0))).alias("gained"), F.sum(F.least("d", F.lit(0.0))).alias("lost"), F.min("d").alias("least"), F.max("d").alias("most"), F.every(F.col("d") >= 0).alias("superset"),
+        F.min("d").alias("least"), F.max("d").alias("most"), F.every(F.col("d") >= 0).alias("superset"),
     )
+    return counts.crossJoin(F.broadcast(masses))  # one row each
 
 
 def increment_field(policy: DataFrame, strict: DataFrame, tolerance: float = 1e-9) -> DataFrame:
