@@ -69,13 +69,11 @@ def roc_and_precision(df: DataFrame, score: str, positive: str) -> DataFrame:
 
 
 def rank_deciles(df: DataFrame, value: str, key: str, parts: int = 10) -> DataFrame:
-    """Equal-count parts in stable order: min(parts - 1, i * parts div n)."""
-    one = df.withColumn("_one", F.lit(1)).groupBy(value).agg(F.sum("_one").alias("_n"))
-    base = cumulative(one, value, ["_n"]).select(F.col(value).alias("_v"), "before__n")
-    tie = Window.partitionBy(value).orderBy(key)
-    placed = df.join(base, F.col(value) == F.col("_v")).withColumn("_i", F.col("before__n") + F.row_number().over(tie) - 1)
+    """Equal-count parts in stable order of value and key: min(parts - 1, i * parts div n). Rows are numbered by ranges of both, so
+    rows of one value need not be in one task."""
+    placed = numbered(df, [value, key], "_i")
     n = df.agg(F.count(F.lit(1)).alias("_all"))
-    return placed.crossJoin(F.broadcast(n)).withColumn("decile", F.least(F.lit(parts - 1), F.floor(F.col("_i") * parts / F.col("_all")))).drop("_v", "_i", "_all", "before__n")
+    return placed.crossJoin(F.broadcast(n)).withColumn("decile", F.least(F.lit(parts - 1), F.floor((F.col("_i") - 1) * parts / F.col("_all")))).drop("_i", "_all")
 
 
 def top_k(df: DataFrame, value: str, key: str, k: int) -> DataFrame:
