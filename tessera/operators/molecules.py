@@ -171,14 +171,18 @@ def strict_counts(p: DataFrame, unit) -> DataFrame:
 
 
 def exact_member_matches(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of molecules (molecule, read) of two methods with the same reads, where those reads name one on either side."""
+    """Pairs of molecules (molecule, read) of two methods with the same reads, where those reads name one on either side.
+
+    Sets of reads are compared by their size and two sums of 64-bit hashes, partial aggregates that hold no molecule's reads."""
+    key = ["reads", "h1", "h2"]
 
     def keyed(d: DataFrame, name: str) -> DataFrame:
-        sets = d.groupBy("molecule").agg(F.sort_array(F.collect_set(F.col("read").cast("string"))).alias("reads")).select(F.col("molecule").alias(name), stable_id(F.array_join("reads", "\x1f")).alias("key"))
-        alone = sets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(name).alias(name)).where("n = 1")
-        return alone.drop("n")
+        reads = d.select("molecule", F.col("read").cast("string").alias("read")).distinct()
+        sums = [F.coalesce(F.sum(F.when(F.col("read").isNotNull(), F.xxhash64(F.lit(k), "read")).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+        sets = reads.groupBy("molecule").agg(F.count("read").alias("reads"), *sums)
+        return sets.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("molecule").alias(name)).where("n = 1").drop("n")
 
-    return keyed(a, "a").join(keyed(b, "b"), "key").select("a", "b")
+    return keyed(a, "a").join(keyed(b, "b"), key).select("a", "b")
 
 
 def membership_components(a: DataFrame, b: DataFrame) -> DataFrame:
