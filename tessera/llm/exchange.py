@@ -91,11 +91,12 @@ def bucket_count(size: int, bucket_bytes: int = BUCKET_BYTES) -> int:
     return max(8, -(-size // bucket_bytes))
 
 
-def exchange(sent: DataFrame, answer: Callable, gather_: Callable, schema: str, what: str) -> DataFrame:
-    """Writes what is sent, lets the buckets answer, and puts the answers of each chunk together."""
+def exchange(sent: DataFrame, answer: Callable, gather_: Callable, schema: str, what: str, compression: str | None = None) -> DataFrame:
+    """Writes what is sent, by the session's compression or another, lets the buckets answer, and puts the answers of each chunk
+    together."""
     spark = sent.sparkSession
     path = scratch(spark, what)
-    sent.write.option("compression", "zstd").parquet(path)
+    (sent.write.option("compression", compression) if compression else sent.write).parquet(path)
     stored = spark.read.schema(SENT).parquet(path)
     answers = stored.where("bucket >= 0").groupBy("bucket").applyInArrow(answer, SENT)
     out = keep(answers.unionByName(stored.where("bucket < 0")).groupBy("chunk").applyInArrow(gather_, schema), what)
@@ -103,13 +104,13 @@ def exchange(sent: DataFrame, answer: Callable, gather_: Callable, schema: str,
     return out
 
 
-def seen_twice(text: DataFrame, names_of: Callable, buckets: int, chunk_bytes: int, what: str) -> DataFrame:
+def seen_twice(text: DataFrame, names_of: Callable, buckets: int, chunk_bytes: int, what: str, compression: str | None = None) -> DataFrame:
     """doc_id, mark, n and bits: for each document's names, in their order, whether any place holds the name again.
 
     ``text`` has doc_id, text and mark (a hash of the text). ``names_of(buf, offs)`` gives the names, each one's document, and
     which documents take part; it must give a document the same names in any chunk. Rows without an id take no part."""
     sent = map_batches(text, None, SENT, whole=_send_names(buckets, names_of, chunk_bytes))
-    flags = exchange(sent, answer_seen, _name_flags(buckets), FLAGS, what)
+    flags = exchange(sent, answer_seen, _name_flags(buckets), FLAGS, what, compression)
     return flags.dropDuplicates(["doc_id", "mark"])  # repeated rows have equal names; the flags of one are enough
 
 

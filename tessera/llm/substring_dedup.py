@@ -38,6 +38,8 @@ from .recompress import recompress
 WINDOW, ROUNDS = 13, 3
 #: Bytes of text of a chunk; the arrays of the rounds take some 25 times as much.
 CHUNK = 3 << 20
+#: How what is sent is stored; disk is what bounds this query.
+COMPRESSION = "zstd"
 
 
 def _names(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,10 +153,10 @@ def removed_ranges(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
     """doc_id, a hash of the text, and the removed word ranges (pairs of int32) of the documents that lose words."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     buckets = bucket_count(text_bytes(docs), bucket_bytes)
-    flags = seen_twice(text, _names, buckets, CHUNK, "names")
+    flags = seen_twice(text, _names, buckets, CHUNK, "names", COMPRESSION)
     flagged = text.join(flags, ["doc_id", "mark"]).select("doc_id", "text", "mark", "n", "bits")
     sent = map_batches(flagged, None, SENT, whole=_send_windows(buckets))
-    ranges = exchange(sent, _answer_windows, _removed_ranges(buckets), RANGES, "windows")
+    ranges = exchange(sent, _answer_windows, _removed_ranges(buckets), RANGES, "windows", COMPRESSION)
     return ranges.dropDuplicates(["doc_id", "mark"])
 
 
