@@ -161,7 +161,8 @@ def lag_sums(a: DataFrame, b: DataFrame, height: int, width: int, reach: tuple[i
 
 def correlation_surface(a: DataFrame, b: DataFrame, height: int, width: int, reach: tuple[int, int] | None = None, least: int = 3) -> DataFrame:
     """dy, dx, n and ncc at every lag within ``reach``: the correlation over joint support; null for fewer than ``least`` cells
-    or a side that is constant but for rounding."""
+    or a side that is constant but for rounding. The transforms round by some 10^-16 of the whole fields' sums of squares, so
+    where the cells that meet vary ten thousand times less than the fields, the sixth digit is not certain."""
     s = lag_sums(a, b, height, width, reach)
     n, x, y = F.col("n"), F.col("c_sx"), F.col("c_sy")  # about the means: nothing cancels
     vx, vy = n * F.col("c_sxx") - x * x, n * F.col("c_syy") - y * y

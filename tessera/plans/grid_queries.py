@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
-from ..operators import grid, raster
+from ..operators import grid, raster, transforms
 from .registry import query
 from .views import Views
 
@@ -78,6 +78,16 @@ def ncc_surface(v: Views):
     return raster.ncc_surface(*_two(v), 2)
 
 
+@query("correlation_at_every_lag", _TWO + """
+, h AS (SELECT s // 2 AS h FROM side), y AS (SELECT unnest(range(-h, h + 1)) AS dy FROM h), x AS (SELECT unnest(range(-h, h + 1)) AS dx FROM h),
+k AS (SELECT dy, dx, cast(count(*) AS bigint) AS n, corr(a.v, b.v) AS k, var_pop(a.v) * var_pop(b.v) AS spread FROM fa a, y, x JOIN fb b ON b.r = a.r + dy AND b.c = a.c + dx GROUP BY dy, dx)
+SELECT dy, dx, n, CASE WHEN n >= 3 AND spread > 0 THEN round(k, 6) END AS ncc FROM k
+""")
+def correlation_at_every_lag(v: Views):
+    """Two matrices' totals at every lag up to half of the grid."""
+    return transforms.correlation_surface(*_two(v), v.side, v.side, (v.side // 2, v.side // 2))
+
+
 @query("mi_surface", _TWO + """
 , ca AS (SELECT r, c, least(7, floor((v - min(v) OVER ()) * 8 / (max(v) OVER () - min(v) OVER ()))) AS x FROM fa), cb AS (SELECT r, c, least(7, floor((v - min(v) OVER ()) * 8 / (max(v) OVER () - min(v) OVER ()))) AS y FROM fb),
 k AS (SELECT dy, dx, x, y, count(*) AS k FROM range(-1, 2) t1(dy), range(-1, 2) t2(dx), ca a JOIN cb b ON b.r = a.r + dy AND b.c = a.c + dx GROUP BY dy, dx, x, y),

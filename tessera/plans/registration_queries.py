@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..operators import grid, raster
 from ..operators import registration as R
-from ..operators import transforms
 from ..operators.tiles import met_sums
 from .registry import query
 from .views import Views
@@ -90,17 +89,6 @@ def bandpass(v: Views):
     return R.prepared(v.dense(), 2.0).select("r", "c", *(F.round(F.col(k) + 0.0, 6).alias(k) for k in "ab"))
 
 
-@query("correlation_at_every_lag", _BLUR + """
-, h AS (SELECT s // 2 AS h FROM side), y AS (SELECT unnest(range(-h, h + 1)) AS dy FROM h), x AS (SELECT unnest(range(-h, h + 1)) AS dx FROM h)
-SELECT dy, dx, cast(count(*) AS bigint) AS n, round(corr(a.a, b.b), 6) AS ncc FROM (SELECT * FROM bp WHERE a <> 0) a, y, x JOIN bp b ON b.r = a.r + dy AND b.c = a.c + dx WHERE b.b <> 0 GROUP BY dy, dx
-""")
-def correlation_at_every_lag(v: Views):
-    """Mask and counts after the band-pass, where neither is 0, at every lag up to half of the grid."""
-    p = R.prepared(v.dense(), 2.0)
-    side = lambda k: p.where(F.col(k) != 0).select("r", "c", F.col(k).alias("v"))
-    return transforms.correlation_surface(side("a"), side("b"), v.side, v.side, (v.side // 2, v.side // 2))
-
-
 @query("registered_lag", _BLUR + """
 , s AS (SELECT dy, dx, corr(x.a, y.b) AS m FROM range(-2, 3) u(dy), range(-2, 3) v(dx), bp x JOIN bp y ON y.r = x.r + dy AND y.c = x.c + dx GROUP BY dy, dx)
 SELECT arg_min(dy, (round(m, 6), dy, dx)) AS integer_dy, arg_min(dx, (round(m, 6), dy, dx)) AS integer_dx, round(min(m), 6) AS metric, round(max(m) FILTER (dy = 0 AND dx = 0), 6) AS at_zero FROM s
