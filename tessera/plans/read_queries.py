@@ -231,10 +231,7 @@ def _oligos(v: Views):
 def hamming_seed_join(v: Views):
     """Nearest probes at Hamming distance 2 at most: of three segments of five one is equal, so segments meet in an equi-join."""
     p, q = _oligos(v)
-    seeds = lambda d, name: d.select(F.col("p_partkey").alias(name), F.col("s").alias(f"s_{name}"), F.posexplode(F.array(F.substring("s", 1, 5), F.substring("s", 6, 5), F.substring("s", 11, 5))).alias("k", "seed"))
-    met = seeds(q, "q").join(seeds(p, "p"), ["k", "seed"]).select("q", "p", S.hamming(F.col("s_q"), F.col("s_p")).alias("d")).where("d <= 2").distinct()
-    least = met.groupBy("q").agg(F.min("d").alias("least"))
-    return met.join(least, "q").where("d = least").select("q", "p", F.col("d").cast("int").alias("d"))
+    return molecules.nearest_probes(q.withColumnRenamed("p_partkey", "q"), p.withColumnRenamed("p_partkey", "p"), 5, 3)
 
 
 @query("best_split", """
