@@ -25,3 +25,27 @@ def test_nearest_probes_of_copies_without_broadcast(spark):
     got = molecules.nearest_probes(spark.createDataFrame(q, "q long, s string"), spark.createDataFrame(p, "p long, s string"), 5, 3)
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 80
     assert "Broadcast" not in _plan(got)[1]
+
+
+def test_hits_are_measured_before_they_are_sent(spark):
+    rng = random.Random(4)
+    some = lambda: "".join(rng.choice("ACGT") for _ in range(rng.randint(7, 11)))
+    halves, texts = [some() for _ in range(60)], [some() for _ in range(9)] + [""]
+    names = [(k, rng.choice(texts)) for k in range(70)]
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            new = [i]
+            for j, q in enumerate(y, 1):
+                new.append(min(row[j - 1] + (p != q), row[j] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    a, b = spark.createDataFrame([(x,) for x in halves], "text string"), spark.createDataFrame(names, "name long, text string")
+    for most in (1, 3, 4):
+        got = candidates.half_hits(a, b, "name", "edits", most)
+        want = sorted((x, k, distance(x, y)) for x in set(halves) for k, y in names if distance(x, y) <= most)
+        assert sorted(map(tuple, got.collect())) == want
+        plan = _plan(got)[0]
+        assert plan.index("Aggregate") < plan.index("levenshtein")  # the topmost sets of rows are of hits
