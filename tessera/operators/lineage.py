@@ -36,3 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that :func:`dealt` gives to a task, more or less.
+TASK_ROWS = 2_000_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """``df`` with equal keys in one task and about :data:`TASK_ROWS` rows in each, however well they compress; sums by these
+    keys need no further shuffle. ``rows``, or else a count of ``df``, says how many tasks that takes; few rows stay as they are."""
+    tasks = -(-(df.count() if rows is None else rows) // TASK_ROWS)
+    return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), *keys) if tasks > 1 else df

@@ -1,9 +1,11 @@
 """Queries that group, pivot, compare and audit result tables."""
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ..operators.lineage import cut
+from ..operators.lineage import cut, dealt
 from ..operators.exact import quantiles
 from .registry import query
 from .views import Views
@@ -69,8 +71,24 @@ def taxonomy_grouping_sets(v: Views):
 SELECT grouping(a) + 2 * grouping(b) AS level, a, b, sum(q) AS mass, cast(count(DISTINCT p) AS bigint) AS probes FROM (SELECT l_quantity >= 25 AS a, l_discount >= 0.05 AS b, l_quantity AS q, l_partkey AS p FROM lineitem) GROUP BY CUBE (a, b)
 """, prelude=False)
 def probe_cube(v: Views):
+    """Mass and distinct probes at every level of two flags.
+
+    A probe's rows meet in one task and become one row of its cells, one per pair of flags, before the levels are formed;
+    so no row is multiplied before it is summed, and probes are counted as rows."""
     d = v.table("lineitem").select((F.col("l_quantity") >= 25).alias("a"), (F.col("l_discount") >= 0.05).alias("b"), F.col("l_quantity").alias("q"), F.col("l_partkey").alias("p"))
-    return d.cube("a", "b").agg((F.grouping("a") + 2 * F.grouping("b")).cast("long").alias("level"), F.sum("q").alias("mass"), F.countDistinct("p").alias("probes"))
+    flags = [True, False, None]
+    own = [F.col("a").eqNullSafe(F.lit(x)) & F.col("b").eqNullSafe(F.lit(y)) for x in flags for y in flags]
+    cells = dealt(d, "p").groupBy("p").agg(*(F.sum(F.when(c, F.col("q"))).alias(f"q{k}") for k, c in enumerate(own)), *(F.count(F.when(c, 1)).alias(f"n{k}") for k, c in enumerate(own)))
+
+    def level(g: int, x: bool | None, y: bool | None) -> Column:
+        some = [3 * i + j for i in range(3) for j in range(3) if (g & 1 or flags[i] is x) and (g & 2 or flags[j] is y)]
+        mass = reduce(lambda m, k: F.when(m.isNull(), F.col(f"q{k}")).otherwise(m + F.coalesce(F.col(f"q{k}"), F.lit(0.0))), some, F.lit(None).cast("double"))
+        rows = sum((F.col(f"n{k}") for k in some), F.lit(0))
+        return F.struct(F.lit(g).cast("long").alias("level"), F.lit(x).cast("boolean").alias("a"), F.lit(y).cast("boolean").alias("b"), mass.alias("mass"), rows.alias("rows"))
+
+    levels = [level(0, x, y) for x in flags for y in flags] + [level(1, None, y) for y in flags] + [level(2, x, None) for x in flags] + [level(3, None, None)]
+    each = cells.select("p", F.inline(F.filter(F.array(*levels), lambda s: s["rows"] > 0)))
+    return each.groupBy("level", "a", "b").agg(F.sum("mass").alias("mass"), F.count("p").alias("probes")).select("a", "b", "level", "mass", "probes")
 
 
 @query("pivot_top_genes", """

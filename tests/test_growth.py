@@ -72,3 +72,22 @@ def test_many_groups_share_a_batch_and_a_group_many_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert found == sorted((g, r, x[1], tuple(sorted(x[0]))) for r, g, x in want)
     assert "FlatMapGroups" not in _plan(got)[0]
+
+
+def test_probes_are_one_row_each_before_levels(spark, tmp_path):
+    from tessera.plans import registry
+
+    rng = random.Random(6)
+    rows = [(rng.choice([1.0, 25.0, 40.0, None]), rng.choice([0.01, 0.05, None]), rng.choice([1, 2, 3, 4, None])) for _ in range(200)]
+    spark.createDataFrame(rows, "l_quantity double, l_discount double, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {}
+    for q, d, p in rows:
+        a, b = None if q is None else q >= 25, None if d is None else d >= 0.05
+        for level, x, y in ((0, a, b), (1, None, b), (2, a, None), (3, None, None)):
+            x = want.setdefault((a if level in (0, 2) else None, y, level), [[], set()])
+            x[0].append(q)
+            x[1].add(p)
+    plain = sorted(((k, sum(q for q in qs if q is not None) if any(q is not None for q in qs) else None, len(ps - {None})) for k, (qs, ps) in want.items()), key=repr)
+    got = registry.QUERIES["probe_cube"](spark, str(tmp_path))
+    assert sorted((((r.a, r.b, r.level), r.mass, r.probes) for r in got.collect()), key=repr) == plain
+    assert "Expand" not in _plan(got)[0]
