@@ -91,3 +91,14 @@ def test_probes_are_one_row_each_before_levels(spark, tmp_path):
     got = registry.QUERIES["probe_cube"](spark, str(tmp_path))
     assert sorted((((r.a, r.b, r.level), r.mass, r.probes) for r in got.collect()), key=repr) == plain
     assert "Expand" not in _plan(got)[0]
+
+
+def test_records_are_dealt_before_they_are_sorted(spark, tmp_path, monkeypatch):
+    from tessera.operators import lineage
+    from tessera.sources import tables
+
+    monkeypatch.setattr(lineage, "TASK_ROWS", 8)
+    (tmp_path / "x.fastq").write_text("".join(f"@r{k} x\n{'ACGT'[: k % 4 + 1]}\n+\n{'IIII'[: k % 4 + 1]}\n" for k in range(30)))
+    got = tables.read_fastq(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted((f"r{k}", "ACGT"[: k % 4 + 1], "IIII"[: k % 4 + 1]) for k in range(30))
+    assert "REPARTITION_BY_NUM" in _plan(got)[1]
