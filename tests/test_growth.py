@@ -102,3 +102,17 @@ def test_records_are_dealt_before_they_are_sorted(spark, tmp_path, monkeypatch):
     got = tables.read_fastq(spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted((f"r{k}", "ACGT"[: k % 4 + 1], "IIII"[: k % 4 + 1]) for k in range(30))
     assert "REPARTITION_BY_NUM" in _plan(got)[1]
+
+
+def test_components_of_dealt_rows(spark, monkeypatch):
+    from tessera.operators import components as module
+
+    rng = random.Random(7)
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101 + k) for k in range(40)] + [(rng.randint(200, 280), rng.randint(200, 280)) for _ in range(50)] + [(300, 300)]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    monkeypatch.setattr(module, "dealt", lambda df, *keys, rows: df.repartition(3, *keys))
+    got = module.components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted(label.items())
