@@ -64,3 +64,43 @@ def test_long_words_are_read_to_their_end():
         assert set(own[1:-1, 0].tolist()) | set(own[4:, 1].tolist()) <= whole
     changed = long[:-1] + "x"
     assert grams(changed) != whole and grams("ab" * 12) and _words("short words").hash.tolist() == _words("words short").hash.tolist()
+
+
+def test_scoring_takes_an_exponential_per_activation_but_none_for_the_first_word_of_a_window(monkeypatch):
+    class Counting:
+        def __init__(self):
+            self.n = {"exp": 0, "tanh": 0}
+
+        def __getattr__(self, name):
+            f = getattr(np, name)
+            if name not in self.n:
+                return f
+
+            def counted(x, *args, **kwargs):
+                self.n[name] += np.size(x)
+                return f(x, *args, **kwargs)
+
+            return counted
+
+    w = _words(" ".join(f"w{x}" for x in np.random.default_rng(5).integers(0, 60, 1000)))
+    net, counting = _network(w), Counting()
+    monkeypatch.setattr(toxicity, "np", counting)
+    net.top_logits(w)
+    h, size = toxicity.HIDDEN, toxicity.WINDOW
+    windows = 1000 - size + 1
+    assert counting.n["tanh"] == 0  # which cost numpy about twice an exponential
+    assert 0 < counting.n["exp"] <= windows * (2 * 3 * h * (size - 1) + size) + 2 * 2 * h * len(w.hash)
+
+
+@pytest.mark.filterwarnings("error")
+@pytest.mark.parametrize("grown", [1, 30, 1000])
+def test_saturated_gates_and_states_score_as_forward(grown):
+    w = _words(" ".join(f"w{x}" for x in np.random.default_rng(6).integers(0, 60, 200)))
+    net = _network(w)
+    net.p["in"] *= np.float32(grown)
+    _, proj = net.inputs(w, net.rows(w.hash))
+    assert grown == 1 or 2 * np.abs(proj).max() > 89  # beyond the exponents of single precision
+    each, maps = net._tables(proj)
+    got = net._run(np.ascontiguousarray(each[w.which].T), len(w.which) - 23, maps)
+    want = net.forward(proj, np.array([w.which[k : k + 24] for k in range(len(w.which) - 23)]))
+    assert np.abs(got - want).max() < 1e-4
