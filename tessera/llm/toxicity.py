@@ -28,7 +28,7 @@ from .io import map_batches, table
 #: Words of a window, words between the windows that training draws from, and bytes of a piece of a word.
 WINDOW, STRIDE, PIECE = 24, 16, 24
 #: Windows that are scored at once.
-BLOCK = 4096
+BLOCK = 8192
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 12, 8
 #: Rows of the character table, and the words that have a vector of their own, at most.
 TRIGRAMS, VOCABULARY = 1 << 14, 20_000
@@ -211,10 +211,10 @@ class Network:
         n, words = np.diff(w.first), len(w.which)
         _, proj = self.inputs(w, self.rows(w.hash))
         logit = np.full(words, -np.inf, np.float32)
-        each, maps = self._tables(proj)
+        each, maps, squarings = self._tables(proj)
         for a in range(0, words - WINDOW + 1, BLOCK):
             b = min(a + BLOCK, words - WINDOW + 1)
-            logit[a:b] = self._run(np.ascontiguousarray(each[w.which[a : b + WINDOW - 1]].T), b - a, maps)
+            logit[a:b] = self._run(np.ascontiguousarray(each[w.which[a : b + WINDOW - 1]].T), b - a, maps, squarings)
         logit[np.arange(words) + WINDOW > np.repeat(w.first[1:], n)] = -np.inf  # windows over a document's end
         top = np.full(len(n), -np.inf)
         some = np.flatnonzero(n)
@@ -228,50 +228,66 @@ class Network:
             top[d] = self.forward(proj, np.where(inside, w.which[np.minimum(at, words - 1)], -1))
         return top
 
-    def _tables(self, proj: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def _tables(self, proj: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], int]:
         """What ``_run`` takes of each distinct word and of the network. A gate is 1 / (1 + e**-x) and (1 - tanh x) / 2 is
         1 / (1 + e**2x), so a word has its inputs as such exponents, and a state s is held as (1 - s) / 2. Beside its inputs a
         word has the state of either side after it as a window's first word, which is the same in all windows. The map of a
-        side leads from a state, with a one below it, to its part of the exponents and to what attention and output take."""
+        side leads from a state, with a one below it, to its part of the exponents and to what attention and output take.
+        Last come the squarings of ``_powers``. Inputs that no state brings below 24 are one: the gate is shut at single
+        precision."""
         h = HIDDEN
         scale = np.repeat(np.array([-1, -1, 2], np.float32), h)
-        each, maps = [proj * np.tile(scale, 2)], []
+        reach = float(max(np.abs(self.p[k] * scale).sum(axis=0).max() for k in ("uf", "ub")))
+        squarings = max(4, int(np.ceil(np.log2((24 + 2 * reach) / 10))))
+        unit = np.float32(1 / (6 << squarings))
+        each, maps = [np.clip(proj * np.tile(scale, 2), -24 - reach, 24 + reach)], []
         for side in (0, 1):
             own = each[0][:, 3 * h * side : 3 * h * (side + 1)]
-            with np.errstate(over="ignore"):
-                new = 1 / (1 + np.exp(own[:, 2 * h :]))
-                each.append(new + (np.float32(0.5) - new) / (1 + np.exp(own[:, :h])))
-            u = np.concatenate([self.p["ub" if side else "uf"].T * scale[:, None], *(self.p[k][None, h * side : h * (side + 1)] for k in ("att", "out"))])
+            new = 1 / (1 + np.exp(own[:, 2 * h :]))
+            each.append(new + (np.float32(0.5) - new) / (1 + np.exp(own[:, :h])))
+            u = np.concatenate([self.p["ub" if side else "uf"].T * scale[:, None] * unit, *(self.p[k][None, h * side : h * (side + 1)] for k in ("att", "out"))])
             maps.append(np.concatenate([-2 * u, u.sum(axis=1, keepdims=True)], axis=1))
-        return np.concatenate(each, axis=1), maps
-
-    def _run(self, x: np.ndarray, m: int, maps: list[np.ndarray]) -> np.ndarray:
-        """Logits of the ``m`` windows at the successive words of ``x``, a column per word, as ``forward`` gives them. An
-        exponential beyond all numbers is a closed gate or a full state."""
+        each[0] *= unit
+        return np.concatenate(each, axis=1), maps, squarings
+
+    @staticmethod
+    def _powers(x: np.ndarray, over: np.ndarray, under: np.ndarray, squarings: int) -> None:
+        """e**(6 * 2**squarings * x) + 1 in place: Pade's quotient of second degree, squared so often; numpy's own exponential
+        takes longer."""
+        np.multiply(x, x, out=over)
+        over += np.float32(1 / 3)
+        np.subtract(over, x, out=under)
+        x += over
+        x /= under
+        with np.errstate(over="ignore"):  # infinity, with seven squarings or more, is a shut gate
+            for _ in range(squarings):
+                x *= x
+        x += 1
+
+    def _run(self, x: np.ndarray, m: int, maps: list[np.ndarray], squarings: int) -> np.ndarray:
+        """Logits of the ``m`` windows at the successive words of ``x``, a column per word, as ``forward`` gives them."""
         h = HIDDEN
         taken = np.zeros((WINDOW, 2, m), np.float32)
         a, state = np.empty((3 * h + 2, m), np.float32), np.ones((h + 1, m), np.float32)
+        over, under = np.empty((2, 2 * h, m), np.float32)
         gates, z, r, new, s = a[: 2 * h], a[:h], a[h : 2 * h], a[2 * h : 3 * h], state[:h]
-        with np.errstate(over="ignore"):
-            for side, order in ((0, range(WINDOW)), (1, range(WINDOW - 1, -1, -1))):
-                own, before = x[3 * h * side : 3 * h * (side + 1)], order[0]
-                s[:] = x[h * (6 + side) : h * (7 + side), before : before + m]
-                for k in order[1:]:
-                    np.matmul(maps[side], state, out=a)
-                    taken[before] += a[3 * h :]
-                    gates += own[: 2 * h, k : k + m]
-                    np.exp(gates, out=gates)
-                    gates += 1
-                    new /= r
-                    new += own[2 * h :, k : k + m]
-                    np.exp(new, out=new)
-                    new += 1
-                    np.reciprocal(new, out=new)
-                    s -= new
-                    s /= z
-                    s += new
-                    before = k
-                taken[before] += maps[side][3 * h :] @ state
+        for side, order in ((0, range(WINDOW)), (1, range(WINDOW - 1, -1, -1))):
+            own, before = x[3 * h * side : 3 * h * (side + 1)], order[0]
+            s[:] = x[h * (6 + side) : h * (7 + side), before : before + m]
+            for k in order[1:]:
+                np.matmul(maps[side], state, out=a)
+                taken[before] += a[3 * h :]
+                gates += own[: 2 * h, k : k + m]
+                self._powers(gates, over, under, squarings)
+                new /= r
+                new += own[2 * h :, k : k + m]
+                self._powers(new, over[:h], under[:h], squarings)
+                np.reciprocal(new, out=new)
+                s -= new
+                s /= z
+                s += new
+                before = k
+            taken[before] += maps[side][3 * h :] @ state
         weigh, value = taken[:, 0], taken[:, 1]
         weigh -= weigh.max(axis=0)
         np.exp(weigh, out=weigh)

@@ -100,7 +100,38 @@ def test_saturated_gates_and_states_score_as_forward(grown):
     net.p["in"] *= np.float32(grown)
     _, proj = net.inputs(w, net.rows(w.hash))
     assert grown == 1 or 2 * np.abs(proj).max() > 89  # beyond the exponents of single precision
-    each, maps = net._tables(proj)
-    got = net._run(np.ascontiguousarray(each[w.which].T), len(w.which) - 23, maps)
+    each, maps, squarings = net._tables(proj)
+    got = net._run(np.ascontiguousarray(each[w.which].T), len(w.which) - 23, maps, squarings)
     want = net.forward(proj, np.array([w.which[k : k + 24] for k in range(len(w.which) - 23)]))
     assert np.abs(got - want).max() < 1e-4
+
+
+@pytest.mark.parametrize("squarings", [4, 5, 7])
+def test_powers_give_gates_at_single_precision_as_far_as_exponents_reach(squarings):
+    x = np.linspace(-10, 10, 20_001, dtype=np.float32) * 2**squarings  # the range that _tables allows for
+    got = (x / np.float32(6 << squarings)).astype(np.float32)
+    with np.errstate(over="ignore"):
+        want = 1 / (1 + np.exp(-x.astype(float)))[::-1]
+    toxicity.Network._powers(got, np.empty_like(got), np.empty_like(got), squarings)
+    assert np.abs(1 / got - want).max() < 1e-6 * 2 ** (squarings - 4)
+
+
+def test_few_exponentials_are_taken_and_large_recurrent_weights_take_more_squarings(monkeypatch):
+    taken, exp = [], np.exp
+
+    class Counting:
+        def __getattr__(self, name):
+            return (lambda x, *args, **kwargs: (taken.append(np.size(x)), exp(x, *args, **kwargs))[1]) if name == "exp" else getattr(np, name)
+
+    w = _words(" ".join(f"w{x}" for x in np.random.default_rng(7).integers(0, 60, 1000)))
+    net = _network(w)
+    assert net._tables(net.inputs(w, net.rows(w.hash))[1])[2] == 4
+    monkeypatch.setattr(toxicity, "np", Counting())
+    net.top_logits(w)
+    monkeypatch.undo()
+    # those of attention, and of the first state of a distinct word
+    assert sum(taken) <= (1000 - toxicity.WINDOW + 1) * toxicity.WINDOW + 2 * 2 * toxicity.HIDDEN * len(w.hash)
+    net.p["uf"] *= np.float32(40)
+    _, proj = net.inputs(w, net.rows(w.hash))
+    each, maps, squarings = net._tables(proj)
+    assert squarings > 4 and np.isfinite(net._run(np.ascontiguousarray(each[w.which].T), 1000 - 23, maps, squarings)).all()
