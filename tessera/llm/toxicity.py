@@ -233,8 +233,8 @@ class Network:
         1 / (1 + e**2x), so a word has its inputs as such exponents, and a state s is held as (1 - s) / 2. Beside its inputs a
         word has the state of either side after it as a window's first word, which is the same in all windows. The map of a
         side leads from a state, with a one below it, to its part of the exponents and to what attention and output take.
-        Last come the squarings of ``_powers``. Inputs that no state brings below 24 are one: the gate is shut at single
-        precision."""
+        Last come the squarings of ``_powers``. Exponents of words are clipped only where no state brings the whole one back
+        within 24, and a gate is open or shut at single precision either way."""
         h = HIDDEN
         scale = np.repeat(np.array([-1, -1, 2], np.float32), h)
         reach = float(max(np.abs(self.p[k] * scale).sum(axis=0).max() for k in ("uf", "ub")))
