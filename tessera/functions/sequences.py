@@ -122,6 +122,8 @@ def alignment_log_likelihoods(gap_q: float = 30.0, missing_q: float = 20.0):
 
 #: Trials up to which the chances come from a table of logarithms.
 TABLE_TRIALS = 1000
+#: Trials up to which the ways to split them, times a number of trials, are whole numbers that a double holds.
+WHOLE_TRIALS = 40
 
 
 def _stirling_rest(k: Column) -> Column:
@@ -135,8 +137,9 @@ def binomial_two_sided(wins: Column, trials: Column, table: int = TABLE_TRIALS)
     """The exact two-sided probability of a split as uneven as this under even chances; null if there is no such split.
 
     It is twice the tail: the chance of the split itself, and the chances of more uneven ones by the ratios of successive
-    terms, of which those beyond 5 roots of the trials are below 10^-21 of the first. Beyond ``table`` trials the first comes
-    from its expansion around the even split, whose rounding grows with the root of the trials only."""
+    terms, of which those beyond 5 roots of the trials are below 10^-21 of the first. Up to ``WHOLE_TRIALS`` trials the terms
+    are numbers of ways, so the chance has no rounding of its own. Beyond ``table`` trials the first comes from its expansion
+    around the even split, whose rounding grows with the root of the trials only."""
     logs = F.array(*(F.lit(math.lgamma(k + 1)) for k in range(table + 1)))
     low, n = F.least(wins, trials - wins).cast("long"), trials.cast("double")
     at = lambda k: F.get(logs, k.cast("int"))
@@ -146,8 +149,10 @@ def binomial_two_sided(wins: Column, trials: Column, table: int = TABLE_TRIALS)
     few = F.exp(_stirling_rest(trials) - _stirling_rest(low) - _stirling_rest(trials - low) - spread) * F.sqrt(n / (2 * math.pi * low * (trials - low)))
     first = F.when(trials <= table, known).when(low == 0, F.exp(-n * math.log(2))).otherwise(few)
     terms = F.least(low, (5 * F.sqrt(n)).cast("long") + 60)
+    whole = trials <= min(table, WHOLE_TRIALS)
+    own = F.when(whole, F.rint(F.exp(at(trials) - at(low) - at(trials - low)))).otherwise(1.0)
     # each step carries the term that it comes to and the sum so far
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    start = F.struct(own.alias("term"), own.alias("sum"))
 
     def step(acc: Column, j: Column) -> Column:
         term = acc["term"] * (low - j + 1) / (trials - low + j)
@@ -155,4 +160,5 @@ def binomial_two_sided(wins: Column, trials: Column, table: int = TABLE_TRIALS)
 
     steps = F.when(terms > 0, F.sequence(F.lit(1).cast("long"), terms)).otherwise(F.array().cast("array<long>"))
     tail = F.aggregate(steps, start, step)["sum"]
-    return F.when((trials >= 0) & (wins >= 0) & (wins <= trials), F.when(trials == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * first * tail)))
+    scale = F.when(whole, F.pow(F.lit(2.0), -n)).otherwise(first)
+    return F.when((trials >= 0) & (wins >= 0) & (wins <= trials), F.when(trials == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * scale * tail)))

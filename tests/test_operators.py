@@ -491,6 +491,20 @@ def test_binomial_at_any_size(spark):
     assert all(r.p is None for r in odd.collect())
 
 
+def test_chances_of_few_trials_are_exact(spark, tmp_path):
+    from fractions import Fraction
+
+    from tessera.plans import registry
+
+    cases = [(w, n) for n in range(1, 41) for w in range(n + 1)]
+    got = spark.createDataFrame(cases, "w int, n int").select("w", "n", sequences.binomial_two_sided(F.col("w"), F.col("n")).alias("p")).collect()
+    assert all(r.p == float(min(Fraction(1), Fraction(2 * sum(math.comb(r.n, k) for k in range(min(r.w, r.n - r.w) + 1)), 2**r.n))) for r in got)
+    # 0.5810546875 has its last digit beyond the rounding; balances that nobody knows are no wins
+    rows = [(k, 1, 5000.0 if k < 5 else 10.0, "A") for k in range(13)] + [(k, 2, None, "A") for k in range(3)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert _rows(registry.QUERIES["binomial_wins"](spark, str(tmp_path)), "nation", "wins", "trials", "p") == [(1, 5, 13, 0.581054688), (2, 0, 3, 0.25)]
+
+
 def test_alignments_against_all_of_them(spark):
     import random
 
