@@ -51,6 +51,24 @@ def test_hits_are_measured_before_they_are_sent(spark):
         assert plan.index("Aggregate") < plan.index("levenshtein")  # the topmost sets of rows are of hits
 
 
+def test_hits_of_many_names_of_one_text(spark, tmp_path):
+    halves = ["ACGTACGTA", "ACGTACGT", "CCGTACGTA", "ACGTACGTACG", "TTTTTTTTT"] + ["ACGTACG" + x + y for x in "ACG" for y in "CGT"]
+    a = spark.createDataFrame([(x,) for x in halves * 2], "text string")
+    # repeated rows, a name without index and names that fill blocks and do not
+    n = candidates.NAMES_IN_BLOCK
+    names = [(k, "ACGTACGTA") for k in [*range(2 * n + 3), 5, 5, None]] + [(k, "AACCGGTTA") for k in range(n)] + [(7, None), (8, "ACG")]
+    got = candidates.half_hits(a, spark.createDataFrame(names, "name long, text string"), "name", "edits", 3)
+    edits = {(r.x, r.y): r.d for r in spark.createDataFrame([(x, y) for x in halves for _, y in names[-n - 3 :] + names[:1]], "x string, y string").select("x", "y", F.levenshtein("x", "y").alias("d")).collect()}
+    want = [(x, k, edits[x, y]) for x in halves for k, y in names if y and edits[x, y] <= 3]
+    order = lambda r: (r[0], r[1] is None, r[1] or 0, r[2])
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(want, key=order) and len(want) > 10 * n
+    # more names than a file's dictionary holds: a hit takes less than a byte
+    many = spark.range(400_000).select(F.col("id").alias("name"), F.when(F.col("id") % 2 == 0, "ACGTACGTA").otherwise("AACCGGTTA").alias("text"))
+    candidates.half_hits(a, many, "name", "edits", 3).write.parquet(f"{tmp_path}/hits")
+    rows, stored = spark.read.parquet(f"{tmp_path}/hits").count(), sum(f.stat().st_size for f in (tmp_path / "hits").glob("*.parquet"))
+    assert rows >= 2_000_000 and stored < rows, (rows, stored)
+
+
 def test_many_groups_share_a_batch_and_a_group_many_batches(spark):
     rng = random.Random(5)
     sets = {(g, f"r{k:02d}"): sorted(rng.sample("abcdefghijkl", rng.randint(1, 4))) for g in range(30) for k in range(rng.randint(1, 30))}
